@@ -36,7 +36,7 @@ MATCH_BYTES = 50
 ANCHOR_BYTES = 20
 HASH_BITS = 48
 #: Bytes whose anchors are found in one array operation, and bytes of documents that are settled as one block.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 25
 #: Bytes of fragments whose suffixes are sorted together; fragments of one anchor always are.
 SORT_BYTES = 1 << 22
@@ -144,11 +144,17 @@ class Block:
         return data, row, h, first, strings, offset
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """A list column as arrays that share its memory."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] if valid else None for a, b, valid in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
     """Rows (key columns..., text) of a task as blocks."""
     block = Block()
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:-1]]
+        columns = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[:-1]]
         for *row, text in zip(*columns, batch.columns[-1].cast(pa.binary()).to_pylist(), strict=True):
             block.add(tuple(row), text or b"")
             if block.size > block_bytes:
@@ -167,20 +173,17 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct keys of sorted ``keys``, and the values of each as one binary."""
-    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    offsets = (np.r_[cut, len(keys)] * 8).astype(np.int32)
-    values = np.ascontiguousarray(values.astype("<i8"))
-    return keys[cut], pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+_MEET = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
 
 
-_MEET = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
+def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Negative buckets for rows that only pass through."""
+    return (-1 - (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
 
 
 def _meet_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """For each block and bucket the anchors of the block, each once, with a document that asks or, if the block has
-    several, a mark; and what the block knows by itself, as rows with a doc_id."""
+    several, a mark; and what the block knows by itself, as rows (doc_id, hash)."""
     for block in _blocks(batches, block_bytes):
         found = [(h, row) for _, row, h, _, _, _ in block.anchors()]
         if not found:
@@ -191,16 +194,13 @@ def _meet_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int
         h, doc = h[order], doc[order]
         keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
         h, doc = h[keep], doc[keep]
-        first = np.r_[True, h[1:] != h[:-1]]
-        several = np.diff(np.r_[np.flatnonzero(first), len(h)]) > 1
-        in_several = np.repeat(several, np.diff(np.r_[np.flatnonzero(first), len(h)]))
-        by_doc = np.argsort(doc[in_several], kind="stable")
-        ids, lists = _lists(doc[in_several][by_doc], h[in_several][by_doc])
-        n = len(ids)
-        spread = -1 - (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(ids, pa.int64()), lists, pa.nulls(n, pa.binary())], schema=_MEET)
-        h1, asks = h[first], np.where(several, -1, doc[first])  # -1: nobody asks, the block knows already
-        bucket = (h1.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[first, len(h)])
+        known = np.repeat(size > 1, size)
+        n = int(known.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(_spread(doc[known], buckets)), pa.array(doc[known]), pa.array(h[known]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_MEET)
+        h1, asks = h[first], np.where(size > 1, -1, doc[first])  # -1: nobody asks, the block knows already
+        bucket = (h1 % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
         out: list[list] = [[], [], []]
@@ -208,13 +208,14 @@ def _meet_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int
             out[0].append(int(bucket[part[0]]))
             out[1].append(_planes(np.diff(h1[part], prepend=0)))
             out[2].append(_planes(asks[part]))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.nulls(len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=_MEET)
+        m = len(out[0])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=_MEET)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Anchors of a bucket that several blocks have or one block marks, by the document that asked."""
+    """(doc_id, hash): anchors of a bucket that several blocks have or one block marks, by the document that asked."""
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["doc_id", "hashes"])
+        return table.select(["doc_id", "hash"])
     h = np.concatenate([np.cumsum(_unplaned(x)) for x in table.column("hashes").to_pylist()])
     asks = np.concatenate([_unplaned(x) for x in table.column("docs").to_pylist()])
     order = np.argsort(h, kind="stable")
@@ -222,15 +223,18 @@ def _meet(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[cut, len(h)])
     shared = np.repeat((size > 1) | (asks[cut] < 0), size) & (asks != -1)
-    h, asks = h[shared], asks[shared]
-    by_doc = np.argsort(asks, kind="stable")
-    ids, lists = _lists(asks[by_doc], h[by_doc])
-    return pa.table([pa.array(ids, pa.int64()), lists], names=["doc_id", "hashes"])
+    return pa.table([pa.array(asks[shared]), pa.array(h[shared])], names=["doc_id", "hash"])
 
 
 # --- suffix sorting -----------------------------------------------------------------------------------------------------
 
 
+def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums over the first i bytes of byte x base^place, inverse powers to move a stretch back to place 0)."""
+    weighted = _BYTE[data] * _powers(_BASE, len(data))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted, dtype=np.uint64)]), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), len(data))
+
+
 class Suffixes:
     """Suffixes of a byte array, compared over their first ``depth`` bytes by prefix polynomial hashes."""
 
@@ -238,13 +242,16 @@ class Suffixes:
         self.data, self.depth = data, depth
         # prefix[i] sums byte x base^place over the first i bytes; the hash of a stretch is the difference of its ends'
         # sums, moved back to place 0 by the inverse power.
-        weighted = _BYTE[data] * _powers(_BASE, len(data))
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted, dtype=np.uint64)])
-        self.back = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), len(data))
+        self.prefix, self.back = prefix_hashes(data)
+        n = max(0, len(data) - depth + 1)
+        self.deep = (self.prefix[depth : depth + n] - self.prefix[:n]) * self.back[:n]  # of the first ``depth`` bytes from each place
 
     def hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
 
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        return self.deep[at]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension from places a and b, up to ``depth``, by binary search over stretches' hashes."""
         most = np.minimum(self.depth, len(self.data) - np.maximum(a, b))
@@ -255,23 +262,29 @@ class Suffixes:
             low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
-        n = self.common(a, b)
-        whole = n >= self.depth
-        last = len(self.data) - 1
-        x, y = self.data[np.minimum(a + n, last)], self.data[np.minimum(b + n, last)]
-        return np.where(whole, or_equal, x < y)
+    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Does the suffix at a come before that at b; ``or_equal`` where both begin with the same ``depth`` bytes."""
+        out = or_equal.copy()
+        differ = np.flatnonzero(self.whole(a) != self.whole(b))
+        if len(differ):
+            x, y = a[differ], b[differ]
+            n = self.common(x, y)
+            out[differ] = self.data[x + n] < self.data[y + n]
+        return out
 
     def sorted(self, places: np.ndarray) -> np.ndarray:
-        """Places in the order of their suffixes.  Runs start from the order of the first eight bytes; within equal ones
+        """Places in the order of their suffixes.  Runs start from the order of the first sixteen bytes; within equal ones
         a bottom-up mergesort merges runs by giving each suffix its rank in the neighbouring run, found by binary search."""
-        head = np.zeros(len(places), np.uint64)
-        for i in range(8):
-            head = head << np.uint64(8) | self.data[places + i]
-        order = np.argsort(head, kind="stable")
-        places, head = places[order], head[order]
-        cut = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
-        size = np.diff(np.r_[cut, len(head)])
+        heads = []
+        for word in range(2):
+            head = np.zeros(len(places), np.uint64)
+            for i in range(8):
+                head = head << np.uint64(8) | self.data[places + 8 * word + i]
+            heads.append(head)
+        order = np.lexsort(heads[::-1])
+        places = places[order]
+        cut = np.flatnonzero(np.r_[True, (np.diff(heads[0][order]) != 0) | (np.diff(heads[1][order]) != 0)])
+        size = np.diff(np.r_[cut, len(places)])
         many = np.repeat(size > 1, size)
         todo = np.flatnonzero(many)
         if not len(todo):
@@ -293,12 +306,11 @@ class Suffixes:
                 open_ = lo < hi
                 if not open_.any():
                     break
-                mid = (lo + hi) // 2
-                there = places[np.where(open_, mid, at)]
-                # Those of the left run come first among equals.
-                before = np.where(left, self.less(there, mine, False), self.less(there, mine, True))
-                lo = np.where(open_ & before, mid + 1, lo)
-                hi = np.where(open_ & ~before, mid, hi)
+                k = np.flatnonzero(open_)
+                mid = (lo[k] + hi[k]) // 2
+                before = self.less(places[mid], mine[k], ~left[k])  # those of the left run come first among equals
+                lo[k] = np.where(before, mid + 1, lo[k])
+                hi[k] = np.where(before, hi[k], mid)
             pair = np.where(left, own, own - width)
             target = pair + (at - own) + (lo - base)
             moved = places.copy()
@@ -327,155 +339,173 @@ class Suffixes:
 
 # --- fragments ----------------------------------------------------------------------------------------------------------
 
-_FRAGMENT = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("lengths", pa.binary())])
+_FRAGMENT = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of a byte array one after another."""
+    ends = np.cumsum(length)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+def distinct_stretches(data: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """A number for each stretch, equal for equal bytes: by hash and length, then verified byte for byte."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((length, hashes))
+    new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (length[order][1:] != length[order][:-1])]
+    number = np.empty(len(start), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new][number]
+    others = np.flatnonzero(first != np.arange(len(start)))
+    for i in range(0, len(others), step):
+        part = others[i : i + step]
+        if not np.array_equal(_gathered(data, start[part], length[part]), _gathered(data, start[first[part]], length[part])):
+            seen: dict[bytes, int] = {}  # a hash lied: number them by their bytes
+            return np.array([seen.setdefault(data[a : a + n].tobytes(), len(seen)) for a, n in zip(start.tolist(), length.tolist(), strict=True)], np.int64)
+    return number
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, version, hashes, text) to fragments of shared anchors.
 
     Of equal fragments in the block, those of the smallest doc_id go on; the others are covered runs already, and leave
-    as rows of a negative bucket.
+    merged, as rows of a negative bucket.
     """
-    for block in _blocks(_with_joined_hashes(batches), block_bytes):
-        flagged = [np.unique(np.frombuffer(r[2], "<i8")) for r in block.rows]
-        seen: dict[bytes, list] = {}
+    for block in _blocks(batches, block_bytes):
+        pieces, parts, base = [], [], 0
         for data, row, h, first, strings, offset in block.anchors():
             h = h.astype(np.int64)
             shared = np.zeros(len(h), bool)
             cut = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(row)], strict=True):
-                known = flagged[row[a]]
-                at = np.searchsorted(known, h[a:b])
-                shared[a:b] = known[np.minimum(at, len(known) - 1)] == h[a:b] if len(known) else False
-            some = np.flatnonzero(shared)
-            raw = data.tobytes()
-            for f, n, r, o, x in zip(first[some].tolist(), strings[some].tolist(), row[some].tolist(), offset[some].tolist(), h[some].tolist(), strict=True):
-                doc_id, version = block.rows[r][0], block.rows[r][1]
-                piece = raw[f : f + n + MATCH_BYTES - 1]
-                got = seen.get(piece)
-                if got is None:
-                    seen[piece] = [x, doc_id, [(doc_id, version, f + o)]]
-                else:
-                    got[1] = min(got[1], doc_id)
-                    got[2].append((doc_id, version, f + o))
-        settled: dict[tuple, list] = {}
-        going: dict[tuple, list] = {}
-        for piece, (x, least, where) in seen.items():
-            length = len(piece)
-            for doc_id, version, at in where:
-                if doc_id == least:
-                    going.setdefault((piece, x, doc_id, version), []).append(at)
-                else:
-                    settled.setdefault((doc_id, version), []).append((at, length))
-        seen.clear()
-        out: list[list] = [[] for _ in _FRAGMENT]
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FRAGMENT, strict=True)], schema=_FRAGMENT)
-
-        for (doc_id, version), runs in settled.items():
-            runs = np.array(runs, np.int64)
-            spread = -1 - int(mix64(np.array([doc_id & (2**64 - 1)], np.uint64))[0] % np.uint64(buckets))
-            for c, v in zip(out, (spread, 0, None, doc_id, version, runs[:, 0].astype("<i8").tobytes(), runs[:, 1].astype("<i8").tobytes()), strict=True):
-                c.append(v)
-            held += 100
-        for (piece, x, doc_id, version), at in going.items():
-            for c, v in zip(out, (x % buckets, x, piece, doc_id, version, np.array(at, "<i8").tobytes(), None), strict=True):
-                c.append(v)
-            held += 150
-            if held > 1 << 23:
-                yield flush()
-                out, held = [[] for _ in _FRAGMENT], 0
-        yield flush()
-
-
-def _with_joined_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        joined = pa.array([b"".join(x) for x in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), joined, batch.column(3)], names=["doc_id", "version", "hashes", "text"])
-
-
-_RUNS = "doc_id long, version long, starts binary, lengths binary"
+                shared[a:b] = np.isin(h[a:b], block.rows[row[a]][2])
+            length = strings[shared] + MATCH_BYTES - 1
+            start = first[shared]
+            prefix, back = prefix_hashes(data)
+            parts.append((h[shared], row[shared], start + base, length, start + offset[shared], (prefix[start + length] - prefix[start]) * back[start]))
+            pieces.append(data)
+            base += len(data)
+        if not parts:
+            continue
+        anchor, row, at, length, place, own_hash = (np.concatenate(c) for c in zip(*parts, strict=True))
+        data = np.concatenate(pieces)
+        doc = np.array([r[0] for r in block.rows], np.int64)[row]
+        version = np.array([r[1] for r in block.rows], np.int64)[row]
+        number = distinct_stretches(data, at, length, own_hash)
+        least = np.full(int(number.max()) + 1 if len(number) else 0, NULL_ID, np.int64)
+        np.minimum.at(least, number, doc)
+        going = doc == least[number]
+        # What a smaller doc_id of the block has: runs of one row, merged.
+        done = np.flatnonzero(~going)
+        if len(done):
+            done = done[np.lexsort((place[done], row[done]))]
+            far = np.int64(1) << 40  # rows are laid out far apart
+            lo, hi = merged_runs(row[done] * far + place[done], length[done])
+            of = (lo // far).astype(np.int64)
+            ids, versions = (np.array([r[i] for r in block.rows], np.int64)[of] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, buckets)), pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(versions), pa.array(lo % far), pa.array(hi - lo)], schema=_FRAGMENT)
+        some = np.flatnonzero(going)
+        for i in range(0, len(some), 1 << 16):
+            part = some[i : i + (1 << 16)]
+            offsets = np.r_[0, np.cumsum(length[part])].astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_gathered(data, at[part], length[part]).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array((anchor[part] % buckets).astype(np.int32)), pa.array(anchor[part]), column, pa.array(doc[part]), pa.array(version[part]), pa.array(place[part]), pa.array(length[part])], schema=_FRAGMENT)
+
+
+_RUNS = "doc_id long, version long, start long, length long"
 
 
 def _covered(table: pa.Table) -> pa.Table:
     """Fragments of a bucket's anchors to runs of bytes (start, length in the document) that a smaller doc_id has too."""
-    names = ["doc_id", "version", "starts", "lengths"]
+    names = ["doc_id", "version", "start", "length"]
     if table.column("bucket")[0].as_py() < 0:
         return table.select(names)
-    pieces = table.column("bytes").to_pylist()
-    doc = table.column("doc_id").to_numpy()
-    anchor = table.column("hash").to_numpy()
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
-    least = np.full(len(number), NULL_ID, np.int64)
-    np.minimum.at(least, which, doc)
-    own_anchor = np.zeros(len(number), np.int64)
-    own_anchor[which] = anchor
-    texts = list(number)
-    order = np.argsort(own_anchor, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(own_anchor[order]) != 0])
-    partial: dict[int, list[tuple[int, int]]] = {}
-    batch: list[int] = []
-    size = 0
-    for group in np.split(order, cut[1:]):
-        if len(group) > 1:
-            batch += group.tolist()
-            size += sum(len(texts[i]) for i in group.tolist())
-        if size > SORT_BYTES:
-            _match(batch, texts, least, partial)
-            batch, size = [], 0
-    if batch:
-        _match(batch, texts, least, partial)
-    out: list[list] = [[], [], [], []]
-    for i, (d, v, s) in enumerate(zip(doc.tolist(), table.column("version").to_pylist(), table.column("starts").to_pylist(), strict=True)):
-        f = int(which[i])
-        runs = [(0, len(pieces[i]))] if d > least[f] else partial.get(f)
-        if runs:
-            at = np.frombuffer(s, "<i8")
-            starts = np.concatenate([at + a for a, _ in runs])
-            lengths = np.concatenate([np.full(len(at), n, "<i8") for _, n in runs])
-            for c, x in zip(out, (d, v, starts.astype("<i8").tobytes(), lengths.tobytes()), strict=True):
-                c.append(x)
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=names)
-
-
-def _match(batch: list[int], texts: list[bytes], least: np.ndarray, partial: dict[int, list[tuple[int, int]]], most: int = 1 << 20) -> None:
-    """For distinct fragments, the runs of each that lie in a fragment of a smaller doc_id, as (start, length) in ``partial``.
+    doc, version, place, length, anchor = (table.column(c).to_numpy() for c in ("doc_id", "version", "start", "length", "hash"))
+    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    at = np.cumsum(length) - length
+    own_hash = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), 1 << 16):  # in parts, for the memory of the prefix sums
+        lo, hi = int(at[i]), int((at + length)[min(i + (1 << 16), len(at)) - 1])
+        prefix, back = prefix_hashes(data[lo:hi])
+        a, n = at[i : i + (1 << 16)] - lo, length[i : i + (1 << 16)]
+        own_hash[i : i + (1 << 16)] = (prefix[a + n] - prefix[a]) * back[a]
+    number = distinct_stretches(data, at, length, own_hash)
+    n_distinct = int(number.max()) + 1
+    least = np.full(n_distinct, NULL_ID, np.int64)
+    np.minimum.at(least, number, doc)
+    one = np.empty(n_distinct, np.int64)  # a row with each distinct fragment
+    one[number] = np.arange(len(number))
+    order = np.argsort(anchor[one], kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(anchor[one][order]) != 0])
+    size = np.diff(np.r_[cut, n_distinct])
+    # Fragments of anchors that have several, in batches of about SORT_BYTES that part no anchor.
+    several = np.repeat(size > 1, size)
+    mixed = order[several]
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(mixed):
+        group = np.repeat(np.arange(len(size)), size)[several]
+        volume = np.cumsum(length[one[mixed]])
+        last_of_group = np.r_[np.flatnonzero(np.diff(group)), len(mixed) - 1]
+        begin = 0
+        while begin < len(mixed):
+            want = (volume[begin - 1] if begin else 0) + SORT_BYTES
+            end = int(last_of_group[min(np.searchsorted(volume[last_of_group], want), len(last_of_group) - 1)]) + 1
+            batch = mixed[begin:end]
+            runs.append(_match(data, at[one[batch]], length[one[batch]], least[batch], batch))
+            begin = end
+    whole = doc > least[number]
+    out = [[doc[whole], version[whole], place[whole], length[whole]]]
+    if runs:
+        fragment, a, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+        # Each run for each row of the smallest doc_id that has the fragment.
+        rows = np.flatnonzero(~whole)
+        rows = rows[np.argsort(number[rows], kind="stable")]
+        lo, hi = np.searchsorted(number[rows], fragment, "left"), np.searchsorted(number[rows], fragment, "right")
+        times = hi - lo
+        which = rows[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        out.append([doc[which], version[which], place[which] + np.repeat(a, times), np.repeat(n, times)])
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+
+
+def _match(data: np.ndarray, at: np.ndarray, length: np.ndarray, owner: np.ndarray, names: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, length): the runs of distinct fragments that lie in a fragment of a smaller owner.
 
     The strings of very many fragments are sorted in several passes, each over those whose hash falls to it, so the
     memory of a pass is bounded however many share an anchor.
     """
-    lengths = np.array([len(texts[i]) for i in batch])
-    data = np.frombuffer(b"".join(texts[i] for i in batch), np.uint8)
-    begin = np.r_[0, np.cumsum(lengths)[:-1]]
-    n_strings = lengths - MATCH_BYTES + 1
-    piece = np.repeat(np.arange(len(batch)), n_strings)
-    place = np.arange(n_strings.sum()) - np.repeat(np.r_[0, np.cumsum(n_strings)[:-1]], n_strings) + begin[piece]
-    owner = least[np.array(batch)]
+    data = _gathered(data, at, length)
+    begin = np.cumsum(length) - length
+    strings = length - MATCH_BYTES + 1
+    piece = np.repeat(np.arange(len(at)), strings)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(strings) - strings, strings) + begin[piece]
     suffixes = Suffixes(data)
     covered = np.zeros(len(data), bool)
-    passes = -(-len(place) // most)
-    falls_to = mix64(_rolling(data, MATCH_BYTES))[place] % np.uint64(passes)
     piece_at = np.full(len(data), -1, np.int64)
     piece_at[place] = piece
+    deep = suffixes.whole(place)
+    # A string whose hash no other has can equal none; only the rest are sorted.
+    by_hash = np.argsort(deep, kind="stable")
+    same = deep[by_hash][1:] == deep[by_hash][:-1]
+    again = np.zeros(len(place), bool)
+    again[by_hash] = np.r_[False, same] | np.r_[same, False]
+    place, deep = place[again], deep[again]
+    passes = max(1, -(-len(place) // most))
+    falls_to = mix64(deep) % np.uint64(passes)
     for turn in range(passes):
-        mine = place[falls_to == turn] if passes > 1 else place
-        if not len(mine):
-            continue
-        ordered, label = suffixes.classes(mine)
-        of = owner[piece_at[ordered]]
-        smallest = np.minimum.reduceat(of, np.flatnonzero(np.r_[True, np.diff(label) != 0]))[label]
-        covered[ordered[smallest < of]] = True
+        ordered, label = suffixes.classes(place[falls_to == turn])
+        if len(ordered):
+            of = owner[piece_at[ordered]]
+            smallest = np.minimum.reduceat(of, np.flatnonzero(np.r_[True, np.diff(label) != 0]))[label]
+            covered[ordered[smallest < of]] = True
     hit = np.flatnonzero(covered)
     if not len(hit):
-        return
-    cut = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(piece_at[hit]) != 0)])
-    last = np.r_[cut[1:], len(hit)] - 1
-    for a, b in zip(hit[cut].tolist(), hit[last].tolist(), strict=True):
-        k = int(piece_at[a])
-        partial.setdefault(batch[k], []).append((a - int(begin[k]), b - a + MATCH_BYTES))
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    first = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(piece_at[hit]) != 0)])
+    last = np.r_[first[1:], len(hit)] - 1
+    k = piece_at[hit[first]]
+    return names[k], hit[first] - begin[k], hit[last] - hit[first] + MATCH_BYTES
 
 
 # --- cutting ------------------------------------------------------------------------------------------------------------
@@ -492,11 +522,11 @@ def merged_runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return s[first], e[np.r_[first[1:], len(s)] - 1]
 
 
-def without_runs(text: bytes, starts: list[bytes] | None, lengths: list[bytes] | None) -> tuple[bytes, int, int]:
+def without_runs(text: bytes, starts: np.ndarray | None, lengths: np.ndarray | None) -> tuple[bytes, int, int]:
     """(what is left, removed bytes, runs)."""
-    if not starts:
+    if starts is None or not len(starts):
         return text, 0, 0
-    a, b = merged_runs(np.frombuffer(b"".join(starts), "<i8"), np.frombuffer(b"".join(lengths), "<i8"))
+    a, b = merged_runs(starts, lengths)
     keep = np.r_[0, b], np.r_[a, len(text)]
     return b"".join(text[i:j] for i, j in zip(keep[0].tolist(), keep[1].tolist(), strict=True)), int((b - a).sum()), len(a)
 
@@ -508,31 +538,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 28, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, version, starts, lengths): runs of bytes to remove; version tells rows with one doc_id apart by text."""
+    """(doc_id, version, start, length): runs of bytes to remove; version tells rows with one doc_id apart by text."""
     spark = docs.sparkSession
     release_shuffles(spark)
     keyed = _keyed(docs)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(total, bucket_bytes // 16)
-    asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hashes binary, docs binary")
-    shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hashes binary"), "anchors")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary")
+    shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long"), "anchors")
+    per_doc = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     flagged = keyed.join(per_doc, "doc_id").select("doc_id", "version", "hashes", "text")
-    schema = "bucket int, hash long, bytes binary, doc_id long, version long, starts binary, lengths binary"
+    schema = "bucket int, hash long, bytes binary, doc_id long, version long, start long, length long"
     fragments = flagged.mapInArrow(lambda b: _fragment_rows(b, buckets, block_bytes), schema)
     return materialize(fragments.groupBy("bucket").applyInArrow(_covered, _RUNS), "runs")
 
 
 def cut_repeats(docs: DataFrame, runs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``."""
-    per = runs.groupBy("doc_id", "version").agg(F.collect_list("starts").alias("starts"), F.collect_list("lengths").alias("lengths"))
-    joined = _keyed(docs).join(per, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "lengths")
+    per = runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    joined = _keyed(docs).join(per, ["doc_id", "version"], "left").select("doc_id", "text", "runs.start", "runs.length")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text, starts, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, removed, spans = without_runs(text, starts, lengths)
+            starts, lengths = (_arrays(c) for c in batch.columns[2:])
+            for doc_id, text, start, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), starts, lengths, strict=True):
+                left, removed, spans = without_runs(text, start, length)
                 for c, x in zip(out, (None if doc_id == NULL_ID else doc_id, len(text), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
                     c.append(x)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
