@@ -1,6 +1,30 @@
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All registered queries outside the corpus package: name -> query over a folder of tables, and the SQL that checks it."""
+
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from bidscope.sources.domain import Tables
+
+_MODULES = ("detector_queries",)
+
+
+def _modules():
+    return [importlib.import_module(f"bidscope.plans.{m}") for m in _MODULES]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    bound = lambda f: lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    return {name: bound(f) for m in _modules() for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors, the risk index and the rollup of flagged tenders."""
+    return queries()["r1_flagged_rollup"](spark, sf_dir)
