@@ -38,13 +38,16 @@ class Tables:
     def bidders(self) -> DataFrame:
         """One row per tender and company."""
         amount = F.when(F.col("l_linenumber") % 2 == 0, F.floor(F.col("l_extendedprice") / 1000) * 100000).otherwise(F.floor(F.col("l_extendedprice") * 100)).cast("double")
-        bids = self.raw("lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("co")).agg(F.min(amount).alias("bid"), F.max(F.col("l_returnflag") == "R").alias("dq"))
+        bids = self.raw("lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("co")).agg(F.min(amount).alias("bid"), F.max(F.col("l_returnflag") == "R").alias("dq"), F.min("l_suppkey").alias("supplier"))
+        cities = self.raw("supplier").join(F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("company_city"))
+        bids = bids.join(cities, "supplier", "left")
         joined = bids.join(self.raw("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
         w = Window.partitionBy("l_orderkey")
         first = F.row_number().over(w.orderBy("dq", "bid", "co"))
         return joined.select(
             F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("tender_id"), F.concat(F.lit("CO-"), F.col("co").cast("string")).alias("company_name"), F.col("bid").alias("bid_amount_mkd"),
             F.col("dq").alias("disqualified"), ((first == 1) & ~F.col("dq") & (F.col("o_orderstatus") == "F")).alias("is_winner"), F.rank().over(w.orderBy("bid")).alias("rank"),
+            "company_city", (F.col("supplier") * 13 % 5000).alias("minutes_before_close"),
         )
 
     @cached_property
@@ -104,15 +107,15 @@ DOMAIN_SQL = """
 WITH bids0 AS (
   SELECT l_orderkey, l_suppkey % 7 AS co,
          MIN(CAST(CASE WHEN l_linenumber % 2 = 0 THEN FLOOR(l_extendedprice / 1000) * 100000 ELSE FLOOR(l_extendedprice * 100) END AS DOUBLE)) AS bid,
-         MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS dq
+         MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS dq, MIN(l_suppkey) AS supplier
   FROM lineitem GROUP BY l_orderkey, l_suppkey % 7),
 bids1 AS (
   SELECT b.*, o_orderstatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY dq, bid, co) AS rn, rank() OVER (PARTITION BY l_orderkey ORDER BY bid) AS rk
   FROM bids0 b JOIN orders ON l_orderkey = o_orderkey),
 bidders AS (
   SELECT 'T' || CAST(l_orderkey AS VARCHAR) AS tender_id, 'CO-' || CAST(co AS VARCHAR) AS company_name, bid AS bid_amount_mkd, dq = 1 AS disqualified,
-         (rn = 1 AND dq = 0 AND o_orderstatus = 'F') AS is_winner, CAST(rk AS INTEGER) AS rank
-  FROM bids1),
+         (rn = 1 AND dq = 0 AND o_orderstatus = 'F') AS is_winner, CAST(rk AS INTEGER) AS rank, n_name AS company_city, supplier * 13 % 5000 AS minutes_before_close
+  FROM bids1 LEFT JOIN supplier sp ON s_suppkey = bids1.supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
 lines0 AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem),
 lots AS (SELECT l_orderkey, p_size, p_type, p_name FROM lines0 JOIN part ON l_partkey = p_partkey WHERE rn = 1),
 perbid AS (
