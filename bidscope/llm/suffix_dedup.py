@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,10 @@ ANCHOR_BYTES = 20
 HASH_BITS = 48
 #: Bytes whose anchors are found in one array operation, and bytes of documents that are settled as one block.
 PIECE_BYTES = 1 << 17
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 24
 #: Bytes of fragments whose suffixes are sorted together; fragments of one anchor always are.
 SORT_BYTES = 1 << 22
+LEAST_BUCKETS = 48
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -339,7 +341,26 @@ class Suffixes:
 
 # --- fragments ----------------------------------------------------------------------------------------------------------
 
-_FRAGMENT = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+_FRAGMENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+
+
+def _packed(anchor: np.ndarray, doc: np.ndarray, version: np.ndarray, place: np.ndarray, length: np.ndarray, raw: np.ndarray) -> bytes:
+    """Fragments as one compressed binary."""
+    owners, owner = np.unique(np.stack([doc, version], 1), axis=0, return_inverse=True)
+    head = np.array([len(anchor), len(owners)], "<i8").tobytes()
+    numbers = b"".join(map(_planes, (np.diff(anchor, prepend=0), owners[:, 0], owners[:, 1], owner.reshape(-1), place, length)))
+    return zstandard.ZstdCompressor(level=1).compress(head + numbers + raw.tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n, owners = np.frombuffer(data, "<i8", 2).tolist()
+    at, columns = 16, []
+    for size in (n, owners, owners, n, n, n):
+        columns.append(_unplaned(data[at : at + 8 * size]))
+        at += 8 * size
+    anchor, doc, version, owner, place, length = columns
+    return np.cumsum(anchor), doc[owner], version[owner], place, length, np.frombuffer(data, np.uint8, offset=at)
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -404,13 +425,16 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes:
             lo, hi = merged_runs(row[done] * far + place[done], length[done])
             of = (lo // far).astype(np.int64)
             ids, versions = (np.array([r[i] for r in block.rows], np.int64)[of] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, buckets)), pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(versions), pa.array(lo % far), pa.array(hi - lo)], schema=_FRAGMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, buckets)), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(versions), pa.array(lo % far), pa.array(hi - lo)], schema=_FRAGMENT)
         some = np.flatnonzero(going)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            offsets = np.r_[0, np.cumsum(length[part])].astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_gathered(data, at[part], length[part]).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array((anchor[part] % buckets).astype(np.int32)), pa.array(anchor[part]), column, pa.array(doc[part]), pa.array(version[part]), pa.array(place[part]), pa.array(length[part])], schema=_FRAGMENT)
+        bucket = (anchor[some] % buckets).astype(np.int32)
+        some = some[np.lexsort((anchor[some], bucket))]
+        bucket = np.sort(bucket)
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else np.zeros(0, np.int64)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+            part = some[a:b]
+            blob = _packed(anchor[part], doc[part], version[part], place[part], length[part], _gathered(data, at[part], length[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 1]), pa.array([blob], pa.binary()), *[pa.nulls(1, pa.int64())] * 4], schema=_FRAGMENT)
 
 
 _RUNS = "doc_id long, version long, start long, length long"
@@ -421,8 +445,7 @@ def _covered(table: pa.Table) -> pa.Table:
     names = ["doc_id", "version", "start", "length"]
     if table.column("bucket")[0].as_py() < 0:
         return table.select(names)
-    doc, version, place, length, anchor = (table.column(c).to_numpy() for c in ("doc_id", "version", "start", "length", "hash"))
-    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    anchor, doc, version, place, length, data = (np.concatenate(c) for c in zip(*map(_unpacked, table.column("packed").to_pylist()), strict=True))
     at = np.cumsum(length) - length
     own_hash = np.empty(len(at), np.uint64)
     for i in range(0, len(at), 1 << 16):  # in parts, for the memory of the prefix sums
@@ -537,18 +560,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 28, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 24, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, version, start, length): runs of bytes to remove; version tells rows with one doc_id apart by text."""
     spark = docs.sparkSession
     release_shuffles(spark)
     keyed = _keyed(docs)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions_for(total, bucket_bytes // 16)
+    buckets = max(LEAST_BUCKETS, partitions_for(total, bucket_bytes))
     asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary")
     shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long"), "anchors")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     flagged = keyed.join(per_doc, "doc_id").select("doc_id", "version", "hashes", "text")
-    schema = "bucket int, hash long, bytes binary, doc_id long, version long, start long, length long"
+    schema = "bucket int, packed binary, doc_id long, version long, start long, length long"
     fragments = flagged.mapInArrow(lambda b: _fragment_rows(b, buckets, block_bytes), schema)
     return materialize(fragments.groupBy("bucket").applyInArrow(_covered, _RUNS), "runs")
 
