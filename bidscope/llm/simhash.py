@@ -228,7 +228,7 @@ def links_of(keyed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the links reaches, by large-star and small-star steps.
+    """(node, root): the smallest node that each node of the links reaches, roots themselves left out, by large-star and small-star steps.
 
     Each step is an aggregation and a join of the links; their number never grows, and settles after about the
     logarithm of the longest chain.
