@@ -43,8 +43,9 @@ def points(*parts: tuple[Column | bool, int], base: int = 0) -> Column:
     return F.least(total, F.lit(100)).cast("int")
 
 
-def banded(score: Column, *steps: tuple[int, str], other: str) -> Column:
+def banded(score: Column | str, *steps: tuple[int, str], other: str) -> Column:
     """The name of the first step that the score reaches, steps from high to low."""
+    score = F.col(score) if isinstance(score, str) else score
     out = F.lit(other)
     for least, name in reversed(steps):
         out = F.when(score >= least, name).otherwise(out)
@@ -56,7 +57,8 @@ def as_flags(df: DataFrame, flag_type: str, score: Column, severity: Column, evi
     return scored.select("tender_id", F.lit(flag_type).alias("flag_type"), severity.alias("severity"), F.col("__score").alias("score"), F.to_json(F.struct(*evidence)).alias("evidence"), description.alias("description"))
 
 
-S = F.col("__score")
+#: The column that severities are read from.
+S = "__score"
 
 
 def won(tenders: DataFrame, statuses: tuple[str, ...] = AWARDED) -> DataFrame:
@@ -132,7 +134,7 @@ def short_deadline(tenders: DataFrame, *, p25_days: int = 7, p10_days: int = 6,
     days = F.datediff("closing_date", "publication_date")
     rows = tenders.withColumn("days", days).filter((F.col("days") < p25_days) & (F.col("estimated_value_mkd") > least_value) & F.col("status").isin("awarded", "closed", "completed"))
     score = points((F.col("days") < p10_days, 25), (F.col("days") < 3, 30), (F.col("num_bidders") == 1, 20), base=35)
-    severity = F.when((F.col("days") < 3) | (S >= 80), "critical").when((F.col("days") < p10_days) | (S >= 60), "high").when(S >= 45, "medium").otherwise("low")
+    severity = F.when((F.col("days") < 3) | (F.col(S) >= 80), "critical").when((F.col("days") < p10_days) | (F.col(S) >= 60), "high").when(F.col(S) >= 45, "medium").otherwise("low")
     return as_flags(rows, "short_deadline", score, severity, ["publication_date", "closing_date", "days", "estimated_value_mkd", "num_bidders"], F.format_string("open for %d days", "days"))
 
 

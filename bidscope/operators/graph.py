@@ -7,13 +7,15 @@ the shared folder every few rounds, so that a lost executor costs no more than t
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import won
 from bidscope.workspace import materialize
 
-N = F.count(F.lit(1))
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def co_bidding_edges(tenders: DataFrame, bidders: DataFrame, *, least_together: int = 2) -> DataFrame:
@@ -22,12 +24,12 @@ def co_bidding_edges(tenders: DataFrame, bidders: DataFrame, *, least_together:
     one = bidders.select("tender_id", "company_name").distinct()
     a, b = one.select("tender_id", F.col("company_name").alias("src")), one.select("tender_id", F.col("company_name").alias("dst"))
     pairs = a.join(b, "tender_id").filter("src < dst").join(t, "tender_id")
-    return pairs.groupBy("src", "dst").agg(N.alias("weight"), F.sum("estimated_value_mkd").alias("value"), F.min("publication_date").alias("first_seen"), F.max("publication_date").alias("last_seen")).filter(F.col("weight") >= least_together)
+    return pairs.groupBy("src", "dst").agg(row_count().alias("weight"), F.sum("estimated_value_mkd").alias("value"), F.min("publication_date").alias("first_seen"), F.max("publication_date").alias("last_seen")).filter(F.col("weight") >= least_together)
 
 
 def award_edges(tenders: DataFrame) -> DataFrame:
     """(src buyer, dst winner, weight, value)."""
-    return won(tenders).groupBy(F.col("procuring_entity").alias("src"), F.col("winner").alias("dst")).agg(N.alias("weight"), F.sum("actual_value_mkd").alias("value"))
+    return won(tenders).groupBy(F.col("procuring_entity").alias("src"), F.col("winner").alias("dst")).agg(row_count().alias("weight"), F.sum("actual_value_mkd").alias("value"))
 
 
 def partnership_edges(tenders: DataFrame, *, least_awards: int = 3) -> DataFrame:
@@ -48,8 +50,8 @@ def pair_features(bidders: DataFrame) -> DataFrame:
     """Per pair of companies: tenders together, likeness of bids, share of common tenders that one of them won."""
     a = bidders.select("tender_id", F.col("company_name").alias("src"), F.col("bid_amount_mkd").alias("x"), F.col("is_winner").alias("w"))
     b = bidders.select("tender_id", F.col("company_name").alias("dst"), F.col("bid_amount_mkd").alias("y"), F.col("is_winner").alias("v"))
-    like = 1 - F.abs(F.col("x") - F.col("y")) / F.greatest("x", "y")
-    return a.join(b, "tender_id").filter("src < dst").groupBy("src", "dst").agg(N.alias("together"), F.round(F.avg(like), 6).alias("bid_likeness"), F.round(F.avg((F.col("w") | F.col("v")).cast("int")), 6).alias("one_won"))
+    like = 1 - F.try_divide(F.abs(F.col("x") - F.col("y")), F.greatest("x", "y"))
+    return a.join(b, "tender_id").filter("src < dst").groupBy("src", "dst").agg(row_count().alias("together"), F.round(F.avg(like), 6).alias("bid_likeness"), F.round(F.avg((F.col("w") | F.col("v")).cast("int")), 6).alias("one_won"))
 
 
 def decayed(edges: DataFrame, as_of, *, half_life_days: int = 365) -> DataFrame:
@@ -64,25 +66,25 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).filter("src <> dst").groupBy(F.col("src").alias("node")).agg(N.alias("degree"), F.sum("weight").alias("strength"))
+    return both_ways(edges).filter("src <> dst").groupBy(F.col("src").alias("node")).agg(row_count().alias("degree"), F.sum("weight").alias("strength"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(node, triangles): each edge points from the node of fewer neighbours, so no node has long lists to pair."""
     e = both_ways(edges).filter("src <> dst").select("src", "dst")
-    d = e.groupBy("src").agg(N.alias("d"))
+    d = e.groupBy("src").agg(row_count().alias("d"))
     ranked = e.join(d.select("src", F.struct("d", "src").alias("rs")), "src").join(d.select(F.col("src").alias("dst"), F.struct("d", F.col("src")).alias("rd")), "dst").filter("rs < rd").select("src", "dst")
     ab, ac = ranked.select(F.col("src").alias("a"), F.col("dst").alias("b")), ranked.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     wedges = ab.join(ac, "a").filter("b <> c")
     closed = wedges.join(ranked.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
-    return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(N.alias("triangles"))
+    return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(row_count().alias("triangles"))
 
 
 def graph_statistics(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, degrees, mean clustering coefficient."""
     d = degrees(edges).join(triangles(edges), "node", "left").fillna(0, ["triangles"])
     local = F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
-    s = d.agg(N.alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"), F.round(F.stddev_pop("degree"), 6).alias("sd_degree"), F.round(F.avg(local), 6).alias("clustering"))
+    s = d.agg(row_count().alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"), F.round(F.stddev_pop("degree"), 6).alias("sd_degree"), F.round(F.avg(local), 6).alias("clustering"))
     return s.withColumn("density", F.round(F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))), 6))
 
 
@@ -171,9 +173,9 @@ def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
 
 def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Per community: members, inner edges, density."""
-    size = members.groupBy("community").agg(N.alias("members"))
+    size = members.groupBy("community").agg(row_count().alias("members"))
     a, b = members.select(F.col("node").alias("src"), F.col("community").alias("ca")), members.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-    inner = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(N.alias("inner_edges"))
+    inner = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(row_count().alias("inner_edges"))
     density = F.when(F.col("members") > 1, F.round(2.0 * F.col("inner_edges") / (F.col("members") * (F.col("members") - 1)), 6))
     return size.join(inner, "community", "left").fillna(0, ["inner_edges"]).withColumn("density", density)
 
@@ -183,7 +185,7 @@ def k_core(edges: DataFrame, k: int = 2, *, rounds: int = 50) -> DataFrame:
     e = materialize(both_ways(edges).filter("src <> dst").select("src", "dst"), "core")
     before = e.count()
     for _ in range(rounds):
-        keep = e.groupBy("src").agg(N.alias("d")).filter(F.col("d") >= k).select("src")
+        keep = e.groupBy("src").agg(row_count().alias("d")).filter(F.col("d") >= k).select("src")
         e = materialize(e.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi"), "core")
         now = e.count()
         if now == before:
@@ -224,8 +226,8 @@ def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int = 6) -> DataF
 
 def revolving_doors(tenders: DataFrame, buyers_as_suppliers: DataFrame) -> DataFrame:
     """Names that both buy and supply: (name, bought, supplied)."""
-    bought = tenders.groupBy(F.col("procuring_entity").alias("name")).agg(N.alias("bought"))
-    supplied = buyers_as_suppliers.groupBy("name").agg(N.alias("supplied"))
+    bought = tenders.groupBy(F.col("procuring_entity").alias("name")).agg(row_count().alias("bought"))
+    supplied = buyers_as_suppliers.groupBy("name").agg(row_count().alias("supplied"))
     return bought.join(supplied, "name")
 
 
@@ -235,7 +237,7 @@ def rotation_clusters(tenders: DataFrame, bidders: DataFrame, *, least_tenders:
     awards = won(tenders).select("tender_id", "winner", "publication_date").join(sets, "tender_id")
     w = Window.partitionBy("companies").orderBy("publication_date", "tender_id")
     seq = awards.withColumn("changed", (F.col("winner") != F.lag("winner").over(w)).cast("int"))
-    per = seq.groupBy("companies").agg(N.alias("tenders"), F.count_distinct("winner").alias("winners"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
+    per = seq.groupBy("companies").agg(row_count().alias("tenders"), F.count_distinct("winner").alias("winners"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
     ratio = F.round(F.col("changes") / F.greatest(F.col("tenders") - 1, F.lit(1)), 6)
     return per.filter((F.col("tenders") >= least_tenders) & (F.col("winners") >= 2)).withColumn("ratio", ratio).filter(F.col("ratio") > least_ratio)
 
@@ -244,13 +246,13 @@ def cover_clusters(bidders: DataFrame, *, least_ratio: float = 1.1, least: int =
     """(winner, loser) pairs whose losing bids lie steadily above the winning ones."""
     winners = bidders.filter("is_winner and bid_amount_mkd > 0").select("tender_id", F.col("company_name").alias("winner"), F.col("bid_amount_mkd").alias("won_at"))
     ratio = bidders.filter("not is_winner").join(winners, "tender_id").withColumn("ratio", F.col("bid_amount_mkd") / F.col("won_at")).filter(F.col("ratio") > least_ratio)
-    per = ratio.groupBy("winner", F.col("company_name").alias("loser")).agg(N.alias("n"), F.avg("ratio").alias("mean"), F.stddev_samp("ratio").alias("sd"))
+    per = ratio.groupBy("winner", F.col("company_name").alias("loser")).agg(row_count().alias("n"), F.avg("ratio").alias("mean"), F.stddev_samp("ratio").alias("sd"))
     return per.filter((F.col("n") >= least) & (F.col("mean") > least_mean) & (F.col("sd") < most_sd)).select("winner", "loser", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def market_allocation(tenders: DataFrame, *, least_wins: int = 2) -> DataFrame:
     """Pairs of companies that both win repeatedly in a category, yet never at the same buyer."""
-    wins = won(tenders).filter("category is not null").groupBy("category", "procuring_entity", "winner").agg(N.alias("n"))
+    wins = won(tenders).filter("category is not null").groupBy("category", "procuring_entity", "winner").agg(row_count().alias("n"))
     buyers = wins.groupBy("category", "winner").agg(F.sum("n").alias("n"), F.count_distinct("procuring_entity").alias("buyers")).filter(F.col("n") >= least_wins)
     a, b = buyers.select("category", F.col("winner").alias("a"), F.col("buyers").alias("a_buyers")), buyers.select("category", F.col("winner").alias("b"), F.col("buyers").alias("b_buyers"))
     x, y = wins.select("category", "procuring_entity", F.col("winner").alias("a")), wins.select("category", "procuring_entity", F.col("winner").alias("b"))

@@ -230,7 +230,7 @@ def below_market(tenders: DataFrame, as_of: date, *, least_sample: int = 5) -> D
     rows = awarded.join(sums, "cpv_code")
     own = F.col("recent").cast("int")
     n, s, q = F.col("n") - own, F.col("s") - own * v, F.col("q") - own * v * v
-    rows = rows.withColumns({"m": n, "mean": s / n, "var": (q - s * s / n) / (n - 1)}).filter(F.col("m") >= least_sample)
+    rows = rows.withColumns({"m": n, "mean": F.try_divide(s, n), "var": F.try_divide(q - F.try_divide(s * s, n), n - 1)}).filter(F.col("m") >= least_sample)
     dev = (v - F.col("mean")) / F.col("mean") * 100
     z = F.when(F.col("var") > 0, (F.col("mean") - v) / F.sqrt("var")).otherwise(0.0)
     return indicator(rows, "below_market", "price", 65, ladder((dev < -50, 90), (dev < -30, 75), (dev < -20, 60), (z > 2, 65), other=F.when(dev < 0, at_least_zero(F.abs(dev) - 10)).otherwise(0.0)))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import AWARDED
 
-N = F.count(F.lit(1))
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def money(x: Column) -> Column:
@@ -41,28 +43,28 @@ def value_band(value: Column) -> Column:
 
 def market_totals(tenders: DataFrame) -> DataFrame:
     return tenders.agg(
-        N.alias("tenders"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"), F.sum("estimated_value_mkd").alias("estimated"), F.sum("actual_value_mkd").alias("actual"),
+        row_count().alias("tenders"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"), F.sum("estimated_value_mkd").alias("estimated"), F.sum("actual_value_mkd").alias("actual"),
         money(F.avg("num_bidders")).alias("mean_bidders"), F.count_distinct("procuring_entity").alias("buyers"), F.count_distinct("winner").alias("winners"),
     )
 
 
 def by_value_band(tenders: DataFrame) -> DataFrame:
-    return tenders.groupBy(value_band(F.col("estimated_value_mkd")).alias("band")).agg(N.alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders"))
+    return tenders.groupBy(value_band(F.col("estimated_value_mkd")).alias("band")).agg(row_count().alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders"))
 
 
 def monthly_trend(tenders: DataFrame, as_of: date, months: int = 12) -> DataFrame:
     recent = tenders.filter((F.col("publication_date") >= F.add_months(F.lit(as_of), -months)) & (F.col("publication_date") <= F.lit(as_of)))
-    return recent.groupBy(F.date_format("publication_date", "yyyy-MM").alias("month")).agg(N.alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"))
+    return recent.groupBy(F.date_format("publication_date", "yyyy-MM").alias("month")).agg(row_count().alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"))
 
 
 def top_groups(tenders: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The k keys with most tenders; of equals the first by name."""
-    return tenders.filter(F.col(key).isNotNull()).groupBy(key).agg(N.alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders")).orderBy(F.desc("tenders"), key).limit(k)
+    return tenders.filter(F.col(key).isNotNull()).groupBy(key).agg(row_count().alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders")).orderBy(F.desc("tenders"), key).limit(k)
 
 
 def competitor_analysis(bidders: DataFrame) -> DataFrame:
     """Each company's win rate against that of the market."""
-    per = bidders.groupBy("company_name").agg(N.alias("bids"), F.count_if("is_winner").alias("wins"), F.sum(F.when(F.col("is_winner"), F.col("bid_amount_mkd"))).alias("won_value"), money(F.avg("bid_amount_mkd")).alias("mean_bid"))
+    per = bidders.groupBy("company_name").agg(row_count().alias("bids"), F.count_if("is_winner").alias("wins"), F.sum(F.when(F.col("is_winner"), F.col("bid_amount_mkd"))).alias("won_value"), money(F.avg("bid_amount_mkd")).alias("mean_bid"))
     market = per.agg(F.sum("bids").alias("all_bids"), F.sum("wins").alias("all_wins"))
     return per.crossJoin(market).select("company_name", "bids", "wins", "won_value", "mean_bid", share(F.col("wins"), F.col("bids")).alias("win_rate"), share(F.col("all_wins"), F.col("all_bids")).alias("market_win_rate"))  # market: one row
 
@@ -77,7 +79,7 @@ def category_trends(tenders: DataFrame, as_of: date, days: int = 365) -> DataFra
 
 def top_per_group(tenders: DataFrame, group: str, key: str, k: int = 5) -> DataFrame:
     """The k keys with most awards in each group."""
-    counts = won(tenders).filter(F.col(group).isNotNull()).groupBy(group, key).agg(N.alias("wins"), F.sum("actual_value_mkd").alias("value"))
+    counts = won(tenders).filter(F.col(group).isNotNull()).groupBy(group, key).agg(row_count().alias("wins"), F.sum("actual_value_mkd").alias("value"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("wins"), F.desc("value"), key))
     return counts.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -86,7 +88,7 @@ def supplier_strength(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     """Points for win rate, wins, value, diversity of categories and buyers; a tier; and the place among all."""
     joined = bidders.join(tenders.select("tender_id", "category", "procuring_entity"), "tender_id")
     per = joined.groupBy("company_name").agg(
-        N.alias("bids"), F.count_if("is_winner").alias("wins"), F.coalesce(F.sum(F.when(F.col("is_winner"), F.col("bid_amount_mkd"))), F.lit(0.0)).alias("value"),
+        row_count().alias("bids"), F.count_if("is_winner").alias("wins"), F.coalesce(F.sum(F.when(F.col("is_winner"), F.col("bid_amount_mkd"))), F.lit(0.0)).alias("value"),
         F.count_distinct(F.when(F.col("is_winner"), F.col("category"))).alias("categories"), F.count_distinct(F.when(F.col("is_winner"), F.col("procuring_entity"))).alias("buyers"),
     )
     rate = F.col("wins") * 100.0 / F.col("bids")
@@ -100,7 +102,7 @@ def supplier_strength(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
 def price_history(tenders: DataFrame, cpv_prefix: str, unit: str = "month") -> DataFrame:
     own = won(tenders).filter(F.col("cpv_code").startswith(cpv_prefix) & (F.col("estimated_value_mkd") > 0) & F.col("actual_value_mkd").isNotNull())
     discount = (F.col("estimated_value_mkd") - F.col("actual_value_mkd")) * 100.0 / F.col("estimated_value_mkd")
-    return own.groupBy(F.date_trunc(unit, "publication_date").cast("date").alias("period")).agg(N.alias("tenders"), money(F.avg("estimated_value_mkd")).alias("mean_estimate"), money(F.avg("actual_value_mkd")).alias("mean_actual"), money(F.avg(discount)).alias("mean_discount"))
+    return own.groupBy(F.date_trunc(unit, "publication_date").cast("date").alias("period")).agg(row_count().alias("tenders"), money(F.avg("estimated_value_mkd")).alias("mean_estimate"), money(F.avg("actual_value_mkd")).alias("mean_actual"), money(F.avg(discount)).alias("mean_discount"))
 
 
 def price_trend(tenders: DataFrame, threshold: float = 5.0) -> DataFrame:
@@ -108,7 +110,7 @@ def price_trend(tenders: DataFrame, threshold: float = 5.0) -> DataFrame:
     own = won(tenders).filter("category is not null and actual_value_mkd is not null")
     half = F.ntile(2).over(Window.partitionBy("category").orderBy("publication_date", "tender_id"))
     halves = own.withColumn("half", half).groupBy("category").agg(F.avg(F.when(F.col("half") == 1, F.col("actual_value_mkd"))).alias("a"), F.avg(F.when(F.col("half") == 2, F.col("actual_value_mkd"))).alias("b"))
-    change = (F.col("b") - F.col("a")) * 100.0 / F.col("a")
+    change = F.try_divide((F.col("b") - F.col("a")) * 100.0, F.col("a"))
     return halves.select("category", F.round(change, 4).alias("change"), F.when(change > threshold, "increasing").when(change < -threshold, "decreasing").when(change.isNotNull(), "stable").alias("trend"))
 
 
@@ -116,31 +118,31 @@ def bid_advice(tenders: DataFrame) -> DataFrame:
     """Per category: the winning ratio's median and spread, and what it suggests to bid per unit of estimate."""
     ratio = F.col("actual_value_mkd") / F.col("estimated_value_mkd")
     own = won(tenders).filter("estimated_value_mkd > 0 and actual_value_mkd is not null and category is not null").withColumn("ratio", ratio)
-    stats = own.groupBy("category").agg(N.alias("n"), F.percentile("ratio", 0.5).alias("median"), F.stddev_samp("ratio").alias("sd"), F.percentile("ratio", 0.25).alias("q1"), F.percentile("ratio", 0.75).alias("q3"))
+    stats = own.groupBy("category").agg(row_count().alias("n"), F.percentile("ratio", 0.5).alias("median"), F.stddev_samp("ratio").alias("sd"), F.percentile("ratio", 0.25).alias("q1"), F.percentile("ratio", 0.75).alias("q3"))
     low, high = F.greatest(F.lit(0.0), F.col("median") - F.coalesce("sd", F.lit(0.0))), F.col("median") + F.coalesce("sd", F.lit(0.0))
     return stats.select("category", "n", *[F.round(c, 6).alias(c) for c in ("median", "q1", "q3")], F.round(low, 6).alias("aggressive"), F.round(high, 6).alias("safe"))
 
 
 def item_benchmarks(items: DataFrame, least: int = 2) -> DataFrame:
-    return items.groupBy("name").agg(N.alias("n"), F.min("unit_price").alias("low"), F.round(F.avg("unit_price"), 6).alias("mean"), F.max("unit_price").alias("high")).filter(F.col("n") >= least)
+    return items.groupBy("name").agg(row_count().alias("n"), F.min("unit_price").alias("low"), F.round(F.avg("unit_price"), 6).alias("mean"), F.max("unit_price").alias("high")).filter(F.col("n") >= least)
 
 
 def item_price_intelligence(items: DataFrame, least: int = 5) -> DataFrame:
     """Quartiles of an item's unit price, number of offering companies and brands, and its cheapest company."""
     own = items.filter("unit_price > 0")
     q = lambda p: F.round(F.percentile("unit_price", p), 6)
-    return own.groupBy("name").agg(N.alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.count_distinct("company_name").alias("companies"), F.count_distinct("brand").alias("brands"), F.min(F.struct("unit_price", "company_name"))["company_name"].alias("cheapest")).filter(F.col("n") >= least)
+    return own.groupBy("name").agg(row_count().alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.count_distinct("company_name").alias("companies"), F.count_distinct("brand").alias("brands"), F.min(F.struct("unit_price", "company_name"))["company_name"].alias("cheapest")).filter(F.col("n") >= least)
 
 
 def item_price_by_year(items: DataFrame) -> DataFrame:
     """Weighted by quantity."""
-    return items.groupBy(F.year("offered_on").alias("year"), "cpv_code").agg(N.alias("lines"), F.sum("quantity").alias("quantity"), F.round(F.sum(F.col("unit_price") * F.col("quantity")) / F.sum("quantity"), 4).alias("mean_price"))
+    return items.groupBy(F.year("offered_on").alias("year"), "cpv_code").agg(row_count().alias("lines"), F.sum("quantity").alias("quantity"), F.round(F.try_divide(F.sum(F.col("unit_price") * F.col("quantity")), F.sum("quantity")), 4).alias("mean_price"))
 
 
 def item_bid_comparison(items: DataFrame) -> DataFrame:
     """Per tender and item the lowest offer, where several companies offer it."""
     offers = items.groupBy("tender_id", "name", "company_name").agg(F.min("unit_price").alias("price"))
-    per = offers.groupBy("tender_id", "name").agg(N.alias("companies"), F.min(F.struct("price", "company_name")).alias("low"), F.max("price").alias("high"))
+    per = offers.groupBy("tender_id", "name").agg(row_count().alias("companies"), F.min(F.struct("price", "company_name")).alias("low"), F.max("price").alias("high"))
     return per.filter("companies > 1").select("tender_id", "name", "companies", F.col("low.company_name").alias("lowest"), F.col("low.price").alias("low_price"), F.col("high").alias("high_price"))
 
 
@@ -155,8 +157,8 @@ def activity_feed(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
 def bidding_patterns(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     """Per company: how steady its bids are against estimates, when and where it bids."""
     j = bidders.join(tenders.filter("estimated_value_mkd > 0"), "tender_id").withColumn("ratio", F.col("bid_amount_mkd") / F.col("estimated_value_mkd"))
-    per = j.groupBy("company_name").agg(N.alias("bids"), F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("sd"), F.count_distinct("category").alias("categories"), F.count_distinct("procuring_entity").alias("buyers"), F.count_if(F.col("estimated_value_mkd") < 1e6).alias("small"), F.count_if(F.col("estimated_value_mkd") >= 1e7).alias("large"))
-    steady = F.greatest(F.lit(0.0), 1 - F.coalesce(F.col("sd") / F.col("m"), F.lit(0.0)) / 2)
+    per = j.groupBy("company_name").agg(row_count().alias("bids"), F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("sd"), F.count_distinct("category").alias("categories"), F.count_distinct("procuring_entity").alias("buyers"), F.count_if(F.col("estimated_value_mkd") < 1e6).alias("small"), F.count_if(F.col("estimated_value_mkd") >= 1e7).alias("large"))
+    steady = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("sd", "m"), F.lit(0.0)) / 2)
     return per.select("company_name", "bids", "categories", "buyers", "small", "large", F.round("m", 6).alias("mean_ratio"), F.round(steady, 6).alias("consistency"))
 
 
@@ -164,8 +166,8 @@ def head_to_head(bidders: DataFrame) -> DataFrame:
     """Every pair of companies on common tenders: wins of each, who bid lower, mean gap."""
     a = bidders.select("tender_id", F.col("company_name").alias("company_a"), F.col("bid_amount_mkd").alias("x"), F.col("is_winner").alias("a_won"))
     b = bidders.select("tender_id", F.col("company_name").alias("company_b"), F.col("bid_amount_mkd").alias("y"), F.col("is_winner").alias("b_won"))
-    gap = F.abs(F.col("x") - F.col("y")) / F.greatest("x", "y")
-    return a.join(b, "tender_id").filter("company_a < company_b").groupBy("company_a", "company_b").agg(N.alias("together"), F.count_if("a_won").alias("a_wins"), F.count_if("b_won").alias("b_wins"), F.count_if(F.col("x") < F.col("y")).alias("a_lower"), F.round(F.avg(gap), 6).alias("mean_gap"))
+    gap = F.try_divide(F.abs(F.col("x") - F.col("y")), F.greatest("x", "y"))
+    return a.join(b, "tender_id").filter("company_a < company_b").groupBy("company_a", "company_b").agg(row_count().alias("together"), F.count_if("a_won").alias("a_wins"), F.count_if("b_won").alias("b_wins"), F.count_if(F.col("x") < F.col("y")).alias("a_lower"), F.round(F.avg(gap), 6).alias("mean_gap"))
 
 
 def price_competitiveness(bidders: DataFrame) -> DataFrame:
@@ -173,12 +175,12 @@ def price_competitiveness(bidders: DataFrame) -> DataFrame:
     w = Window.partitionBy("tender_id")
     j = bidders.filter("bid_amount_mkd > 0").withColumns({"mean": F.avg("bid_amount_mkd").over(w), "low": F.min("bid_amount_mkd").over(w), "high": F.max("bid_amount_mkd").over(w), "n": F.count(F.lit(1)).over(w)}).filter("n > 1")
     v = F.col("bid_amount_mkd")
-    return j.groupBy("company_name").agg(N.alias("bids"), F.round(F.avg((v - F.col("mean")) * 100 / F.col("mean")), 6).alias("from_mean"), F.round(F.avg((v - F.col("low")) * 100 / F.col("low")), 6).alias("from_low"), F.count_if(v == F.col("low")).alias("lowest"), F.count_if(v == F.col("high")).alias("highest"), F.round(F.avg("rank"), 6).alias("mean_rank"))
+    return j.groupBy("company_name").agg(row_count().alias("bids"), F.round(F.avg((v - F.col("mean")) * 100 / F.col("mean")), 6).alias("from_mean"), F.round(F.avg((v - F.col("low")) * 100 / F.col("low")), 6).alias("from_low"), F.count_if(v == F.col("low")).alias("lowest"), F.count_if(v == F.col("high")).alias("highest"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
 
 def market_share(tenders: DataFrame) -> DataFrame:
     """Per category each winner's share of awards and of value."""
-    per = won(tenders).filter("category is not null").groupBy("category", "winner").agg(N.alias("wins"), F.sum("actual_value_mkd").alias("value"))
+    per = won(tenders).filter("category is not null").groupBy("category", "winner").agg(row_count().alias("wins"), F.sum("actual_value_mkd").alias("value"))
     w = Window.partitionBy("category")
     return per.select("category", "winner", "wins", "value", share(F.col("wins"), F.sum("wins").over(w)).alias("wins_share"), share(F.col("value"), F.sum("value").over(w)).alias("value_share"))
 
@@ -187,7 +189,7 @@ def buyer_panel(tenders: DataFrame) -> DataFrame:
     """Per buyer: volumes, bidders, single bids, short deadlines."""
     days = F.datediff("closing_date", "publication_date")
     return tenders.groupBy("procuring_entity").agg(
-        N.alias("tenders"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders"), F.round(F.percentile("num_bidders", 0.5), 4).alias("median_bidders"),
+        row_count().alias("tenders"), F.count_if(F.col("status").isin(*AWARDED)).alias("awarded"), F.sum("estimated_value_mkd").alias("estimated"), money(F.avg("num_bidders")).alias("mean_bidders"), F.round(F.percentile("num_bidders", 0.5), 4).alias("median_bidders"),
         F.count_if(F.col("num_bidders") == 1).alias("single_bids"), F.count_if(days < 7).alias("short_deadlines"), money(F.avg(days)).alias("mean_days"), F.count_distinct("winner").alias("winners"),
     )
 
@@ -195,7 +197,7 @@ def buyer_panel(tenders: DataFrame) -> DataFrame:
 def buyer_suspicions(tenders: DataFrame, *, top_share: float = 50.0, single_share: float = 30.0, short_share: float = 20.0, least: int = 3) -> DataFrame:
     """Buyers with a dominant winner, many single bids, or many short deadlines."""
     p = buyer_panel(tenders)
-    top = won(tenders).groupBy("procuring_entity", "winner").agg(N.alias("wins")).groupBy("procuring_entity").agg(F.max("wins").alias("top_wins"), F.sum("wins").alias("all_wins"))
+    top = won(tenders).groupBy("procuring_entity", "winner").agg(row_count().alias("wins")).groupBy("procuring_entity").agg(F.max("wins").alias("top_wins"), F.sum("wins").alias("all_wins"))
     j = p.join(top, "procuring_entity", "left")
     a = F.coalesce((F.col("top_wins") >= least) & (F.col("top_wins") * 100.0 / F.col("all_wins") > top_share), F.lit(False))
     b = F.col("single_bids") * 100.0 / F.col("tenders") > single_share
@@ -207,15 +209,15 @@ def sector_statistics(tenders: DataFrame) -> DataFrame:
     """Per two-digit category code, at the grain of tenders."""
     v = F.col("actual_value_mkd")
     return awarded(tenders).filter("cpv_code is not null").groupBy(F.substring("cpv_code", 1, 2).alias("division")).agg(
-        N.alias("tenders"), F.count_distinct("winner").alias("winners"), money(F.min(v)).alias("low"), money(F.avg(v)).alias("mean"), F.round(F.percentile(v, 0.5), 4).alias("median"), money(F.max(v)).alias("high"), money(F.avg("num_bidders")).alias("mean_bidders")
+        row_count().alias("tenders"), F.count_distinct("winner").alias("winners"), money(F.min(v)).alias("low"), money(F.avg(v)).alias("mean"), F.round(F.percentile(v, 0.5), 4).alias("median"), money(F.max(v)).alias("high"), money(F.avg("num_bidders")).alias("mean_bidders")
     )
 
 
 def seasonality(tenders: DataFrame) -> DataFrame:
     """Per month of the year: tenders, value, and the most frequent category."""
     m = F.month("publication_date").alias("month")
-    per = tenders.groupBy(m).agg(N.alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"))
-    modes = tenders.filter("category is not null").groupBy(m, "category").agg(N.alias("n")).withColumn("p", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("n"), "category"))).filter("p = 1").select("month", F.col("category").alias("top_category"))
+    per = tenders.groupBy(m).agg(row_count().alias("tenders"), F.sum("estimated_value_mkd").alias("estimated"))
+    modes = tenders.filter("category is not null").groupBy(m, "category").agg(row_count().alias("n")).withColumn("p", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("n"), "category"))).filter("p = 1").select("month", F.col("category").alias("top_category"))
     return per.join(modes, "month", "left")
 
 
@@ -228,7 +230,7 @@ def closing_soon(tenders: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 def upcoming_status(tenders: DataFrame, as_of: date) -> DataFrame:
     """Open tenders past their closing date become closed."""
     status = F.when((F.col("status") == "open") & (F.col("closing_date") < F.lit(as_of)), "closed").otherwise(F.col("status"))
-    return tenders.groupBy(status.alias("status")).agg(N.alias("tenders"))
+    return tenders.groupBy(status.alias("status")).agg(row_count().alias("tenders"))
 
 
 def similar_tenders(tenders: DataFrame, k: int = 3) -> DataFrame:
@@ -244,7 +246,7 @@ def category_deviation(tenders: DataFrame) -> DataFrame:
     v, w = F.col("actual_value_mkd"), Window.partitionBy("cpv_code")
     own = won(tenders).filter("actual_value_mkd is not null and cpv_code is not null").withColumns({"s": F.sum(v).over(w), "n": F.count(F.lit(1)).over(w)}).filter("n > 1")
     mean = (F.col("s") - v) / (F.col("n") - 1)
-    return own.select("tender_id", F.round((v - mean) * 100 / mean, 4).alias("deviation"))
+    return own.select("tender_id", F.round(F.try_divide((v - mean) * 100, mean), 4).alias("deviation"))
 
 
 def missed_opportunities(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
@@ -252,16 +254,16 @@ def missed_opportunities(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     own = bidders.join(tenders.select("tender_id", "cpv_code"), "tender_id").filter("is_winner").select("company_name", "cpv_code").distinct()
     open_to = own.join(won(tenders).select("tender_id", "cpv_code", "estimated_value_mkd"), "cpv_code")
     missed = open_to.join(bidders.select("tender_id", "company_name"), ["tender_id", "company_name"], "left_anti")
-    return missed.groupBy("company_name").agg(N.alias("missed"), F.sum("estimated_value_mkd").alias("missed_value"))
+    return missed.groupBy("company_name").agg(row_count().alias("missed"), F.sum("estimated_value_mkd").alias("missed_value"))
 
 
 def supplier_ranking(tenders: DataFrame, bidders: DataFrame, k: int = 3) -> DataFrame:
     """Companies by won value, with their best categories and buyers as nested lists, and the market's total."""
     wins = bidders.filter("is_winner").join(tenders.select("tender_id", "category", "procuring_entity"), "tender_id")
-    per = wins.groupBy("company_name").agg(N.alias("wins"), F.sum("bid_amount_mkd").alias("value"))
+    per = wins.groupBy("company_name").agg(row_count().alias("wins"), F.sum("bid_amount_mkd").alias("value"))
 
     def best(key: str) -> DataFrame:
-        counts = wins.filter(F.col(key).isNotNull()).groupBy("company_name", key).agg(N.alias("n"))
+        counts = wins.filter(F.col(key).isNotNull()).groupBy("company_name", key).agg(row_count().alias("n"))
         top = counts.withColumn("p", F.row_number().over(Window.partitionBy("company_name").orderBy(F.desc("n"), key))).filter(F.col("p") <= k)
         names = F.transform(F.sort_array(F.collect_list(F.struct("p", key))), lambda x: x[key])
         return top.groupBy("company_name").agg(F.array_join(names, ",").alias(f"top_{key}"))
@@ -273,14 +275,14 @@ def supplier_ranking(tenders: DataFrame, bidders: DataFrame, k: int = 3) -> Data
 
 def yearly_wins(tenders: DataFrame) -> DataFrame:
     """Wins per company and year with the change from the year before, and the running total."""
-    per = won(tenders).groupBy("winner", F.year("publication_date").alias("year")).agg(N.alias("wins"), F.sum("actual_value_mkd").alias("value"))
+    per = won(tenders).groupBy("winner", F.year("publication_date").alias("year")).agg(row_count().alias("wins"), F.sum("actual_value_mkd").alias("value"))
     w = Window.partitionBy("winner").orderBy("year")
     return per.withColumns({"change": F.col("wins") - F.lag("wins").over(w), "running": F.sum("wins").over(w.rowsBetween(Window.unboundedPreceding, 0))})
 
 
 def new_relationships(tenders: DataFrame) -> DataFrame:
     """Buyer and winner pairs with two awards at least: first and last award, days between, value."""
-    per = won(tenders).groupBy("procuring_entity", "winner").agg(N.alias("awards"), F.min("publication_date").alias("first"), F.max("publication_date").alias("last"), F.sum("actual_value_mkd").alias("value")).filter("awards >= 2")
+    per = won(tenders).groupBy("procuring_entity", "winner").agg(row_count().alias("awards"), F.min("publication_date").alias("first"), F.max("publication_date").alias("last"), F.sum("actual_value_mkd").alias("value")).filter("awards >= 2")
     return per.withColumn("days", F.datediff("last", "first"))
 
 

@@ -33,7 +33,7 @@ _ALL = {
     "g2_award_edges": (lambda t: g.award_edges(t.tenders), f"SELECT * FROM {_AWARDS} e"),
     "g3_partnership_edges": (lambda t: g.partnership_edges(t.tenders), f"SELECT src, dst, weight, value, ROUND(weight * 100.0{D} / awards, 4) AS share FROM (SELECT *, SUM(weight) OVER (PARTITION BY src) AS awards FROM {_AWARDS} e) x WHERE weight >= 3"),
     "g4_concentration_edges": (lambda t: g.concentration_edges(t.tenders, least_share=25.0), f"SELECT src, dst, value, spent, share FROM (SELECT *, ROUND(value * 100.0{D} / spent, 4) AS share FROM (SELECT *, SUM(value) OVER (PARTITION BY src) AS spent FROM {_AWARDS} e) x) y WHERE spent >= 1e6 AND share >= 25"),
-    "g6_pair_features": (lambda t: g.pair_features(t.bidders), "SELECT a.company_name AS src, b.company_name AS dst, COUNT(*) AS together, ROUND(AVG(1 - ABS(a.bid_amount_mkd - b.bid_amount_mkd) / GREATEST(a.bid_amount_mkd, b.bid_amount_mkd)), 6) AS bid_likeness, ROUND(AVG(CASE WHEN a.is_winner OR b.is_winner THEN 1 ELSE 0 END), 6) AS one_won FROM bidders a JOIN bidders b ON a.tender_id = b.tender_id AND a.company_name < b.company_name GROUP BY 1, 2"),
+    "g6_pair_features": (lambda t: g.pair_features(t.bidders), "SELECT a.company_name AS src, b.company_name AS dst, COUNT(*) AS together, ROUND(AVG(1 - ABS(a.bid_amount_mkd - b.bid_amount_mkd) / NULLIF(GREATEST(a.bid_amount_mkd, b.bid_amount_mkd), 0)), 6) AS bid_likeness, ROUND(AVG(CASE WHEN a.is_winner OR b.is_winner THEN 1 ELSE 0 END), 6) AS one_won FROM bidders a JOIN bidders b ON a.tender_id = b.tender_id AND a.company_name < b.company_name GROUP BY 1, 2"),
     "g8_decayed_edges": (lambda t: g.decayed(g.co_bidding_edges(t.tenders, t.bidders), AS_OF), f"SELECT src, dst, value, first_seen, last_seen, ROUND(weight * pow(0.5{D}, (DATE '2001-08-01' - last_seen) / 365), 9) AS weight FROM {_EDGES} e"),
     "g10_graph_statistics": (lambda t: g.graph_statistics(_sparse(t)), None),
     "g5_degrees": (lambda t: g.degrees(_trade(t)), f"SELECT node, COUNT(*) AS degree, SUM(weight) AS strength FROM (SELECT src AS node, weight FROM {_TRADE} a UNION ALL SELECT dst, weight FROM {_TRADE} b) x GROUP BY node"),
