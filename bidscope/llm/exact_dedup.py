@@ -127,7 +127,8 @@ def mark_copies(docs: DataFrame) -> DataFrame:
     release_shuffles(docs.sparkSession)
     apart = colliding_ids(docs)
     each = materialize(recipes(docs, apart).groupBy("recipe", "text_sha256", "n_bytes", "doc_id").agg(F.count(F.lit(1)).alias("rows")), "recipes")
-    groups = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    # Written first: a join straight onto the aggregation would take over its partitioning, which Spark can't split.
+    groups = materialize(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "recipe-groups")
     joined = each.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_bytes")
