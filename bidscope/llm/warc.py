@@ -78,6 +78,8 @@ def write_archives(
         keyed.filter(F.length("payload") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first_id is not null").select("digest", "first_id")
     )
+    # Written first: a join straight onto the aggregation would take over its partitioning, which Spark can't split.
+    first = materialize(first, "warc-first")
     placed = keyed.join(first, "digest", "left").select("page_id", "url", "payload", "first_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
