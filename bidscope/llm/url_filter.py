@@ -95,6 +95,7 @@ def judge_urls(pages: DataFrame, *, rules=RULES, ratio: float = RATIO, least_dis
     hosts = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     bad = (F.col("distrust") >= least_distrust) & (F.col("distrust") >= ratio * F.col("trust"))
     hosts = hosts.fillna(0.0, ["trust", "distrust"]).withColumn("by_host", F.when(bad & (F.col("host") != ""), "block").otherwise("allow"))
+    hosts = materialize(hosts, "host-verdicts")  # a join onto a table of its own lets Spark split a host of very many pages
     return judged.drop("html").join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
