@@ -114,3 +114,68 @@ def cosine_top(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
 def mean_vectors(vectors: DataFrame, key: str = "label") -> DataFrame:
     """(key, place, mean) of each component, a row per component so that no vector is gathered."""
     return vectors.select(key, F.posexplode("embedding").alias("place", "x")).groupBy(key, "place").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, letters and digits only, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def copied_share(docs: DataFrame, *, least: float = 0.6) -> DataFrame:
+    """(doc_id, copied): the share of a document's distinct five-word shingles that another document has too.
+
+    Shingles are counted by hash over all documents, so no two documents are compared.
+    """
+    clean = docs.select("doc_id", F.split(normalized(F.col("text")), " ").alias("w"))
+    grams = clean.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(5)), " "))))).alias("g"))
+    shared = grams.groupBy("g").agg(F.count(F.lit(1)).alias("docs"))
+    per = grams.join(shared, "g").groupBy("doc_id").agg(F.round(F.count_if(F.col("docs") > 1) / F.count(F.lit(1)), 6).alias("copied"))
+    return per.filter(F.col("copied") >= least)
+
+
+#: Phrases that narrow a specification, with points.
+RESTRICTIVE = (("only", 5), ("exclusively", 15), ("or equivalent", -10), ("original", 5), ("must be", 5), ("brand", 10))
+
+
+def restrictiveness(docs: DataFrame, phrases=RESTRICTIVE) -> DataFrame:
+    """Points of restrictive phrases per document, 0 to 100."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    points = sum((F.regexp_count(low, F.lit(rf"\b{p}\b")) * n for p, n in phrases), F.lit(0))
+    return docs.select("doc_id", F.least(F.lit(100), F.greatest(F.lit(0), points)).alias("restrictiveness"))
+
+
+def context_window(hits: DataFrame, *, budget: int = 2000, key: int = 100) -> DataFrame:
+    """Per query the best passages (query_id, passage, similarity) within a budget of tokens (characters / 4).
+
+    Passages that begin alike count once, the most similar of them.
+    """
+    start = F.substring("passage", 1, key)
+    one = hits.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", start).orderBy(F.desc("similarity"), "passage"))).filter("__n = 1").drop("__n")
+    tokens = F.ceil(F.length("passage") / 4)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "passage")
+    used = one.withColumns({"place": F.row_number().over(order), "used": F.sum(tokens).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return used.filter(F.col("used") <= budget).select("query_id", "place", "passage", "similarity")
+
+
+def interest_vectors(events: DataFrame, vectors: DataFrame, *, last: int = 100) -> DataFrame:
+    """(user_id, place, value): weighted mean of the vectors of a user's last events; kinds weigh 1, 1.5, 2 and 2.5."""
+    weight = F.when(F.col("event_type") == "view", 1.0).when(F.col("event_type") == "click", 1.5).when(F.col("event_type") == "signup", 2.0).when(F.col("event_type") == "purchase", 2.5)
+    recent = events.withColumn("w", weight).filter("w is not null").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter(F.col("n") <= last)
+    parts = recent.join(vectors, recent["item_id"] == vectors["vec_id"]).select("user_id", "w", F.posexplode("embedding").alias("place", "x"))
+    return parts.groupBy("user_id", "place").agg(F.round(F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w"), 6).alias("value"))
+
+
+def table_rows_to_items(tables: DataFrame) -> DataFrame:
+    """Rows of extracted tables (doc_id, cells array<array<string>>), the first being the heading, to items.
+
+    A heading's column is found by its words; rows without a name are left out.
+    """
+    head = F.transform(F.get("cells", F.lit(0)), lambda c: F.lower(c))
+
+    def column(pattern: str) -> Column:
+        return F.array_position(F.transform(head, lambda c: c.rlike(pattern)), True).cast("int")
+
+    t = tables.select("doc_id", "cells", column("name|назив|опис").alias("name_at"), column("quantity|количина").alias("quantity_at"), column("price|цена").alias("price_at")).filter("name_at > 0")
+    each = t.select("doc_id", "name_at", "quantity_at", "price_at", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1)))).alias("row", "c"))
+    at = lambda c: F.when(F.col(c) > 0, F.get("c", F.col(c) - 1))
+    return each.select("doc_id", "row", F.trim(at("name_at")).alias("name"), at("quantity_at").try_cast("double").alias("quantity"), at("price_at").try_cast("double").alias("unit_price")).filter("name <> ''")

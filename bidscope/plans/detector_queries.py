@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidscope.operators import detectors as d
 from bidscope.sources.domain import DOMAIN_SQL, Tables
+from bidscope.workspace import materialize
 
 FLAG = ["tender_id", "flag_type", "severity", "score"]
 
@@ -117,9 +118,9 @@ _LEVEL = "CASE WHEN cri >= 80 THEN 'critical' WHEN cri >= 60 THEN 'high' WHEN cr
 
 
 def flag_tables(t: Tables) -> tuple[Tables, DataFrame]:
-    """Tables whose tenders and bidders are written once, and all their flags."""
+    """Tables whose tenders and bidders are written once, and all their flags, written too."""
     own = t.written()
-    return own, d.all_flags(own.tenders, own.bidders)
+    return own, materialize(d.all_flags(own.tenders, own.bidders), "flags")
 
 
 def d17_full_run(t: Tables) -> DataFrame:
