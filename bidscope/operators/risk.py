@@ -92,9 +92,9 @@ def tender_features(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     j = t.join(bids, "tender_id", "left")
     r = lambda x: F.round(x, 9)
     return j.select(
-        "tender_id", F.coalesce("bids", F.lit(0)).alias("bids"), r(F.col("disqualified") / F.col("bids")).alias("disqualified_rate"), F.round("mean_bid", 4).alias("mean_bid"), r(F.try_divide("sd_bid", "mean_bid")).alias("bid_cov"),
-        r(F.try_divide(F.col("high_bid") - F.col("low_bid"), F.col("low_bid"))).alias("bid_range"), r(F.col("median_bid") / F.nullif("estimated_value_mkd", F.lit(0.0))).alias("median_to_estimate"),
-        r(F.col("actual_value_mkd") / F.nullif("estimated_value_mkd", F.lit(0.0))).alias("actual_to_estimate"), F.datediff("closing_date", "publication_date").alias("days_open"), F.weekday("publication_date").alias("weekday"), F.month("publication_date").alias("month"),
+        "tender_id", F.coalesce("bids", F.lit(0)).alias("bids"), (F.col("disqualified") / F.col("bids")).alias("disqualified_rate"), F.round("mean_bid", 4).alias("mean_bid"), r(F.try_divide("sd_bid", "mean_bid")).alias("bid_cov"),
+        F.try_divide(F.col("high_bid") - F.col("low_bid"), F.col("low_bid")).alias("bid_range"), r(F.col("median_bid") / F.nullif("estimated_value_mkd", F.lit(0.0))).alias("median_to_estimate"),
+        (F.col("actual_value_mkd") / F.nullif("estimated_value_mkd", F.lit(0.0))).alias("actual_to_estimate"), F.datediff("closing_date", "publication_date").alias("days_open"), F.weekday("publication_date").alias("weekday"), F.month("publication_date").alias("month"),
         "buyer_before", "buyer_awards_before", "pair_wins_before", (F.col("procedure_type").contains("Negotiated")).cast("int").alias("negotiated"), "amendment_count",
     )
 

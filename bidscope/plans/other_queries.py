@@ -109,7 +109,7 @@ _ALL = {
     "r16_alert_matches": (lambda t: r.match_alerts(t.tenders, _subscriptions(t)), DOMAIN_SQL + ", subs AS (SELECT n_nationkey AS alert_id, CASE n_nationkey % 3 WHEN 0 THEN 'plate' WHEN 1 THEN 'gear' ELSE 'bolt' END AS keyword, lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || '00' AS cpv4, n_name || '|' AS buyer FROM nation) SELECT tender_id, CAST(alert_id AS BIGINT) AS alert_id, CAST(p AS INTEGER) AS match_score FROM (SELECT tender_id, alert_id, CASE WHEN lower(concat_ws(' ', title, category)) LIKE '%' || keyword || '%' THEN 25 ELSE 0 END + CASE WHEN starts_with(cpv_code, cpv4) THEN 30 ELSE 0 END + CASE WHEN contains(procuring_entity, buyer) THEN 25 ELSE 0 END + CASE WHEN estimated_value_mkd BETWEEN 1e6 AND 2e6 THEN 20 ELSE 0 END AS p FROM tenders, subs) x WHERE p >= 25"),
     "r22_full_coverage": (_with_flags(lambda f, t: r.full_coverage_score(f, t.tenders)), FLAGS_SQL + f"SELECT t.tender_id, ROUND(CASE WHEN n IS NULL THEN CASE WHEN num_bidders = 1 THEN 25 WHEN num_bidders = 2 THEN 10 ELSE 5 END ELSE LEAST(100.0{D}, mean * (1 + 0.15{D} * (n - 1))) END, 4) AS score, COALESCE(n, 0) AS flags FROM tenders t LEFT JOIN (SELECT tender_id, AVG(score) AS mean, COUNT(*) AS n FROM flags GROUP BY 1) f ON f.tender_id = t.tender_id WHERE {AW}"),
     "m1_tender_features": (lambda t: r.tender_features(t.tenders, t.bidders), DOMAIN_SQL + f""", bs AS (SELECT tender_id, COUNT(*) AS n, SUM(CASE WHEN disqualified THEN 1 ELSE 0 END) AS dq, AVG(bid_amount_mkd) AS m, stddev_pop(bid_amount_mkd) AS sd, MIN(bid_amount_mkd) AS lo, MAX(bid_amount_mkd) AS hi, quantile_cont(bid_amount_mkd, 0.5) AS md FROM bidders GROUP BY tender_id)
-      SELECT t.tender_id, COALESCE(n, 0) AS bids, ROUND(dq / n, 9) AS disqualified_rate, ROUND(m, 4) AS mean_bid, ROUND(sd / NULLIF(m, 0), 9) AS bid_cov, ROUND((hi - lo) / NULLIF(lo, 0), 9) AS bid_range, ROUND(md / NULLIF(estimated_value_mkd, 0), 9) AS median_to_estimate, ROUND(actual_value_mkd / NULLIF(estimated_value_mkd, 0), 9) AS actual_to_estimate,
+      SELECT t.tender_id, COALESCE(n, 0) AS bids, dq / n AS disqualified_rate, ROUND(m, 4) AS mean_bid, ROUND(sd / NULLIF(m, 0), 9) AS bid_cov, (hi - lo) / NULLIF(lo, 0) AS bid_range, ROUND(md / NULLIF(estimated_value_mkd, 0), 9) AS median_to_estimate, actual_value_mkd / NULLIF(estimated_value_mkd, 0) AS actual_to_estimate,
       closing_date - publication_date AS days_open, isodow(publication_date) - 1 AS weekday, month(publication_date) AS month, COUNT(*) OVER b AS buyer_before, SUM(CASE WHEN {AW} THEN 1 ELSE 0 END) OVER b0 - SUM(CASE WHEN {AW} THEN 1 ELSE 0 END) OVER b1 AS buyer_awards_before, CASE WHEN winner IS NOT NULL THEN COALESCE(SUM(CASE WHEN {AW} THEN 1 ELSE 0 END) OVER p0 - SUM(CASE WHEN {AW} THEN 1 ELSE 0 END) OVER p1, 0) END AS pair_wins_before,
       CASE WHEN procedure_type LIKE '%Negotiated%' THEN 1 ELSE 0 END AS negotiated, amendment_count FROM tenders t LEFT JOIN bs ON bs.tender_id = t.tender_id
       WINDOW b AS (PARTITION BY procuring_entity ORDER BY publication_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), b0 AS (PARTITION BY procuring_entity ORDER BY publication_date), b1 AS (PARTITION BY procuring_entity, publication_date), p0 AS (PARTITION BY procuring_entity, winner ORDER BY publication_date), p1 AS (PARTITION BY procuring_entity, winner, publication_date)"""),
