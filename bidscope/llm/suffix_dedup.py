@@ -155,13 +155,15 @@ def _arrays(column: pa.Array) -> list[np.ndarray | None]:
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
     """Rows (key columns..., text) of a task as blocks."""
     block = Block()
-    for batch in batches:
-        columns = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[:-1]]
-        for *row, text in zip(*columns, batch.columns[-1].cast(pa.binary()).to_pylist(), strict=True):
-            block.add(tuple(row), text or b"")
-            if block.size > block_bytes:
-                yield block
-                block = Block()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):  # never a second copy of a whole batch
+            batch = whole.slice(at, 256)
+            columns = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[:-1]]
+            for *row, text in zip(*columns, batch.columns[-1].cast(pa.binary()).to_pylist(), strict=True):
+                block.add(tuple(row), text or b"")
+                if block.size > block_bytes:
+                    yield block
+                    block = Block()
     if block.rows:
         yield block
 
