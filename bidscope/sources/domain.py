@@ -34,40 +34,46 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _lines(self) -> DataFrame:
+        """Order lines dealt by order once: the groupings, windows and joins by order that follow need no further shuffle of them."""
+        return self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag").repartition("l_orderkey")
+
+    @cached_property
+    def _bids(self) -> DataFrame:
+        amount = F.when(F.col("l_linenumber") % 2 == 0, F.floor(F.col("l_extendedprice") / 1000) * 100000).otherwise(F.floor(F.col("l_extendedprice") * 100)).cast("double")
+        return self._lines.groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("co")).agg(F.min(amount).alias("bid"), F.max(F.col("l_returnflag") == "R").alias("dq"), F.min("l_suppkey").alias("supplier"))
+
     @cached_property
     def bidders(self) -> DataFrame:
         """One row per tender and company."""
-        amount = F.when(F.col("l_linenumber") % 2 == 0, F.floor(F.col("l_extendedprice") / 1000) * 100000).otherwise(F.floor(F.col("l_extendedprice") * 100)).cast("double")
-        bids = self.raw("lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("co")).agg(F.min(amount).alias("bid"), F.max(F.col("l_returnflag") == "R").alias("dq"), F.min("l_suppkey").alias("supplier"))
-        cities = self.raw("supplier").join(F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("company_city"))
-        bids = bids.join(cities, "supplier", "left")
-        joined = bids.join(self.raw("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+        cities = self.raw("supplier").join(F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("company_city"))  # 25 nations
         w = Window.partitionBy("l_orderkey")
         first = F.row_number().over(w.orderBy("dq", "bid", "co"))
+        placed = self._bids.withColumns({"first": first, "rank": F.rank().over(w.orderBy("bid"))})
+        joined = placed.join(self.raw("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(cities, "supplier", "left")
         return joined.select(
             F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("tender_id"), F.concat(F.lit("CO-"), F.col("co").cast("string")).alias("company_name"), F.col("bid").alias("bid_amount_mkd"),
-            F.col("dq").alias("disqualified"), ((first == 1) & ~F.col("dq") & (F.col("o_orderstatus") == "F")).alias("is_winner"), F.rank().over(w.orderBy("bid")).alias("rank"),
-            "company_city", (F.col("supplier") * 13 % 5000).alias("minutes_before_close"),
+            F.col("dq").alias("disqualified"), ((F.col("first") == 1) & ~F.col("dq") & (F.col("o_orderstatus") == "F")).alias("is_winner"), "rank", "company_city", (F.col("supplier") * 13 % 5000).alias("minutes_before_close"),
         )
 
     @cached_property
     def tenders(self) -> DataFrame:
         """One row per tender."""
-        line = self.raw("lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("m")).select("l_orderkey", F.col("m.l_partkey").alias("partkey"))
+        line = self._lines.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("m")).select("l_orderkey", F.col("m.l_partkey").alias("partkey"))
         lot = line.join(self.raw("part").select("p_partkey", "p_size", "p_type", "p_name"), F.col("partkey") == F.col("p_partkey"))
-        bids = self.bidders.groupBy("tender_id").agg(
-            F.count(F.lit(1)).alias("num_bidders"), F.max(F.when(F.col("is_winner"), F.col("bid_amount_mkd"))).alias("actual_value_mkd"), F.max(F.when(F.col("is_winner"), F.col("company_name"))).alias("winner")
-        )
+        best = self._bids.groupBy(F.col("l_orderkey").alias("bid_order")).agg(F.count(F.lit(1)).alias("num_bidders"), F.min(F.struct("dq", "bid", "co")).alias("low"))
+        has_winner = ~F.col("low.dq") & (F.col("o_orderstatus") == "F")
         buyers = self.raw("customer").join(F.broadcast(self.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit("|"), "c_mktsegment").alias("procuring_entity"))
         key = F.col("o_orderkey")
         published = F.col("o_orderdate").cast("date")
         closing = F.date_add(published, (key * 7 % 40).cast("int"))
         amended = (key % 4).cast("int")
-        t = self.raw("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(lot, key == F.col("l_orderkey"), "left")
-        t = t.withColumn("tender_id", F.concat(F.lit("T"), key.cast("string"))).join(bids, "tender_id", "left")
+        t = self.raw("orders").join(lot, key == F.col("l_orderkey"), "left").join(best, key == F.col("bid_order"), "left").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
         return t.select(
-            "tender_id", F.col("p_name").alias("title"), "procuring_entity", published.alias("publication_date"), closing.alias("closing_date"),
-            F.date_add(closing, (key % 11).cast("int")).alias("contract_signing_date"), F.floor(F.col("o_totalprice") * 20).cast("double").alias("estimated_value_mkd"), "actual_value_mkd", "winner", "num_bidders",
+            F.concat(F.lit("T"), key.cast("string")).alias("tender_id"), F.col("p_name").alias("title"), "procuring_entity", published.alias("publication_date"), closing.alias("closing_date"),
+            F.date_add(closing, (key % 11).cast("int")).alias("contract_signing_date"), F.floor(F.col("o_totalprice") * 20).cast("double").alias("estimated_value_mkd"),
+            F.when(has_winner, F.col("low.bid")).alias("actual_value_mkd"), F.when(has_winner, F.concat(F.lit("CO-"), F.col("low.co").cast("string"))).alias("winner"), "num_bidders",
             F.when(F.col("o_orderstatus") == "F", "awarded").when(F.col("o_orderstatus") == "P", "closed").otherwise("open").alias("status"),
             F.coalesce(*[F.when(F.col("o_orderpriority") == k, v) for k, v in PROCEDURES.items()]).alias("procedure_type"), F.when(key % 2 == 0, "lowest price").otherwise("best value").alias("evaluation_method"),
             F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("000000")).alias("cpv_code"), F.col("p_type").alias("category"),
@@ -96,9 +102,7 @@ class Tables:
 
         out = Tables(self.spark, self.sf_dir)
         out.__dict__["bidders"] = materialize(self.bidders, "bidders")
-        source = Tables(self.spark, self.sf_dir)
-        source.__dict__["bidders"] = out.bidders
-        out.__dict__["tenders"] = materialize(source.tenders, "tenders")
+        out.__dict__["tenders"] = materialize(self.tenders, "tenders")
         return out
 
 
