@@ -24,7 +24,8 @@ from bidscope.llm.simhash import drop_near_copies
 from bidscope.workspace import materialize
 
 #: Least share of letters in the winning language's spans; below it a document is a jumble that no one language fits.
-LEAST_SHARE = 0.35
+#: A text that mixes two or three languages stays.
+LEAST_SHARE = 0.25
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
