@@ -261,6 +261,18 @@ def identify(docs: DataFrame, *, with_spans: bool = False) -> DataFrame:
     return held_out(predict(docs, model, with_spans=with_spans))
 
 
+def drop_undetermined(docs: DataFrame, *, least_share: float) -> DataFrame:
+    """The rows of ``docs`` in a language, with all their columns: those of no language, or of none that holds
+    ``least_share`` of the letters, go.  Rows are told apart by id and text together, so rows that share an id, or have
+    none, are judged one by one."""
+    release_shuffles(docs.sparkSession)
+    model = train(held_out(docs.select("doc_id", "text", "lang")).filter("not held_out"))
+    row = F.xxhash64("doc_id", "text")
+    told = predict(docs.select(row.alias("doc_id"), "text"), model)
+    bad = told.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_share)).select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", row).join(bad, "__row", "left_anti").drop("__row")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score", "n_spans")
 

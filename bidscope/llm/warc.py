@@ -66,6 +66,8 @@ def write_archives(
 ) -> DataFrame:
     """Write one record per row under ``path`` and return the manifest (path, records, bytes).
 
+    ``path`` is a URI in a store that all executors share and Arrow's file systems open (files, HDFS, S3, GCS).
+
     Which page of equal payloads is the response is settled by an aggregation on the digest that combines before it
     shuffles; the payload itself moves once.  A task names its files by itself and the manifest lists those of the
     attempts that counted, so files that failed or speculative attempts left behind are never read.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bidscope.llm.common import attach
 from bidscope.llm.exact_dedup import drop_copies
-from bidscope.llm.language import UNDETERMINED, identify
+from bidscope.llm.language import drop_undetermined
 from bidscope.llm.mixing import mix_sources
 from bidscope.llm.packing import pack_documents
 from bidscope.llm.simhash import drop_near_copies
@@ -29,9 +29,7 @@ LEAST_SHARE = 0.25
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = identify(docs)
-    bad = told.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return drop_undetermined(docs, least_share=LEAST_SHARE).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def rows():
     base = sentence(rng, 120)
     out = [
         (1, None, "en", "a"), (2, "", None, "a"), (3, "   \n\t ", "en", None), (4, "One", "en", "b"), (5, "one", "en", "b"), (6, "Straße ÄÖ é 日本語のテキスト です", "de", "b"), (6, "Straße ÄÖ é 日本語のテキスト です", "de", "b"),
-        (None, "a row without an id " + base, "en", "c"), (8, "12345 !!! 67 --", "en", "c"), (9, base, "en", "c"), (10, base.upper(), "en", "c"), (11, base + " tail", "en", "a"), (12, base, "en", "a"),
+        (None, "a row without an id " + base, "en", "c"), (8, "12345 !!! 67 --", "en", "c"), (9, "77 --", "en", "c"), (None, "88 --", "en", "c"), (9, base, "en", "c"), (10, base.upper(), "en", "c"), (11, base + " tail", "en", "a"), (12, base, "en", "a"),
         (13, "x" * 3000, None, "d"), (14, "x" * 3000 + "y", None, "d"), (15, sentence(rng, 20_000), "en", "d"), (16, "один два три четыре пять", "ru", "d"), (17, "\u0000odd\u2028 text\r\nhere", "en", "d"),
     ]
     for i in range(20, 60):

@@ -46,8 +46,8 @@ def test_op2_edited_text_and_likeness(spark, odd, rows):
     for i, t, _, _ in rows:
         text_of[i].append(t or "")
     for r in got:
-        for t in set(text_of[r.doc_id]):
-            assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
+        if len(set(text_of[r.doc_id])) == 1:
+            assert by_text.setdefault(text_of[r.doc_id][0], r.fingerprint) == r.fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
@@ -69,11 +69,11 @@ def test_sketches_estimate_and_merge(spark):
 def test_op3_undetermined_and_learned(spark, odd, rows):
     got = queries.QUERIES["op3_language"](spark, odd).collect()
     learned = {lang for i, _, lang, _ in rows if lang and zlib.crc32(str("" if i is None else i).encode()) % 5}
+    without = Counter(i for i, t, _, _ in rows if not any(c.isalpha() for c in t or ""))
+    assert Counter(r.doc_id for r in got if r.lang_pred == "und") == without
     for r in got:
-        texts = [t for i, t, _, _ in rows if i == r.doc_id]
-        letters = any(c.isalpha() for t in texts for c in t or "")
         assert r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0)
-        assert (r.lang_pred == "und") == (not letters) and (r.lang_pred in learned or not letters) and 0 <= r.score <= 1
+        assert r.lang_pred in learned | {"und"} and 0 <= r.score <= 1
 
 
 def test_language_accuracy_spans_and_viterbi(spark, small):
