@@ -177,3 +177,21 @@ def open_pool(tenders: DataFrame, prefs: DataFrame, k: int = 5) -> DataFrame:
     by_sector = base.join(prefs, base["category"] == prefs["sector"])
     scored = by_sector.select("user_id", "tender_id", F.round(score, 4).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "tender_id"))).filter(F.col("place") <= k)
+
+
+def win_rates(bidders: DataFrame, least: int = 5) -> DataFrame:
+    """Companies of some bids by their share won."""
+    per = bidders.groupBy("company_name").agg(row_count().alias("bids"), F.count_if("is_winner").alias("wins")).filter(F.col("bids") >= least)
+    return per.withColumn("win_rate", F.round(F.col("wins") * 100.0 / F.col("bids"), 4))
+
+
+def top_tenders(tenders: DataFrame, k: int = 20) -> DataFrame:
+    """The k tenders of highest estimate."""
+    return top(tenders.select("tender_id", "procuring_entity", "estimated_value_mkd", "winner"), [F.col("estimated_value_mkd").desc_nulls_last(), "tender_id"], k)
+
+
+def flag_search(flags: DataFrame, tenders: DataFrame, *, severities: tuple[str, ...], flag_type: str, least_score: int) -> DataFrame:
+    """Flagged tenders of some severity and score that have a flag of one type, with all their types."""
+    per = flags.groupBy("tender_id").agg(F.collect_set("flag_type").alias("kinds"), F.max(F.when(F.col("severity").isin(*severities), F.col("score"))).alias("score"))
+    hit = per.filter(F.array_contains("kinds", flag_type) & (F.col("score") >= least_score))
+    return hit.join(tenders.select("tender_id", "procuring_entity", "winner"), "tender_id").select("tender_id", "score", F.array_join(F.sort_array("kinds"), ",").alias("types"), "procuring_entity", "winner")

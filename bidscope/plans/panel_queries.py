@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bidscope.functions import cleaning as c
+from bidscope.functions import text as x
 from bidscope.operators import panels as p
+from bidscope.plans.detector_queries import FLAGS_SQL, flag_tables
 from bidscope.sources.domain import AS_OF, DOMAIN_SQL
 
 D = "::DOUBLE"
@@ -56,7 +59,13 @@ _ALL = {
     "a2_distinct_sums": (lambda t: t.tenders.groupBy("procuring_entity").agg(F.count_distinct("winner", "category").alias("pairs"), F.sum_distinct("estimated_value_mkd").alias("distinct_sum"), F.sum("estimated_value_mkd").alias("full_sum")), "SELECT procuring_entity, COUNT(DISTINCT CASE WHEN winner IS NOT NULL AND category IS NOT NULL THEN (winner, category) END) AS pairs, SUM(DISTINCT estimated_value_mkd) AS distinct_sum, SUM(estimated_value_mkd) AS full_sum FROM tenders GROUP BY 1"),
     "j3_never_won": (lambda t: t.bidders.select("tender_id").distinct().join(t.bidders.filter("is_winner").select("tender_id"), "tender_id", "left_anti"), "SELECT DISTINCT tender_id FROM bidders b WHERE NOT EXISTS (SELECT 1 FROM bidders w WHERE w.tender_id = b.tender_id AND w.is_winner)"),
     "o6_all_parties": (lambda t: t.tenders.select(F.col("procuring_entity").alias("name")).union(t.bidders.select("company_name")).distinct(), "SELECT procuring_entity AS name FROM tenders UNION SELECT company_name FROM bidders"),
+    "p56_win_rates": (lambda t: p.win_rates(t.bidders), f"SELECT company_name, COUNT(*) AS bids, SUM(CASE WHEN is_winner THEN 1 ELSE 0 END) AS wins, ROUND(SUM(CASE WHEN is_winner THEN 1 ELSE 0 END) * 100.0{D} / COUNT(*), 4) AS win_rate FROM bidders GROUP BY 1 HAVING COUNT(*) >= 5"),
+    "p64_top_tenders": (lambda t: p.top_tenders(t.tenders), "SELECT tender_id, procuring_entity, estimated_value_mkd, winner FROM tenders ORDER BY estimated_value_mkd DESC NULLS LAST, tender_id LIMIT 20"),
+    "c14_good_products": (lambda t: t.items.groupBy(c.good_product(F.col("name"), strict=True).alias("good")).agg(F.count(F.lit(1)).alias("items")), "SELECT length(trim(name)) >= 10 AS good, COUNT(*) AS items FROM items GROUP BY 1"),
+    "x9_snippets": (lambda t: t.raw("documents").select("doc_id", F.sha2(F.encode(x.snippet(F.coalesce("text", F.lit("")), "tion", before=20, length=60), "UTF-8"), 256).alias("snippet")), "SELECT doc_id, sha256(substr(text, GREATEST(1, CAST(instr(lower(text), 'tion') AS INTEGER) - 20), 60)) AS snippet FROM documents"),
+    "r5_flag_search": (lambda t: (lambda own, flags: p.flag_search(flags, own.tenders, severities=("critical", "high"), flag_type="short_deadline", least_score=60))(*flag_tables(t)), None),
 }
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
-ORACLES = {name: DOMAIN_SQL + sql for name, (_, sql) in _ALL.items()}
+ORACLES = {name: DOMAIN_SQL + sql for name, (_, sql) in _ALL.items() if sql}
+ORACLES["r5_flag_search"] = FLAGS_SQL + "SELECT f.tender_id, score, types, procuring_entity, winner FROM (SELECT tender_id, MAX(CASE WHEN severity IN ('critical', 'high') THEN score END) AS score, string_agg(DISTINCT flag_type, ',' ORDER BY flag_type) AS types, bool_or(flag_type = 'short_deadline') AS hit FROM flags GROUP BY 1) f JOIN tenders t ON t.tender_id = f.tender_id WHERE hit AND score >= 60"
