@@ -31,6 +31,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
+def row_hash(*names: str) -> Column:
+    """SHA-256 of some columns together.  A null text is an empty one; any other null differs from all values."""
+    parts = [text_or_empty(n) if n == "text" else F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")) for n in names]
+    sized = [F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]  # so that no two lists of values read alike
+    return F.sha2(F.encode(F.concat(*sized), "UTF-8"), 256)
+
+
 def range_index(value: Column, splitters: list[int]) -> Column:
     """Number of sorted ``splitters`` below ``value``, found in two steps of about the square root of their number."""
     if not splitters:

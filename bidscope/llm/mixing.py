@@ -50,27 +50,33 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
 
 def mix_sources(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: str = "", rows_each: int = 50_000,
+    row: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): the words that the mix takes of each document."""
+    """(doc_id, source, size, source_size, target, taken[, row]): the words that the mix takes of each document.
+
+    ``row``, a string that tells rows apart, is carried along; it breaks ties, and the keys of rows without an id are made
+    of it, so that these are dealt over all ranges.
+    """
+    named = ["row"] if row is not None else []
     spark = docs.sparkSession
     release_shuffles(spark)
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[row.alias(n) for n in named]), "mix-sizes")
     digits = next(d for d in range(1, 6) if d == 5 or 16**d >= partitions_for(sized.count(), rows_each))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), *named, F.lit(""))))
     keyed = sized.withColumn("key", key).withColumn("range", F.substring("key", 1, digits))
     targets = source_targets(sized, weights=weights, share=share, most_epochs=most_epochs)
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "range", F.coalesce(F.sum("in_range").over(up_to), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy(F.col("doc_id").isNull(), "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.select("doc_id", "source", "range", "size", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("local"))
+    inside = Window.partitionBy("source", "range").orderBy(F.col("doc_id").isNull(), "key", "doc_id", "size", *named).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.select("doc_id", "source", "range", "size", *named, F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("local"))
     a, b, t = local.alias("a"), offsets.alias("b"), targets.alias("t")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range"))).join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
     budget = F.round("t.target").cast("long")
     epochs = F.when(F.col("t.source_size") > 0, F.floor(budget / F.col("t.source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("t.source_size")
     last = F.least(F.col("a.size"), F.greatest(F.lit(0), rest - F.col("b.offset") - F.col("a.local")))
-    return joined.select("a.doc_id", "a.source", "a.size", "t.source_size", "t.target", (epochs * F.col("a.size") + last).cast("long").alias("taken"))
+    return joined.select("a.doc_id", "a.source", "a.size", "t.source_size", "t.target", (epochs * F.col("a.size") + last).cast("long").alias("taken"), *named)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import attach
+from bidscope.llm.common import row_hash
 from bidscope.workspace import materialize, release_shuffles
 
 SHINGLE_WORDS = 3
@@ -66,16 +66,18 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp[, row]): the fingerprint as a signed long, and a string that tells the row apart if there is one."""
+    named = ["row"] if row is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *named])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[row.alias(n) for n in named])
+    return read.mapInArrow(run, "doc_id long, fp long" + ", row string" * len(named))
 
 
 # --- the Golay code ---------------------------------------------------------------------------------------------------
@@ -252,11 +254,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fp, component_id), one row per input row."""
-    spark = docs.sparkSession
-    release_shuffles(spark)
-    marked = materialize(fingerprints(docs), "simhash")
+def _component_roots(marked: DataFrame, most_bits: int) -> DataFrame:
+    """(fp, first_id, root): the component of each distinct fingerprint, and the smallest doc_id that has it."""
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,17 +269,32 @@ def near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFrame:
 
     keyed = distinct.select("fp").mapInArrow(key_rows, "key long, fp long").repartition("key").sortWithinPartitions("key")
     joined = components(links_of(keyed, most_bits))
-    per_fp = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fp, component_id), one row per input row."""
+    release_shuffles(docs.sparkSession)
+    marked = materialize(fingerprints(docs), "simhash")
+    per_fp = _component_roots(marked, most_bits)
     named = per_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = per_fp.join(named, "root").select("fp", "component_id")
     return marked.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component: that with the smallest doc_id, with all its columns."""
-    one = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    return attach(docs, one, ["doc_id"], "inner").withColumn("__n", n).filter("__n = 1").drop("__n")
+def drop_near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows that stay, one of each component, with all their columns: that with the smallest doc_id, ids that are
+    null coming after all others, and of equal ids that with the smallest hash.  Rows are told apart by a hash of id and
+    text together, so components whose rows share an id, or have none, keep a row each."""
+    release_shuffles(docs.sparkSession)
+    row = row_hash("doc_id", "text")
+    marked = materialize(fingerprints(docs, row), "simhash")
+    # A row per fingerprint before the join, so that a hot fingerprint is one row there.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    each = materialize(marked.groupBy("fp").agg(first), "simhash-first")
+    kept = each.join(_component_roots(marked, most_bits), "fp").groupBy("root").agg(F.min("first")["row"].alias("__row")).select("__row")
+    n = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+    return docs.withColumn("__row", row).join(kept, "__row").withColumn("__n", n).filter("__n = 1").drop("__n", "__row")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,16 @@
 * mix: sources are cut, or repeated, to their target numbers of words; a document that is repeated is so many rows;
 * pack: token windows.
 
-All stages but the last return the columns of their input.  A null doc_id is kept through language, exact and mix; the
-near stage keeps one row of each component, so of rows that share a doc_id and component one stays.
+All stages but the last return the columns of their input.  Rows that share a doc_id, or have none, are told apart by
+their texts: each stage keeps, drops or repeats them one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import attach
+from bidscope.llm.common import row_hash
 from bidscope.llm.exact_dedup import drop_copies
 from bidscope.llm.language import drop_undetermined
 from bidscope.llm.mixing import mix_sources
@@ -42,11 +42,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document's row as often as the mix takes it, to the nearest whole number of times."""
-    mixed = mix_sources(docs)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = mixed.select("doc_id", times.alias("__times")).groupBy("doc_id").agg(F.max("__times").alias("__times")).filter("__times > 0")
-    rows = attach(docs, taken, ["doc_id"], "inner")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    row = row_hash("doc_id", "source", "text")
+    mixed = mix_sources(docs, row=row)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    # Rows equal in all three are one to the mix; what it takes of them together is dealt out evenly again.
+    taken = mixed.groupBy(F.col("row").alias("__row")).agg(F.sum(times).alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
+    n = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+    rows = docs.withColumn("__row", row).join(taken, "__row").withColumn("__n", n)
+    rows = rows.withColumn("__times", F.expr("__all div __rows + cast(__n <= __all % __rows as bigint)")).filter("__times > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

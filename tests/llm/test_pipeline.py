@@ -1,8 +1,10 @@
 """The pipeline's stages on odd rows: columns, decisions, and what must stay."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
+from bidscope.llm.mixing import mix_sources
 from bidscope.workspace import materialize
 
 
@@ -32,3 +34,35 @@ def test_run_equals_its_stages(spark, small):
 
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def words(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6)) for _ in range(n))
+
+
+def test_near_stage_keeps_a_row_of_each_component(spark):
+    """Rows without an id, and rows that share one, in components of their own; one shared id lies in a component of a smaller one."""
+    loose = [(None, words(i), "en", "a") for i in range(30)]
+    shared = [(7, words(100 + i), "en", "a") for i in range(5)]
+    copied = [(2, words(200), "en", "b"), (5, words(200).upper(), "en", "b"), (5, words(201), "en", "b"), (None, words(200) + " ", "en", "b")]
+    got = corpus_pipeline.near_stage(spark, table(spark, loose + shared + copied), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _, _ in loose + shared + [copied[0], copied[2]])
+
+
+def test_mix_stage_takes_rows_one_by_one(spark):
+    """A source without ids, one whose rows share an id, and repeated rows: as many words as the mix takes, row by row."""
+    rows = [(None, words(i, 20), "en", "a") for i in range(40)] + [(7, words(100 + i, 20), "en", "b") for i in range(40)] + [(i % 2, "one two three four", "en", "c") for i in range(400)]
+    got = corpus_pipeline.mix_stage(spark, table(spark, rows), "").collect()
+    assert corpus_pipeline.mix_stage(spark, table(spark, rows[::-1]), "").subtract(spark.createDataFrame(got)).isEmpty()
+    target = {r.source: r.target for r in mix_sources(table(spark, rows)).collect()}
+    for source, target_words in target.items():
+        taken = Counter(r.text for r in got if r.source == source)
+        size = 4 if source == "c" else 20
+        assert abs(sum(taken.values()) * size - target_words) <= size
+        if source != "c":
+            assert max(taken.values()) - min([taken[t] for _, t, _, s in rows if s == source]) <= 1
