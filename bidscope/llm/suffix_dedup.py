@@ -11,7 +11,9 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
    there; one of each goes on to meet the others of its anchor.  Where an anchor has fragments that differ, their suffixes
    are sorted: prefix polynomial hashes give the common extension of two suffixes by binary search, merging runs takes
    logarithmically many such comparisons, and neighbours are checked byte for byte afterwards.  Equal 50-byte prefixes
-   then lie together, and the smallest doc_id of each such class decides.
+   then lie together, and the smallest doc_id of each such class decides.  An anchor that very many documents share would
+   gather a different fragment of each where a passage begins or ends; of such an anchor the 50-byte strings themselves are
+   dealt out by their hashes, so equal ones still meet and no task holds all of its fragments.
 3. The runs so found are joined to their documents and cut out.
 
 Defined results: a null text is an empty one; a document never repeats itself, nor do rows with the same doc_id repeat
@@ -42,6 +44,8 @@ BLOCK_BYTES = 1 << 24
 #: Bytes of fragments whose suffixes are sorted together; fragments of one anchor always are.
 SORT_BYTES = 1 << 22
 LEAST_BUCKETS = 48
+#: An anchor that more documents share is split: its 50-byte strings are dealt out one by one.
+MOST_FRAGMENTS = 1 << 16
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -177,7 +181,7 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-_MEET = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
+_MEET = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("known", pa.binary())])
 
 
 def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -202,18 +206,19 @@ def _meet_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int
         size = np.diff(np.r_[first, len(h)])
         known = np.repeat(size > 1, size)
         n = int(known.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(_spread(doc[known], buckets)), pa.array(doc[known]), pa.array(h[known]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_MEET)
-        h1, asks = h[first], np.where(size > 1, -1, doc[first])  # -1: nobody asks, the block knows already
+        yield pa.RecordBatch.from_arrays([pa.array(_spread(doc[known], buckets)), pa.array(doc[known]), pa.array(h[known]), *[pa.nulls(n, pa.binary())] * 3], schema=_MEET)
+        h1, asks, told = h[first], doc[first], size > 1  # told: nobody asks, the block knows already
         bucket = (h1 % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for part in np.split(order, cut[1:]):
             out[0].append(int(bucket[part[0]]))
             out[1].append(_planes(np.diff(h1[part], prepend=0)))
             out[2].append(_planes(asks[part]))
+            out[3].append(told[part].tobytes())
         m = len(out[0])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=_MEET)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], schema=_MEET)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -222,11 +227,12 @@ def _meet(table: pa.Table) -> pa.Table:
         return table.select(["doc_id", "hash"])
     h = np.concatenate([np.cumsum(_unplaned(x)) for x in table.column("hashes").to_pylist()])
     asks = np.concatenate([_unplaned(x) for x in table.column("docs").to_pylist()])
+    told = np.frombuffer(b"".join(table.column("known").to_pylist()), bool)
     order = np.argsort(h, kind="stable")
-    h, asks = h[order], asks[order]
+    h, asks, told = h[order], asks[order], told[order]
     cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[cut, len(h)])
-    shared = np.repeat((size > 1) | (asks[cut] < 0), size) & (asks != -1)
+    shared = np.repeat(size > 1, size) & ~told
     return pa.table([pa.array(asks[shared]), pa.array(h[shared])], names=["doc_id", "hash"])
 
 
@@ -371,6 +377,14 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
 
 
+def _string_hashes(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of all 50-byte strings of some stretches, one stretch after another.  They depend on the bytes alone."""
+    hashes = _rolling(_gathered(data, at, length), MATCH_BYTES)
+    strings = length - MATCH_BYTES + 1
+    begin = np.cumsum(length) - length
+    return hashes[np.arange(int(strings.sum())) + np.repeat(begin - (np.cumsum(strings) - strings), strings)]
+
+
 def distinct_stretches(data: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     """A number for each stretch, equal for equal bytes: by hash and length, then verified byte for byte."""
     if not len(start):
@@ -389,11 +403,20 @@ def distinct_stretches(data: np.ndarray, start: np.ndarray, length: np.ndarray,
     return number
 
 
-def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _settled(data: np.ndarray, at: np.ndarray, length: np.ndarray, own_hash: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of some stretches go on: of equal ones those of the smallest doc_id."""
+    number = distinct_stretches(data, at, length, own_hash)
+    least = np.full(int(number.max()) + 1 if len(number) else 0, NULL_ID, np.int64)
+    np.minimum.at(least, number, doc)
+    return doc == least[number]
+
+
+def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int, hot: np.ndarray, hot_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, version, hashes, text) to fragments of shared anchors.
 
     Of equal fragments in the block, those of the smallest doc_id go on; the others are covered runs already, and leave
-    merged, as rows of a negative bucket.
+    merged, as rows of a negative bucket.  What goes on of the ``hot`` anchors does so string by string, each string a
+    fragment that bears its own hash for an anchor and is dealt by it to ``hot_buckets`` more buckets.
     """
     for block in _blocks(batches, block_bytes):
         pieces, parts, base = [], [], 0
@@ -415,10 +438,23 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes:
         data = np.concatenate(pieces)
         doc = np.array([r[0] for r in block.rows], np.int64)[row]
         version = np.array([r[1] for r in block.rows], np.int64)[row]
-        number = distinct_stretches(data, at, length, own_hash)
-        least = np.full(int(number.max()) + 1 if len(number) else 0, NULL_ID, np.int64)
-        np.minimum.at(least, number, doc)
-        going = doc == least[number]
+        going = _settled(data, at, length, own_hash, doc)
+        bucket = (anchor % buckets).astype(np.int32)
+        split = np.flatnonzero(going & np.isin(anchor, hot))
+        if len(split):
+            strings = length[split] - MATCH_BYTES + 1
+            of = np.repeat(split, strings)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+            string_at = at[of] + step
+            string_hash = _string_hashes(data, at[split], length[split])
+            going[split] = False
+            kept = np.ones(len(at), bool)
+            kept[split] = False  # their strings stand for them
+            parts = [
+                (anchor, string_hash.view(np.int64)), (row, row[of]), (doc, doc[of]), (version, version[of]), (at, string_at), (length, np.full(len(of), MATCH_BYTES)), (place, place[of] + step),
+                (going, _settled(data, string_at, np.full(len(of), MATCH_BYTES), string_hash, doc[of])), (bucket, (buckets + mix64(string_hash) % np.uint64(hot_buckets)).astype(np.int32)),
+            ]
+            anchor, row, doc, version, at, length, place, going, bucket = (np.concatenate([whole[kept], string]) for whole, string in parts)
         # What a smaller doc_id of the block has: runs of one row, merged.
         done = np.flatnonzero(~going)
         if len(done):
@@ -429,9 +465,8 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes:
             ids, versions = (np.array([r[i] for r in block.rows], np.int64)[of] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(_spread(ids, buckets)), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(versions), pa.array(lo % far), pa.array(hi - lo)], schema=_FRAGMENT)
         some = np.flatnonzero(going)
-        bucket = (anchor[some] % buckets).astype(np.int32)
-        some = some[np.lexsort((anchor[some], bucket))]
-        bucket = np.sort(bucket)
+        some = some[np.lexsort((anchor[some], bucket[some]))]
+        bucket = bucket[some]
         cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else np.zeros(0, np.int64)
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
             part = some[a:b]
@@ -562,19 +597,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 24, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 24, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
     """(doc_id, version, start, length): runs of bytes to remove; version tells rows with one doc_id apart by text."""
     spark = docs.sparkSession
     release_shuffles(spark)
     keyed = _keyed(docs)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, partitions_for(total, bucket_bytes))
-    asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary")
+    asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary, known binary")
     shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long"), "anchors")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     flagged = keyed.join(per_doc, "doc_id").select("doc_id", "version", "hashes", "text")
     schema = "bucket int, packed binary, doc_id long, version long, start long, length long"
-    fragments = flagged.mapInArrow(lambda b: _fragment_rows(b, buckets, block_bytes), schema)
+    # Anchors of so many documents that their fragments together are too many for a task: rows / most_fragments at most.
+    counted = shared.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_fragments).collect()
+    hot = np.array([r["hash"] for r in counted], np.int64)
+    # A fragment has half as many strings as an anchor's bytes can be shared by, about, each of 50 bytes.
+    hot_buckets = partitions_for(sum(r["n"] for r in counted) * (MATCH_BYTES - ANCHOR_BYTES) // 2 * MATCH_BYTES, bucket_bytes)
+    fragments = flagged.mapInArrow(lambda b: _fragment_rows(b, buckets, block_bytes, hot, hot_buckets), schema)
     return materialize(fragments.groupBy("bucket").applyInArrow(_covered, _RUNS), "runs")
 
 

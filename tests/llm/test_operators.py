@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -174,6 +175,43 @@ def test_op6_over_many_small_blocks(spark, odd, rows, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_op6_splits_hot_anchors_exactly(spark, odd, rows, most):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").repartition(5)
+    got = suffix_dedup.cut_repeats(docs, suffix_dedup.repeated_runs(docs, bucket_bytes=1 << 12, block_bytes=1 << 11, most_fragments=most)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+
+
+def test_op6_no_bucket_holds_a_hot_anchor():
+    """A passage in many documents, a different word before and after it in each: its edge anchors have a fragment a document."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    passage = noise(120)
+    texts = [noise(60) + passage + noise(60) for _ in range(400)]
+    own = [np.unique(suffix_dedup.anchors(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]).astype(np.int64) for t in texts]
+    anchor, n = np.unique(np.concatenate(own), return_counts=True)
+    shared = anchor[n > 1]
+    columns = [pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), pa.array([np.intersect1d(x, shared) for x in own], pa.list_(pa.int64())), pa.array(texts, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "hashes", "text"])
+
+    def fullest(hot):
+        held = Counter()
+        for out in suffix_dedup._fragment_rows(iter([batch]), 48, 1 << 12, hot, 64):
+            for bucket, packed in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                held[bucket] += int(suffix_dedup._unpacked(packed)[4].sum()) if bucket >= 0 else 0
+        return max(held.values())
+
+    assert fullest(anchor[n > 200]) < fullest(np.zeros(0, np.int64)) / 2
+
+
+def test_op6_minus_one_is_an_id_like_others(spark):
+    passage = "the passage that both of these documents hold, of more than fifty bytes"
+    rows = [(-1, f"first {passage} one", "en", "a"), (3, f"second {passage} two", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    got = suffix_dedup.cut_repeats(docs, suffix_dedup.repeated_runs(docs, block_bytes=1)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+
+
 def test_suffix_sort_orders_and_survives_false_hashes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000, np.uint8)
