@@ -6,6 +6,7 @@ the shared folder every few rounds, so that a lost executor costs no more than t
 
 from __future__ import annotations
 
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,19 +118,22 @@ def neighbourhood(edges: DataFrame, sources: DataFrame, *, hops: int = 2) -> Dat
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(source, node, distance, parent) with distance 1 / max(weight, 0.001) per edge, the strongest of parallel edges."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, *, rounds: int | None = None) -> DataFrame:
+    """(source, node, distance, parent) with distance 1 / max(weight, 0.001) per edge, the strongest of parallel edges.
+
+    Goes on until no distance falls, at most as many rounds as there are nodes; an error if ``rounds`` end before that.
+    """
     e = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg((1 / F.greatest(F.max("weight"), F.lit(0.001))).alias("length"))
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast("string").alias("parent"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         longer = best.join(e, best["node"] == e["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.col("src").alias("parent"))
         least = best.unionByName(longer).groupBy("source", "node").agg(F.min(F.struct("distance", "parent")).alias("m"))
         new = materialize(least.select("source", "node", "m.distance", "m.parent"), "paths")
         moved = new.join(best.select("source", "node", F.col("distance").alias("was")), ["source", "node"], "left").filter("was is null or distance < was").limit(1).count()
         best = new
         if not moved:
-            break
-    return best
+            return best
+    raise RuntimeError(f"distances still fall after {rounds} rounds")
 
 
 def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-9, checkpoint_every: int = 5) -> DataFrame:
@@ -180,30 +184,46 @@ def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return size.join(inner, "community", "left").fillna(0, ["inner_edges"]).withColumn("density", density)
 
 
-def k_core(edges: DataFrame, k: int = 2, *, rounds: int = 50) -> DataFrame:
-    """(node): what is left after nodes of fewer than k neighbours are taken away again and again."""
+def k_core(edges: DataFrame, k: int = 2, *, rounds: int | None = None) -> DataFrame:
+    """(node): what is left after nodes of fewer than k neighbours are taken away again and again, until none is; an error
+    if ``rounds`` end before that."""
     e = materialize(both_ways(edges).filter("src <> dst").select("src", "dst"), "core")
     before = e.count()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         keep = e.groupBy("src").agg(row_count().alias("d")).filter(F.col("d") >= k).select("src")
         e = materialize(e.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi"), "core")
         now = e.count()
         if now == before:
-            break
+            return e.select(F.col("src").alias("node")).distinct()
         before = now
-    return e.select(F.col("src").alias("node")).distinct()
+    raise RuntimeError(f"nodes still fall away after {rounds} rounds")
+
+
+def drawn_pivots(edges: DataFrame, *, exact_up_to: int = 1000, draws: tuple[tuple[int, int], ...] = ((5000, 500), (1000, 200))) -> DataFrame:
+    """(node): all nodes of a graph of ``exact_up_to``, else as many, in the order of their hashes, as the first of
+    ``draws`` (more nodes than, pivots) says."""
+    nodes = edges.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n = nodes.count()
+    if n <= exact_up_to:
+        return nodes
+    return nodes.orderBy(F.xxhash64("node"), "node").limit(next(k for least, k in draws if n > least))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int = 6) -> DataFrame:
-    """(node, score): betweenness over shortest paths from the rows of ``pivots`` (node), by Brandes' accumulation.
+def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int | None = None) -> DataFrame:
+    """(node, score) of every node: betweenness over shortest paths from the rows of ``pivots`` (node), by Brandes'
+    accumulation, times nodes by pivots.
 
-    All pivots advance together, one join per hop; dependencies flow back level by level.
+    All pivots advance together, one join per hop, until none reaches a new node (or for ``depth`` hops, if given);
+    dependencies flow back level by level.
     """
     e = materialize(both_ways(edges).filter("src <> dst").select("src", "dst"), "bt-edges")
+    nodes = materialize(e.select(F.col("src").alias("node")).distinct(), "bt-nodes")
+    pivots = materialize(pivots.select("node").distinct().join(nodes, "node", "left_semi"), "bt-pivots")
+    scale = nodes.count() / max(1, pivots.count())
     level = pivots.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
     seen = level.select("source", "node")
     levels, links = [level], []
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         step = level.join(e, level["node"] == e["src"]).select("source", F.col("src").alias("via"), F.col("dst").alias("node"), "paths").join(seen, ["source", "node"], "left_anti")
         step = materialize(step, "bt-links")
         if step.isEmpty():
@@ -220,8 +240,9 @@ def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int = 6) -> DataF
         part = gain.filter("source <> node").select("node", "gain")
         total = part if total is None else total.unionByName(part)
     if total is None:
-        return pivots.select("node", F.lit(0.0).alias("score")).limit(0)
-    return total.groupBy("node").agg((F.sum("gain") / 2).alias("score"))
+        return nodes.select("node", F.lit(0.0).alias("score"))
+    scores = total.groupBy("node").agg((F.sum("gain") / 2 * scale).alias("score"))
+    return nodes.join(scores, "node", "left").fillna(0.0, ["score"])
 
 
 def revolving_doors(tenders: DataFrame, buyers_as_suppliers: DataFrame) -> DataFrame:

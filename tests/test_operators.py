@@ -86,6 +86,32 @@ def test_paths_ranks_and_betweenness(spark, edges):
     assert {r.node: r.depth for r in graph.neighbourhood(edges, one, hops=2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_long_chains_are_walked_to_their_ends(spark):
+    """Paths of more than ten hops, with a lighter path of more hops, and scores over more than six hops."""
+    names = [f"n{i:02d}" for i in range(13)]
+    chain = spark.createDataFrame([(a, b, 10.0) for a, b in zip(names, names[1:], strict=False)] + [("n00", "n12", 0.5)], "src string, dst string, weight double")
+    one = spark.createDataFrame([("n00",)], "node string")
+    got = {r.node: (round(r.distance, 6), r.parent) for r in graph.shortest_paths(chain, one).collect()}
+    assert len(got) == 13 and got["n12"] == (1.2, "n11")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(chain, one, rounds=3)
+    line = chain.filter("weight > 1")
+    scores = {r.node: r.score for r in graph.betweenness(line, graph.drawn_pivots(line)).collect()}
+    assert scores == {n: float(i * (12 - i)) for i, n in enumerate(names)}
+    with pytest.raises(RuntimeError):
+        graph.k_core(line, 2, rounds=2)
+
+
+def test_pivots_are_drawn_over_all_nodes(spark):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}", 1.0) for i in range(30)], "src string, dst string, weight double")
+    assert graph.drawn_pivots(edges).count() == 60
+    few = {r.node for r in graph.drawn_pivots(edges, exact_up_to=10, draws=((50, 20), (10, 5))).collect()}
+    assert len(few) == 20 and {n[0] for n in few} == {"a", "b"}
+    star = spark.createDataFrame([("m", f"b{i}", 1.0) for i in range(4)], "src string, dst string, weight double")
+    leaf = spark.createDataFrame([("b0",)], "node string")
+    assert {r.node: r.score for r in graph.betweenness(star, leaf).collect()}["m"] == 3 / 2 * 5
+
+
 def test_communities_follow_weight(edges):
     got = {r.node: r.community for r in graph.communities(edges).collect()}
     assert len({got["x"], got["y"]}) <= 2 and set(got) == set("abcdxy")
