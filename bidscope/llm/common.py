@@ -66,6 +66,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def attach(df: DataFrame, other: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join on columns where null equals null, keeping the columns of ``on`` once."""
     right = other.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in other.columns if c not in on])

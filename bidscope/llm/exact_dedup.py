@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import ascii_lower, attach, mix64
+from bidscope.llm.common import ascii_lower, attach, free_name, mix64
 from bidscope.workspace import materialize, release_shuffles
 
 LEAST_CHUNK, MOST_CHUNK, MASK_BITS = 256, 8192, 10
@@ -135,11 +135,13 @@ def mark_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = mark_copies(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha", F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256))
-    one = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.lit(0)))
-    return attach(keyed, kept, ["doc_id", "__sha"], "inner").withColumn("__n", one).filter("__n = 1").drop("__n", "__sha")
+    """The rows of ``docs`` that stay, with all their columns.  Of equal texts with one doc_id the row whose columns have
+    the least hash stays."""
+    sha, n = free_name(docs, "__sha"), free_name(docs, "__n")
+    kept = mark_copies(docs).filter("kept").select("doc_id", F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(sha, F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256))
+    one = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.xxhash64(*docs.columns)))
+    return attach(keyed, kept, ["doc_id", sha], "inner").withColumn(n, one).filter(F.col(n) == 1).select(docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
