@@ -6,7 +6,8 @@ pages that such rules decide.  A host is blocked where its distrust reaches ``le
 trust; hosts that neither reaches are allowed.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; an empty
-path fits no rule, since rule paths begin with ``/``; a null html has no links; links within a host carry no evidence and
+path fits no rule, since rule paths begin with ``/``; of two rules of one length that fit, the one later in code-point order
+wins; a null html has no links; links within a host carry no evidence and
 are left out; repeated rows each get their verdict; an empty table gives no rows; other input columns are ignored.
 """
 
@@ -16,12 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidscope.llm.common import ascii_lower
-from bidscope.workspace import materialize, release_shuffles
+from bidscope.workspace import discard, materialize, release_shuffles
 
 #: (verdict, host, path); fits the host and its subdomains where the path begins so.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 20
+#: The walk may take so many rounds; it raises where scores still move by more than the tolerance then.
+ROUNDS = 500
 TOLERANCE = 1e-6
 RATIO = 2.0
 LEAST_DISTRUST = 0.02
@@ -57,22 +59,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, checkpoint_every: int = 5) -> DataFrame:
     """Personalised PageRank: (host, score) from ``seeds`` (host, seed) over ``edges`` (src, dst, weight).
 
-    score = (1 - damping) x seed + damping x what flows in.  Stops after ``rounds``, or when no score moves by more than
-    ``tolerance``; intermediate scores are written to the shared folder every few rounds.
+    score = (1 - damping) x seed + damping x what flows in.  Each round at least shrinks what is still to move by
+    ``damping``; the walk ends when no score is further than ``tolerance`` from its final value, and raises if ``rounds``
+    don't reach that.  Scores are written to the shared folder every few rounds, and the older ones deleted.
     """
-    score = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
+    score = materialize(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score")), "rank")
+    nodes = seeds.select("host", "seed").unionByName(edges.select(F.col("dst").alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.sum("seed").alias("seed"))
+    nodes = materialize(nodes, "rank-nodes")
+    written = score
     for i in range(1, rounds + 1):
+        # A host's inflow is an aggregate by then, so the joins below are of tables with one row for each host.
         flow = edges.join(score, edges["src"] == score["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("weight") * F.col("score")).alias("flow"))
-        new = seeds.join(flow, "host", "full").select("host", (F.coalesce("seed", F.lit(0.0)) * (1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
-        if i % checkpoint_every == 0:
-            new = materialize(new, "rank")
-            moved = new.join(score.withColumnRenamed("score", "was"), "host", "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-            score = new
-            if (moved or 0.0) <= tolerance:
-                break
-        else:
-            score = new
-    return score
+        new = nodes.join(flow, "host", "left").select("host", (F.col("seed") * (1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
+        if i % checkpoint_every and i < rounds:
+            score, before = new, score
+            continue
+        before, score = score, materialize(new, "rank")
+        moved = score.join(before.withColumnRenamed("score", "was"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        discard(written)
+        written = score
+        if moved * damping <= tolerance * (1 - damping):  # what is still to come is at most this geometric series
+            return score
+    raise RuntimeError(f"scores still move by {moved} after {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, *, rules=RULES, ratio: float = RATIO, least_distrust: float = LEAST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
