@@ -11,7 +11,10 @@ Three errors over three segments leave, by the pigeonhole principle, one of thes
 * all within one bit: the three indices, the ball taken for the first and third on one side, for the second on the other.
 
 Rows that share a key are compared bit for bit inside the task that holds them, and each task sends on no more links
-than join its fingerprints up, never all pairs.  Components follow from the links by distributed star contraction.
+than join its fingerprints up, never all pairs.  A key that more than ``MOST_HELD`` distinct fingerprints share is not
+held by a task: the bits in which they differ are cut into four parts, of which one at least is equal in two that link,
+and each part's value together with the key is a key of the next round.  Components follow from the links by distributed
+star contraction.
 
 Defined results: a null text is an empty one; a text without words has fingerprint zero, one of fewer than three words
 has one shingle; equal fingerprints are one class; a null doc_id never is a component's id unless all of it are null; an
@@ -29,12 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import row_hash
-from bidscope.workspace import materialize, release_shuffles
+from bidscope.llm.common import free_name, mix64, row_hash
+from bidscope.workspace import discard, materialize, release_shuffles
 
 SHINGLE_WORDS = 3
 SEED = 42
 MOST_BITS = 3
+#: Distinct fingerprints of one key that a task holds and compares.
+MOST_HELD = 1 << 15
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: (lowest bit, bits) of each segment.
@@ -190,11 +195,12 @@ def _forest(values: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, i
     return links
 
 
-def links_of(keyed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """(src, dst): links between distinct fingerprints that share a key, from rows (key, fp) sorted by key in each task."""
+def _compared(keyed: DataFrame, most_bits: int, most_held: int) -> DataFrame:
+    """Rows (key, src, dst) from rows (key, fp), sorted by key and fp in each task: links with a null key, and the
+    fingerprints (src) of keys that are too full for a task, without dst."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_keys, held, overfull = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             src, dst = [], []
@@ -211,22 +217,78 @@ def links_of(keyed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
                     found = np.array(_forest(values, most_bits), np.int64).reshape(-1, 2)
                     src.append(values[found[:, 0]])
                     dst.append(values[found[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (src, dst)], names=["src", "dst"])
+            a, b = (np.concatenate(c).view(np.int64) for c in (src, dst))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "src", "dst"])
+
+        def left_over(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64)), pa.nulls(len(keys), pa.int64())], names=["key", "src", "dst"])
 
         for batch in batches:
             keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
             fps = np.concatenate([held, batch.column(1).to_numpy().view(np.uint64)])
             if not len(keys):
                 continue
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            yield links(keys[:whole], fps[:whole])
-            held_keys, held = keys[whole:], fps[whole:]
-            if len(held) > 1 << 16:  # of a very full key only distinct fingerprints are held
-                held = np.unique(held)
-                held_keys = np.full(len(held), keys[-1])
+            if overfull is not None:  # the rest of a key whose first rows went on already
+                rest = int(np.searchsorted(keys, overfull, "right"))
+                yield left_over(keys[:rest], fps[:rest])
+                keys, fps = keys[rest:], fps[rest:]
+                if len(keys):
+                    overfull = None
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[cut, len(keys)])
+            full = np.repeat(size > most_held, size)
+            last = np.arange(len(keys)) >= (cut[-1] if len(cut) else 0)  # the last key may go on in the next batch
+            yield links(keys[~full & ~last], fps[~full & ~last])
+            if full.any():
+                yield left_over(keys[full], fps[full])
+            if len(full) and full[-1]:
+                overfull = keys[-1]
+            held_keys, held = keys[last & ~full], fps[last & ~full]
         yield links(held_keys, held)
 
-    return keyed.mapInArrow(run, "src long, dst long").distinct()
+    return keyed.mapInArrow(run, "key long, src long, dst long")
+
+
+def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, differ) to four rows (key, fp): the key with each quarter of the bits in ``differ``."""
+    for batch in batches:
+        key, fp, differ = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        rank, bits = np.zeros(len(fp), np.int64), np.bitwise_count(differ).astype(np.int64)
+        part = np.zeros((4, len(fp)), np.uint64)
+        for b in range(64):
+            bit = np.uint64(1) << np.uint64(b)
+            on = (differ & bit) != 0
+            of = np.minimum(3, rank * 4 // np.maximum(1, bits))
+            for k in range(4):
+                part[k] |= np.where(on & (of == k), fp & bit, np.uint64(0))
+            rank += on
+        for k in range(4):
+            named = mix64(mix64(key + np.uint64(k + 1)) ^ part[k])
+            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+
+
+def links_of(keyed: DataFrame, most_bits: int = MOST_BITS, most_held: int = MOST_HELD) -> DataFrame:
+    """(src, dst): links between distinct fingerprints that share a key, from rows (key, fp); each row once.
+
+    Keys too full for a task go into another round under narrower keys.  Each round a quarter of the differing bits is
+    fixed, so after a few a key has too few bits left to be full, whatever the fingerprints are.
+    """
+    if most_bits > 3:
+        raise ValueError("the keys find links of up to three bits")
+    found, rounds = None, 0
+    while True:
+        compared = materialize(_compared(keyed.repartition("key").sortWithinPartitions("key", "fp"), most_bits, most_held), "compared")
+        links = compared.filter("key is null").select("src", "dst")
+        found = links if found is None else found.unionByName(links)
+        full = compared.filter("key is not null").select("key", F.col("src").alias("fp"))
+        rounds += 1
+        if full.isEmpty():
+            return found.distinct()
+        if rounds > 16:
+            raise RuntimeError("keys are too full still")
+        differ = full.groupBy("key").agg(F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("differ"))
+        differ = materialize(differ, "full-keys")  # a table of its own, so that Spark can split a full key in the join
+        keyed = full.join(differ, "key").select("key", "fp", "differ").mapInArrow(_narrower, "key long, fp long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -239,12 +301,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.join(low, both["u"] == low["c"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # The aggregated sides are written before the joins, so that Spark can split a node of very many links there.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m")), "low")
+        large = materialize(both.join(low, both["u"] == low["c"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         # Small star: to the least smaller neighbour, the node itself and its other smaller neighbours.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
-        edges = materialize(moved.filter("u <> v").distinct(), "links")
+        least = materialize(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "least")
+        moved = large.join(least, F.col("u") == F.col("c")).select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+        settled = materialize(moved.filter("u <> v").distinct(), "links")
+        for table in (edges, low, large, least):
+            discard(table)
+        edges = settled
         state = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
@@ -267,7 +333,7 @@ def _component_roots(marked: DataFrame, most_bits: int) -> DataFrame:
                 row, key = fingerprint_keys(part, code)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[row].view(np.int64))], names=["key", "fp"])
 
-    keyed = distinct.select("fp").mapInArrow(key_rows, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    keyed = distinct.select("fp").mapInArrow(key_rows, "key long, fp long")  # a fingerprint's keys are all different
     joined = components(links_of(keyed, most_bits))
     return distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
@@ -276,9 +342,9 @@ def near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row."""
     release_shuffles(docs.sparkSession)
     marked = materialize(fingerprints(docs), "simhash")
-    per_fp = _component_roots(marked, most_bits)
-    named = per_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = per_fp.join(named, "root").select("fp", "component_id")
+    per_fp = materialize(_component_roots(marked, most_bits), "roots")
+    named = materialize(per_fp.groupBy("root").agg(F.min("first_id").alias("component_id")), "root-ids")
+    member = materialize(per_fp.join(named, "root").select("fp", "component_id"), "members")
     return marked.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -287,14 +353,14 @@ def drop_near_copies(docs: DataFrame, *, most_bits: int = MOST_BITS) -> DataFram
     null coming after all others, and of equal ids that with the smallest hash.  Rows are told apart by a hash of id and
     text together, so components whose rows share an id, or have none, keep a row each."""
     release_shuffles(docs.sparkSession)
-    row = row_hash("doc_id", "text")
+    row, mark, n = row_hash("doc_id", "text"), free_name(docs, "__row"), free_name(docs, "__n")
     marked = materialize(fingerprints(docs, row), "simhash")
     # A row per fingerprint before the join, so that a hot fingerprint is one row there.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     each = materialize(marked.groupBy("fp").agg(first), "simhash-first")
-    kept = each.join(_component_roots(marked, most_bits), "fp").groupBy("root").agg(F.min("first")["row"].alias("__row")).select("__row")
-    n = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    return docs.withColumn("__row", row).join(kept, "__row").withColumn("__n", n).filter("__n = 1").drop("__n", "__row")
+    kept = each.join(_component_roots(marked, most_bits), "fp").groupBy("root").agg(F.min("first")["row"].alias(mark)).select(mark)
+    number = F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64(*docs.columns)))
+    return docs.withColumn(mark, row).join(kept, mark).withColumn(n, number).filter(F.col(n) == 1).select(docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
