@@ -4,7 +4,8 @@ A document's ids, closed by the end id, are cut into full windows from its start
 window, is packed with other documents' rests: longest first, each into the open window with the least room that still
 takes it.  Open windows stand in a segment tree over their remaining room, so a piece finds its window in steps of the
 logarithm of the window size.  Documents are dealt into groups of about ``rows_each`` by a hash of their ids, and each
-group packs its own rests, so only piece lengths are ever shuffled and no group grows with the corpus.
+group packs its own rests, so only piece lengths are ever shuffled.  A group that has many more pieces than others, where
+very many rows share an id or have none, is dealt out again row by row, so no group grows with the corpus.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as documents of their own; a null
 doc_id is kept; an empty table gives no rows; other input columns are ignored.  A sequence is padded to the window unless
@@ -20,10 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidscope.llm.common import partitions_for
+from bidscope.workspace import materialize, release_shuffles
 
 WINDOW = 1024
 END_ID = 0
@@ -185,14 +188,17 @@ def pieces_of(docs: DataFrame, *, tokenizer: str | None = None, window: int = WI
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, groups: int, *, window: int = WINDOW) -> DataFrame:
-    """Give every piece a sequence and its place there; each of ``groups`` packs by itself."""
+def pack_pieces(pieces: DataFrame, groups: int, *, window: int = WINDOW, most_pieces: int = 65536) -> DataFrame:
+    """Give every piece a sequence and its place there; each of ``groups`` packs by itself.
+
+    A group of more than ``most_pieces`` is split into parts of about a quarter of that; so no task holds more.
+    """
 
     def pack(table: pa.Table) -> pa.Table:
         n = table.num_rows
         group = table.column("grp")[0].as_py()
-        doc, start, length = (table.column(c).to_numpy() for c in ("key", "start", "length"))
-        order = np.lexsort((table.column("ids_crc32").to_numpy(), start, doc, -length))
+        length = table.column("length").to_numpy()
+        order = pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
         placed, used = best_fit(length[order].tolist(), window)
         seq, off = np.empty(n, np.int64), np.empty(n, np.int64)
         at = np.array(placed, np.int64).reshape(n, 2)
@@ -204,13 +210,19 @@ def pack_pieces(pieces: DataFrame, groups: int, *, window: int = WINDOW) -> Data
             out = out.append_column(name, pa.array(column, pa.int64()))
         return out
 
-    key = F.coalesce("doc_id", F.lit(-1))
     # Full windows need no partner; a document's own windows are spread too, so a very long one makes no large group.
-    dealt = pieces.withColumn("key", key).withColumn("grp", F.pmod(F.xxhash64("key", F.floor(F.col("start") / (256 * window))), F.lit(groups)).cast("int"))
-    return dealt.groupBy("grp").applyInArrow(pack, PACKED_SCHEMA)
+    # Rows without an id are dealt by what they hold.
+    key = [F.coalesce("doc_id", "ids_crc32"), F.floor(F.col("start") / (256 * window))]
+    dealt = materialize(pieces.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(groups)).cast("long")), "pieces")
+    parts = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_pieces).select("grp", F.ceil(F.col("n") * 4 / most_pieces).alias("parts"))
+    parts = materialize(parts, "full-groups")  # a table of its own, so that Spark can split a full group in the join
+    split = dealt.withColumn("row", F.monotonically_increasing_id()).join(parts, "grp", "left")
+    number = F.col("grp") + groups * F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
+    return split.withColumn("grp", number).drop("row", "parts").groupBy("grp").applyInArrow(pack, PACKED_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, rows_each: int = 8192) -> DataFrame:
+    release_shuffles(docs.sparkSession)
     groups = partitions_for(docs.count(), rows_each)
     return pack_pieces(pieces_of(docs, tokenizer=tokenizer, window=window, end_id=end_id), groups, window=window)
 
