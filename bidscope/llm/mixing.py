@@ -1,12 +1,12 @@
 """Mixing sources to target weights, built from SQL functions only.
 
-Every document gets a hash-random key (the MD5 of its id).  Within a source the keys' leading digits are its ranges,
+Every document gets a hash-random key (the MD5 of its id; of its text if it has none).  Within a source the keys' leading digits are its ranges,
 equally full because the keys are uniform; word counts are summed inside each range and over the ranges before it, and
 a source is cut where that running sum meets its budget, after as many whole epochs as the budget holds.
 
 Defined results: a null text has size 0; null sources are one source, last in order; a source whose documents are all
-empty has target 0; rows with a null doc_id come last in their source; repeated rows are documents of their own, in the
-order of their sizes; an empty table gives no rows; other input columns are ignored.
+empty has target 0; repeated rows are documents of their own; of rows with one key those without an id come last, the
+others in the order of their sizes; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,21 +54,20 @@ def mix_sources(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken[, row]): the words that the mix takes of each document.
 
-    ``row``, a string that tells rows apart, is carried along; it breaks ties, and the keys of rows without an id are made
-    of it, so that these are dealt over all ranges.
+    ``row``, a string that tells rows apart, is carried along and breaks ties.
     """
     named = ["row"] if row is not None else []
     spark = docs.sparkSession
     release_shuffles(spark)
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[row.alias(n) for n in named]), "mix-sizes")
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[row.alias(n) for n in named]), "mix-sizes")
     digits = next(d for d in range(1, 6) if d == 5 or 16**d >= partitions_for(sized.count(), rows_each))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), *named, F.lit(""))))
-    keyed = sized.withColumn("key", key).withColumn("range", F.substring("key", 1, digits))
+    keyed = sized.withColumn("range", F.substring("key", 1, digits))
     targets = source_targets(sized, weights=weights, share=share, most_epochs=most_epochs)
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "range", F.coalesce(F.sum("in_range").over(up_to), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy(F.col("doc_id").isNull(), "key", "doc_id", "size", *named).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *named).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.select("doc_id", "source", "range", "size", *named, F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("local"))
     a, b, t = local.alias("a"), offsets.alias("b"), targets.alias("t")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range"))).join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
@@ -85,7 +84,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS VARCHAR), text, '')) AS key,
+         CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
 per AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rk FROM per),
@@ -100,7 +101,7 @@ levels AS (
 targets AS (SELECT source, source_size, LEAST(cap, weight * level) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.source, s.size,
-         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.doc_id IS NULL, md5(CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS LAST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s),
 joined AS (
   SELECT p.*, t.source_size, t.target, CAST(ROUND(t.target) AS BIGINT) AS budget,
