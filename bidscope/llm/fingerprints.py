@@ -6,7 +6,7 @@ merge into the sketch of the whole, and two of them estimate resemblance, contai
 Defined results: a null text is an empty one; a text of fewer than five words (but one at least) has one shingle, all
 its words; a text without words has an empty sketch and an empty fingerprint string.  Two empty sketches are alike (1),
 an empty one and another are not (0).  Documents with the same doc_id follow one another by text; a null doc_id comes
-last in descending order.  An empty table gives no rows; other input columns are ignored.
+last in descending order, likewise by text.  An empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from bidscope.llm.common import range_index, text_or_empty, words_of
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
 HASH_BITS = 48
+PREFIX_CHARS = 256
 
 
 def with_sketch(df: DataFrame, text: str, out: str, *, shingle_words: int = SHINGLE_WORDS, k: int = SKETCH_SIZE) -> DataFrame:
@@ -78,32 +79,50 @@ def merge_by(df: DataFrame, keys: list[str], sketch: str, k: int = SKETCH_SIZE)
 def with_next(df: DataFrame, carry: list[str], *, rows_each: int = 1024, most_ranges: int = 8192) -> DataFrame:
     """Add ``next_<c>`` for each column to carry: its value in the next row by descending doc_id, the first's for the last.
 
-    Rows are dealt into ranges of doc_id of about equal size.  The row that leads a range is also sent to the range
-    before it, so every next row is found inside a range, and no task holds more than one range.
+    Rows are dealt into ranges of doc_id of about equal size.  An id that more rows share than two ranges hold (or null)
+    is dealt further by the first column to carry, a string, at splitters from a sample of it.  The rows that may lead a
+    range are also sent to the range before it, so every next row is found inside a range; only rows equal in id and that
+    string always share one.  At most a few rows for each range come to the driver.
     """
-    ids = df.select(F.col("doc_id").alias("id"))
-    n, low = ids.agg(F.count(F.lit(1)), F.count("id")).first()
+    tie, prefix = carry[0], F.substring(carry[0], 1, PREFIX_CHARS)
+    n, low = df.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     ranges = max(1, min(most_ranges, n // rows_each))
-    cuts: list[int] = []
+    each = max(rows_each, n // ranges)
+    cuts: set[int] = set()
     if ranges > 1 and low:
-        found = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 16 * ranges)).first()[0]
-        cuts = sorted(set(found))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(range_index(F.col("doc_id"), cuts))
-    placed = df.withColumn("__b", bucket.cast("int"))
-    # At most one id per range comes to the driver.
-    order = [F.col("doc_id").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in carry]]
-    tops = {r["__b"]: r["top"] for r in placed.groupBy("__b").agg(F.max("doc_id").alias("top")).collect()}
-    present = sorted(tops, reverse=True)
+        cuts |= set(df.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 16 * ranges)).first()[0])
+    crowded = {r["doc_id"]: r["n"] for r in df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * each).collect()} if ranges > 1 else {}
+    cuts |= {c for i in crowded if i is not None for c in (i, i - 1) if c >= -(1 << 63)}  # such an id has a range of its own
+    rows = []
+    if crowded:
+        hot = F.col("doc_id").isin([i for i in crowded if i is not None]) | (F.col("doc_id").isNull() & F.lit(None in crowded))
+        chance = F.shiftrightunsigned(F.xxhash64(tie, F.lit("next")), 11) / F.lit(float(1 << 53)) < 8.0 * ranges / sum(crowded.values())
+        drawn: dict[int | None, list[str]] = {i: [] for i in crowded}
+        for r in df.filter(hot & chance).select("doc_id", prefix.alias("p")).collect():  # about 8 for each range
+            drawn[r["doc_id"]].append(r["p"])
+        for i, found in drawn.items():
+            found.sort(key=lambda p: p.encode())
+            parts = -(-crowded[i] // each)
+            rows.append((i, sorted({found[k * len(found) // parts] for k in range(1, parts)} if found else set(), key=lambda p: p.encode())))
+    splits = df.sparkSession.createDataFrame(rows, "__id long, __splits array<string>")
+    ranged = df.join(F.broadcast(splits), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    own_range = F.when(F.col("doc_id").isNull(), -1).otherwise(range_index(F.col("doc_id"), sorted(cuts))).cast("long")
+    within = F.when(F.col("__splits").isNull(), 0).otherwise(F.size(F.filter("__splits", lambda s: s < F.col(tie))))
+    most = 1 << 32
+    placed = ranged.withColumn("__b", own_range * most + (most - 1 - within))  # a larger number comes earlier
+    first = F.when(F.col("__splits").isNotNull(), prefix)
+    tops = placed.groupBy("__b").agg(F.max("doc_id").alias("top"), F.min(first).alias("first")).collect()
+    present = sorted((r["__b"] for r in tops), reverse=True)
     if not present:
-        return placed.drop("__b").select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
+        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
     before = {b: present[i - 1] for i, b in enumerate(present)}  # the range that ends where this one begins; the last, for the first
-    as_map = lambda d: F.map_from_arrays(F.array(*[F.lit(k) for k in d]), F.array(*[F.lit(v).cast("long") for v in d.values()]))
-    lead = F.try_element_at(as_map(tops), F.col("__b")).eqNullSafe(F.col("doc_id"))
+    edges = df.sparkSession.createDataFrame([(r["__b"], r["top"], r["first"], before[r["__b"]]) for r in tops], "__b long, __top long, __first string, __before long")
+    edged = placed.join(F.broadcast(edges), "__b")
+    lead = F.col("doc_id").eqNullSafe(F.col("__top")) & (F.col("__first").isNull() | (prefix == F.col("__first")))
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("halo"))
-    copy = F.struct(F.try_element_at(as_map(before), F.col("__b")).cast("int").alias("b"), F.lit(True).alias("halo"))
-    copies = F.when(lead, F.array(own, copy)).otherwise(F.array(own))
-    dealt = placed.withColumn("__c", F.explode(copies)).select("*", F.col("__c.b").alias("__to"), F.col("__c.halo").alias("__halo")).drop("__c", "__b")
-    w = Window.partitionBy("__to").orderBy(F.col("__halo").asc(), *order)
+    copies = F.when(lead, F.array(own, F.struct(F.col("__before").alias("b"), F.lit(True).alias("halo")))).otherwise(F.array(own))
+    dealt = edged.withColumn("__c", F.explode(copies)).select(*df.columns, F.col("__c.b").alias("__to"), F.col("__c.halo").alias("__halo"))
+    w = Window.partitionBy("__to").orderBy(F.col("__halo").asc(), F.col("doc_id").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in carry])
     ahead = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
     return ahead.filter(~F.col("__halo")).drop("__to", "__halo")
 
