@@ -7,17 +7,18 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
    anchors per 32 bytes.  Their hashes are dealt out by value, and each document learns which of its own also occur in
    another document.  Within a block of documents copies are found at once and sent once, so an anchor that a third of
    all documents have is sent once per block, not once per document.
-2. Fragments.  The bytes under all strings of one such anchor form a fragment.  Equal fragments of a block are settled
-   there; one of each goes on to meet the others of its anchor.  Where an anchor has fragments that differ, their suffixes
-   are sorted: prefix polynomial hashes give the common extension of two suffixes by binary search, merging runs takes
-   logarithmically many such comparisons, and neighbours are checked byte for byte afterwards.  Equal 50-byte prefixes
-   then lie together, and the smallest doc_id of each such class decides.  An anchor that very many documents share would
+2. Fragments.  The bytes under all strings of one such anchor form a fragment.  Of equal fragments of a block one goes on
+   for all, as rows are combined before a shuffle.  The suffixes of all fragments of an anchor are sorted: prefix polynomial
+   hashes give the common extension of two suffixes by binary search, merging runs takes logarithmically many such
+   comparisons, and neighbours are checked byte for byte afterwards.  Equal 50-byte prefixes then lie together, and the
+   smallest doc_id of each such class decides about its strings, in every row that has them.  An anchor that very many documents share would
    gather a different fragment of each where a passage begins or ends; of such an anchor the 50-byte strings themselves are
    dealt out by their hashes, so equal ones still meet and no task holds all of its fragments.
 3. The runs so found are joined to their documents and cut out.
 
 Defined results: a null text is an empty one; a document never repeats itself, nor do rows with the same doc_id repeat
-one another; a null doc_id counts as larger than every other; texts under 50 bytes stay whole; an empty table gives no
+one another; a null doc_id counts as larger than every other (a table that has null, the least and the greatest
+64-bit id raises ValueError); texts under 50 bytes stay whole; an empty table gives no
 rows; other input columns are ignored.
 """
 
@@ -43,7 +44,7 @@ PIECE_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 24
 #: Bytes of fragments whose suffixes are sorted together; fragments of one anchor always are.
 SORT_BYTES = 1 << 22
-LEAST_BUCKETS = 48
+LEAST_BUCKETS = 8
 #: An anchor that more documents share is split: its 50-byte strings are dealt out one by one.
 MOST_FRAGMENTS = 1 << 16
 
@@ -496,40 +497,37 @@ def _covered(table: pa.Table) -> pa.Table:
     np.minimum.at(least, number, doc)
     one = np.empty(n_distinct, np.int64)  # a row with each distinct fragment
     one[number] = np.arange(len(number))
+    # Distinct fragments in batches of about SORT_BYTES that part no anchor.
     order = np.argsort(anchor[one], kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(anchor[one][order]) != 0])
-    size = np.diff(np.r_[cut, n_distinct])
-    # Fragments of anchors that have several, in batches of about SORT_BYTES that part no anchor.
-    several = np.repeat(size > 1, size)
-    mixed = order[several]
+    volume = np.cumsum(length[one[order]])
+    last = np.r_[np.flatnonzero(np.diff(anchor[one][order])), n_distinct - 1]
+    top = np.empty(n_distinct, np.int64)
     runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(mixed):
-        group = np.repeat(np.arange(len(size)), size)[several]
-        volume = np.cumsum(length[one[mixed]])
-        last_of_group = np.r_[np.flatnonzero(np.diff(group)), len(mixed) - 1]
-        begin = 0
-        while begin < len(mixed):
-            want = (volume[begin - 1] if begin else 0) + SORT_BYTES
-            end = int(last_of_group[min(np.searchsorted(volume[last_of_group], want), len(last_of_group) - 1)]) + 1
-            batch = mixed[begin:end]
-            runs.append(_match(data, at[one[batch]], length[one[batch]], least[batch], batch))
-            begin = end
-    whole = doc > least[number]
+    begin = 0
+    while begin < n_distinct:
+        want = (volume[begin - 1] if begin else 0) + SORT_BYTES
+        end = int(last[min(np.searchsorted(volume[last], want), len(last) - 1)]) + 1
+        batch = order[begin:end]
+        top[batch], *found = _match(data, at[one[batch]], length[one[batch]], least[batch], batch)
+        runs.append(tuple(found))
+        begin = end
+    # All strings of a fragment lie in classes of an id below that of the row: the row is covered whole.
+    whole = doc > top[number]
     out = [[doc[whole], version[whole], place[whole], length[whole]]]
-    if runs:
-        fragment, a, n = (np.concatenate(c) for c in zip(*runs, strict=True))
-        # Each run for each row of the smallest doc_id that has the fragment.
-        rows = np.flatnonzero(~whole)
-        rows = rows[np.argsort(number[rows], kind="stable")]
-        lo, hi = np.searchsorted(number[rows], fragment, "left"), np.searchsorted(number[rows], fragment, "right")
-        times = hi - lo
-        which = rows[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-        out.append([doc[which], version[which], place[which] + np.repeat(a, times), np.repeat(n, times)])
+    fragment, a, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+    # Else the runs of such strings, which are the same for all rows left: those of the smallest doc_id.
+    rows = np.flatnonzero(~whole)
+    rows = rows[np.argsort(number[rows], kind="stable")]
+    lo, hi = np.searchsorted(number[rows], fragment, "left"), np.searchsorted(number[rows], fragment, "right")
+    times = hi - lo
+    which = rows[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+    out.append([doc[which], version[which], place[which] + np.repeat(a, times), np.repeat(n, times)])
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
 
-def _match(data: np.ndarray, at: np.ndarray, length: np.ndarray, owner: np.ndarray, names: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, length): the runs of distinct fragments that lie in a fragment of a smaller owner.
+def _match(data: np.ndarray, at: np.ndarray, length: np.ndarray, owner: np.ndarray, names: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """(top, name, start, length): for each distinct fragment the largest of the ids that its strings' classes begin with,
+    and the runs of its strings whose classes begin with an id below its own.
 
     The strings of very many fragments are sorted in several passes, each over those whose hash falls to it, so the
     memory of a pass is bounded however many share an anchor.
@@ -540,32 +538,24 @@ def _match(data: np.ndarray, at: np.ndarray, length: np.ndarray, owner: np.ndarr
     piece = np.repeat(np.arange(len(at)), strings)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(strings) - strings, strings) + begin[piece]
     suffixes = Suffixes(data)
-    covered = np.zeros(len(data), bool)
+    smallest = np.full(len(data), -1, np.int64)
     piece_at = np.full(len(data), -1, np.int64)
     piece_at[place] = piece
-    deep = suffixes.whole(place)
-    # A string whose hash no other has can equal none; only the rest are sorted.
-    by_hash = np.argsort(deep, kind="stable")
-    same = deep[by_hash][1:] == deep[by_hash][:-1]
-    again = np.zeros(len(place), bool)
-    again[by_hash] = np.r_[False, same] | np.r_[same, False]
-    place, deep = place[again], deep[again]
     passes = max(1, -(-len(place) // most))
-    falls_to = mix64(deep) % np.uint64(passes)
+    falls_to = mix64(suffixes.whole(place)) % np.uint64(passes)
     for turn in range(passes):
         ordered, label = suffixes.classes(place[falls_to == turn])
         if len(ordered):
-            of = owner[piece_at[ordered]]
-            smallest = np.minimum.reduceat(of, np.flatnonzero(np.r_[True, np.diff(label) != 0]))[label]
-            covered[ordered[smallest < of]] = True
-    hit = np.flatnonzero(covered)
+            smallest[ordered] = np.minimum.reduceat(owner[piece_at[ordered]], np.flatnonzero(np.r_[True, np.diff(label) != 0]))[label]
+    top = np.maximum.reduceat(smallest[place], np.cumsum(strings) - strings)
+    hit = place[smallest[place] < owner[piece]]
     if not len(hit):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return top, none, none, none
     first = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(piece_at[hit]) != 0)])
     last = np.r_[first[1:], len(hit)] - 1
     k = piece_at[hit[first]]
-    return names[k], hit[first] - begin[k], hit[last] - hit[first] + MATCH_BYTES
+    return top, names[k], hit[first] - begin[k], hit[last] - hit[first] + MATCH_BYTES
 
 
 # --- cutting ------------------------------------------------------------------------------------------------------------
@@ -592,22 +582,32 @@ def without_runs(text: bytes, starts: np.ndarray | None, lengths: np.ndarray | N
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, asker, version, text).  ``doc_id`` is a number without nulls in the order of the ids: they move down by
+    one to make room for null at the top, unless the least of all is taken.  ``asker`` deals rows without an id out."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"))
-    return keyed.select("doc_id", F.xxhash64("text").alias("version"), "text")
-
-
-def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 24, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
+    own = F.col("doc_id").cast("long")
+    low, high, nulls = docs.agg(F.min(own), F.max(own), F.max(own.isNull())).first()
+    shift = 0 if low == -NULL_ID - 1 else 1
+    if nulls and not shift and high == NULL_ID:
+        raise ValueError("no number is left that could stand for a null doc_id")
+    if not nulls:
+        shift = 0
+    keyed = docs.select(own.alias("id"), F.coalesce(own - F.lit(shift), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"))
+    version = F.xxhash64("text")
+    return keyed.select("id", "doc_id", F.coalesce("id", version).alias("asker"), version.alias("version"), "text")
+
+
+def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 23, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
     """(doc_id, version, start, length): runs of bytes to remove; version tells rows with one doc_id apart by text."""
     spark = docs.sparkSession
     release_shuffles(spark)
     keyed = _keyed(docs)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, partitions_for(total, bucket_bytes))
-    asked = keyed.select("doc_id", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary, known binary")
+    asked = keyed.select("asker", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary, known binary")
     shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long"), "anchors")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-    flagged = keyed.join(per_doc, "doc_id").select("doc_id", "version", "hashes", "text")
+    per_doc = shared.groupBy(F.col("doc_id").alias("asker")).agg(F.collect_list("hash").alias("hashes"))
+    flagged = keyed.join(per_doc, "asker").select("doc_id", "version", "hashes", "text")
     schema = "bucket int, packed binary, doc_id long, version long, start long, length long"
     # Anchors of so many documents that their fragments together are too many for a task: rows / most_fragments at most.
     counted = shared.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_fragments).collect()
@@ -621,7 +621,7 @@ def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 24, block_bytes:
 def cut_repeats(docs: DataFrame, runs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``."""
     per = runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    joined = _keyed(docs).join(per, ["doc_id", "version"], "left").select("doc_id", "text", "runs.start", "runs.length")
+    joined = _keyed(docs).join(per, ["doc_id", "version"], "left").select("id", "text", "runs.start", "runs.length")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -629,7 +629,7 @@ def cut_repeats(docs: DataFrame, runs: DataFrame, *, with_text: bool = False) ->
             starts, lengths = (_arrays(c) for c in batch.columns[2:])
             for doc_id, text, start, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), starts, lengths, strict=True):
                 left, removed, spans = without_runs(text, start, length)
-                for c, x in zip(out, (None if doc_id == NULL_ID else doc_id, len(text), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
+                for c, x in zip(out, (doc_id, len(text), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
                     c.append(x)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
