@@ -1,6 +1,7 @@
 """From raw documents to packed sequences in five stages, each written as Parquet and read again as the next one's input.
 
-* language: documents whose language can't be told go (no letters at all, or no language holds ``LEAST_SHARE`` of the letters);
+* language: documents in no learned language go: those without letters, and those whose letters follow the learned
+  languages together less than they follow chance (``LEAST_EVIDENCE``); texts that mix learned languages stay;
 * exact: of equal texts (A-Z lower-cased) the largest doc_id stays;
 * near: of each SimHash component the smallest doc_id stays;
 * mix: sources are cut, or repeated, to their target numbers of words; a document that is repeated is so many rows;
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import row_hash
+from bidscope.llm.common import free_name, row_hash
 from bidscope.llm.exact_dedup import drop_copies
 from bidscope.llm.language import drop_undetermined
 from bidscope.llm.mixing import mix_sources
@@ -23,13 +24,12 @@ from bidscope.llm.packing import pack_documents
 from bidscope.llm.simhash import drop_near_copies
 from bidscope.workspace import materialize
 
-#: Least share of letters in the winning language's spans; below it a document is a jumble that no one language fits.
-#: A text that mixes two or three languages stays.
-LEAST_SHARE = 0.25
+#: Least mean log likelihood ratio for each letter of the best labelling against letters at random.
+LEAST_EVIDENCE = 0.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_undetermined(docs, least_share=LEAST_SHARE).select(docs.columns)
+    return drop_undetermined(docs, least_evidence=LEAST_EVIDENCE).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +43,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document's row as often as the mix takes it, to the nearest whole number of times."""
     row = row_hash("doc_id", "source", "text")
+    mark, n, all_, rows_, copy = (free_name(docs, c) for c in ("__row", "__n", "__all", "__rows", "__copy"))
     mixed = mix_sources(docs, row=row)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     # Rows equal in all three are one to the mix; what it takes of them together is dealt out evenly again.
-    taken = mixed.groupBy(F.col("row").alias("__row")).agg(F.sum(times).alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
-    n = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    rows = docs.withColumn("__row", row).join(taken, "__row").withColumn("__n", n)
-    rows = rows.withColumn("__times", F.expr("__all div __rows + cast(__n <= __all % __rows as bigint)")).filter("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(docs.columns)
+    taken = mixed.groupBy(F.col("row").alias(mark)).agg(F.sum(times).alias(all_), F.count(F.lit(1)).alias(rows_)).filter(F.col(all_) > 0)
+    number = F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64(*docs.columns)))
+    rows = docs.withColumn(mark, row).join(taken, mark).withColumn(n, number)
+    each = F.floor(F.col(all_) / F.col(rows_)) + (F.col(n) <= F.col(all_) % F.col(rows_)).cast("long")
+    return rows.withColumn(copy, F.explode(F.when(each > 0, F.sequence(F.lit(1), each.cast("int"))))).select(docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
