@@ -43,10 +43,10 @@ HASH_BITS = 48
 PIECE_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 24
 #: Bytes of fragments whose suffixes are sorted together; fragments of one anchor always are.
-SORT_BYTES = 1 << 22
+SORT_BYTES = 1 << 20
 LEAST_BUCKETS = 8
 #: An anchor that more documents share is split: its 50-byte strings are dealt out one by one.
-MOST_FRAGMENTS = 1 << 16
+MOST_FRAGMENTS = 1 << 14
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -256,6 +256,11 @@ class Suffixes:
         self.prefix, self.back = prefix_hashes(data)
         n = max(0, len(data) - depth + 1)
         self.deep = (self.prefix[depth : depth + n] - self.prefix[:n]) * self.back[:n]  # of the first ``depth`` bytes from each place
+        # The eight bytes from each place as one number; past the end they count as zero.
+        word = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for w in (1, 2, 4):
+            word = word[: len(word) - w] << np.uint64(8 * w) | word[w:]
+        self.word = word
 
     def hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
@@ -286,12 +291,7 @@ class Suffixes:
     def sorted(self, places: np.ndarray) -> np.ndarray:
         """Places in the order of their suffixes.  Runs start from the order of the first sixteen bytes; within equal ones
         a bottom-up mergesort merges runs by giving each suffix its rank in the neighbouring run, found by binary search."""
-        heads = []
-        for word in range(2):
-            head = np.zeros(len(places), np.uint64)
-            for i in range(8):
-                head = head << np.uint64(8) | self.data[places + 8 * word + i]
-            heads.append(head)
+        heads = [self.word[places], self.word[places + 8]]
         order = np.lexsort(heads[::-1])
         places = places[order]
         cut = np.flatnonzero(np.r_[True, (np.diff(heads[0][order]) != 0) | (np.diff(heads[1][order]) != 0)])
@@ -331,21 +331,24 @@ class Suffixes:
         return places
 
     def classes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted places, class number): equal classes have equal first ``depth`` bytes, verified byte for byte."""
+        """(sorted places, class number): equal classes have equal first ``depth`` bytes.  Neighbours' bytes are compared, so
+        the order and the classes are certain whatever the hashes said."""
         places = self.sorted(places)
-        a, b = places[:-1], places[1:]
-        claimed = self.common(a, b)
-        equal = np.ones(len(a), bool)
-        true = np.zeros(len(a), np.int64)
-        for i in range(self.depth):
-            equal &= self.data[np.minimum(a + i, len(self.data) - 1)] == self.data[np.minimum(b + i, len(self.data) - 1)]
-            true += equal
-        if not np.array_equal(true, claimed):  # a hash lied: sort by the bytes themselves
+        before, equal = self._steps(places)
+        if not (before | equal).all():  # a hash lied: sort by the bytes themselves
             rows = np.stack([self.data[places + i] for i in range(self.depth)], 1)
             places = places[np.lexsort(rows.T[::-1])]
-            a, b = places[:-1], places[1:]
-            true = np.where((np.stack([self.data[a + i] == self.data[b + i] for i in range(self.depth)], 1)).all(1), self.depth, 0)
-        return places, np.cumsum(np.r_[0, true < self.depth])
+            _, equal = self._steps(places)
+        return places, np.cumsum(np.r_[0, ~equal])
+
+    def _steps(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place and the next: do the first ``depth`` bytes come before, and are they equal."""
+        before, equal = np.zeros(max(0, len(places) - 1), bool), np.ones(max(0, len(places) - 1), bool)
+        for at in [*range(0, self.depth - 7, 8), self.depth - 8]:
+            word = self.word[places + at]
+            before |= equal & (word[:-1] < word[1:])
+            equal &= word[:-1] == word[1:]
+        return before, equal
 
 
 # --- fragments ----------------------------------------------------------------------------------------------------------
@@ -597,7 +600,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return keyed.select("id", "doc_id", F.coalesce("id", version).alias("asker"), version.alias("version"), "text")
 
 
-def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 23, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 22, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
     """(doc_id, version, start, length): runs of bytes to remove; version tells rows with one doc_id apart by text."""
     spark = docs.sparkSession
     release_shuffles(spark)
