@@ -1,7 +1,11 @@
 """Operators held against plain Python on a table of odd rows, and on an empty one."""
 
 import hashlib
+import math
+import random
 import re
+import struct
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from bidscope.llm import exact_dedup, fingerprints, language, mixing, packing, queries, sharding, simhash, suffix_dedup
 
@@ -390,5 +395,235 @@ def test_sharding_subdivides_a_hot_text(spark):
     assert len(loads) == 24 and max(loads) <= 1.02 * min(loads)
 
 
-def test_mixing_level_is_the_highest():
-    assert mixing.WEIGHTS == (3, 1, 2) and mixing.MOST_EPOCHS == 2
+def test_mixing_level_is_the_highest(spark):
+    """Targets by filling: the small source stops at twice its size, and the excess lifts the others by weight."""
+    sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 40)], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+    left = 1.5 * 2050 - 20 - 80
+    assert got == {"a": 20.0, "b": pytest.approx(left / 3), "c": pytest.approx(2 * left / 3), None: 80.0}
+
+
+# --- plain versions of the operators without SQL --------------------------------------------------------------------------
+
+
+def spark_hash(value, seed=42):
+    data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sketch(text, k=128):
+    words = [spark_hash(w) for w in WORD.findall(text)]
+    hashes = set()
+    for i in range(max(len(words) - 4, min(len(words), 1))):
+        h = 42
+        for w in words[i : i + 5]:
+            h = spark_hash(w, h % (1 << 64))
+        hashes.add((h % (1 << 64)) >> 16)
+    return sorted(hashes)[:k]
+
+
+def plain_likeness(a, b, k=128):
+    union = sorted({*a, *b})[:k]
+    return len([h for h in union if h in a and h in b]) / len(union) if union else 1.0
+
+
+def plain_op2(rows):
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    out = []
+    for n, (i, t, *_) in enumerate(ordered):
+        text, ahead = t or "", ordered[(n + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + ahead[:half]
+        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(ahead)
+        hexed = lambda s: "".join(f"{h:012x}" for h in s)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    return Counter(out)
+
+
+def op2_rows(found):
+    return Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found.collect())
+
+
+def test_op2_against_a_plain_version(spark, odd, rows):
+    assert op2_rows(queries.QUERIES["op2_fingerprints"](spark, odd)) == plain_op2(rows)
+
+
+def test_op2_over_many_ranges_with_crowded_ids(spark, monkeypatch):
+    """An id, and null, that more rows share than ranges hold; some of their texts are equal."""
+    rng = random.Random(8)
+    rows = [(7, f"{rng.random()} of seven") for _ in range(60)] + [(None, f"{rng.randint(0, 9)} of none") for _ in range(60)] + [(i, f"text {i} " * (i % 5)) for i in range(-40, 60)]
+    whole = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda df, carry: whole(df, carry, rows_each=8))
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert op2_rows(got) == plain_op2(rows)
+
+
+def plain_language(rows, buckets=1 << 16):
+    """Documents' languages letter by letter and word by word, without arrays."""
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 5 == 0
+
+    def mix(x):
+        m = (1 << 64) - 1
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & m
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & m
+        return x ^ x >> 32
+
+    def words_of(text):
+        """[(letters, [buckets])] of runs of letters and marks with a letter, 16 at a time."""
+        text = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        inner, out = set(), []
+        spaced = [unicodedata.category(c)[0] in "LM" for c in text]
+        n = 0
+        while n < len(text):
+            if not spaced[n]:
+                n += 1
+                continue
+            end = n
+            while end < len(text) and spaced[end]:
+                end += 1
+            if any(unicodedata.category(c)[0] == "L" for c in text[n:end]):
+                inner |= set(range(n, end))
+                out += [(a, min(a + 16, end)) for a in range(n, end, 16)]
+            n = end
+        code = lambda k: ord(text[k]) if k in inner else 0
+        grams = lambda k: (mix((code(k - 1) << 42 | code(k) << 21 | code(k + 1)) & ((1 << 64) - 1)) % buckets, mix((code(k - 1) << 21 | code(k)) + (1 << 50)) % buckets)
+        return [[(text[k], *grams(k)) for k in range(a, b)] for a, b in out]
+
+    script = lambda c: [s for start, s in language.SCRIPT_STARTS if start <= ord(c)][-1]
+    counts, letters = {}, {}
+    for i, t, lang, _ in rows:
+        if held(i) or lang is None or t is None:
+            continue
+        own, of = counts.setdefault(lang, Counter()), letters.setdefault(lang, Counter())
+        for word in words_of(t):
+            for c, tri, bi in word:
+                own[tri] += 1
+                own[bi] += 1
+                if unicodedata.category(c)[0] == "L":
+                    of[script(c)] += 1
+    names = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * buckets for x in names}
+    score = lambda x, b: math.log((counts[x][b] + 0.5) / total[x])
+    writes = {x: {s for s, n in letters[x].items() if n >= 0.005 * max(1, sum(letters[x].values()))} for x in names}
+    out = []
+    for i, t, _, _ in rows:
+        words = words_of(t or "")
+        best, back = [0.0] * len(names), []
+        for word in words:
+            sums = [sum(score(x, tri) + score(x, bi) for _, tri, bi in word) for x in names]
+            outside = [sum(unicodedata.category(c)[0] == "L" and script(c) not in writes[x] for c, _, _ in word) for x in names]
+            sums = [s if o == min(outside) else min(sums) - 50 for s, o in zip(sums, outside, strict=True)]
+            top = best.index(max(best))
+            back.append([top if best[k] < best[top] - 12 else k for k in range(len(names))])
+            best = [max(best[k], best[top] - 12) + sums[k] for k in range(len(names))]
+        share, state = Counter(), best.index(max(best))
+        for word, step in zip(reversed(words), reversed(back), strict=True):
+            share[state] += len(word)
+            state = step[state]
+        if not words:
+            out.append((i, held(i), "und", 0.0))
+        else:
+            win = min(share, key=lambda k: (-share[k], k))
+            out.append((i, held(i), names[win], round(share[win] / sum(share.values()), 6)))
+    return Counter(out)
+
+
+def test_op3_against_a_plain_version(spark, odd, rows):
+    got = queries.QUERIES["op3_language"](spark, odd).collect()
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in got) == plain_language(rows)
+
+
+def test_op3_letters_marks_and_far_scripts(spark):
+    rows = [(i, "plain words of one language here", "en", None) for i in range(20)] + [(100, "́̂ ́", None, None), (101, "\U000323ae\U000313f0", None, None), (102, "é ́", None, None)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[100] == "und" and got[101] == got[102] == "en"
+    kind, script = language._tables()
+    assert language.SCRIPTS[script[0x323AF]] == "han" and kind[0x323AF] == 1 and language.SCRIPTS[script[0x323B0]] == "other"
+
+
+def test_language_long_texts_and_bounded_model(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labelled = language.held_out(docs).filter("not held_out")
+    model = language.train(labelled)
+    texts = [r.text for r in docs.filter("text is not null").orderBy(F.length("text").desc()).limit(6).collect()]
+    usual = list(language.label_texts(texts, model, penalty=12.0, words_each=1 << 21))
+    monkeypatch.setattr(language, "_AT_ONCE", 4096)  # pieces of 1024 letters, each text on the long way
+    for a, b in zip(usual, language.label_texts(texts, model, penalty=12.0, words_each=1 << 21), strict=True):
+        assert (a.label == b.label).all() and (a.first == b.first).all() and a.likelihood == pytest.approx(b.likelihood, rel=1e-6)
+    many = spark.createDataFrame([(f"words of language {i} {'abcdefgh'[i % 8] * 9}", f"l{i}") for i in range(40)], "text string, lang string")
+    assert language.train(many, cells=1 << 15).scores.shape == (40, 512)
+    with pytest.raises(ValueError):
+        language.train(many, most_languages=39)
+
+
+def test_op6_null_and_the_greatest_ids(spark):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(90))
+    top = (1 << 63) - 1
+    rows = [(None, text + "A"), (top, text + "B"), (top - 1, text + "C"), (None, text + "D")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.cut_repeats(docs, suffix_dedup.repeated_runs(docs)).collect()}
+    assert got == {(top - 1, 91, 0), (top, 91, 90), (None, 91, 90)}
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_runs(spark.createDataFrame([(None, "a"), (top, "b"), (-top - 1, "c")], "doc_id long, text string"))
+
+
+def test_op9_full_keys_go_into_narrower_ones(spark, odd, monkeypatch):
+    """Keys of more than a few fingerprints, over several rounds, give the links that brute force gives."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4) for _ in range(40)]
+    fps = sorted({v - (1 << 64) if v >> 63 else v for v in near})
+    keyed = spark.createDataFrame([(k % 2, v) for k, v in enumerate(fps)] + [(2, v) for v in fps], "key long, fp long")
+    roots = {}
+    for most in (16, 1 << 15):
+        found = simhash.components(simhash.links_of(keyed, most_held=most)).collect()
+        roots[most] = {r.node: r.root for r in found}
+    assert roots[16] == roots[1 << 15]
+    parent = {v: v for v in fps}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for n, a in enumerate(fps):
+        for b in fps[:n]:
+            if bin((a ^ b) % (1 << 64)).count("1") <= 3 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {v: r for v, r in ((v, root(v)) for v in fps) if v != r} == roots[16]
+
+
+def test_op8_deals_full_groups_again(spark):
+    rows = [(None, None)] * 300 + [(5, "the same words")] * 300 + [(i, f"words {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_pieces(packing.pieces_of(docs), 4, window=64, most_pieces=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+
+
+def test_op10_keeps_equal_texts_together_and_shards_even(spark, odd, rows):
+    got = queries.QUERIES["op10_sharding"](spark, odd).collect()
+    total = sum(r.size for r in got)
+    group, where = Counter(), defaultdict(set)
+    for r in got:
+        group[(r.text_crc32, r.size)] += r.size
+        where[(r.text_crc32, r.size)].add(r.shard)
+    assert all(len(where[g]) == 1 for g in group if group[g] <= total / 24)
+    rng = random.Random(3)
+    many = [(i, "word " * rng.randint(1, 40)) for i in range(4000)] + [(9000 + i, "one hot text " * 20) for i in range(3000)] + [(20_000 + i, None) for i in range(2000)]
+    placed = sharding.shard_documents(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in placed:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(load) == 24 and max(load.values()) <= 1.2 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(placed) == len(many)
+    assert len({r.shard for r in placed if r.size == 8}) == 1  # many rows, few bytes: one shard, numbered in parts

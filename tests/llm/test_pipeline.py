@@ -28,8 +28,26 @@ def test_stages(spark, odd, rows):
 
 
 def test_run_equals_its_stages(spark, small):
-    got = corpus_pipeline.run(spark, small)
-    assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, small), name)
+    want = Counter(map(tuple, docs.collect()))
+    assert want and Counter(map(tuple, corpus_pipeline.run(spark, small).collect())) == want
+
+
+def test_language_stage_drops_jumble_and_foreign_text_only(spark, small):
+    """Planted texts: random letters and languages that nothing was learned of go; every document and mixtures stay."""
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.lang: r.text for r in docs.filter("length(text) > 200").collect()}
+    jumble = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    foreign = ["один два три четыре пять шесть семь восемь", "我们都是中国人今天天气很好", "καλημέρα κόσμε τι κάνεις", "12345 -- !!", "", None]
+    mixed = [" ".join(t[:150] for t in texts.values())]
+    planted = [(-1 - n, t, None, "planted", len(t or "")) for n, t in enumerate(jumble + foreign + mixed)]
+    whole = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    got = Counter(r.doc_id for r in corpus_pipeline.language_stage(spark, whole, "").collect())
+    letters = Counter(r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    assert got == letters + Counter({-len(planted): 1})
 
 
 def test_empty(spark, empty):

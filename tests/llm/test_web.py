@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+from collections import Counter, defaultdict
 import re
 
 import pyarrow as pa
@@ -93,3 +95,45 @@ def test_links_carry_trust_and_distrust(spark):
     assert got["fan.net"].verdict == "block" and got["near.net"].verdict == got["alone.net"].verdict == "allow"
     d = 0.85
     assert got["seed.org"].trust == pytest.approx(0.15) and got["near.net"].trust == pytest.approx(0.15 * d) and got["far.net"].trust == pytest.approx(0.15 * d * d)
+
+
+def test_walk_reaches_the_fixed_point_of_a_cyclic_graph(spark):
+    """Against plain PageRank over some hundred hosts with cycles, parallel links, dangling hosts and thresholds."""
+    rng = random.Random(4)
+    hosts = [f"h{i}.{'org' if i % 9 == 0 else 'com' if i % 4 == 0 else 'net'}" for i in range(120)]
+    rows, links = [], defaultdict(Counter)
+    for n, h in enumerate(hosts):
+        for k in range(rng.randint(1, 3)):
+            out = [hosts[(n + 1) % 60]] * (n < 60) + rng.sample(hosts, rng.randint(0, 4)) * (n % 7 > 0)
+            rows.append((len(rows), f"http://{h}{rng.choice(['/', '/de/x', '/fr/y'])}", "".join(f'<a href="//{x}/">' for x in out)))
+            for x in set(out) - {h}:
+                links[h][x] += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    rule = {i: next((v for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])) if (plain_parts(u)[0] == h or plain_parts(u)[0].endswith("." + h)) and plain_parts(u)[1].startswith(p)), None) for i, u, _ in rows}
+    host_of = {i: plain_parts(u)[0] for i, u, _ in rows}
+    seed = {w: {h: sum(rule[i] == w for i in rule if host_of[i] == h) / sum(host_of[i] == h for i in rule) for h in hosts} for w in ("allow", "block")}
+    back = defaultdict(Counter)
+    for a in links:
+        for b, n in links[a].items():
+            back[b][a] += n
+
+    def walk(seeds, edges):
+        score = {h: 0.15 * s for h, s in seeds.items()}
+        for _ in range(400):
+            flow = Counter()
+            for a in edges:
+                for b, n in edges[a].items():
+                    flow[b] += score[a] * n / sum(edges[a].values())
+            score = {h: 0.15 * seeds[h] + 0.85 * flow[h] for h in seeds}
+        return score
+
+    trust, distrust = walk(seed["allow"], links), walk(seed["block"], back)
+    for i in rule:
+        h, r = host_of[i], got[i]
+        assert r.trust == pytest.approx(trust[h], abs=2e-6) and r.distrust == pytest.approx(distrust[h], abs=2e-6)
+        if abs(distrust[h] - 2 * trust[h]) > 1e-4 and abs(distrust[h] - 0.02) > 1e-4:
+            assert r.verdict == (rule[i] or ("block" if distrust[h] >= 0.02 and distrust[h] >= 2 * trust[h] else "allow"))
+    edges = url_filter.host_edges(spark.createDataFrame([("a", '<a href="//b/">'), ("b", '<a href="//a/">')], "host string, html string"))
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(spark.createDataFrame([("a", 1.0)], "host string, seed double"), edges, rounds=3)
