@@ -24,8 +24,8 @@ from bidscope.llm.packing import pack_documents
 from bidscope.llm.simhash import drop_near_copies
 from bidscope.workspace import materialize
 
-#: Least mean log likelihood ratio for each letter of the best labelling against letters at random.
-LEAST_EVIDENCE = 0.0
+#: Least mean log likelihood ratio for each letter of the best labelling against letters at random: e times as likely.
+LEAST_EVIDENCE = 1.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
