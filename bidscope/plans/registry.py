@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bidscope.sources.domain import Tables
 
-_MODULES = ("detector_queries", "indicator_queries", "market_queries", "graph_queries", "other_queries", "assessment_queries", "panel_queries")
+_MODULES = ("detector_queries", "indicator_queries", "market_queries", "graph_queries", "other_queries", "assessment_queries", "panel_queries", "ingest_queries")
 
 
 def _modules():
