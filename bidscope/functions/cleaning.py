@@ -15,8 +15,8 @@ LATIN, CYRILLIC = "abvgdezijklmnoprstufhc", "абвгдезијклмнопрс
 DATE_FORMATS = ("dd.MM.yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy HH:mm", "yyyy-MM-dd HH:mm:ss")
 
 
-def parse_date(text: Column, as_of: date) -> Column:
-    """A date in one of several formats, with a Macedonian month name, or as today/yesterday; null outside 2000-2050 or if none fits."""
+def parse_date(text: Column, as_of: date, low: int = 2000, high: int = 2050) -> Column:
+    """A date in one of several formats, with a Macedonian month name, or as today/yesterday; null outside the years ``low`` to ``high`` or if none fits."""
     t = F.lower(F.trim(text))
     named = t
     for n, month in enumerate(MONTHS, 1):
@@ -24,7 +24,7 @@ def parse_date(text: Column, as_of: date) -> Column:
     named = F.regexp_replace(named, r"^(\d)\.", "0$1.")
     tried = [F.try_to_timestamp(named, F.lit(f)).cast("date") for f in DATE_FORMATS]
     day = F.coalesce(F.when(t.isin("denes", "денес", "today"), F.lit(as_of)).when(t.isin("vcera", "вчера", "yesterday"), F.date_sub(F.lit(as_of), 1)), *tried)
-    return day
+    return plausible(day, low, high)
 
 
 def plausible(day: Column, low: int = 2000, high: int = 2050) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,13 +106,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
-    """The k rows nearest to one of them by cosine; the query is one row."""
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = vectors.select("vec_id", "label", "embedding", norm.alias("norm"))
-    q = unit.filter(F.col("vec_id") == query_id).select(F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    scored = unit.filter(F.col("vec_id") != query_id).crossJoin(F.broadcast(q)).withColumn("cosine", F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("norm") * F.col("qn")), 5))
-    return scored.orderBy(F.desc("cosine"), "vec_id").limit(k).select("vec_id", "label", "cosine")
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, *, query_rows: int = 1024, vector_rows: int = 8192) -> DataFrame:
+    """(query_id, vec_id, label, cosine): for each row of ``queries`` (vec_id, embedding) its k nearest others among ``vectors``.
+
+    Both sides are packed into blocks of bounded size; each pair of blocks gives k rows for each of its queries before
+    anything is shuffled.  Vectors have one length; null and zero vectors have no neighbours.  Cosines are rounded to five
+    places, and ties go to the smaller vec_id.
+    """
+
+    def packed(df: DataFrame, rows: int, names: list[str], prefix: str) -> DataFrame:
+        whole = df.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
+        blocks = max(1, -(-whole.count() // rows))
+        dealt = whole.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(*names)).alias("rows"))
+        return dealt.select(*[F.col(f"rows.{n}").alias(f"{prefix}{n}") for n in names if n != "embedding"], F.flatten("rows.embedding").alias(f"{prefix}embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                q_ids, q, ids, labels, v = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in range(5))
+                q, v = q.reshape(len(q_ids), -1).astype(float), v.reshape(len(ids), -1).astype(float)
+                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                cosine = np.round(np.divide(q @ v.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0), 5)
+                cosine[q_ids[:, None] == ids] = -np.inf
+                order = np.argsort(ids, kind="stable")  # so that ties go to the smaller id
+                best = order[np.argsort(-cosine[:, order], axis=1, kind="stable")[:, :k]]
+                row = np.repeat(np.arange(len(q_ids)), best.shape[1])
+                found = cosine[row, best.ravel()]
+                real = np.isfinite(found)
+                at = best.ravel()[real]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row[real]]), pa.array(ids[at]), pa.array(labels[at]), pa.array(found[real])], names=["query_id", "vec_id", "label", "cosine"])
+
+    q = packed(queries, query_rows, ["vec_id", "embedding"], "q_")
+    v = packed(vectors, vector_rows, ["vec_id", "label", "embedding"], "")
+    pairs = q.join(v, how="cross").select("q_vec_id", "q_embedding", "vec_id", "label", "embedding")  # blocks, not rows
+    near = pairs.mapInArrow(run, "query_id long, vec_id long, label int, cosine double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
 def mean_vectors(vectors: DataFrame, key: str = "label") -> DataFrame:

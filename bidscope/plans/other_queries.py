@@ -41,7 +41,7 @@ def _dates(t):
     k = F.col("o_orderkey") % 5
     month = F.element_at(F.array(*[F.lit(m) for m in c.MONTHS]), F.month(d))
     text = F.when(k == 0, F.date_format(d, "dd.MM.yyyy")).when(k == 1, F.concat(F.date_format(d, "dd"), F.lit(" "), month, F.lit(" "), F.date_format(d, "yyyy"))).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.date_format(d, "dd/MM/yyyy")).otherwise("soon")
-    return t.raw("orders").select("o_orderkey", c.parse_date(text, AS_OF).alias("parsed"))
+    return t.raw("orders").select("o_orderkey", c.parse_date(text, AS_OF, 1993, 1997).alias("parsed"))
 
 
 def _amounts(t):
@@ -75,13 +75,17 @@ def _subscriptions(t):
 
 
 def _link(t):
+    t = t.written()  # the linkage reads them six times
     left = t.tenders.filter("status = 'awarded'").select(F.col("tender_id").alias("id"), "procuring_entity", "title", "publication_date", "estimated_value_mkd", "cpv_code")
     right = t.tenders.filter("status = 'closed'").select(F.col("tender_id").alias("id"), "procuring_entity", "title", "publication_date", "estimated_value_mkd", "cpv_code")
     return e.link_tenders(left, right)
 
 
 def _accounts(t):
-    return t.raw("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", "")), F.lit("@"), F.lower("c_mktsegment"), F.lit(".com")).alias("email"))
+    """Customers with short names at domains of a few dozen accounts, some of them under an alias."""
+    k = F.col("c_custkey")
+    base = F.concat(F.char((97 + k * 7 % 23).cast("int")), F.lit("li"), F.char((97 + k % 5).cast("int")), F.when(k % 4 == 0, (k % 50).cast("string")).otherwise(""))
+    return t.raw("customer").select(k.alias("id"), F.concat(base, F.when(k % 3 == 0, "+news").otherwise(""), F.lit("@"), F.lower("c_mktsegment"), F.floor(k / 60).cast("string"), F.lit(".com")).alias("email"))
 
 
 def _model(t):
@@ -121,17 +125,37 @@ _ALL = {
       f AS (SELECT bin, GREATEST(SUM(CASE WHEN ref THEN 1 ELSE 0 END) / SUM(SUM(CASE WHEN ref THEN 1 ELSE 0 END)) OVER (), 1e-6) AS ex, GREATEST(SUM(CASE WHEN ref THEN 0 ELSE 1 END) / SUM(SUM(CASE WHEN ref THEN 0 ELSE 1 END)) OVER (), 1e-6) AS ac FROM b GROUP BY bin) SELECT CAST(bin AS INTEGER) AS bin, ROUND(ex, 6) AS expected, ROUND(ac, 6) AS actual, ROUND((ac - ex) * ln(ac / ex), 6) AS psi FROM f"""),
     "c3_content_hash": (lambda t: _hashed(t, True), DOMAIN_SQL + "SELECT tender_id, sha256(concat_ws('|', 'title:' || title, 'value:' || CAST(CAST(estimated_value_mkd + CASE WHEN tender_id LIKE '%7' THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR), 'status:' || status, 'winner:' || winner)) AS content_hash FROM tenders WHERE tender_id NOT LIKE '%3'"),
     "c4_change_classes": (_changes, DOMAIN_SQL + "SELECT CASE WHEN tender_id LIKE '%5' THEN 'new' WHEN tender_id LIKE '%7' THEN 'updated' ELSE 'unchanged' END AS change, COUNT(*) AS tenders, SUM(CASE WHEN tender_id LIKE '%5' THEN 1 ELSE 2 END) AS scrapes FROM tenders WHERE tender_id NOT LIKE '%3' GROUP BY 1"),
-    "c6_parse_dates": (_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"),
+    "c6_parse_dates": (_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 AND year(o_orderdate) BETWEEN 1993 AND 1997 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"),
     "c7_parse_amounts": (_amounts, "SELECT l_orderkey, l_linenumber, MAX(ROUND(l_extendedprice, 2)) AS amount FROM lineitem GROUP BY 1, 2"),
     "c11_transliterate": (lambda t: t.raw("part").select("p_partkey", c.transliterate(F.col("p_name")).alias("cyrillic")), "SELECT p_partkey, translate(" + "".join("replace(" for _ in c.DIGRAPHS) + "lower(p_name)" + "".join(f", '{a}', '{b}')" for a, b in c.DIGRAPHS) + f", '{c.LATIN}', '{c.CYRILLIC}') AS cyrillic FROM part"),
     "c13_company_names": (lambda t: t.raw("supplier").select("s_suppkey", c.normalized_company(F.concat("s_name", F.lit(" (doo), Ltd."))).alias("name")), "SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(s_name || ' (doo), Ltd.'), '[.,()#-]', ' ', 'g'), '\\b(DOO|LTD)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM supplier"),
     "c16_cpv_hierarchy": (lambda t: t.tenders.filter("cpv_code is not null").groupBy(c.cpv_level(F.col("cpv_code")).alias("level"), c.cpv_parent(F.col("cpv_code")).alias("parent")).agg(row_count().alias("tenders")), DOMAIN_SQL + "SELECT CASE WHEN length(rtrim(cpv_code, '0')) <= 2 THEN 'division' WHEN length(rtrim(cpv_code, '0')) = 3 THEN 'group' WHEN length(rtrim(cpv_code, '0')) = 4 THEN 'class' ELSE 'category' END AS level, substr(cpv_code, 1, 2) || '000000' AS parent, COUNT(*) AS tenders FROM tenders WHERE cpv_code IS NOT NULL GROUP BY 1, 2"),
     "j9_similar_part_names": (lambda t: x.similar_names(t.raw("part").select(F.col("p_name").alias("name"))), None),
-    "j10_linked_tenders": (_link, DOMAIN_SQL + """SELECT id, arg_max(right_id, (score, right_id)) AS right_id, MAX(score) AS score FROM (SELECT a.tender_id AS id, b.tender_id AS right_id, CAST(CASE WHEN lower(a.title) = lower(b.title) THEN 100 ELSE 0 END + CASE WHEN a.publication_date = b.publication_date THEN 30 WHEN ABS(a.publication_date - b.publication_date) <= 3 THEN 15 WHEN ABS(a.publication_date - b.publication_date) <= 7 THEN 5 ELSE 0 END
-      + CASE WHEN ABS(a.estimated_value_mkd - b.estimated_value_mkd) / GREATEST(a.estimated_value_mkd, b.estimated_value_mkd, 1) < 0.01 THEN 20 WHEN ABS(a.estimated_value_mkd - b.estimated_value_mkd) / GREATEST(a.estimated_value_mkd, b.estimated_value_mkd, 1) < 0.10 THEN 10 ELSE 0 END + CASE WHEN a.cpv_code = b.cpv_code THEN 15 ELSE 0 END AS INTEGER) AS score
-      FROM tenders a JOIN tenders b ON a.procuring_entity = b.procuring_entity WHERE a.status = 'awarded' AND b.status = 'closed') x WHERE score >= 50 GROUP BY id"""),
-    "j14_duplicate_accounts": (lambda t: e.duplicate_accounts(_accounts(t)).groupBy("score").agg(row_count().alias("pairs")), "WITH a AS (SELECT c_custkey AS id, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS base, lower(c_mktsegment) || '.com' AS domain FROM customer), p AS (SELECT *, regexp_replace(base, '[0-9]', '', 'g') AS plain FROM a) SELECT CASE WHEN x.base = y.base THEN 95 WHEN x.plain = y.plain THEN 85 ELSE 100 - 20 * levenshtein(x.base, y.base) END AS score, COUNT(*) AS pairs FROM p x JOIN p y ON x.domain = y.domain AND substr(x.plain, 1, 1) = substr(y.plain, 1, 1) AND x.id < y.id WHERE x.base = y.base OR x.plain = y.plain OR levenshtein(x.base, y.base) <= 2 GROUP BY 1"),
-    "x3_cosine_top": (lambda t: x.cosine_top(t.raw("embeddings"), 0), "SELECT e.vec_id, e.label, ROUND(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 10"),
+    "j10_linked_tenders": (_link, DOMAIN_SQL + """, n AS (
+      SELECT *, regexp_replace(regexp_replace(trim(lower(title)), '\\s+', ' ', 'g'), '[.,;:!?()]', '', 'g') AS t FROM tenders),
+    p AS (
+      SELECT a.tender_id AS id, b.tender_id AS right_id, ABS(a.publication_date - b.publication_date) AS days,
+             LEAST(a.estimated_value_mkd, b.estimated_value_mkd) / GREATEST(a.estimated_value_mkd, b.estimated_value_mkd) AS ratio, a.cpv_code AS c, b.cpv_code AS d, COALESCE(a.t, '') AS t, COALESCE(b.t, '') AS u,
+             list_distinct(string_split(a.t, ' ')) AS w, list_distinct(string_split(b.t, ' ')) AS x
+      FROM n a JOIN n b ON a.procuring_entity = b.procuring_entity WHERE a.status = 'awarded' AND b.status = 'closed'),
+    scored AS (
+      SELECT id, right_id, CAST(CASE WHEN t = u THEN 100 WHEN contains(t, u) OR contains(u, t) THEN 50 ELSE COALESCE(FLOOR(ROUND(len(list_intersect(w, x)) * 40 / GREATEST(len(w), len(x)), 9)), 0) END
+             + CASE WHEN days <= 7 THEN 30 WHEN days <= 30 THEN 15 WHEN days <= 90 THEN 5 ELSE 0 END + CASE WHEN ratio > 0.95 THEN 20 WHEN ratio > 0.8 THEN 10 ELSE 0 END
+             + CASE WHEN c = d THEN 15 WHEN substr(c, 1, 5) = substr(d, 1, 5) THEN 8 ELSE 0 END AS INTEGER) AS score FROM p)
+    SELECT id, arg_max(right_id, (score, right_id)) AS right_id, MAX(score) AS score FROM scored WHERE score >= 80 GROUP BY id"""),
+    "j14_duplicate_accounts": (lambda t: e.duplicate_accounts(_accounts(t)), """
+    WITH a AS (
+      SELECT c_custkey AS id, chr(CAST(97 + c_custkey * 7 % 23 AS INTEGER)) || 'li' || chr(CAST(97 + c_custkey % 5 AS INTEGER)) || CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 50 AS VARCHAR) ELSE '' END AS base,
+             lower(c_mktsegment) || c_custkey // 60 || '.com' AS domain FROM customer),
+    p AS (SELECT *, regexp_replace(base, '[0-9]', '', 'g') AS plain FROM a)
+    SELECT id, MIN(id) OVER (PARTITION BY domain, base) AS base_class, COUNT(*) OVER (PARTITION BY domain, base) AS base_size, MIN(id) OVER (PARTITION BY domain, plain) AS plain_class,
+           COUNT(*) OVER (PARTITION BY domain, plain) AS plain_size, (SELECT COUNT(*) FROM p y WHERE y.domain = x.domain AND y.plain <> x.plain AND levenshtein(x.base, y.base) <= 2) AS near
+    FROM p x"""),
+    "x3_cosine_top": (lambda t: x.cosine_top(t.raw("embeddings"), t.raw("embeddings").filter("vec_id % 100 = 0")), """
+    SELECT query_id, vec_id, label, cosine
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place
+          FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, ROUND(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine
+                FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) c) r WHERE place <= 10"""),
     "x4_mean_vectors": (lambda t: x.mean_vectors(t.raw("embeddings")), "SELECT label, CAST(place - 1 AS INTEGER) AS place, ROUND(AVG(x), 6) AS mean, COUNT(*) AS n FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) u GROUP BY 1, 2"),
     "x1_sentence_chunks": (lambda t: x.sentence_chunks(t.raw("documents")).groupBy("doc_id").agg(row_count().alias("chunks"), F.sum("words").alias("words")), None),
     "x15_entities": (lambda t: x.extract_entities(t.raw("documents")).groupBy("entity_type").agg(row_count().alias("mentions"), F.count_distinct("doc_id").alias("documents")), None),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidscope.workspace import fresh_path
@@ -32,6 +32,39 @@ def unique_alerts(events: DataFrame, keys: list[str], *, watermark: str = "1 day
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def daily_digest(events: DataFrame, *, watermark: str = "2 days") -> DataFrame:
+    """Per user and day: events, value, purchases."""
+    counted = events.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), "user_id")
+    sums = counted.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return sums.select(F.col("w.start").cast("date").alias("day"), "user_id", "events", "value", "purchases")
+
+
+def change_stream(stream: DataFrame, key: str, value: str, order: list[str], *, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Each row of a stream with ``change``: new, updated or unchanged against the last value of its key.
+
+    The last values stand in a table beside the output, one version for each batch; a batch compares its rows with one
+    another and its first of each key with that table.  A batch that is run again writes the same files anew.
+    """
+    spark = stream.sparkSession
+    out, checkpoint = out or fresh_path(spark, "changes"), checkpoint or fresh_path(spark, "changes-state")
+    schema = stream.schema
+
+    def batch(df: DataFrame, number: int) -> None:
+        w = Window.partitionBy(key).orderBy(*order)
+        rows = df.withColumns({"__before": F.lag(value).over(w), "__first": F.row_number().over(w) == 1})
+        last = df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+        if number:
+            known = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, __last {schema[value].dataType.simpleString()}").parquet(f"{checkpoint}-last/{number - 1}")
+            rows = rows.join(known, key, "left").withColumn("__before", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__before"))).drop("__last")
+            last = known.join(last.select(key), key, "left_anti").unionByName(last)
+        change = F.when(F.col("__before").isNull(), "new").when(F.col("__before") != F.col(value), "updated").otherwise("unchanged")
+        rows.select(*schema.names, change.alias("change")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last.write.mode("overwrite").parquet(f"{checkpoint}-last/{number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def drain(stream: DataFrame, *, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Run a stream over all that is there, into Parquet in the shared folder, and return what it wrote.
 

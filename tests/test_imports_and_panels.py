@@ -66,7 +66,7 @@ def test_links_and_names(spark):
     s = "id string, procuring_entity string, title string, publication_date date, estimated_value_mkd double, cpv_code string"
     left = spark.createDataFrame([("l", "B", "Same", date(2020, 1, 1), 100.0, "33")], s)
     right = spark.createDataFrame([("r1", "B", "same", date(2020, 1, 3), 100.0, "33"), ("r2", "B", "other", date(2020, 1, 1), 100.0, "33"), ("r3", "C", "same", date(2020, 1, 1), 100.0, "33")], s)
-    assert [tuple(r) for r in entities.link_tenders(left, right).collect()] == [("l", "r1", 150)]
+    assert [tuple(r) for r in entities.link_tenders(left, right).collect()] == [("l", "r1", 165)]  # 100 + 30 + 20 + 15
     names = spark.createDataFrame([("Gradba DOO",), ("none",)], "name string")
     registry = spark.createDataFrame([("ГРАДБА ДООЕЛ",), ("Gradba",)], "name string")
     assert [tuple(r) for r in entities.match_companies(names, registry).collect()] == [("Gradba DOO", "Gradba", 1)]

@@ -141,9 +141,19 @@ def test_validation_and_changes(spark):
 def test_similar_names_and_accounts(spark):
     names = spark.createDataFrame([("green garden hose",), ("garden hose green",), ("steel bolt",)], "name string")
     assert [(r.a, r.b, r.similarity) for r in text.similar_names(names).collect()] == [("garden hose green", "green garden hose", 1.0)]
-    accounts = spark.createDataFrame([(1, "ann@x.com"), (2, "ann+a@x.com"), (3, "ann7@x.com"), (4, "anna@x.com"), (5, "ann@y.com")], "id int, email string")
-    got = {(r.id_a, r.id_b): r.score for r in entities.duplicate_accounts(accounts).collect()}
-    assert got == {(1, 2): 95, (1, 3): 85, (2, 3): 85, (1, 4): 80, (2, 4): 80, (3, 4): 80}
+    accounts = spark.createDataFrame(
+        [(1, "ann@x.com"), (2, "ann+a@x.com"), (3, "ann7@x.com"), (4, "anna@x.com"), (5, "ann@y.com"), (6, "alice@z.com"), (7, "blice@z.com"), (8, "xalice@z.com"), (9, "malicex@z.com")], "id int, email string"
+    )
+    got = {r.id: (r.base_class, r.base_size, r.plain_class, r.plain_size, r.near) for r in entities.duplicate_accounts(accounts).collect()}
+    assert got == {
+        1: (1, 2, 1, 3, 1), 2: (1, 2, 1, 3, 1), 3: (3, 1, 1, 3, 1), 4: (4, 1, 4, 1, 3), 5: (5, 1, 5, 1, 0),
+        6: (6, 1, 6, 1, 3), 7: (7, 1, 7, 1, 2), 8: (8, 1, 8, 1, 3), 9: (9, 1, 9, 1, 2),
+    }
+
+
+def test_implausible_years_are_null(spark):
+    df = spark.createDataFrame([("05.03.1999",), ("05.03.2051",), ("2050-12-31",)], "t string")
+    assert [r[0] for r in df.select(cleaning.parse_date(F.col("t"), date(2024, 1, 2))).collect()] == [None, None, date(2050, 12, 31)]
 
 
 def test_text_measures(spark):
