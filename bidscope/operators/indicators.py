@@ -1,7 +1,7 @@
 """Per-tender risk indicators, each computed for all tenders at once.
 
-An indicator returns (tender_id, indicator, category, score, threshold, triggered), for the tenders it can judge: the
-score is kept within 0 and 100, ``triggered`` compares the unbounded score with the threshold.  Look-back windows are in
+An indicator returns (tender_id, indicator, category, score, weight, threshold, confidence, triggered, evidence), for the
+tenders it can judge: ``evidence`` is JSON, the score is kept within 0 and 100, ``triggered`` compares the unbounded score with the threshold.  Look-back windows are in
 days; ``as_of`` stands for today.  History at a buyer is summed per buyer and day before anything is windowed.
 """
 
@@ -17,6 +17,43 @@ from bidscope.operators.detectors import AWARDED
 
 YEAR, TWO_YEARS, HALF_YEAR = 365, 730, 182
 
+#: Weight of each indicator.
+WEIGHTS = {
+    "single_bidder": 1.2,
+    "low_participation": 0.9,
+    "same_bidder_set": 1.1,
+    "bidder_diversity": 0.8,
+    "new_bidder_rate": 0.7,
+    "market_concentration": 1.0,
+    "bidder_turnover": 0.7,
+    "geographic_concentration": 0.6,
+    "bidder_experience": 0.6,
+    "competition_trend": 0.8,
+    "price_deviation": 1.0,
+    "bid_clustering": 1.2,
+    "cover_bidding": 1.1,
+    "round_number": 0.7,
+    "price_fixing": 1.3,
+    "below_market": 0.9,
+    "price_variance": 0.8,
+    "winner_z_score": 1.0,
+    "estimate_match": 1.2,
+    "price_sequence": 0.9,
+    "short_deadline": 1.0,
+    "weekend_publication": 0.8,
+    "election_cycle": 0.9,
+    "seasonal_pattern": 0.7,
+    "amendment_timing": 0.8,
+    "last_minute_submission": 0.7,
+    "process_duration": 0.7,
+    "publication_pattern": 0.6,
+    "deadline_extension": 0.7,
+    "submission_clustering": 0.8,
+    "repeat_winner": 1.2,
+}
+#: Confidence of those that rest on weaker data; 1 for the others.
+CONFIDENCE = {"same_bidder_set": 0.85, "election_cycle": 0.7, "last_minute_submission": 0.6, "publication_pattern": 0.6, "submission_clustering": 0.7}
+
 
 def ladder(*steps: tuple[Column, float], other: Column | float) -> Column:
     """The score of the first condition that holds."""
@@ -34,11 +71,20 @@ def bonus(condition: Column, n: float) -> Column:
     return F.when(condition, float(n)).otherwise(0.0)
 
 
-def indicator(df: DataFrame, name: str, category: str, threshold: float, score: Column) -> DataFrame:
+def evidence_text(measures: dict[str, Column]) -> Column:
+    """What a score rests on as a JSON object; numbers have four decimals."""
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(value.try_cast("decimal(20,4)").cast("string"), F.lit("null"))) for name, value in measures.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def indicator(df: DataFrame, name: str, category: str, threshold: float, score: Column, evidence: dict[str, Column]) -> DataFrame:
     """Scores are rounded to six places, so that the order of summing in statistics doesn't show."""
     raw = F.round(score, 6)
     clamped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw))
-    return df.select("tender_id", F.lit(name).alias("indicator"), F.lit(category).alias("category"), clamped.alias("score"), F.lit(float(threshold)).alias("threshold"), (raw >= threshold).alias("triggered"))
+    return df.select(
+        "tender_id", F.lit(name).alias("indicator"), F.lit(category).alias("category"), clamped.alias("score"), F.lit(WEIGHTS[name]).alias("weight"), F.lit(float(threshold)).alias("threshold"),
+        F.lit(CONFIDENCE.get(name, 1.0)).alias("confidence"), (raw >= threshold).alias("triggered"), evidence_text(evidence).alias("evidence"),
+    )
 
 
 def _recent(tenders: DataFrame, as_of: date, days: int) -> DataFrame:
@@ -59,14 +105,14 @@ def single_bidder(tenders: DataFrame) -> DataFrame:
     rows = tenders.withColumn("wins", F.count(F.when(awarded, 1)).over(_before(YEAR, "procuring_entity", "winner"))).filter("num_bidders = 1")
     wins = F.when(F.col("winner").isNull(), 0).otherwise(F.col("wins"))
     score = F.lit(60.0) + bonus(F.col("estimated_value_mkd") > 5e6, 20) + bonus(wins >= 3, 15) + bonus(~F.lower("procedure_type").contains("negotiated"), 10)
-    return indicator(rows, "single_bidder", "competition", 60, score)
+    return indicator(rows, "single_bidder", "competition", 60, score, {"wins": wins})
 
 
 def low_participation(tenders: DataFrame, as_of: date) -> DataFrame:
     stats = _recent(tenders, as_of, YEAR).filter(F.col("status").isin(*AWARDED) & (F.col("num_bidders") > 0)).groupBy("cpv_code").agg(F.avg("num_bidders").alias("mean"), F.stddev_samp("num_bidders").alias("sd"))
     rows = tenders.filter("num_bidders > 0").join(stats, "cpv_code")
     z = F.when(F.col("sd") > 0, (F.col("mean") - F.col("num_bidders")) / F.col("sd")).otherwise(0.0)
-    return indicator(rows, "low_participation", "competition", 55, ladder((z >= 2, 80), (z >= 1.5, 65), (z >= 1, 50), other=at_least_zero(30 - F.col("num_bidders") / F.col("mean") * 20)))
+    return indicator(rows, "low_participation", "competition", 55, ladder((z >= 2, 80), (z >= 1.5, 65), (z >= 1, 50), other=at_least_zero(30 - F.col("num_bidders") / F.col("mean") * 20)), {"bidders": F.col("num_bidders"), "z": z})
 
 
 def same_bidder_set(tenders: DataFrame, bidders: DataFrame, as_of: date) -> DataFrame:
@@ -75,7 +121,7 @@ def same_bidder_set(tenders: DataFrame, bidders: DataFrame, as_of: date) -> Data
     counts = recent.groupBy("companies").agg(F.count("recent").alias("n"))
     rows = recent.join(counts, "companies").withColumn("matches", F.col("n") - F.coalesce("recent", F.lit(0))).filter("matches > 0")
     m = F.col("matches")
-    return indicator(rows, "same_bidder_set", "competition", 65, ladder((m >= 10, 90), (m >= 7, 80), (m >= 5, 70), (m >= 3, 60), other=40))
+    return indicator(rows, "same_bidder_set", "competition", 65, ladder((m >= 10, 90), (m >= 7, 80), (m >= 5, 70), (m >= 3, 60), other=40), {"matches": m})
 
 
 def _buyer_scores(tenders: DataFrame, per_buyer: DataFrame) -> DataFrame:
@@ -88,7 +134,7 @@ def bidder_diversity(tenders: DataFrame, bidders: DataFrame, as_of: date) -> Dat
     # -sum p log p = log N - sum n log n / N
     entropy = F.log2("total") - F.col("nlogn") / F.col("total")
     share = F.when(F.col("companies") > 1, entropy / F.log2("companies")).otherwise(0.0)
-    return indicator(_buyer_scores(tenders, total), "bidder_diversity", "competition", 60, (1 - share) * 100)
+    return indicator(_buyer_scores(tenders, total), "bidder_diversity", "competition", 60, (1 - share) * 100, {"evenness": share})
 
 
 def _presence(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
@@ -122,7 +168,7 @@ def new_bidder_rate(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     new = _interval_steps(p, F.col("day"), F.least(until, F.date_add("first_day", YEAR)), "new").withColumn("recent", F.lit(0))
     rows = tenders.join(_level_at(recent.unionByName(new), tenders, ["recent", "new"]), ["procuring_entity", "publication_date"]).filter("recent > 0")
     rate = F.col("new") * 100.0 / F.col("recent")
-    return indicator(rows, "new_bidder_rate", "competition", 65, ladder((rate < 10, 85), (rate < 20, 70), (rate < 30, 50), other=at_least_zero(40 - rate)))
+    return indicator(rows, "new_bidder_rate", "competition", 65, ladder((rate < 10, 85), (rate < 20, 70), (rate < 30, 50), other=at_least_zero(40 - rate)), {"rate": rate})
 
 
 def bidder_turnover(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
@@ -137,7 +183,7 @@ def bidder_turnover(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     moves = state.select("procuring_entity", "date", (F.col("e") - F.coalesce(F.lag("e").over(w), F.lit(0))).alias("before"), (F.col("b") - F.coalesce(F.lag("b").over(w), F.lit(0))).alias("kept"))
     rows = tenders.join(_level_at(moves, tenders, ["before", "kept"]), ["procuring_entity", "publication_date"]).filter("before > 0")
     rate = F.col("kept") * 100.0 / F.col("before")
-    return indicator(rows, "bidder_turnover", "competition", 65, ladder((rate > 90, 80), (rate > 80, 70), (rate > 70, 55), other=at_least_zero(rate - 30)))
+    return indicator(rows, "bidder_turnover", "competition", 65, ladder((rate > 90, 80), (rate > 80, 70), (rate > 70, 55), other=at_least_zero(rate - 30)), {"rate": rate})
 
 
 def _edges(df: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
@@ -150,13 +196,13 @@ def market_concentration(tenders: DataFrame, as_of: date) -> DataFrame:
     wins = _recent(tenders, as_of, TWO_YEARS).filter(F.col("status").isin(*AWARDED) & F.col("winner").isNotNull()).groupBy("procuring_entity", "winner").agg(F.count(F.lit(1)).alias("n"))
     per = wins.groupBy("procuring_entity").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     hhi = F.col("squares") * 10000.0 / (F.col("total") * F.col("total"))
-    return indicator(_buyer_scores(tenders, per), "market_concentration", "competition", 70, ladder((hhi > 2500, 90), (hhi > 1800, 75), (hhi > 1500, 60), other=hhi / 1500 * 40))
+    return indicator(_buyer_scores(tenders, per), "market_concentration", "competition", 70, ladder((hhi > 2500, 90), (hhi > 1800, 75), (hhi > 1500, 60), other=hhi / 1500 * 40), {"hhi": hhi})
 
 
 def geographic_concentration(bidders: DataFrame) -> DataFrame:
     cities = bidders.filter("company_city is not null").groupBy("tender_id", "company_city").agg(F.count(F.lit(1)).alias("n")).groupBy("tender_id").agg(F.max("n").alias("most"), F.sum("n").alias("total")).filter("total >= 2")
     pct = F.col("most") * 100.0 / F.col("total")
-    return indicator(cities, "geographic_concentration", "competition", 70, ladder((pct == 100, 85), (pct >= 80, 70), (pct >= 60, 55), other=at_least_zero(pct - 20)))
+    return indicator(cities, "geographic_concentration", "competition", 70, ladder((pct == 100, 85), (pct >= 80, 70), (pct >= 60, 55), other=at_least_zero(pct - 20)), {"percent": pct})
 
 
 def bidder_experience(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
@@ -166,7 +212,7 @@ def bidder_experience(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     before = daily.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("company_name").orderBy("publication_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = dated.join(before, ["company_name", "publication_date"]).groupBy("tender_id").agg(F.count(F.lit(1)).alias("bidders"), F.count_if(F.col("before") < 3).alias("fresh"))
     pct = F.col("fresh") * 100.0 / F.col("bidders")
-    return indicator(rows, "bidder_experience", "competition", 65, ladder((pct == 100, 85), (pct >= 75, 70), (pct >= 50, 55), other=at_least_zero(pct - 10)))
+    return indicator(rows, "bidder_experience", "competition", 65, ladder((pct == 100, 85), (pct >= 75, 70), (pct >= 50, 55), other=at_least_zero(pct - 10)), {"percent": pct})
 
 
 def competition_trend(tenders: DataFrame, as_of: date) -> DataFrame:
@@ -176,7 +222,7 @@ def competition_trend(tenders: DataFrame, as_of: date) -> DataFrame:
     x = months.withColumn("x", F.row_number().over(Window.partitionBy("procuring_entity").orderBy("month")) - 1)
     slopes = x.groupBy("procuring_entity").agg(F.regr_slope("y", "x").alias("slope"), F.count(F.lit(1)).alias("months")).filter("months >= 3")
     s = F.round("slope", 9)
-    return indicator(_buyer_scores(tenders, slopes), "competition_trend", "competition", 65, ladder((s < -0.3, 85), (s < -0.15, 70), (s < 0, 55), other=at_least_zero(30 - s * 20)))
+    return indicator(_buyer_scores(tenders, slopes), "competition_trend", "competition", 65, ladder((s < -0.3, 85), (s < -0.15, 70), (s < 0, 55), other=at_least_zero(30 - s * 20)), {"slope": s})
 
 
 # --- price --------------------------------------------------------------------------------------------------------------
@@ -185,7 +231,7 @@ def competition_trend(tenders: DataFrame, as_of: date) -> DataFrame:
 def price_deviation(tenders: DataFrame) -> DataFrame:
     rows = tenders.filter("estimated_value_mkd > 0 and actual_value_mkd > 0").withColumn("dev", (F.col("actual_value_mkd") - F.col("estimated_value_mkd")) / F.col("estimated_value_mkd") * 100)
     d = F.abs("dev")
-    return indicator(rows, "price_deviation", "price", 60, ladder((d > 30, 90), (d > 20, 75), (d > 10, 60), (d > 5, 45), other=d * 5) + bonus((F.col("dev") > 0) & (F.col("num_bidders") == 1), 15))
+    return indicator(rows, "price_deviation", "price", 60, ladder((d > 30, 90), (d > 20, 75), (d > 10, 60), (d > 5, 45), other=d * 5) + bonus((F.col("dev") > 0) & (F.col("num_bidders") == 1), 15), {"deviation": d})
 
 
 def _bid_stats(bidders: DataFrame, least: int) -> DataFrame:
@@ -198,7 +244,7 @@ def _bid_stats(bidders: DataFrame, least: int) -> DataFrame:
 def bid_clustering(bidders: DataFrame) -> DataFrame:
     rows = _bid_stats(bidders, 3)
     c = F.col("sd") / F.col("mean")
-    return indicator(rows, "bid_clustering", "price", 65, ladder((c < 0.01, 95), (c < 0.02, 85), (c < 0.05, 70), (c < 0.10, 50), other=at_least_zero((0.20 - c) * 200)))
+    return indicator(rows, "bid_clustering", "price", 65, ladder((c < 0.01, 95), (c < 0.02, 85), (c < 0.05, 70), (c < 0.10, 50), other=at_least_zero((0.20 - c) * 200)), {"cov": c})
 
 
 def cover_bidding(bidders: DataFrame) -> DataFrame:
@@ -206,19 +252,19 @@ def cover_bidding(bidders: DataFrame) -> DataFrame:
     rows = _bid_stats(bidders, 2)
     low, second = F.get("bids", F.lit(0)), F.get("bids", F.lit(1))
     gap = (second - low) / low * 100
-    return indicator(rows, "cover_bidding", "price", 70, ladder((gap > 20, 90), (gap > 15, 80), (gap > 10, 70), (gap > 5, 55), other=gap * 8))
+    return indicator(rows, "cover_bidding", "price", 70, ladder((gap > 20, 90), (gap > 15, 80), (gap > 10, 70), (gap > 5, 55), other=gap * 8), {"low": low, "second": second})
 
 
 def round_number(bidders: DataFrame) -> DataFrame:
     a = F.col("bid_amount_mkd")
     rows = bidders.filter(a > 0).groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(a % k == 0).alias(f"r{k}") for k in (10000, 5000, 1000)])
     n, r10, r5, r1 = (F.col(c) for c in ("n", "r10000", "r5000", "r1000"))
-    return indicator(rows, "round_number", "price", 60, ladder((r10 == n, 80), (r5 == n, 70), (r1 == n, 60), (r10 / n > 0.7, 65), (r1 / n > 0.8, 50), other=r1 / n * 40))
+    return indicator(rows, "round_number", "price", 60, ladder((r10 == n, 80), (r5 == n, 70), (r1 == n, 60), (r10 / n > 0.7, 65), (r1 / n > 0.8, 50), other=r1 / n * 40), {"share": r1 / n})
 
 
 def price_fixing(bidders: DataFrame) -> DataFrame:
     same = bidders.filter("bid_amount_mkd > 0").groupBy("tender_id", "bid_amount_mkd").agg(F.count(F.lit(1)).alias("n")).groupBy("tender_id").agg(F.max("n").alias("most")).filter("most > 1")
-    return indicator(same, "price_fixing", "price", 80, ladder((F.col("most") >= 3, 95), other=75))
+    return indicator(same, "price_fixing", "price", 80, ladder((F.col("most") >= 3, 95), other=75), {"equal": F.col("most")})
 
 
 def below_market(tenders: DataFrame, as_of: date, *, least_sample: int = 5) -> DataFrame:
@@ -233,23 +279,23 @@ def below_market(tenders: DataFrame, as_of: date, *, least_sample: int = 5) -> D
     rows = rows.withColumns({"m": n, "mean": F.try_divide(s, n), "var": F.try_divide(q - F.try_divide(s * s, n), n - 1)}).filter(F.col("m") >= least_sample)
     dev = (v - F.col("mean")) / F.col("mean") * 100
     z = F.when(F.col("var") > 0, (F.col("mean") - v) / F.sqrt("var")).otherwise(0.0)
-    return indicator(rows, "below_market", "price", 65, ladder((dev < -50, 90), (dev < -30, 75), (dev < -20, 60), (z > 2, 65), other=F.when(dev < 0, at_least_zero(F.abs(dev) - 10)).otherwise(0.0)))
+    return indicator(rows, "below_market", "price", 65, ladder((dev < -50, 90), (dev < -30, 75), (dev < -20, 60), (z > 2, 65), other=F.when(dev < 0, at_least_zero(F.abs(dev) - 10)).otherwise(0.0)), {"deviation": dev})
 
 
 def price_variance(bidders: DataFrame) -> DataFrame:
     c = F.col("sd") / F.col("mean")
-    return indicator(_bid_stats(bidders, 3), "price_variance", "price", 60, ladder((c < 0.02, 85), (c < 0.05, 65), (c > 0.30, 70), (c > 0.20, 50), other=0))
+    return indicator(_bid_stats(bidders, 3), "price_variance", "price", 60, ladder((c < 0.02, 85), (c < 0.05, 65), (c > 0.30, 70), (c > 0.20, 50), other=0), {"cov": c})
 
 
 def winner_z_score(bidders: DataFrame) -> DataFrame:
     z = F.abs(F.when(F.col("sd") > 0, (F.col("winner_bid") - F.col("mean")) / F.col("sd")).otherwise(0.0))
-    return indicator(_bid_stats(bidders, 3).filter("winner_bid is not null"), "winner_z_score", "price", 65, ladder((z > 3, 90), (z > 2, 75), (z > 1.5, 60), other=z * 30))
+    return indicator(_bid_stats(bidders, 3).filter("winner_bid is not null"), "winner_z_score", "price", 65, ladder((z > 3, 90), (z > 2, 75), (z > 1.5, 60), other=z * 30), {"z": z})
 
 
 def estimate_match(tenders: DataFrame, bidders: DataFrame, *, near: float = 0.01) -> DataFrame:
     t = tenders.filter("estimated_value_mkd > 0").select("tender_id", "estimated_value_mkd")
     close = bidders.filter("bid_amount_mkd > 0").join(t, "tender_id").filter(F.abs(F.col("bid_amount_mkd") - F.col("estimated_value_mkd")) / F.col("estimated_value_mkd") < near)
-    return indicator(close.groupBy("tender_id").agg(F.max("is_winner").alias("won")), "estimate_match", "price", 75, F.lit(85.0) + bonus(F.col("won"), 10))
+    return indicator(close.groupBy("tender_id").agg(F.max("is_winner").alias("won")), "estimate_match", "price", 75, F.lit(85.0) + bonus(F.col("won"), 10), {"won": F.col("won").cast("int")})
 
 
 def price_sequence(bidders: DataFrame) -> DataFrame:
@@ -262,7 +308,7 @@ def price_sequence(bidders: DataFrame) -> DataFrame:
     squares = F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x * x)
     var = (squares - total * total / F.col("g")) / (F.col("g") - 1)
     rel = F.when(mean > 0, var / (mean * mean)).otherwise(0.0)
-    return indicator(rows, "price_sequence", "price", 70, ladder((rel < 0.01, 85), (rel < 0.05, 70), other=0))
+    return indicator(rows, "price_sequence", "price", 70, ladder((rel < 0.01, 85), (rel < 0.05, 70), other=0), {"evenness": rel})
 
 
 # --- timing ---------------------------------------------------------------------------------------------------------------
@@ -271,12 +317,12 @@ def price_sequence(bidders: DataFrame) -> DataFrame:
 def short_deadline(tenders: DataFrame) -> DataFrame:
     rows = tenders.withColumn("days", F.datediff("closing_date", "publication_date"))
     d = F.col("days")
-    return indicator(rows, "short_deadline", "timing", 60, ladder((d < 3, 95), (d < 5, 85), (d < 7, 70), (d < 10, 55), (d < 14, 40), other=at_least_zero(30.0 - d)) + bonus(F.col("num_bidders") == 1, 15) + bonus(F.col("estimated_value_mkd") > 5e6, 10))
+    return indicator(rows, "short_deadline", "timing", 60, ladder((d < 3, 95), (d < 5, 85), (d < 7, 70), (d < 10, 55), (d < 14, 40), other=at_least_zero(30.0 - d)) + bonus(F.col("num_bidders") == 1, 15) + bonus(F.col("estimated_value_mkd") > 5e6, 10), {"days": d})
 
 
 def weekend_publication(tenders: DataFrame) -> DataFrame:
     weekend = F.dayofweek("publication_date").isin(1, 7)
-    return indicator(tenders, "weekend_publication", "timing", 65, F.when(weekend, 70.0).otherwise(0.0) + bonus(weekend & F.col("num_bidders").between(1, 2), 15))
+    return indicator(tenders, "weekend_publication", "timing", 65, F.when(weekend, 70.0).otherwise(0.0) + bonus(weekend & F.col("num_bidders").between(1, 2), 15), {"weekend": weekend.cast("int")})
 
 
 ELECTIONS = (date(1994, 10, 16), date(1998, 10, 18), date(2002, 9, 15))
@@ -287,7 +333,7 @@ def election_cycle(tenders: DataFrame, elections: tuple[date, ...] = ELECTIONS)
     gaps = F.array_sort(F.array(*[F.struct(F.abs(F.datediff(F.lit(e), "publication_date")).alias("gap"), F.lit(e).alias("day")) for e in elections]))
     rows = tenders.withColumn("near", F.get(gaps, F.lit(0)))
     gap, ahead = F.col("near.gap"), F.col("publication_date") < F.col("near.day")
-    return indicator(rows, "election_cycle", "timing", 65, ladder((ahead & (gap < 30), 80), (ahead & (gap < 60), 70), (ahead & (gap < 90), 60), (gap < 180, 40), other=0))
+    return indicator(rows, "election_cycle", "timing", 65, ladder((ahead & (gap < 30), 80), (ahead & (gap < 60), 70), (ahead & (gap < 90), 60), (gap < 180, 40), other=0), {"days": gap})
 
 
 def seasonal_pattern(tenders: DataFrame) -> DataFrame:
@@ -299,20 +345,20 @@ def seasonal_pattern(tenders: DataFrame) -> DataFrame:
     z = F.round(F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).otherwise(0.0), 9)
     december = F.col("m") == 12
     rows = keyed.select("tender_id", "procuring_entity", "y", "m").join(months, ["procuring_entity", "y", "m"])
-    return indicator(rows, "seasonal_pattern", "timing", 60, ladder((december & (z > 2), 75), (december & (z > 1), 60), (z > 2.5, 70), (z > 2, 55), other=0))
+    return indicator(rows, "seasonal_pattern", "timing", 60, ladder((december & (z > 2), 75), (december & (z > 1), 60), (z > 2.5, 70), (z > 2, 55), other=0), {"z": z})
 
 
 def amendment_timing(amendments: DataFrame) -> DataFrame:
     days = F.datediff("closing_date", "amendment_date")
     rows = amendments.groupBy("tender_id").agg(F.count_if(days < 3).alias("last"), F.count_if(days < 7).alias("late"), F.count(F.lit(1)).alias("n"))
-    return indicator(rows, "amendment_timing", "timing", 65, ladder((F.col("last") > 0, 80), (F.col("late") > 0, 65), (F.col("n") > 3, 50), other=0))
+    return indicator(rows, "amendment_timing", "timing", 65, ladder((F.col("last") > 0, 80), (F.col("late") > 0, 65), (F.col("n") > 3, 50), other=0), {"amendments": F.col("n")})
 
 
 def last_minute_submission(bidders: DataFrame) -> DataFrame:
     m = F.col("minutes_before_close")
     rows = bidders.filter("minutes_before_close is not null").groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(m < 60).alias("hour"), F.count_if(m < 1440).alias("day"))
     n, hour, day = F.col("n"), F.col("hour"), F.col("day")
-    return indicator(rows, "last_minute_submission", "timing", 60, ladder(((hour == n) & (n >= 2), 85), ((day == n) & (n >= 3), 70), (hour / n > 0.75, 65), other=0))
+    return indicator(rows, "last_minute_submission", "timing", 60, ladder(((hour == n) & (n >= 2), 85), ((day == n) & (n >= 3), 70), (hour / n > 0.75, 65), other=0), {"last_hour": hour})
 
 
 def process_duration(tenders: DataFrame, as_of: date) -> DataFrame:
@@ -321,7 +367,7 @@ def process_duration(tenders: DataFrame, as_of: date) -> DataFrame:
     stats = _recent(t, as_of, YEAR).groupBy("procedure_type").agg(F.avg("days").alias("mean"), F.stddev_samp("days").alias("sd"))
     rows = t.join(F.broadcast(stats), "procedure_type")  # one row per procedure type
     z = F.when(F.col("sd") > 0, (F.floor("mean") - F.col("days")) / F.col("sd")).otherwise(0.0)
-    return indicator(rows, "process_duration", "timing", 60, ladder(((z > 2) & (F.col("days") < 14), 80), (z > 1.5, 65), (F.col("days") < 7, 70), other=0))
+    return indicator(rows, "process_duration", "timing", 60, ladder(((z > 2) & (F.col("days") < 14), 80), (z > 1.5, 65), (F.col("days") < 7, 70), other=0), {"days": F.col("days"), "z": z})
 
 
 def publication_pattern(tenders: DataFrame) -> DataFrame:
@@ -329,12 +375,12 @@ def publication_pattern(tenders: DataFrame) -> DataFrame:
     hour = F.hour(F.col("publication_date").cast("timestamp"))
     hour = F.when(hour == 0, 12).otherwise(hour)
     off, weekend = (hour < 7) | (hour >= 19), F.dayofweek("publication_date").isin(1, 7)
-    return indicator(tenders, "publication_pattern", "timing", 65, ladder((off & weekend, 85), (off, 65), (weekend, 60), other=0))
+    return indicator(tenders, "publication_pattern", "timing", 65, ladder((off & weekend, 85), (off, 65), (weekend, 60), other=0), {"weekend": weekend.cast("int")})
 
 
 def deadline_extension(amendments: DataFrame) -> DataFrame:
     rows = amendments.filter("field_changed = 'closing_date'").groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"))
-    return indicator(rows, "deadline_extension", "timing", 60, ladder((F.col("n") >= 3, 80), (F.col("n") == 2, 65), other=50))
+    return indicator(rows, "deadline_extension", "timing", 60, ladder((F.col("n") >= 3, 80), (F.col("n") == 2, 65), other=50), {"extensions": F.col("n")})
 
 
 def submission_clustering(bidders: DataFrame) -> DataFrame:
@@ -343,7 +389,7 @@ def submission_clustering(bidders: DataFrame) -> DataFrame:
     gap = (F.col("minutes_before_close") - F.lag("minutes_before_close").over(w)) * 60
     rows = bidders.filter("minutes_before_close is not null").withColumn("gap", gap).groupBy("tender_id").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
     g = F.col("gap")
-    return indicator(rows, "submission_clustering", "timing", 70, ladder((g < 300, 90), (g < 900, 80), (g < 3600, 70), other=0))
+    return indicator(rows, "submission_clustering", "timing", 70, ladder((g < 300, 90), (g < 900, 80), (g < 3600, 70), other=0), {"seconds": g})
 
 
 # --- relationship -----------------------------------------------------------------------------------------------------------
@@ -355,7 +401,7 @@ def repeat_winner(tenders: DataFrame, as_of: date, *, least_tenders: int = 5) ->
     stats = wins.join(wins.groupBy("procuring_entity").agg(F.sum("wins").alias("total")), "procuring_entity").filter(F.col("total") >= least_tenders)
     rows = tenders.filter("winner is not null").select("tender_id", "procuring_entity", "winner").join(stats, ["procuring_entity", "winner"])
     pct = F.col("wins") * 100.0 / F.col("total")
-    return indicator(rows, "repeat_winner", "relationship", 65, ladder((pct > 80, 95), (pct > 70, 85), (pct > 60, 75), (pct > 50, 60), other=at_least_zero(pct - 20)) + bonus(F.col("wins") > 10, 10))
+    return indicator(rows, "repeat_winner", "relationship", 65, ladder((pct > 80, 95), (pct > 70, 85), (pct > 60, 75), (pct > 50, 60), other=at_least_zero(pct - 20)) + bonus(F.col("wins") > 10, 10), {"wins": F.col("wins"), "percent": pct})
 
 
 def all_indicators(tenders: DataFrame, bidders: DataFrame, amendments: DataFrame, as_of: date) -> DataFrame:

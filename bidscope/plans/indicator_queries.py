@@ -15,9 +15,47 @@ def _ladder(*steps: tuple[str, float], other: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {n}::DOUBLE" for c, n in steps) + f" ELSE {other} END"
 
 
+#: What each indicator's evidence holds, as SQL over its rows.
+EVIDENCE = {
+    "single_bidder": {"wins": "wins"},
+    "low_participation": {"bidders": "num_bidders", "z": "z"},
+    "same_bidder_set": {"matches": "m"},
+    "bidder_diversity": {"evenness": "share"},
+    "new_bidder_rate": {"rate": "rate"},
+    "market_concentration": {"hhi": "hhi"},
+    "bidder_turnover": {"rate": "rate"},
+    "geographic_concentration": {"percent": "pct"},
+    "bidder_experience": {"percent": "pct"},
+    "competition_trend": {"slope": "s"},
+    "price_deviation": {"deviation": "ABS(d)"},
+    "bid_clustering": {"cov": "c"},
+    "cover_bidding": {"low": "low", "second": "second"},
+    "round_number": {"share": "r1 / n"},
+    "price_fixing": {"equal": "m"},
+    "below_market": {"deviation": "d"},
+    "price_variance": {"cov": "c"},
+    "winner_z_score": {"z": "z"},
+    "estimate_match": {"won": "CAST(w AS INTEGER)"},
+    "price_sequence": {"evenness": "rel"},
+    "short_deadline": {"days": "d"},
+    "weekend_publication": {"weekend": "CAST(w AS INTEGER)"},
+    "election_cycle": {"days": "gap"},
+    "seasonal_pattern": {"z": "z"},
+    "amendment_timing": {"amendments": "n"},
+    "last_minute_submission": {"last_hour": "h"},
+    "process_duration": {"days": "days", "z": "z"},
+    "publication_pattern": {"weekend": "CAST(isodow(publication_date) >= 6 AS INTEGER)"},
+    "deadline_extension": {"extensions": "n"},
+    "submission_clustering": {"seconds": "g"},
+    "repeat_winner": {"wins": "wins", "percent": "p"},
+}
+
+
 def _ind(name: str, category: str, threshold: float, score: str, rows: str) -> str:
-    return f"""SELECT tender_id, '{name}' AS indicator, '{category}' AS category, LEAST(100.0::DOUBLE, GREATEST(0.0::DOUBLE, raw)) AS score, {threshold}::DOUBLE AS threshold, raw >= {threshold} AS triggered
-FROM (SELECT tender_id, ROUND(CAST({score} AS DOUBLE), 6) AS raw FROM ({rows}) r) s"""
+    parts = " || ',' || ".join(f"'\"{k}\":' || COALESCE(CAST(TRY_CAST({v} AS DECIMAL(20, 4)) AS VARCHAR), 'null')" for k, v in EVIDENCE[name].items())
+    return f"""SELECT tender_id, '{name}' AS indicator, '{category}' AS category, LEAST(100.0::DOUBLE, GREATEST(0.0::DOUBLE, raw)) AS score, {i.WEIGHTS[name]}::DOUBLE AS weight, {threshold}::DOUBLE AS threshold,
+       {i.CONFIDENCE.get(name, 1.0)}::DOUBLE AS confidence, raw >= {threshold} AS triggered, evidence
+FROM (SELECT tender_id, ROUND(CAST({score} AS DOUBLE), 6) AS raw, '{{' || {parts} || '}}' AS evidence FROM ({rows}) r) s"""
 
 
 STATS = "(SELECT tender_id, COUNT(*) AS n, AVG(bid_amount_mkd) AS mean, stddev_samp(bid_amount_mkd) AS sd, MAX(CASE WHEN is_winner THEN bid_amount_mkd END) AS wb, list_sort(list(bid_amount_mkd)) AS bids FROM bidders WHERE bid_amount_mkd > 0 GROUP BY tender_id HAVING COUNT(*) >= {})"
@@ -56,7 +94,7 @@ SQL = {
     "price_deviation": _ind("price_deviation", "price", 60, _ladder(("ABS(d) > 30", 90), ("ABS(d) > 20", 75), ("ABS(d) > 10", 60), ("ABS(d) > 5", 45), other="ABS(d) * 5") + " + CASE WHEN d > 0 AND num_bidders = 1 THEN 15 ELSE 0 END",
         "SELECT tender_id, num_bidders, (actual_value_mkd - estimated_value_mkd) / estimated_value_mkd * 100 AS d FROM tenders WHERE estimated_value_mkd > 0 AND actual_value_mkd > 0"),
     "bid_clustering": _ind("bid_clustering", "price", 65, _ladder(("c < 0.01", 95), ("c < 0.02", 85), ("c < 0.05", 70), ("c < 0.10", 50), other="GREATEST(0, (0.20::DOUBLE - c) * 200)"), f"SELECT tender_id, sd / mean AS c FROM {STATS.format(3)} x"),
-    "cover_bidding": _ind("cover_bidding", "price", 70, _ladder(("g > 20", 90), ("g > 15", 80), ("g > 10", 70), ("g > 5", 55), other="g * 8"), f"SELECT tender_id, (bids[2] - bids[1]) / bids[1] * 100 AS g FROM {STATS.format(2)} x"),
+    "cover_bidding": _ind("cover_bidding", "price", 70, _ladder(("g > 20", 90), ("g > 15", 80), ("g > 10", 70), ("g > 5", 55), other="g * 8"), f"SELECT tender_id, (bids[2] - bids[1]) / bids[1] * 100 AS g, bids[1] AS low, bids[2] AS second FROM {STATS.format(2)} x"),
     "round_number": _ind("round_number", "price", 60, _ladder(("r10 = n", 80), ("r5 = n", 70), ("r1 = n", 60), ("r10 / n > 0.7", 65), ("r1 / n > 0.8", 50), other="r1 / n * 40"),
         "SELECT tender_id, COUNT(*) AS n, SUM(CASE WHEN bid_amount_mkd % 10000 = 0 THEN 1 ELSE 0 END) AS r10, SUM(CASE WHEN bid_amount_mkd % 5000 = 0 THEN 1 ELSE 0 END) AS r5, SUM(CASE WHEN bid_amount_mkd % 1000 = 0 THEN 1 ELSE 0 END) AS r1 FROM bidders WHERE bid_amount_mkd > 0 GROUP BY tender_id"),
     "price_fixing": _ind("price_fixing", "price", 80, "CASE WHEN m >= 3 THEN 95 ELSE 75 END", "SELECT tender_id, MAX(n) AS m FROM (SELECT tender_id, bid_amount_mkd, COUNT(*) AS n FROM bidders WHERE bid_amount_mkd > 0 GROUP BY tender_id, bid_amount_mkd) x GROUP BY tender_id HAVING MAX(n) > 1"),
