@@ -97,8 +97,10 @@ def price_anomaly(tenders: DataFrame, bidders: DataFrame, *, least_bids: int = 3
     return as_flags(rows, "price_anomaly", score, banded(S, (80, "critical"), (65, "high"), (50, "medium"), other="low"), ["num_bids", "avg_bid", "sd_bid", "winner_bid", "close", "low", "exact"], F.lit("unusual prices"))
 
 
-def co_bidding_pairs(bidders: DataFrame, *, least_together: int = 1) -> DataFrame:
-    """(company_a, company_b, together, a_wins, b_wins) of companies that bid on the same tenders.
+def co_bidding_pairs(bidders: DataFrame, *, least_together: int = 1, dates: DataFrame | None = None) -> DataFrame:
+    """(company_a, company_b, together, a_wins, b_wins[, last]) of companies that bid on the same tenders.
+
+    With ``dates`` (tender_id, publication_date), ``last`` is the latest (date, tender_id) of those that both bid on.
 
     Companies with fewer than ``least_together`` tenders can't reach it and leave before the self-join.
     """
@@ -107,24 +109,25 @@ def co_bidding_pairs(bidders: DataFrame, *, least_together: int = 1) -> DataFram
         one = one.join(one.groupBy("company_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_together).select("company_name"), "company_name", "left_semi")
     a, b = one.select("tender_id", F.col("company_name").alias("company_a"), F.col("won").alias("a_won")), one.select("tender_id", F.col("company_name").alias("company_b"), F.col("won").alias("b_won"))
     pairs = a.join(b, "tender_id").filter("company_a < company_b")
-    return pairs.groupBy("company_a", "company_b").agg(F.count(F.lit(1)).alias("together"), F.count_if("a_won").alias("a_wins"), F.count_if("b_won").alias("b_wins")).filter(F.col("together") >= least_together)
+    last = [] if dates is None else [F.max(F.when(F.col("known"), F.struct("publication_date", "tender_id"))).alias("last")]
+    if dates is not None:
+        pairs = pairs.join(dates.select("tender_id", "publication_date", F.lit(True).alias("known")), "tender_id", "left")
+    return pairs.groupBy("company_a", "company_b").agg(F.count(F.lit(1)).alias("together"), F.count_if("a_won").alias("a_wins"), F.count_if("b_won").alias("b_wins"), *last).filter(F.col("together") >= least_together)
 
 
-def clustered_pairs(bidders: DataFrame, *, least_together: int = 5, least_overlap: float = 70.0) -> DataFrame:
+def clustered_pairs(bidders: DataFrame, *, least_together: int = 5, least_overlap: float = 70.0, dates: DataFrame | None = None) -> DataFrame:
     """Pairs that bid together in most of the smaller one's tenders."""
     totals = bidders.groupBy("company_name").agg(F.count_distinct("tender_id").alias("bids"))
     a, b = totals.select(F.col("company_name").alias("company_a"), F.col("bids").alias("a_bids")), totals.select(F.col("company_name").alias("company_b"), F.col("bids").alias("b_bids"))
-    pairs = co_bidding_pairs(bidders, least_together=least_together).join(a, "company_a").join(b, "company_b")
+    pairs = co_bidding_pairs(bidders, least_together=least_together, dates=dates).join(a, "company_a").join(b, "company_b")
     overlap = F.col("together") * 100.0 / F.least("a_bids", "b_bids")
     return pairs.withColumns({"overlap": overlap, "dominant": F.greatest("a_wins", "b_wins") * 100.0 / F.col("together")}).filter(F.col("overlap") > least_overlap)
 
 
 def bid_clustering(tenders: DataFrame, bidders: DataFrame, *, least_together: int = 5, least_overlap: float = 70.0) -> DataFrame:
     """A clustered pair; flagged on the latest tender both bid on."""
-    pairs = clustered_pairs(bidders, least_together=least_together, least_overlap=least_overlap)
-    dated = bidders.join(tenders.select("tender_id", "publication_date"), "tender_id").select("tender_id", "publication_date", "company_name").distinct()
-    mine = pairs.join(dated.withColumnRenamed("company_name", "company_a"), "company_a").join(dated.select("tender_id", F.col("company_name").alias("company_b")), ["tender_id", "company_b"])
-    last = mine.groupBy("company_a", "company_b", "together", "overlap", "dominant").agg(F.max(F.struct("publication_date", "tender_id")).alias("last")).withColumn("tender_id", F.col("last.tender_id"))
+    pairs = clustered_pairs(bidders, least_together=least_together, least_overlap=least_overlap, dates=tenders.select("tender_id", "publication_date"))
+    last = pairs.filter("last is not null").withColumn("tender_id", F.col("last.tender_id"))
     score = points((F.col("dominant") > 80, 20), base=60)
     return as_flags(last, "bid_clustering", score, banded(S, (75, "critical"), (65, "high"), other="medium"), ["company_a", "company_b", "together", "overlap", "dominant"], F.format_string("%s and %s bid together", "company_a", "company_b"))
 
@@ -179,10 +182,9 @@ def professional_loser(tenders: DataFrame, bidders: DataFrame, *, least_bids: in
 def contract_splitting(tenders: DataFrame, *, least_contracts: int = 3, cap: float = 1_000_000, least_sum: float = 1_000_000, high_value: float = 800_000, many: int = 5) -> DataFrame:
     """Several contracts of one buyer and winner in a quarter, each below the cap, together above it; each is flagged."""
     own = won(tenders).filter("estimated_value_mkd > 0 and publication_date is not null").withColumn("quarter", F.date_trunc("quarter", "publication_date").cast("date"))
-    groups = own.groupBy("procuring_entity", "winner", "quarter").agg(
-        F.count(F.lit(1)).alias("contracts"), F.max("estimated_value_mkd").alias("max_value"), F.sum("estimated_value_mkd").alias("total_value"), F.sort_array(F.collect_list(F.struct("publication_date", "tender_id"))).alias("members")
-    ).filter((F.col("contracts") >= least_contracts) & (F.col("max_value") < cap) & (F.col("total_value") > least_sum))
-    rows = groups.withColumn("tender_id", F.explode("members.tender_id"))
+    w = Window.partitionBy("procuring_entity", "winner", "quarter")
+    sums = {"contracts": F.count(F.lit(1)).over(w), "max_value": F.max("estimated_value_mkd").over(w), "total_value": F.sum("estimated_value_mkd").over(w)}
+    rows = own.withColumns(sums).filter((F.col("contracts") >= least_contracts) & (F.col("max_value") < cap) & (F.col("total_value") > least_sum))
     score = points((F.col("max_value") > high_value, 15), (F.col("contracts") >= many, 10), base=65)
     return as_flags(rows, "contract_splitting", score, banded(S, (80, "critical"), other="high"), ["procuring_entity", "winner", "quarter", "contracts", "max_value", "total_value"], F.format_string("%d contracts in one quarter", "contracts"))
 

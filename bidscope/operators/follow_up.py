@@ -103,7 +103,7 @@ def price_features(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     """Per tender: spread, gaps, quartiles and round numbers of its bids, and the winning bid against estimate and others."""
     v = F.col("bid_amount_mkd")
     order = Window.partitionBy("tender_id").orderBy("bid_amount_mkd", "company_name")
-    gap = (v - F.lag(v).over(order)) / F.nullif(F.lag(v).over(order), F.lit(0.0))
+    gap = v - F.lag(v).over(order)
     b = bidders.withColumns({"gap": gap, "place": F.row_number().over(order)}).groupBy("tender_id").agg(
         row_count().alias("bids"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"),
         F.max(F.when(F.col("place") == 2, F.col("gap"))).alias("first_gap"), F.min("gap").alias("least_gap"), F.count_if(v % 1000 == 0).alias("round_bids"), F.max(F.when(F.col("is_winner"), v)).alias("winning"),
@@ -111,7 +111,7 @@ def price_features(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 6)
     est = F.nullif("estimated_value_mkd", F.lit(0.0))
     return tenders.select("tender_id", "estimated_value_mkd").join(b, "tender_id").select(
-        "tender_id", "bids", r(F.col("sd") / F.nullif("mean", F.lit(0.0))).alias("cov"), F.round((F.col("q3") - F.col("q1")) / F.nullif("mean", F.lit(0.0)), 4).alias("iqr"), r("first_gap").alias("first_gap"), r("least_gap").alias("least_gap"), "round_bids",
+        "tender_id", "bids", r(F.col("sd") / F.nullif("mean", F.lit(0.0))).alias("cov"), F.round((F.col("q3") - F.col("q1")) / F.nullif("mean", F.lit(0.0)), 4).alias("iqr"), "first_gap", "least_gap", "round_bids",
         r(F.col("winning") / est).alias("winning_to_estimate"), r(F.col("low") / est).alias("low_to_estimate"), r((F.col("mean") - F.col("winning")) / F.nullif("sd", F.lit(0.0))).alias("winner_z"), (F.col("winning") == F.col("low")).alias("lowest_won"),
     )
 

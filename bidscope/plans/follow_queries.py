@@ -172,10 +172,10 @@ _ALL = {
     x AS (SELECT flag_type, tender_id, COUNT(*) AS c, COUNT(*) FILTER (WHERE (n + k) % 4 = 0) AS yes FROM w, (VALUES (0), (1), (2)) v(k) WHERE k <= n % 3 GROUP BY 1, 2)
     SELECT flag_type, SUM(c) AS verdicts, SUM(yes) AS confirmed, ROUND(SUM(yes) * 100.0{D} / SUM(c), 4) AS share, COUNT(*) FILTER (WHERE yes > 0 AND yes < c) AS disputed FROM x GROUP BY 1"""),
     "m2_price_features": (lambda t: u.price_features(t.tenders, t.bidders), f"""
-    , b AS (SELECT *, (bid_amount_mkd - lag(bid_amount_mkd) OVER w) / NULLIF(lag(bid_amount_mkd) OVER w, 0) AS gap, row_number() OVER w AS place FROM bidders WINDOW w AS (PARTITION BY tender_id ORDER BY bid_amount_mkd, company_name)),
+    , b AS (SELECT *, bid_amount_mkd - lag(bid_amount_mkd) OVER w AS gap, row_number() OVER w AS place FROM bidders WINDOW w AS (PARTITION BY tender_id ORDER BY bid_amount_mkd, company_name)),
     p AS (SELECT tender_id, COUNT(*) AS bids, MIN(bid_amount_mkd) AS lo, MAX(bid_amount_mkd) AS hi, AVG(bid_amount_mkd) AS m, stddev_pop(bid_amount_mkd) AS sd, quantile_cont(bid_amount_mkd, 0.25) AS q1, quantile_cont(bid_amount_mkd, 0.75) AS q3,
                  MAX(CASE WHEN place = 2 THEN gap END) AS g1, MIN(gap) AS g0, COUNT(*) FILTER (WHERE bid_amount_mkd % 1000 = 0) AS round_bids, MAX(CASE WHEN is_winner THEN bid_amount_mkd END) AS w FROM b GROUP BY 1)
-    SELECT tender_id, bids, ROUND(sd / NULLIF(m, 0), 6) AS cov, ROUND((q3 - q1) / NULLIF(m, 0), 4) AS iqr, ROUND(g1, 6) AS first_gap, ROUND(g0, 6) AS least_gap, round_bids, ROUND(w / NULLIF(estimated_value_mkd, 0), 6) AS winning_to_estimate,
+    SELECT tender_id, bids, ROUND(sd / NULLIF(m, 0), 6) AS cov, ROUND((q3 - q1) / NULLIF(m, 0), 4) AS iqr, g1 AS first_gap, g0 AS least_gap, round_bids, ROUND(w / NULLIF(estimated_value_mkd, 0), 6) AS winning_to_estimate,
            ROUND(lo / NULLIF(estimated_value_mkd, 0), 6) AS low_to_estimate, ROUND((m - w) / NULLIF(sd, 0), 6) AS winner_z, w = lo AS lowest_won FROM tenders JOIN p USING (tender_id)"""),
     "m3_timing_features": (lambda t: u.timing_features(t.tenders), """
     SELECT tender_id, closing_date - publication_date AS open_days, contract_signing_date - closing_date AS decision_days, closing_date - publication_date < 7 AS short, isodow(publication_date) >= 6 AS weekend, quarter(publication_date) AS quarter,

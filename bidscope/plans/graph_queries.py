@@ -52,7 +52,8 @@ _ALL = {
     "g20_two_core": (lambda t: g.k_core(_sparse(t), 2), None),
     "g21_rotation_clusters": (lambda t: g.rotation_clusters(t.tenders, t.bidders), f"""SELECT companies, tenders, winners, changes, ratio FROM (SELECT companies, COUNT(*) AS tenders, COUNT(DISTINCT winner) AS winners, COALESCE(SUM(CASE WHEN winner <> prev THEN 1 WHEN prev IS NOT NULL THEN 0 END), 0) AS changes, ROUND(COALESCE(SUM(CASE WHEN winner <> prev THEN 1 WHEN prev IS NOT NULL THEN 0 END), 0) / GREATEST(COUNT(*) - 1, 1), 6) AS ratio
       FROM (SELECT s.companies, t.winner, lag(winner) OVER (PARTITION BY companies ORDER BY publication_date, t.tender_id) AS prev FROM tenders t JOIN (SELECT tender_id, string_agg(company_name, '|' ORDER BY company_name) AS companies FROM bidders GROUP BY tender_id HAVING COUNT(*) >= 2) s ON s.tender_id = t.tender_id WHERE {WON}) x GROUP BY companies) y WHERE tenders >= 4 AND winners >= 2 AND ratio > 0.3"""),
-    "g22_cover_clusters": (lambda t: g.cover_clusters(t.bidders, most_sd=30.0), "SELECT winner, loser, n, ROUND(m, 6) AS mean, ROUND(s, 6) AS sd FROM (SELECT w.company_name AS winner, l.company_name AS loser, COUNT(*) AS n, AVG(l.bid_amount_mkd / w.bid_amount_mkd) AS m, stddev_samp(l.bid_amount_mkd / w.bid_amount_mkd) AS s FROM bidders w JOIN bidders l ON w.tender_id = l.tender_id WHERE w.is_winner AND NOT l.is_winner AND w.bid_amount_mkd > 0 AND l.bid_amount_mkd / w.bid_amount_mkd > 1.1 GROUP BY 1, 2) x WHERE n >= 3 AND m > 1.15 AND s < 30"),
+    "g22_cover_clusters": (lambda t: g.cover_clusters(t.bidders), "SELECT winner, loser, n, ROUND(m, 6) AS mean, ROUND(s, 6) AS sd FROM (SELECT w.company_name AS winner, l.company_name AS loser, COUNT(*) AS n, AVG(l.bid_amount_mkd / w.bid_amount_mkd) AS m, stddev_samp(l.bid_amount_mkd / w.bid_amount_mkd) AS s FROM bidders w JOIN bidders l ON w.tender_id = l.tender_id WHERE w.is_winner AND NOT l.is_winner AND w.bid_amount_mkd > 0 AND l.bid_amount_mkd / w.bid_amount_mkd > 1.1 GROUP BY 1, 2) x WHERE n >= 3 AND m > 1.15 AND s < 0.3"),
+    "g22_cover_clusters_30": (lambda t: g.cover_clusters(t.bidders, most_sd=30.0), "SELECT winner, loser, n, ROUND(m, 6) AS mean, ROUND(s, 6) AS sd FROM (SELECT w.company_name AS winner, l.company_name AS loser, COUNT(*) AS n, AVG(l.bid_amount_mkd / w.bid_amount_mkd) AS m, stddev_samp(l.bid_amount_mkd / w.bid_amount_mkd) AS s FROM bidders w JOIN bidders l ON w.tender_id = l.tender_id WHERE w.is_winner AND NOT l.is_winner AND w.bid_amount_mkd > 0 AND l.bid_amount_mkd / w.bid_amount_mkd > 1.1 GROUP BY 1, 2) x WHERE n >= 3 AND m > 1.15 AND s < 30"),
     "g23_market_allocation": (lambda t: g.market_allocation(t.tenders), f"""SELECT x.category, x.winner AS a, y.winner AS b, x.buyers AS a_buyers, y.buyers AS b_buyers FROM (SELECT category, winner, COUNT(DISTINCT procuring_entity) AS buyers FROM tenders WHERE {WON} AND category IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 2) x JOIN (SELECT category, winner, COUNT(DISTINCT procuring_entity) AS buyers FROM tenders WHERE {WON} AND category IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 2) y ON x.category = y.category AND x.winner < y.winner
       WHERE NOT EXISTS (SELECT 1 FROM tenders p JOIN tenders q ON p.procuring_entity = q.procuring_entity AND p.category = q.category WHERE p.category = x.category AND p.winner = x.winner AND q.winner = y.winner AND p.status = 'awarded' AND q.status = 'awarded')"""),
 }

@@ -160,7 +160,10 @@ _ALL = {
     "x1_sentence_chunks": (lambda t: x.sentence_chunks(t.raw("documents")).groupBy("doc_id").agg(row_count().alias("chunks"), F.sum("words").alias("words")), None),
     "x15_entities": (lambda t: x.extract_entities(t.raw("documents")).groupBy("entity_type").agg(row_count().alias("mentions"), F.count_distinct("doc_id").alias("documents")), None),
     "x17_emails": (lambda t: x.extract_entities(t.raw("documents"), {"EMAIL": x.ENTITIES["EMAIL"]}), "SELECT doc_id, 'EMAIL' AS entity_type, entity FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '" + x.ENTITIES["EMAIL"] + "'))) AS entity FROM documents) u"),
-    "x20_complexity": (lambda t: x.complexity(t.raw("documents")), None),
+    "x20_complexity": (lambda t: x.complexity(t.raw("documents")), r"""
+      WITH d AS (
+        SELECT doc_id, [z for z in string_split_regex(lower(COALESCE(text, '')), '[^\p{L}]+') if z <> ''] AS w, len([z for z in string_split_regex(COALESCE(text, ''), '[.!?]+') if length(trim(z)) > 0]) AS sentences FROM documents)
+      SELECT doc_id, len(w) AS words, sentences, ROUND(list_sum([length(z) for z in w]) / NULLIF(len(w), 0), 6) AS mean_word, ROUND(len(w) / NULLIF(sentences, 0), 6) AS mean_sentence, ROUND(len(list_distinct(w)) / NULLIF(len(w), 0), 6) AS variety FROM d"""),
     "x26_duplicate_documents": (lambda t: x.duplicate_documents(t.raw("documents")), "SELECT doc_id, first_id, copies FROM (SELECT doc_id, MIN(doc_id) OVER w AS first_id, COUNT(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)) x WHERE copies > 1 AND doc_id <> first_id"),
     "w6_trailing_year": (lambda t: t.tenders.select("tender_id", row_count().over(Window.partitionBy("procuring_entity").orderBy(F.datediff("publication_date", F.lit(date(1970, 1, 1)))).rangeBetween(-365, -1)).alias("n")), DOMAIN_SQL + "SELECT tender_id, COUNT(*) OVER (PARTITION BY procuring_entity ORDER BY publication_date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS n FROM tenders"),
     "a6_ordered_arrays": (lambda t: t.bidders.groupBy("tender_id").agg(F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("bid_amount_mkd", "company_name"))), lambda v: v["company_name"]), 1, 3), ",").alias("lowest")), DOMAIN_SQL + "SELECT tender_id, string_agg(company_name, ',' ORDER BY bid_amount_mkd, company_name) AS lowest FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY bid_amount_mkd, company_name) AS n FROM bidders) x WHERE n <= 3 GROUP BY 1"),
@@ -168,7 +171,10 @@ _ALL = {
     "o7_three_source_winners": (lambda t: t.tenders.filter("winner is not null").select(F.col("winner").alias("name"), "actual_value_mkd").unionByName(t.bidders.filter("is_winner").select(F.col("company_name").alias("name"), F.col("bid_amount_mkd").alias("actual_value_mkd"))).unionByName(t.raw("supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("actual_value_mkd"))).groupBy("name").agg(row_count().alias("n"), F.round(F.sum("actual_value_mkd"), 2).alias("value")), DOMAIN_SQL + "SELECT name, COUNT(*) AS n, ROUND(SUM(v), 2) AS value FROM (SELECT winner AS name, actual_value_mkd AS v FROM tenders WHERE winner IS NOT NULL UNION ALL SELECT company_name, bid_amount_mkd FROM bidders WHERE is_winner UNION ALL SELECT s_name, s_acctbal FROM supplier) u GROUP BY 1"),
     "p46_event_funnel": (lambda t: t.raw("events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("view", "click", "purchase")], F.round(F.sum("value"), 4).alias("value")), "SELECT user_id, SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS view, SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS click, SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchase, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1"),
     "t5_hourly_counts": (lambda t: s.drain(s.windowed_counts(s.read_events(t.spark, t.sf_dir)), mode="complete"), _STREAM_WINDOWS),
-    "t5_sessions": (lambda t: s.drain(s.sessions(s.read_events(t.spark, t.sf_dir)), mode="complete"), None),
+    "t5_sessions": (lambda t: s.drain(s.sessions(s.read_events(t.spark, t.sf_dir)), mode="complete"), """
+      WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      n AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+      SELECT CAST(MIN(ts) AS TIMESTAMP) AS session_start, CAST(MAX(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS session_end, user_id, COUNT(*) AS events FROM n GROUP BY user_id, k"""),
     "t2_unique_alerts": (lambda t: s.drain(s.unique_alerts(s.read_events(t.spark, t.sf_dir), ["user_id", "event_type"], watermark="100 days")).groupBy("event_type").agg(row_count().alias("users")), "SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1"),
 }
 
