@@ -106,7 +106,7 @@ def offers_against_market(items: DataFrame) -> DataFrame:
     """Each offer of a product beside the lowest, mean and highest price of the product."""
     market = items.groupBy("name").agg(F.min("unit_price").alias("low"), F.avg("unit_price").alias("mean"), F.max("unit_price").alias("high"), row_count().alias("offers"))
     j = items.join(market, "name")
-    off = F.round((F.col("unit_price") - F.col("mean")) * 100 / F.col("mean"), 4)
+    off = (F.col("unit_price") - F.col("mean")) * 100 / F.col("mean")
     return j.groupBy("company_name", "name").agg(row_count().alias("own"), F.min("offers").alias("offers"), F.min("low").alias("low"), F.max("high").alias("high"), F.round(F.avg(off), 4).alias("off"))
 
 

@@ -84,7 +84,7 @@ _ALL = {
     SELECT tender_id, winner, contract_signing_date, actual_value_mkd, ROUND((actual_value_mkd - estimated_value_mkd) * 100.0{D} / NULLIF(estimated_value_mkd, 0), 4) AS from_estimate
     FROM tenders WHERE {WON} AND contract_signing_date BETWEEN {DAY} - 365 AND {DAY} AND actual_value_mkd >= 1e6"""),
     "p30_offers_against_market": (lambda t: p.offers_against_market(t.items), """
-    SELECT company_name, i.name, COUNT(*) AS own, MIN(offers) AS offers, MIN(low) AS low, MAX(high) AS high, ROUND(AVG(ROUND((unit_price - mean) * 100 / mean, 4)), 4) AS off
+    SELECT company_name, i.name, COUNT(*) AS own, MIN(offers) AS offers, MIN(low) AS low, MAX(high) AS high, ROUND(AVG((unit_price - mean) * 100 / mean), 4) AS off
     FROM items i JOIN (SELECT name, MIN(unit_price) AS low, AVG(unit_price) AS mean, MAX(unit_price) AS high, COUNT(*) AS offers FROM items GROUP BY 1) m ON m.name = i.name GROUP BY 1, 2"""),
     "p31_price_hints": (lambda t: p.price_hints(t.items, ["gear", "plate", "bolt"]), """
     SELECT * FROM (SELECT term, brand, COUNT(*) AS offers, ROUND(AVG(unit_price), 4) AS mean_price, MIN(unit_price) AS low, CAST(row_number() OVER (PARTITION BY term ORDER BY COUNT(*) DESC, brand) AS INTEGER) AS place
