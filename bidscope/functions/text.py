@@ -33,16 +33,20 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def similar_names(names: DataFrame, *, least: float = 0.3) -> DataFrame:
-    """(a, b, similarity) of distinct names that are alike, by joining on shared trigrams.
+    """(a, b, similarity) of distinct names that are alike.
 
-    A name's shared trigrams are counted in the join, so the exact similarity follows without comparing all pairs.
+    Names are joined on their rarest trigrams only: of a name of n trigrams, a partner shares ``least`` * n at least, so
+    one of the n - ``least`` * n + 1 rarest.  What is frequent joins nothing, and no partner is lost.
     """
     n = names.select("name").distinct().withColumn("tri", trigrams(F.col("name")))
-    each = n.select("name", F.size("tri").alias("n"), F.explode("tri").alias("t"))
-    a, b = each.select(F.col("name").alias("a"), F.col("n").alias("na"), "t"), each.select(F.col("name").alias("b"), F.col("n").alias("nb"), "t")
-    shared = a.join(b, "t").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    sim = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return shared.withColumn("similarity", F.round(sim, 6)).filter(F.col("similarity") > least).select("a", "b", "similarity")
+    each = n.select("name", F.explode("tri").alias("t"))
+    ranked = each.join(each.groupBy("t").agg(F.count(F.lit(1)).alias("f")), "t").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))  # one name's
+    short = F.size("r") - F.ceil(F.size("r") * least).cast("int") + 1
+    rare = ranked.select("name", F.explode(F.slice("r", 1, short)).alias("x")).select("name", "x.t")
+    pairs = rare.select(F.col("name").alias("a"), "t").join(rare.select(F.col("name").alias("b"), "t"), "t").filter("a < b").select("a", "b").distinct()
+    whole = lambda c: n.select(F.col("name").alias(c), F.col("tri").alias(f"{c}_tri"))
+    sim = trigram_similarity(F.col("a_tri"), F.col("b_tri"))
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").filter(sim > least).select("a", "b", F.round(sim, 6).alias("similarity"))
 
 
 def weighted_rank(fields: list[tuple[Column, float]], terms: list[str]) -> Column:

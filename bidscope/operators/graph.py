@@ -245,11 +245,10 @@ def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int | None = None
     return nodes.join(scores, "node", "left").fillna(0.0, ["score"])
 
 
-def revolving_doors(tenders: DataFrame, buyers_as_suppliers: DataFrame) -> DataFrame:
-    """Names that both buy and supply: (name, bought, supplied)."""
-    bought = tenders.groupBy(F.col("procuring_entity").alias("name")).agg(row_count().alias("bought"))
-    supplied = buyers_as_suppliers.groupBy("name").agg(row_count().alias("supplied"))
-    return bought.join(supplied, "name")
+def revolving_doors(edges: DataFrame) -> DataFrame:
+    """Names on both sides of award edges (src, dst, value): edges and value of each side."""
+    side = lambda c, n: edges.groupBy(F.col(c).alias("name")).agg(row_count().alias(f"{n}_edges"), F.sum("value").alias(f"{n}_value"))
+    return side("src", "buyer").join(side("dst", "supplier"), "name")
 
 
 def rotation_clusters(tenders: DataFrame, bidders: DataFrame, *, least_tenders: int = 4, least_ratio: float = 0.3) -> DataFrame:

@@ -130,7 +130,6 @@ _ALL = {
     "c11_transliterate": (lambda t: t.raw("part").select("p_partkey", c.transliterate(F.col("p_name")).alias("cyrillic")), "SELECT p_partkey, translate(" + "".join("replace(" for _ in c.DIGRAPHS) + "lower(p_name)" + "".join(f", '{a}', '{b}')" for a, b in c.DIGRAPHS) + f", '{c.LATIN}', '{c.CYRILLIC}') AS cyrillic FROM part"),
     "c13_company_names": (lambda t: t.raw("supplier").select("s_suppkey", c.normalized_company(F.concat("s_name", F.lit(" (doo), Ltd."))).alias("name")), "SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(s_name || ' (doo), Ltd.'), '[.,()#-]', ' ', 'g'), '\\b(DOO|LTD)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM supplier"),
     "c16_cpv_hierarchy": (lambda t: t.tenders.filter("cpv_code is not null").groupBy(c.cpv_level(F.col("cpv_code")).alias("level"), c.cpv_parent(F.col("cpv_code")).alias("parent")).agg(row_count().alias("tenders")), DOMAIN_SQL + "SELECT CASE WHEN length(rtrim(cpv_code, '0')) <= 2 THEN 'division' WHEN length(rtrim(cpv_code, '0')) = 3 THEN 'group' WHEN length(rtrim(cpv_code, '0')) = 4 THEN 'class' ELSE 'category' END AS level, substr(cpv_code, 1, 2) || '000000' AS parent, COUNT(*) AS tenders FROM tenders WHERE cpv_code IS NOT NULL GROUP BY 1, 2"),
-    "j9_similar_part_names": (lambda t: x.similar_names(t.raw("part").select(F.col("p_name").alias("name"))), None),
     "j10_linked_tenders": (_link, DOMAIN_SQL + """, n AS (
       SELECT *, regexp_replace(regexp_replace(trim(lower(title)), '\\s+', ' ', 'g'), '[.,;:!?()]', '', 'g') AS t FROM tenders),
     p AS (
