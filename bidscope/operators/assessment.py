@@ -10,19 +10,32 @@ from pyspark.sql import functions as F
 from bidscope.operators.detectors import WEIGHTS, risk_index, weight_of
 
 
-def bootstrap_interval(flags: DataFrame, *, draws: int = 200, noise: float = 0.10, level: float = 0.90, bonus: int = 8) -> DataFrame:
+def bootstrap_interval(flags: DataFrame, *, draws: int = 1000, noise: float = 0.10, level: float = 0.90, bonus: int = 8) -> DataFrame:
     """(tender_id, cri, ci_lower, ci_upper): the index under uniform noise on each type's score.
 
-    The noise of a draw is a hash of (tender, type, draw), so reruns agree; draws are rows, summed per tender and draw.
+    The noise of a draw is a hash of (tender, type, draw), so reruns agree.  A tender has a flag of each type at most, so
+    its draws are made within its row and only its flags are shuffled.
     """
     per = flags.groupBy("tender_id", "flag_type").agg(F.max("score").alias("score")).withColumn("w", weight_of(F.col("flag_type")))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.shiftrightunsigned(F.xxhash64("tender_id", "flag_type", "draw"), 11) / F.lit(float(1 << 53))
-    moved = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("score") * (1 + (u * 2 - 1) * noise)))
-    index = F.least(F.lit(100.0), F.bround(F.sum(moved * F.col("w")) / F.sum("w") + bonus * (F.count(F.lit(1)) - 1)))
-    samples = drawn.groupBy("tender_id", "draw").agg(index.alias("cri"))
+    rows = per.groupBy("tender_id").agg(F.collect_list(F.struct(F.col("score").cast("double").alias("s"), F.col("w").cast("double").alias("w"), F.xxhash64("tender_id", "flag_type").alias("h"))).alias("f"), F.sum("w").cast("double").alias("all"))
+
+    def index(draw: Column) -> Column:
+        def moved(x: Column) -> Column:
+            u = F.shiftrightunsigned(F.xxhash64(x["h"], draw), 11) / F.lit(float(1 << 53))
+            return F.least(F.lit(100.0), F.greatest(F.lit(0.0), x["s"] * (1 + (u * 2 - 1) * noise))) * x["w"]
+
+        total = F.aggregate("f", F.lit(0.0), lambda a, x: a + moved(x))
+        return F.least(F.lit(100.0), F.bround(total / F.col("all") + bonus * (F.size("f") - 1)))
+
+    samples = rows.select("tender_id", F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), index)).alias("x"))
+
+    def bound(share: float) -> Column:
+        at = share * (draws - 1)
+        low = int(at)
+        return F.get("x", F.lit(low)) + (at - low) * (F.get("x", F.lit(min(low + 1, draws - 1))) - F.get("x", F.lit(low)))
+
     a = (1 - level) / 2
-    bounds = samples.groupBy("tender_id").agg(F.percentile("cri", a).alias("ci_lower"), F.percentile("cri", 1 - a).alias("ci_upper"))
+    bounds = samples.select("tender_id", F.round(bound(a), 6).alias("ci_lower"), F.round(bound(1 - a), 6).alias("ci_upper"))
     return risk_index(flags, rounding="round").select("tender_id", "cri").join(bounds, "tender_id")
 
 
@@ -38,14 +51,22 @@ def completeness(features: DataFrame, key: str = "tender_id") -> DataFrame:
     return features.select(key, F.round(present / len(names), 6).alias("completeness"))
 
 
-def review_queue(flags: DataFrame, *, size: int = 50, middle: int = 50, band: int = 15, rare: int = 3) -> DataFrame:
-    """Tenders worth a look: scores at the boundary, and combinations of flag types that are rare; halves of the queue."""
-    cri = risk_index(flags)
+def review_queue(flags: DataFrame, predictions: DataFrame, *, size: int = 50, middle: int = 50, band: int = 15, gap: int = 20, rare: int = 3) -> DataFrame:
+    """(tender_id, reason, priority): half of the queue at the index's boundary, three tenths where the index and a model's
+    score (tender_id, score) are over ``gap`` apart, two tenths with combinations of flag types that are rare.
+
+    A tender found twice stands under the first of these.
+    """
+    cri = risk_index(flags).select("tender_id", "cri").join(flags.groupBy("tender_id").agg(F.count(F.lit(1)).alias("flags")), "tender_id")
     combos = flags.groupBy("tender_id").agg(F.array_join(F.sort_array(F.collect_set("flag_type")), ",").alias("combo"))
     freq = combos.groupBy("combo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare)
-    edge = cri.filter(F.abs(F.col("cri") - middle) <= band).orderBy(F.abs(F.col("cri") - middle), "tender_id").limit(size // 2).select("tender_id", F.lit("boundary").alias("reason"))
-    odd = combos.join(freq, "combo").orderBy("n", "tender_id").limit(size // 2).select("tender_id", F.lit("rare combination").alias("reason"))
-    return edge.unionByName(odd).groupBy("tender_id").agg(F.min("reason").alias("reason"))
+    off, apart = F.abs(F.col("cri") - middle), F.abs(F.col("cri") - F.col("score"))
+    row = lambda n, reason, priority: ("tender_id", F.lit(n).alias("rule"), F.lit(reason).alias("reason"), F.round(priority, 6).alias("priority"))
+    edge = cri.filter(off <= band).orderBy(off, F.desc("flags"), "tender_id").limit(size * 5 // 10).select(*row(1, "boundary", 1 / (1 + off)))
+    split = cri.join(predictions, "tender_id").filter(apart > gap).orderBy(F.desc(apart), "tender_id").limit(size * 3 // 10).select(*row(2, "disagreement", apart / 100))
+    odd = combos.join(freq, "combo").orderBy("n", "tender_id").limit(size * 2 // 10).select(*row(3, "novel", 1 / F.col("n")))
+    each = edge.unionByName(split).unionByName(odd)
+    return each.groupBy("tender_id").agg(F.min(F.struct("rule", "reason", "priority")).alias("r")).select("tender_id", "r.reason", "r.priority")
 
 
 def calibrated_weights(flags: DataFrame, verdicts: DataFrame, *, least_reviews: int = 50, most_change: float = 0.2) -> dict[str, float] | None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import AWARDED, banded
-from bidscope.operators.risk import severity_rank
+from bidscope.operators.risk import buyer_trends, severity_rank
 
 #: Points of a tip's category.
 TIP_CATEGORIES = {"bid_rigging": 8.0, "bribery": 7.0, "conflict_of_interest": 6.0, "fraud": 7.0}
@@ -25,20 +25,10 @@ def high_risk(flags: DataFrame, tenders: DataFrame) -> DataFrame:
 
 
 def enriched_alerts(scores: DataFrame, tenders: DataFrame) -> DataFrame:
-    """(tender_id, repeat_wins, trend): wins of the winner at the buyer, and how the buyer's scores move.
-
-    Over the buyer's ten newest scored tenders the mean of the newer half is compared with that of the older half; five
-    points make a trend.  Fewer than three scores make none.
-    """
+    """(tender_id, repeat_wins, trend): wins of the winner at the buyer, and how the buyer's scores move."""
     pair = Window.partitionBy("procuring_entity", "winner")
     t = tenders.withColumn("repeat_wins", F.when(F.col("winner").isNull(), 0).otherwise(F.count_if(F.col("status") == "awarded").over(pair)))
-    order = Window.partitionBy("procuring_entity").orderBy(F.col("publication_date").desc_nulls_last(), "tender_id")
-    newest = scores.join(tenders.select("tender_id", "procuring_entity", "publication_date"), "tender_id").withColumn("n", F.row_number().over(order)).filter("n <= 10")
-    counted = newest.withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("procuring_entity"))).withColumn("half", F.floor(F.col("all") / 2))
-    halves = counted.groupBy("procuring_entity").agg(F.max("all").alias("all"), F.avg(F.when(F.col("n") <= F.col("half"), F.col("score"))).alias("newer"), F.avg(F.when(F.col("n") > F.col("half"), F.col("score"))).alias("older"))
-    move = F.col("newer") - F.col("older")
-    trend = F.when(F.col("all") < 3, "stable").when(move > 5, "increasing").when(move < -5, "decreasing").otherwise("stable")
-    return t.join(scores.select("tender_id"), "tender_id").join(halves.select("procuring_entity", trend.alias("trend")), "procuring_entity").select("tender_id", "repeat_wins", "trend")
+    return t.join(scores.select("tender_id"), "tender_id").join(buyer_trends(scores, tenders), "procuring_entity").select("tender_id", "repeat_wins", "trend")
 
 
 def due_alerts(alerts: DataFrame, users: DataFrame, sent: DataFrame) -> DataFrame:

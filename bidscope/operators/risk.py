@@ -54,15 +54,48 @@ def suspicious_companies(flags: DataFrame, tenders: DataFrame, least: int = 3) -
     return per.groupBy("winner").agg(row_count().alias("flags"), F.count_distinct("tender_id").alias("tenders"), F.round(F.avg("score"), 4).alias("mean_score"), F.max(severity_rank(F.col("severity"))).alias("worst")).filter(F.col("tenders") >= least)
 
 
-def alerts(flags: DataFrame, tenders: DataFrame) -> DataFrame:
-    """(tender_id, rule, severity) of rules over the index, single bids of value, many flags, repeated wins."""
-    cri = risk_index(flags)
-    rows = tenders.join(cri, "tender_id", "left").withColumn("repeat", F.count(F.lit(1)).over(Window.partitionBy("procuring_entity", "winner")))
+def buyer_trends(scores: DataFrame, tenders: DataFrame, *, last: int = 10) -> DataFrame:
+    """(procuring_entity, trend, delta) over a buyer's ``last`` newest scored tenders.
+
+    The mean of the newer half is compared with that of the older half; five points make a trend, and fewer than three
+    scores make none.  ``delta`` is the last of these scores, newest first, less the first.
+    """
+    order = Window.partitionBy("procuring_entity").orderBy(F.col("publication_date").desc_nulls_last(), "tender_id")
+    newest = scores.join(tenders.select("tender_id", "procuring_entity", "publication_date"), "tender_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= last)
+    counted = newest.withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("procuring_entity"))).withColumn("half", F.floor(F.col("all") / 2))
+    halves = counted.groupBy("procuring_entity").agg(
+        F.max("all").alias("all"), F.avg(F.when(F.col("n") <= F.col("half"), F.col("score"))).alias("newer"), F.avg(F.when(F.col("n") > F.col("half"), F.col("score"))).alias("older"),
+        (F.max_by("score", "n") - F.min_by("score", "n")).alias("delta"),
+    )
+    move = F.col("newer") - F.col("older")
+    trend = F.when(F.col("all") < 3, "stable").when(move > 5, "increasing").when(move < -5, "decreasing").otherwise("stable")
+    return halves.select("procuring_entity", trend.alias("trend"), "delta")
+
+
+def alerts(flags: DataFrame, tenders: DataFrame, watched: tuple[str, ...] = ()) -> DataFrame:
+    """(tender_id, rule, severity) of six rules: a high index, a single bid of value, activity of a watched name, many flags,
+    repeated wins at a buyer, and a buyer whose index rises.  Tenders without flags have the index zero."""
+    cri = risk_index(flags).select("tender_id", "cri")
+    per = flags.groupBy("tender_id").agg(row_count().alias("flags"), F.max(F.col("flag_type") == "single_bidder").alias("single"))
+    repeat = F.when(F.col("winner").isNotNull(), F.count_if(F.col("status") == "awarded").over(Window.partitionBy("procuring_entity", "winner")))
+    trends = buyer_trends(cri.withColumnRenamed("cri", "score"), tenders)
+    rows = tenders.withColumn("repeat", repeat).join(cri, "tender_id", "left").join(per, "tender_id", "left").join(trends, "procuring_entity", "left").fillna(0, ["cri", "flags"])
+    value = F.coalesce(F.nullif("actual_value_mkd", F.lit(0.0)), "estimated_value_mkd", F.lit(0.0))
+    named = F.lower(F.concat_ws("\n", "winner", "procuring_entity"))
+    seen = F.exists(F.array(*[F.lit(w.lower()) for w in watched]), lambda w: F.contains(named, w)) if watched else F.lit(False)
+
+    def rule(name: str, holds: Column, *levels: tuple[Column, str], other: str = "medium") -> Column:
+        severity = F.coalesce(*[F.when(c, s) for c, s in levels], F.lit(other))
+        return F.when(holds, F.struct(F.lit(name).alias("rule"), severity.alias("severity")))
+
+    score, n, again = F.col("cri"), F.col("flags"), F.col("repeat")
     rules = F.array_compact(F.array(
-        F.when(F.col("cri") >= 70, F.struct(F.lit("high_risk").alias("rule"), F.when(F.col("cri") >= 85, "critical").otherwise("high").alias("severity"))),
-        F.when((F.col("num_bidders") == 1) & (F.col("estimated_value_mkd") >= 5e6), F.struct(F.lit("single_bidder_high_value").alias("rule"), F.lit("high").alias("severity"))),
-        F.when(F.col("flag_types") >= 3, F.struct(F.lit("multiple_flags").alias("rule"), F.lit("medium").alias("severity"))),
-        F.when(F.col("winner").isNotNull() & (F.col("repeat") >= 3), F.struct(F.lit("repeat_pattern").alias("rule"), F.lit("medium").alias("severity"))),
+        rule("high_risk_score", score >= 70, (score >= 90, "critical"), (score >= 80, "high")),
+        rule("single_bidder_high_value", F.col("single") & (value >= 5e6), (value >= 5e7, "critical"), (value >= 2e7, "high")),
+        rule("watched_entity", seen, (score >= 70, "high"), (score >= 40, "medium"), other="low"),
+        rule("multiple_flags", n >= 3, (n >= 6, "critical"), (n >= 5, "high")),
+        rule("repeat_pattern", again >= 3, (again >= 10, "critical"), (again >= 6, "high")),
+        rule("escalating_risk", F.col("trend") == "increasing", ((score >= 80) & (F.col("delta") >= 20), "critical"), ((score >= 60) | (F.col("delta") >= 15), "high")),
     ))
     return rows.select("tender_id", F.explode(rules).alias("r")).select("tender_id", "r.rule", "r.severity")
 

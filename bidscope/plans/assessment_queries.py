@@ -41,6 +41,12 @@ def _profile(t):
     return a.temporal_profile(own.tenders, flags, date(2001, 1, 1))
 
 
+def _queue(t):
+    own, flags = flag_tables(t)
+    score = (F.coalesce("num_bidders", F.lit(0)) * 17 + F.col("amendment_count") * 29) % 101
+    return a.review_queue(flags, own.tenders.select("tender_id", score.alias("score")))
+
+
 def _effect(t):
     rows = t.tenders.filter("actual_value_mkd is not null and estimated_value_mkd > 0").select((F.col("num_bidders") / 8.0).alias("propensity"), F.col("procedure_type").contains("Negotiated").cast("int").alias("treated"), (F.col("actual_value_mkd") / F.col("estimated_value_mkd")).alias("outcome"))
     return a.matched_effect(rows)
@@ -71,9 +77,14 @@ _ALL = {
     "s1_ocds_bidders": (lambda t: ocds.bidders(_releases(t)).groupBy("company_name").agg(F.count(F.lit(1)).alias("bids"), F.count_if("is_winner").alias("wins")), """
       SELECT company_name, COUNT(*) AS bids, SUM(CASE WHEN w THEN 1 ELSE 0 END) AS wins FROM (SELECT 'S' || l_suppkey AS company_name, bool_or(l_returnflag = 'A') OVER (PARTITION BY l_orderkey, l_suppkey) AS w, l_orderkey, l_returnflag FROM lineitem) x WHERE l_orderkey % 3 <> 0 OR l_returnflag = 'A' GROUP BY 1"""),
     "s10_json_profile": (lambda t: ocds.json_profile(t.raw("events"), "props"), None),
-    "r8_bootstrap_intervals": (lambda t: a.bootstrap_interval(flag_tables(t)[1], draws=100), None),
+    "r8_bootstrap_intervals": (lambda t: a.bootstrap_interval(flag_tables(t)[1]), None),
     "r9_feature_completeness": (lambda t: a.completeness(r.tender_features(t.tenders, t.bidders)), None),
-    "r10_review_queue": (lambda t: a.review_queue(flag_tables(t)[1]), None),
+    "r10_review_queue": (_queue, FLAGS_SQL + "," + CRI_SQL + f""", ml AS (SELECT tender_id, (COALESCE(num_bidders, 0) * 17 + amendment_count * 29) % 101 AS score FROM tenders),
+      cb AS (SELECT tender_id, string_agg(DISTINCT flag_type, ',' ORDER BY flag_type) AS combo, COUNT(*) AS flags FROM flags GROUP BY 1), fr AS (SELECT tender_id, COUNT(*) OVER (PARTITION BY combo) AS n FROM cb),
+      ed AS (SELECT c.tender_id, 1 AS rule, 'boundary' AS reason, ROUND(1 / (1{D} + ABS(cri - 50)), 6) AS priority FROM cri c JOIN cb USING (tender_id) WHERE ABS(cri - 50) <= 15 ORDER BY ABS(cri - 50), flags DESC, tender_id LIMIT 25),
+      sp AS (SELECT tender_id, 2, 'disagreement', ROUND(ABS(cri - score) / 100{D}, 6) FROM cri JOIN ml USING (tender_id) WHERE ABS(cri - score) > 20 ORDER BY ABS(cri - score) DESC, tender_id LIMIT 15),
+      od AS (SELECT tender_id, 3, 'novel', ROUND(1{D} / n, 6) FROM fr WHERE n <= 3 ORDER BY n, tender_id LIMIT 10)
+      SELECT tender_id, arg_min(reason, rule) AS reason, arg_min(priority, rule) AS priority FROM (SELECT * FROM ed UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM od) x GROUP BY 1"""),
     "r11_calibrated_weights": (_calibrated, None),
     "m10_balanced_labels": (lambda t: (lambda own, flags: a.balanced_labels(flags.filter("severity = 'critical'"), own.tenders).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")))(*flag_tables(t)), None),
     "m14_threshold_sweep": (lambda t: a.threshold_sweep(_scored(t)), _SCORED + f", b AS (SELECT LEAST(20, CAST(FLOOR(score * 20) AS INTEGER)) AS bin, SUM(label) AS pos, COUNT(*) AS n FROM sc GROUP BY 1), c AS (SELECT bin, SUM(pos) OVER (ORDER BY bin DESC) AS tp, SUM(n) OVER (ORDER BY bin DESC) AS fl, SUM(pos) OVER () AS ap FROM b) SELECT bin / 20{D} AS threshold, ROUND(tp / fl, 6) AS precision, ROUND(tp / NULLIF(ap, 0), 6) AS recall, ROUND(2 * (tp / fl) * (tp / NULLIF(ap, 0)) / NULLIF(tp / fl + tp / NULLIF(ap, 0), 0), 6) AS f1 FROM c"),

@@ -12,16 +12,16 @@ from bidscope.operators import follow_up as u
 from bidscope.operators import graph as g
 from bidscope.operators import risk as r
 from bidscope.plans.detector_queries import CRI_SQL, FLAGS_SQL
-from bidscope.plans.other_queries import _ALL as _OTHER
-from bidscope.plans.other_queries import _subscriptions, _with_flags
+from bidscope.plans.other_queries import ORACLES as OTHER_SQL
+from bidscope.plans.other_queries import R12_SQL, _subscriptions, _with_flags
 from bidscope.sources.domain import AS_OF, DOMAIN_SQL
 from bidscope.streaming import incremental as s
 
 D = "::DOUBLE"
 AW = "status IN ('awarded', 'completed')"
 RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
-R12 = _OTHER["r12_alerts"][1]
-R16 = _OTHER["r16_alert_matches"][1]
+R12 = R12_SQL
+R16 = OTHER_SQL["r16_alert_matches"]
 QUERY = "steel gear"
 CODES = {"33000000": {"tion": 2, "the": 1}, "45000000": {"der": 2, "ein": 2}, "72000000": {"que": 3, "ción": 2}}
 
@@ -30,11 +30,11 @@ def _users(t):
     """Buyers' nations as users, each following two rules from a severity on."""
     n = t.raw("nation")
     k = F.col("n_nationkey")
-    follows = F.explode(F.when(k % 2 == 0, F.array(F.lit("high_risk"), F.lit("multiple_flags"))).otherwise(F.array(F.lit("repeat_pattern"), F.lit("single_bidder_high_value"))))
+    follows = F.explode(F.when(k % 2 == 0, F.array(F.lit("high_risk_score"), F.lit("multiple_flags"))).otherwise(F.array(F.lit("repeat_pattern"), F.lit("single_bidder_high_value"))))
     return n.select(F.col("n_name").alias("user_id"), F.when(k % 3 == 0, "critical").when(k % 3 == 1, "high").otherwise("low").alias("least"), follows.alias("rule"))
 
 
-_USERS = """SELECT n_name AS user_id, CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS least, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['high_risk', 'multiple_flags'] ELSE ['repeat_pattern', 'single_bidder_high_value'] END) AS rule FROM nation"""
+_USERS = """SELECT n_name AS user_id, CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS least, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['high_risk_score', 'multiple_flags'] ELSE ['repeat_pattern', 'single_bidder_high_value'] END) AS rule FROM nation"""
 
 
 def _due(flags, t):

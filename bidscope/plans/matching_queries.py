@@ -70,7 +70,7 @@ alike AS (
   FROM (SELECT p.name AS a, q.name AS b, COUNT(*) AS both_ FROM tri p JOIN tri q ON p.t = q.t AND p.name < q.name GROUP BY 1, 2) z JOIN sized x ON x.name = a JOIN sized y ON y.name = b WHERE both_ / CAST(x.n + y.n - both_ AS DOUBLE) > 0.3)"""
 
 _ALL = {
-    "c12_search_variants": (lambda t: t.raw("part").select("p_name").distinct().select("p_name", F.array_join(c.search_variants(F.col("p_name")), "|").alias("variants")), None),
+    "c12_search_variants": (lambda t: t.raw("part").select("p_name").distinct().select("p_name", F.array_join(c.search_variants(F.col("p_name")), "|").alias("variants")), "SELECT p_name, CASE WHEN p_name = v THEN p_name ELSE p_name || '|' || v END AS variants FROM (SELECT DISTINCT p_name, translate(" + "".join("replace(" for _ in c.DIGRAPHS) + "lower(p_name)" + "".join(f", '{a}', '{b}')" for a, b in c.DIGRAPHS) + f", '{c.LATIN}', '{c.CYRILLIC}') AS v FROM part) x"),
     "g17_revolving_doors": (lambda t: g.revolving_doors(_doors(t)), """
     , e AS (SELECT split_part(procuring_entity, '|', 1) AS src, company_city AS dst, SUM(bid_amount_mkd) AS value FROM bidders JOIN tenders USING (tender_id) WHERE is_winner AND company_city IS NOT NULL GROUP BY 1, 2)
     SELECT name, buyer_edges, buyer_value, supplier_edges, supplier_value FROM (SELECT src AS name, COUNT(*) AS buyer_edges, SUM(value) AS buyer_value FROM e GROUP BY 1) b

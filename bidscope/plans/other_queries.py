@@ -102,14 +102,30 @@ def _model(t):
 
 _STREAM_WINDOWS = "SELECT date_trunc('hour', ts) AS window_start, event_type, COUNT(*) AS events, ROUND(SUM(value), 4) AS value FROM events GROUP BY 1, 2"
 
+#: Names whose activity the registered query reports.
+WATCHED = ("nation_3|building", "co-5")
+R12_SQL = FLAGS_SQL + "," + CRI_SQL + """, o AS (SELECT t.procuring_entity, cri, row_number() OVER (PARTITION BY procuring_entity ORDER BY publication_date DESC NULLS LAST, t.tender_id) AS n FROM cri JOIN tenders t ON t.tender_id = cri.tender_id),
+h AS (SELECT *, COUNT(*) OVER (PARTITION BY procuring_entity) AS al FROM o WHERE n <= 10),
+m AS (SELECT procuring_entity, MAX(al) AS al, AVG(CASE WHEN n <= al // 2 THEN cri END) - AVG(CASE WHEN n > al // 2 THEN cri END) AS move, MAX(CASE WHEN n = al THEN cri END) - MAX(CASE WHEN n = 1 THEN cri END) AS delta FROM h GROUP BY 1),
+pf AS (SELECT tender_id, COUNT(*) AS flags, bool_or(flag_type = 'single_bidder') AS single FROM flags GROUP BY 1),
+j AS (
+  SELECT t.tender_id, lower(t.procuring_entity) AS buyer, lower(winner) AS winner, COALESCE(cri, 0) AS cri, COALESCE(flags, 0) AS flags, single, COALESCE(NULLIF(actual_value_mkd, 0), estimated_value_mkd, 0) AS value, al >= 3 AND move > 5 AS rising, delta,
+         CASE WHEN winner IS NOT NULL THEN COUNT(*) FILTER (WHERE status = 'awarded') OVER (PARTITION BY t.procuring_entity, winner) END AS rep
+  FROM tenders t LEFT JOIN cri ON cri.tender_id = t.tender_id LEFT JOIN pf ON pf.tender_id = t.tender_id LEFT JOIN m ON m.procuring_entity = t.procuring_entity)
+SELECT tender_id, 'high_risk_score' AS rule, CASE WHEN cri >= 90 THEN 'critical' WHEN cri >= 80 THEN 'high' ELSE 'medium' END AS severity FROM j WHERE cri >= 70
+UNION ALL SELECT tender_id, 'single_bidder_high_value', CASE WHEN value >= 5e7 THEN 'critical' WHEN value >= 2e7 THEN 'high' ELSE 'medium' END FROM j WHERE single AND value >= 5e6
+UNION ALL SELECT tender_id, 'multiple_flags', CASE WHEN flags >= 6 THEN 'critical' WHEN flags >= 5 THEN 'high' ELSE 'medium' END FROM j WHERE flags >= 3
+UNION ALL SELECT tender_id, 'repeat_pattern', CASE WHEN rep >= 10 THEN 'critical' WHEN rep >= 6 THEN 'high' ELSE 'medium' END FROM j WHERE rep >= 3
+UNION ALL SELECT tender_id, 'escalating_risk', CASE WHEN cri >= 80 AND delta >= 20 THEN 'critical' WHEN cri >= 60 OR delta >= 15 THEN 'high' ELSE 'medium' END FROM j WHERE rising"""
+WATCHED_SQL = """
+UNION ALL SELECT tender_id, 'watched_entity', CASE WHEN cri >= 70 THEN 'high' WHEN cri >= 40 THEN 'medium' ELSE 'low' END FROM j WHERE contains(buyer, 'nation_3|building') OR contains(winner, 'co-5')"""
+
 _ALL = {
     "r2_flag_type_counts": (_with_flags(lambda f, t: r.flag_type_counts(f)), FLAGS_SQL + "SELECT k.flag_type, COUNT(f.tender_id) AS flags, SUM(CASE WHEN f.severity = 'critical' THEN 1 ELSE 0 END) AS critical FROM (VALUES " + ", ".join(f"('{k}')" for k in r.WEIGHTS) + ") k(flag_type) LEFT JOIN flags f ON f.flag_type = k.flag_type GROUP BY 1"),
     "r4_average_score": (_with_flags(lambda f, t: r.average_score(f)), FLAGS_SQL + "SELECT tender_id, risk_score, flag_count, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'minimal' END AS risk_level FROM (SELECT tender_id, CAST(ROUND(AVG(score)) AS INTEGER) AS risk_score, COUNT(*) AS flag_count FROM flags GROUP BY tender_id) x"),
     "r6_institution_risk": (_with_flags(lambda f, t: r.institution_risk(f, t.tenders)), FLAGS_SQL + "," + CRI_SQL + f"SELECT procuring_entity, COUNT(*) AS tenders, COUNT(cri) AS flagged, ROUND(COUNT(cri) * 100.0{D} / COUNT(*), 4) AS flagged_share, ROUND(AVG(cri), 4) AS mean_cri, MAX(cri) AS max_cri FROM tenders t LEFT JOIN cri ON cri.tender_id = t.tender_id GROUP BY 1"),
     "r7_suspicious_companies": (_with_flags(lambda f, t: r.suspicious_companies(f, t.tenders)), FLAGS_SQL + "SELECT winner, COUNT(*) AS flags, COUNT(DISTINCT f.tender_id) AS tenders, ROUND(AVG(score), 4) AS mean_score, MAX(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS worst FROM flags f JOIN tenders t ON f.tender_id = t.tender_id WHERE winner IS NOT NULL GROUP BY winner HAVING COUNT(DISTINCT f.tender_id) >= 3"),
-    "r12_alerts": (_with_flags(lambda f, t: r.alerts(f, t.tenders)), FLAGS_SQL + "," + CRI_SQL + """, j AS (SELECT t.*, cri, flag_types, COUNT(*) OVER (PARTITION BY procuring_entity, winner) AS rep FROM tenders t LEFT JOIN cri ON cri.tender_id = t.tender_id)
-      SELECT tender_id, 'high_risk' AS rule, CASE WHEN cri >= 85 THEN 'critical' ELSE 'high' END AS severity FROM j WHERE cri >= 70 UNION ALL SELECT tender_id, 'single_bidder_high_value', 'high' FROM j WHERE num_bidders = 1 AND estimated_value_mkd >= 5e6
-      UNION ALL SELECT tender_id, 'multiple_flags', 'medium' FROM j WHERE flag_types >= 3 UNION ALL SELECT tender_id, 'repeat_pattern', 'medium' FROM j WHERE winner IS NOT NULL AND rep >= 3"""),
+    "r12_alerts": (_with_flags(lambda f, t: r.alerts(f, t.tenders, WATCHED)), R12_SQL + WATCHED_SQL),
     "r16_alert_matches": (lambda t: r.match_alerts(t.tenders, _subscriptions(t)), DOMAIN_SQL + ", subs AS (SELECT n_nationkey AS alert_id, CASE n_nationkey % 3 WHEN 0 THEN 'plate' WHEN 1 THEN 'gear' ELSE 'bolt' END AS keyword, lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || '00' AS cpv4, n_name || '|' AS buyer FROM nation) SELECT tender_id, CAST(alert_id AS BIGINT) AS alert_id, CAST(p AS INTEGER) AS match_score FROM (SELECT tender_id, alert_id, CASE WHEN lower(concat_ws(' ', title, category)) LIKE '%' || keyword || '%' THEN 25 ELSE 0 END + CASE WHEN starts_with(cpv_code, cpv4) THEN 30 ELSE 0 END + CASE WHEN contains(procuring_entity, buyer) THEN 25 ELSE 0 END + CASE WHEN estimated_value_mkd BETWEEN 1e6 AND 2e6 THEN 20 ELSE 0 END AS p FROM tenders, subs) x WHERE p >= 25"),
     "r22_full_coverage": (_with_flags(lambda f, t: r.full_coverage_score(f, t.tenders)), FLAGS_SQL + f"SELECT t.tender_id, ROUND(CASE WHEN n IS NULL THEN CASE WHEN num_bidders = 1 THEN 25 WHEN num_bidders = 2 THEN 10 ELSE 5 END ELSE LEAST(100.0{D}, mean * (1 + 0.15{D} * (n - 1))) END, 4) AS score, COALESCE(n, 0) AS flags FROM tenders t LEFT JOIN (SELECT tender_id, AVG(score) AS mean, COUNT(*) AS n FROM flags GROUP BY 1) f ON f.tender_id = t.tender_id WHERE {AW}"),
     "m1_tender_features": (lambda t: r.tender_features(t.tenders, t.bidders), DOMAIN_SQL + f""", bs AS (SELECT tender_id, COUNT(*) AS n, SUM(CASE WHEN disqualified THEN 1 ELSE 0 END) AS dq, AVG(bid_amount_mkd) AS m, stddev_pop(bid_amount_mkd) AS sd, MIN(bid_amount_mkd) AS lo, MAX(bid_amount_mkd) AS hi, quantile_cont(bid_amount_mkd, 0.5) AS md FROM bidders GROUP BY tender_id)
