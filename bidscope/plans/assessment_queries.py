@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bidscope.functions import text as x
 from bidscope.operators import assessment as a
+from bidscope.operators import history as h
 from bidscope.operators import detectors as d
 from bidscope.operators import risk as r
 from bidscope.plans.detector_queries import CRI_SQL, FLAGS_SQL, flag_tables
@@ -87,6 +88,20 @@ _ALL = {
       SELECT tender_id, arg_min(reason, rule) AS reason, arg_min(priority, rule) AS priority FROM (SELECT * FROM ed UNION ALL SELECT * FROM sp UNION ALL SELECT * FROM od) x GROUP BY 1"""),
     "r11_calibrated_weights": (_calibrated, None),
     "m10_balanced_labels": (lambda t: (lambda own, flags: a.balanced_labels(flags.filter("severity = 'critical'"), own.tenders).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")))(*flag_tables(t)), None),
+    "m4_relationship_features": (lambda t: h.relationship_features(t.tenders, t.bidders), DOMAIN_SQL + """, j AS (
+        SELECT t.tender_id, t.procuring_entity AS buyer, t.winner, t.publication_date AS day, t.num_bidders, b.company_name FROM tenders t LEFT JOIN bidders b ON b.tender_id = t.tender_id WHERE t.status IN ('awarded', 'closed')),
+      pair AS (SELECT t.tender_id, COUNT(*) FILTER (WHERE j.winner = t.winner) AS pw, COUNT(*) FILTER (WHERE j.company_name = t.winner) AS pb, COUNT(*) AS rows FROM tenders t JOIN j ON j.buyer = t.procuring_entity AND j.day < t.publication_date GROUP BY 1),
+      comp AS (SELECT company, day, SUM(w) AS w, SUM(b) AS b FROM (SELECT winner AS company, day, 1 AS w, 0 AS b FROM j WHERE winner IS NOT NULL UNION ALL SELECT company_name, day, 0, 1 FROM j WHERE company_name IS NOT NULL) x GROUP BY 1, 2),
+      total AS (SELECT t.tender_id, SUM(w) AS tw, SUM(b) AS tb FROM tenders t JOIN comp ON company = t.winner AND comp.day < t.publication_date GROUP BY 1),
+      fi AS (SELECT winner AS company, buyer, MIN(day) AS day FROM j WHERE winner IS NOT NULL GROUP BY 1, 2),
+      inst AS (SELECT t.tender_id, COUNT(*) AS n FROM tenders t JOIN fi ON company = t.winner AND fi.day < t.publication_date GROUP BY 1),
+      own AS (SELECT t.tender_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE p.num_bidders = 1) AS s, AVG(p.num_bidders) AS m FROM tenders t JOIN tenders p ON p.procuring_entity = t.procuring_entity AND p.publication_date < t.publication_date AND p.status IN ('awarded', 'closed') AND p.num_bidders > 0 GROUP BY 1)
+      SELECT t.tender_id, CASE WHEN winner IS NULL THEN 0 ELSE COALESCE(pw, 0) END AS pair_wins, CASE WHEN winner IS NULL THEN 0 ELSE COALESCE(pb, 0) END AS pair_bids, CASE WHEN winner IS NULL OR COALESCE(pb, 0) = 0 THEN 0 ELSE ROUND(pw / pb, 6) END AS pair_win_rate,
+             CASE WHEN winner IS NULL OR rows IS NULL THEN 0 ELSE ROUND(pw / rows, 6) END AS market_share, COALESCE(tw, 0) AS total_wins, COALESCE(tb, 0) AS total_bids, CASE WHEN COALESCE(tb, 0) = 0 THEN 0 ELSE ROUND(tw / tb, 6) END AS win_rate,
+             COALESCE(inst.n, 0) AS institutions, CAST(winner IS NOT NULL AND COALESCE(tb, 0) <= 1 AS INTEGER) AS new_supplier, CAST(winner IS NOT NULL AND COALESCE(tb, 0) >= 10 AS INTEGER) AS experienced,
+             COALESCE(own.n, 0) AS buyer_tenders, COALESCE(ROUND(s / own.n, 6), 0) AS buyer_single_rate, COALESCE(ROUND(m, 6), 0) AS buyer_mean_bidders
+      FROM tenders t LEFT JOIN pair ON pair.tender_id = t.tender_id LEFT JOIN total ON total.tender_id = t.tender_id LEFT JOIN inst ON inst.tender_id = t.tender_id LEFT JOIN own ON own.tender_id = t.tender_id"""),
+    "m25_trajectories": (lambda t: h.trajectories(_profile(t)), None),
     "m14_threshold_sweep": (lambda t: a.threshold_sweep(_scored(t)), _SCORED + f", b AS (SELECT LEAST(20, CAST(FLOOR(score * 20) AS INTEGER)) AS bin, SUM(label) AS pos, COUNT(*) AS n FROM sc GROUP BY 1), c AS (SELECT bin, SUM(pos) OVER (ORDER BY bin DESC) AS tp, SUM(n) OVER (ORDER BY bin DESC) AS fl, SUM(pos) OVER () AS ap FROM b) SELECT bin / 20{D} AS threshold, ROUND(tp / fl, 6) AS precision, ROUND(tp / NULLIF(ap, 0), 6) AS recall, ROUND(2 * (tp / fl) * (tp / NULLIF(ap, 0)) / NULLIF(tp / fl + tp / NULLIF(ap, 0), 0), 6) AS f1 FROM c"),
     "m18_calibration": (lambda t: a.calibration(_scored(t)), _SCORED + "SELECT bin, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean_score, ROUND(AVG(label), 6) AS share, ROUND(ABS(AVG(score) - AVG(label)), 6) AS gap FROM (SELECT *, LEAST(9, CAST(FLOOR(score * 10) AS INTEGER)) AS bin FROM sc) x GROUP BY bin"),
     "m20_matched_effect": (_effect, DOMAIN_SQL + f"SELECT ROUND(SUM((yt - yc) * t) / NULLIF(SUM(t), 0), 6) AS effect, SUM(t) AS treated, SUM(c) AS controls FROM (SELECT FLOOR(num_bidders / 8.0{D} / 0.05{D}) AS s, SUM(CASE WHEN g THEN 1 ELSE 0 END) AS t, SUM(CASE WHEN g THEN 0 ELSE 1 END) AS c, AVG(CASE WHEN g THEN y END) AS yt, AVG(CASE WHEN NOT g THEN y END) AS yc FROM (SELECT num_bidders, procedure_type LIKE '%Negotiated%' AS g, actual_value_mkd / estimated_value_mkd AS y FROM tenders WHERE actual_value_mkd IS NOT NULL AND estimated_value_mkd > 0) x GROUP BY 1) z WHERE t > 0 AND c > 0"),
@@ -109,3 +124,8 @@ _ALL = {
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
+ORACLES["m25_trajectories"] = f"""
+WITH p AS (SELECT procuring_entity, COALESCE(slope, 0) AS s, COALESCE(volatility, 0) AS v, COALESCE(mean_30d, 0) AS m, COALESCE(mean_90d, 0) AS q, COALESCE(mean_365d, 0) AS y FROM ({ORACLES["m23_temporal_profile"]}) z),
+c AS (SELECT *, CASE WHEN s > 0.5 AND m > y THEN 'escalating' WHEN v > 20 THEN 'volatile' WHEN q > 60 AND v < 10 THEN 'stable_high' WHEN s < -0.5 THEN 'declining' WHEN q < 30 AND v < 10 THEN 'stable_low' ELSE 'moderate' END AS trajectory FROM p)
+SELECT procuring_entity, trajectory, ROUND(CASE trajectory WHEN 'escalating' THEN LEAST(0.95{D}, 0.5{D} + ABS(s) / 5 + (m - y) / 100) WHEN 'volatile' THEN LEAST(0.85{D}, 0.4{D} + v / 50) WHEN 'stable_high' THEN LEAST(0.9{D}, 0.6{D} + q / 200)
+       WHEN 'declining' THEN LEAST(0.9{D}, 0.5{D} + ABS(s) / 5) WHEN 'stable_low' THEN LEAST(0.9{D}, 0.7{D} + (30 - q) / 100) ELSE 0.5{D} END, 3) AS confidence FROM c"""
