@@ -54,4 +54,5 @@ def empty(tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     write_documents(folder, [])
     pq.write_table(pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], names=["page_id", "url", "html"]), folder / "pages.parquet")
+    pq.write_table(pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.float32())), pa.array([], pa.int32())], names=["vec_id", "embedding", "label"]), folder / "embeddings.parquet")
     return str(folder)
