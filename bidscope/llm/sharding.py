@@ -2,9 +2,10 @@
 
 The range key is a hash of the text, so equal texts are neighbours.  A sample of keys, drawn in proportion to size, gives
 quantile splitters; the ranges between them are summed exactly, and those fuller than the rest are subdivided by a second
-hash of the key, so equal texts stay together there too.  A text whose copies alone are many is a piece of its own: it
-keeps to one shard as long as the copies together are no larger than a shard's fair bytes, and is split by doc_id only
-beyond that.  Pieces are laid out over the shards, largest first, each to the shard with the fewest bytes.
+hash of the key, so equal texts stay together there too.  A text whose copies alone are many is dealt out row by row into
+pieces of its own, whatever the ids of the rows: it keeps to one shard as long as the copies together are no larger than a
+shard's fair bytes, and is split only beyond that.  Rows are numbered when the keys are written, so the same files, read
+with the same settings, give the same shards.  Pieces are laid out over the shards, largest first, each to the shard with the fewest bytes.
 
 At most ``ranges`` splitters, ``ranges`` texts of very many copies and a few times as many pieces ever reach the driver.
 
@@ -38,9 +39,9 @@ def _fraction(column: Column) -> Column:
 
 
 def splitters(keyed: DataFrame, total: int, ranges: int, samples_per_range: int = SAMPLES_PER_RANGE) -> list[int]:
-    """Quantiles of a size-weighted sample of keys: a row is drawn with chance size x samples / total, settled by its id."""
+    """Quantiles of a size-weighted sample of keys: a row is drawn with chance size x samples / total, settled by its number."""
     chance = F.col("size") * float(ranges * samples_per_range) / float(max(1, total))
-    drawn = keyed.filter(_fraction(F.struct("doc_id", "key", "size")) < chance).select("key")
+    drawn = keyed.filter(_fraction(F.struct("row", "key")) < chance).select("key")
     keys = sorted(r[0] for r in drawn.collect())  # about ranges x samples_per_range of them
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
@@ -64,7 +65,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, ranges_per_shard:
     spark = docs.sparkSession
     release_shuffles(spark)
     text = F.coalesce("text", F.lit(""))
-    keyed = materialize(docs.select("doc_id", (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key")), "shard-keys")
+    keyed = materialize(docs.select("doc_id", (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")), "shard-keys")
     total, rows = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
     ranges = max(1, min(shards * ranges_per_shard, rows))
     fair_bytes, fair_rows, shard_bytes = (total or 0) / ranges, rows / ranges, (total or 0) / shards
@@ -72,7 +73,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, ranges_per_shard:
     full = lambda n_bytes, n: (n_bytes > CROWDED * fair_bytes) | (n > CROWDED * fair_rows)
     parts_of = lambda n_bytes, n: F.least(F.ceil(F.greatest(n_bytes / F.lit(fair_bytes or 1.0), n / F.lit(fair_rows or 1.0))), n)
     sums = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")]
-    # Texts of very many copies: at most as many as there are ranges.  Their rows are dealt out by doc_id.
+    # Texts of very many copies: at most as many as there are ranges.  Their rows are dealt out one by one.
     copies = ranged.groupBy("key").agg(*sums).filter("rows > 1").filter(full(F.col("bytes"), F.col("rows"))).withColumn("copy_parts", parts_of(F.col("bytes"), F.col("rows")))
     hot = {r["key"]: (r["bytes"], r["copy_parts"]) for r in copies.collect()}
     hot_table = spark.createDataFrame([(k, int(n)) for k, (_, n) in hot.items()], "key long, copy_parts int")
@@ -81,7 +82,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, ranges_per_shard:
     crowded = marked.filter("copy_parts is null").groupBy("range").agg(*sums).filter(full(F.col("bytes"), F.col("rows"))).select("range", parts_of(F.col("bytes"), F.col("rows")).alias("parts"))
     range_table = spark.createDataFrame([(r["range"], int(r["parts"])) for r in crowded.collect()], "range int, parts int")
     cut = marked.join(F.broadcast(range_table), "range", "left")
-    dealt = F.floor(_fraction(F.struct("doc_id", "text_crc32")) * F.col("copy_parts"))
+    dealt = F.floor(_fraction(F.col("row")) * F.col("copy_parts"))
     by_key = F.floor(_fraction(F.col("key")) * F.coalesce("parts", F.lit(1)))
     group = F.when(F.col("copy_parts").isNotNull(), F.col("key"))  # null for the rest
     pieced = cut.select("doc_id", "size", "text_crc32", "key", "range", group.alias("copies"), F.coalesce(dealt, by_key).cast("int").alias("piece"))
