@@ -586,7 +586,8 @@ def without_runs(text: bytes, starts: np.ndarray | None, lengths: np.ndarray | N
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id, doc_id, asker, version, text).  ``doc_id`` is a number without nulls in the order of the ids: they move down by
-    one to make room for null at the top, unless the least of all is taken.  ``asker`` deals rows without an id out."""
+    one to make room for null at the top, unless the least of all is taken.  ``asker`` stands for a row's id and text together:
+    rows that share an id learn about their own anchors only, and those equal in both ask the same."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     own = F.col("doc_id").cast("long")
     low, high, nulls = docs.agg(F.min(own), F.max(own), F.max(own.isNull())).first()
@@ -597,7 +598,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         shift = 0
     keyed = docs.select(own.alias("id"), F.coalesce(own - F.lit(shift), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"))
     version = F.xxhash64("text")
-    return keyed.select("id", "doc_id", F.coalesce("id", version).alias("asker"), version.alias("version"), "text")
+    return keyed.select("id", "doc_id", F.xxhash64("id", version).alias("asker"), version.alias("version"), "text")
 
 
 def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 22, block_bytes: int = BLOCK_BYTES, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
@@ -608,12 +609,13 @@ def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 22, block_bytes:
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, partitions_for(total, bucket_bytes))
     asked = keyed.select("asker", "text").mapInArrow(lambda b: _meet_rows(b, buckets, block_bytes), "bucket int, doc_id long, hash long, hashes binary, docs binary, known binary")
-    shared = materialize(asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long"), "anchors")
-    per_doc = shared.groupBy(F.col("doc_id").alias("asker")).agg(F.collect_list("hash").alias("hashes"))
+    # Written before the join, so that Spark can split an id and text that very many rows share.
+    shared = asked.groupBy("bucket").applyInArrow(_meet, "doc_id long, hash long")
+    per_doc = materialize(shared.groupBy(F.col("doc_id").alias("asker")).agg(F.collect_list("hash").alias("hashes")), "anchors")
     flagged = keyed.join(per_doc, "asker").select("doc_id", "version", "hashes", "text")
     schema = "bucket int, packed binary, doc_id long, version long, start long, length long"
     # Anchors of so many documents that their fragments together are too many for a task: rows / most_fragments at most.
-    counted = shared.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_fragments).collect()
+    counted = per_doc.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_fragments).collect()
     hot = np.array([r["hash"] for r in counted], np.int64)
     # A fragment has half as many strings as an anchor's bytes can be shared by, about, each of 50 bytes.
     hot_buckets = partitions_for(sum(r["n"] for r in counted) * (MATCH_BYTES - ANCHOR_BYTES) // 2 * MATCH_BYTES, bucket_bytes)
@@ -623,7 +625,7 @@ def repeated_runs(docs: DataFrame, *, bucket_bytes: int = 1 << 22, block_bytes:
 
 def cut_repeats(docs: DataFrame, runs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``."""
-    per = runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    per = materialize(runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs")), "runs-of-rows")
     joined = _keyed(docs).join(per, ["doc_id", "version"], "left").select("id", "text", "runs.start", "runs.length")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
