@@ -51,33 +51,28 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): a host's links to other hosts, weighted by their share of all that it links to elsewhere."""
     links = pages.select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1), ascii_lower))).alias("dst"))
-    counted = links.filter("dst <> host and host <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
-    out = counted.groupBy("src").agg(F.sum("n").alias("all"))
+    counted = materialize(links.filter("dst <> host and host <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n")), "host-links")
+    out = materialize(counted.groupBy("src").agg(F.sum("n").alias("all")), "host-sums")  # a table of its own, so that Spark can split a hub
     return counted.join(out, "src").select("src", "dst", "n", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, checkpoint_every: int = 5) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, score) from ``seeds`` (host, seed) over ``edges`` (src, dst, weight).
 
     score = (1 - damping) x seed + damping x what flows in.  Each round at least shrinks what is still to move by
     ``damping``; the walk ends when no score is further than ``tolerance`` from its final value, and raises if ``rounds``
-    don't reach that.  Scores are written to the shared folder every few rounds, and the older ones deleted.
+    don't reach that.  Each round's scores are written to the shared folder and the older ones deleted, so edges are joined
+    with a table of its own and Spark can split the edges of a hub.
     """
     score = materialize(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score")), "rank")
     nodes = seeds.select("host", "seed").unionByName(edges.select(F.col("dst").alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.sum("seed").alias("seed"))
     nodes = materialize(nodes, "rank-nodes")
-    written = score
-    for i in range(1, rounds + 1):
-        # A host's inflow is an aggregate by then, so the joins below are of tables with one row for each host.
+    for _ in range(rounds):
         flow = edges.join(score, edges["src"] == score["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("weight") * F.col("score")).alias("flow"))
         new = nodes.join(flow, "host", "left").select("host", (F.col("seed") * (1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
-        if i % checkpoint_every and i < rounds:
-            score, before = new, score
-            continue
         before, score = score, materialize(new, "rank")
         moved = score.join(before.withColumnRenamed("score", "was"), "host", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
-        discard(written)
-        written = score
+        discard(before)
         if moved * damping <= tolerance * (1 - damping):  # what is still to come is at most this geometric series
             return score
     raise RuntimeError(f"scores still move by {moved} after {rounds} rounds")
@@ -97,7 +92,7 @@ def judge_urls(pages: DataFrame, *, rules=RULES, ratio: float = RATIO, least_dis
         trust, distrust = (shares.select("host", (F.col(c) * (1 - damping)).alias("score")) for c in ("allowed", "blocked"))
     else:
         trust = propagate(shares.select("host", F.col("allowed").alias("seed")), edges, damping=damping, rounds=rounds)
-        into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+        into = materialize(edges.groupBy("dst").agg(F.sum("n").alias("all")), "host-sums")
         backwards = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("weight"))
         distrust = propagate(shares.select("host", F.col("blocked").alias("seed")), backwards, damping=damping, rounds=rounds)
     hosts = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
