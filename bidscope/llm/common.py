@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.workspace import materialize
+
 #: Characters that separate words: space and the ASCII controls from tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,3 +84,18 @@ def attach(df: DataFrame, other: DataFrame, on: list[str], how: str = "left") ->
     for c in same[1:]:
         cond = cond & c
     return df.join(right, cond, how).drop(*[f"__r_{c}" for c in on])
+
+
+def number_rows(df: DataFrame, keys: list[str], number: str, name: str, *, rows_each: int = 50_000) -> DataFrame:
+    """Add ``name``: the row's place, from 1, among those equal in ``keys`` (nulls too), by ``number``, which tells rows apart.
+
+    Keys that many rows share are numbered in parts, dealt by the hash of ``number``, whose sizes are summed first.
+    """
+    part, parts, own, before = (free_name(df, c) for c in ("__part", "__parts", "__own", "__before"))
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_each).cast("long").alias(parts))
+    cut = attach(df, materialize(counts, "number-parts"), keys, "inner").withColumn(part, F.pmod(F.xxhash64(number), F.col(parts))).drop(parts)
+    cut = materialize(cut, "number-rows")
+    up_to = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = cut.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(own)).select(*keys, part, F.coalesce(F.sum(own).over(up_to), F.lit(0)).alias(before))
+    numbered = cut.withColumn(own, F.row_number().over(Window.partitionBy(*keys, part).orderBy(number)))
+    return attach(numbered, materialize(sizes, "number-offsets"), [*keys, part], "inner").withColumn(name, F.col(own) + F.col(before)).drop(own, before, part)

@@ -1,12 +1,15 @@
 """Mixing sources to target weights, built from SQL functions only.
 
-Every document gets a hash-random key (the MD5 of its id; of its text if it has none).  Within a source the keys' leading digits are its ranges,
-equally full because the keys are uniform; word counts are summed inside each range and over the ranges before it, and
-a source is cut where that running sum meets its budget, after as many whole epochs as the budget holds.
+Every document gets a hash-random key, the MD5 of its id and text.  Within a source the keys' leading digits are its ranges,
+equally full because the keys are uniform.  Rows equal in source and key are one group: of them only the number counts, so
+however many they are they take one row of a range.  Word counts are summed inside each range and over the ranges before it,
+and a source is cut where that running sum meets its budget, after as many whole epochs as the budget holds.  Only in the
+one group of a source in which the cut falls do equal rows take different numbers of words; they are numbered in parts.
 
 Defined results: a null text has size 0; null sources are one source, last in order; a source whose documents are all
-empty has target 0; repeated rows are documents of their own; of rows with one key those without an id come last, the
-others in the order of their sizes; an empty table gives no rows; other input columns are ignored.
+empty has target 0; repeated rows are documents of their own, the first of them taken; a null doc_id is an empty one; an
+empty table gives no rows; other input columns are ignored.  The sources are sorted in one task, with one row for each;
+more than ``most_sources`` of them raise ValueError.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidscope.llm.common import WORD, partitions_for
+from bidscope.llm.common import WORD, attach, number_rows, partitions_for
 from bidscope.workspace import materialize, release_shuffles
 
 WEIGHTS = (3, 1, 2)
@@ -49,33 +52,46 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
 
 
 def mix_sources(
-    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: str = "", rows_each: int = 50_000,
+    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: str = "", rows_each: int = 50_000, most_sources: int = 1_000_000,
     row: Column | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken[, row]): the words that the mix takes of each document.
 
-    ``row``, a string that tells rows apart, is carried along and breaks ties.
+    ``row``, a column that tells rows apart, is carried along.
     """
     named = ["row"] if row is not None else []
     spark = docs.sparkSession
     release_shuffles(spark)
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[row.alias(n) for n in named]), "mix-sizes")
-    digits = next(d for d in range(1, 6) if d == 5 or 16**d >= partitions_for(sized.count(), rows_each))
-    keyed = sized.withColumn("range", F.substring("key", 1, digits))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("number"), *[row.alias(n) for n in named])
+    sized = materialize(sized, "mix-sizes")
     targets = source_targets(sized, weights=weights, share=share, most_epochs=most_epochs)
-    totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    targets = materialize(targets, "mix-targets")
+    if targets.count() > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    digits = next(d for d in range(1, 6) if d == 5 or 16**d >= partitions_for(sized.count(), rows_each))
+    groups = materialize(sized.groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("range", F.substring("key", 1, digits)), "mix-groups")
+    totals = groups.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("rows")).alias("in_range"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "range", F.coalesce(F.sum("in_range").over(up_to), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *named).rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.select("doc_id", "source", "range", "size", *named, F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("local"))
-    a, b, t = local.alias("a"), offsets.alias("b"), targets.alias("t")
-    joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range"))).join(t, F.col("a.source").eqNullSafe(F.col("t.source")))
-    budget = F.round("t.target").cast("long")
-    epochs = F.when(F.col("t.source_size") > 0, F.floor(budget / F.col("t.source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("t.source_size")
-    last = F.least(F.col("a.size"), F.greatest(F.lit(0), rest - F.col("b.offset") - F.col("a.local")))
-    return joined.select("a.doc_id", "a.source", "a.size", "t.source_size", "t.target", (epochs * F.col("a.size") + last).cast("long").alias("taken"), *named)
+    inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    local = groups.withColumn("local", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0)))
+    placed = attach(attach(local, offsets, ["source", "range"]), targets, ["source"])
+    budget = F.round("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rest = F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("local"))  # what is left for the group
+    placed = placed.withColumn("epochs", epochs).withColumn("rest", F.least(F.col("size") * F.col("rows"), rest))
+    placed = materialize(placed.select("source", "key", "source_size", "target", "epochs", "rows", "rest", F.col("size").alias("each")), "mix-places")  # so that Spark can split equal rows in the join
+    joined = attach(sized, placed, ["source", "key"], "inner")
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", *named]
+    whole = F.col("epochs") * F.col("size")
+    cut = (F.col("rows") > 1) & (F.col("rest") > 0) & (F.col("rest") < F.col("each") * F.col("rows"))
+    even = joined.filter(~cut).withColumn("taken", (whole + F.floor(F.col("rest") / F.col("rows"))).cast("long")).select(columns)
+    if placed.filter(cut).isEmpty():
+        return even
+    numbered = number_rows(joined.filter(cut), ["source", "key"], "number", "place", rows_each=rows_each)
+    own = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - (F.col("place") - 1) * F.col("size")))
+    return even.unionByName(numbered.withColumn("taken", (whole + own).cast("long")).select(columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +100,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS VARCHAR), text, '')) AS key,
+  SELECT doc_id, source, md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(text, '')) AS key, row_number() OVER () AS rn,
          CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -101,7 +117,7 @@ levels AS (
 targets AS (SELECT source, source_size, LEAST(cap, weight * level) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.source, s.size,
-         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS LAST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.size, s.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s),
 joined AS (
   SELECT p.*, t.source_size, t.target, CAST(ROUND(t.target) AS BIGINT) AS budget,
