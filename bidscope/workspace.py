@@ -60,6 +60,18 @@ def discard(table: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
+def written() -> set[str]:
+    """Paths of the intermediate tables that exist now."""
+    return set(_written)
+
+
+def discard_since(spark: SparkSession, before: set[str], *but: DataFrame) -> None:
+    """Delete the intermediate tables written after ``before`` was taken, except those of ``but``."""
+    kept = {t.__dict__.get("_bidscope_path") for t in but}
+    for path in _written - before - kept:
+        _delete(spark, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; for when the results that read them are written."""
     for path in list(_written):
