@@ -147,13 +147,3 @@ def temporal_profile(tenders: DataFrame, flags: DataFrame, as_of: date, *, last:
         F.min(F.when(F.col("cri") > 0, F.col("age"))).alias("days_since_flag"), F.round(F.count(F.lit(1)) / (span / 30.0), 6).alias("pace"),
     ).filter(F.col("tenders") >= least)
     return per.withColumn("trajectory", F.when(F.col("slope") > 1, "escalating").when(F.col("slope") < -1, "improving").when(F.col("volatility") > 20, "volatile").otherwise("stable"))
-
-
-def matched_effect(rows: DataFrame, *, width: float = 0.05) -> DataFrame:
-    """One row: mean difference of ``outcome`` between treated and control rows of like propensity.
-
-    Rows are (propensity, treated 0/1, outcome); they are matched within strata of ``width``, each weighted by its treated rows.
-    """
-    s = rows.withColumn("stratum", F.floor(F.col("propensity") / width))
-    per = s.groupBy("stratum").agg(F.count_if(F.col("treated") == 1).alias("t"), F.count_if(F.col("treated") == 0).alias("c"), F.avg(F.when(F.col("treated") == 1, F.col("outcome"))).alias("yt"), F.avg(F.when(F.col("treated") == 0, F.col("outcome"))).alias("yc")).filter("t > 0 and c > 0")
-    return per.agg(F.round(F.try_divide(F.sum((F.col("yt") - F.col("yc")) * F.col("t")), F.sum("t")), 6).alias("effect"), F.sum("t").alias("treated"), F.sum("c").alias("controls"))

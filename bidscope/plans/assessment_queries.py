@@ -48,11 +48,6 @@ def _queue(t):
     return a.review_queue(flags, own.tenders.select("tender_id", score.alias("score")))
 
 
-def _effect(t):
-    rows = t.tenders.filter("actual_value_mkd is not null and estimated_value_mkd > 0").select((F.col("num_bidders") / 8.0).alias("propensity"), F.col("procedure_type").contains("Negotiated").cast("int").alias("treated"), (F.col("actual_value_mkd") / F.col("estimated_value_mkd")).alias("outcome"))
-    return a.matched_effect(rows)
-
-
 def _calibrated(t):
     own, flags = flag_tables(t)
     verdicts = own.tenders.select("tender_id", F.coalesce(F.col("actual_value_mkd") > 2 * F.col("estimated_value_mkd"), F.lit(False)).cast("int").alias("fraud"))
@@ -104,7 +99,6 @@ _ALL = {
     "m25_trajectories": (lambda t: h.trajectories(_profile(t)), None),
     "m14_threshold_sweep": (lambda t: a.threshold_sweep(_scored(t)), _SCORED + f", b AS (SELECT LEAST(20, CAST(FLOOR(score * 20) AS INTEGER)) AS bin, SUM(label) AS pos, COUNT(*) AS n FROM sc GROUP BY 1), c AS (SELECT bin, SUM(pos) OVER (ORDER BY bin DESC) AS tp, SUM(n) OVER (ORDER BY bin DESC) AS fl, SUM(pos) OVER () AS ap FROM b) SELECT bin / 20{D} AS threshold, ROUND(tp / fl, 6) AS precision, ROUND(tp / NULLIF(ap, 0), 6) AS recall, ROUND(2 * (tp / fl) * (tp / NULLIF(ap, 0)) / NULLIF(tp / fl + tp / NULLIF(ap, 0), 0), 6) AS f1 FROM c"),
     "m18_calibration": (lambda t: a.calibration(_scored(t)), _SCORED + "SELECT bin, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean_score, ROUND(AVG(label), 6) AS share, ROUND(ABS(AVG(score) - AVG(label)), 6) AS gap FROM (SELECT *, LEAST(9, CAST(FLOOR(score * 10) AS INTEGER)) AS bin FROM sc) x GROUP BY bin"),
-    "m20_matched_effect": (_effect, DOMAIN_SQL + f"SELECT ROUND(SUM((yt - yc) * t) / NULLIF(SUM(t), 0), 6) AS effect, SUM(t) AS treated, SUM(c) AS controls FROM (SELECT FLOOR(num_bidders / 8.0{D} / 0.05{D}) AS s, SUM(CASE WHEN g THEN 1 ELSE 0 END) AS t, SUM(CASE WHEN g THEN 0 ELSE 1 END) AS c, AVG(CASE WHEN g THEN y END) AS yt, AVG(CASE WHEN NOT g THEN y END) AS yc FROM (SELECT num_bidders, procedure_type LIKE '%Negotiated%' AS g, actual_value_mkd / estimated_value_mkd AS y FROM tenders WHERE actual_value_mkd IS NOT NULL AND estimated_value_mkd > 0) x GROUP BY 1) z WHERE t > 0 AND c > 0"),
     "m23_temporal_profile": (_profile, FLAGS_SQL + "," + CRI_SQL + f""", b AS (SELECT procuring_entity, publication_date, COALESCE(cri, 0) AS cri, DATE '2001-01-01' - publication_date AS age, row_number() OVER (PARTITION BY procuring_entity ORDER BY publication_date DESC, t.tender_id DESC) AS back FROM tenders t LEFT JOIN cri ON cri.tender_id = t.tender_id),
       p AS (SELECT procuring_entity, COUNT(*) AS tenders, ROUND(AVG(CASE WHEN age BETWEEN 0 AND 30 THEN cri END), 6) AS mean_30d, ROUND(AVG(CASE WHEN age BETWEEN 0 AND 90 THEN cri END), 6) AS mean_90d, ROUND(AVG(CASE WHEN age BETWEEN 0 AND 365 THEN cri END), 6) AS mean_365d, ROUND(regr_slope(CASE WHEN back <= 20 THEN cri END, CASE WHEN back <= 20 THEN -back END), 6) AS slope,
       ROUND(stddev_pop(CASE WHEN back <= 20 THEN cri END), 6) AS volatility, MIN(CASE WHEN cri > 0 THEN age END) AS days_since_flag, ROUND(COUNT(*) / (GREATEST(MAX(publication_date) - MIN(publication_date), 1) / 30.0{D}), 6) AS pace FROM b GROUP BY 1 HAVING COUNT(*) >= 5)

@@ -57,11 +57,6 @@ def test_uncertainty_matrix(spark):
     assert [r[0] for r in df.select(assessment.uncertainty(F.col("w"), F.col("c"))).collect()] == ["low", "medium", "medium", "high", "high"]
 
 
-def test_matched_effect(spark):
-    rows = spark.createDataFrame([(0.11, 1, 5.0), (0.12, 0, 3.0), (0.51, 1, 1.0), (0.52, 0, 2.0), (0.9, 1, 100.0)], "propensity double, treated int, outcome double")
-    assert assessment.matched_effect(rows).first().effect == 0.5
-
-
 def test_links_and_names(spark):
     s = "id string, procuring_entity string, title string, publication_date date, estimated_value_mkd double, cpv_code string"
     left = spark.createDataFrame([("l", "B", "Same", date(2020, 1, 1), 100.0, "33")], s)
