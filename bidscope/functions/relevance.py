@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from bidscope.functions.text import ENTITIES, extract_entities, trigram_similarity, trigrams
 
-#: What shows that a result holds data, and what shows that it holds none.
-GOOD_SIGNS = (r"\d{4}-\d{2}-\d{2}", r"\d+/\d{4}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", r"\d{1,3}(,\d{3})+", "Licensed under")
-BAD_SIGNS = ("not found", "no data", "Error", "scum")
+#: Words of a result without data, patterns of one with data, and what its number of hits stands before.
+BAD_SIGNS = (
+    "Не најдов", "не најдов", "Нема податоци", "нема податоци", "Премногу кратки", "Не се дадени", "не е пронајден", "Нема резултати", "нема резултати", "Error", "грешка", "не успеа",
+    "Веб пребарувањето не врати резултати",
+)
+GOOD_SIGNS = (
+    r"\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*МКД", r"\d{4}-\d{2}-\d{2}", r"\d+/\d{4}", r"EPAZAR-[A-Z0-9]+", r"Победник:", r"Вредност:", r"Набавувач:", r"Договорена вредност", r"единечна цена", r"\d+ резултат",
+)
+HITS = r"(\d+)\s*(?:резултат|тендер|понуд)"
 
 
 def row_count() -> Column:
@@ -84,10 +90,12 @@ def inferred_codes(docs: DataFrame, keywords: dict[str, dict[str, int]]) -> Data
 
 
 def result_quality(text: Column) -> Column:
-    """How much a result text seems to tell, 0 to 1: signs of data add, signs of none take away, length adds a little."""
+    """How much a result text seems to tell, 0 to 1: signs of data add, signs of none take away, length and many hits add a little."""
     t = F.coalesce(text, F.lit(""))
     bad = sum((F.contains(t, F.lit(p)).cast("int") for p in BAD_SIGNS), F.lit(0))
     good = sum((F.regexp_like(t, F.lit(p)).cast("int") for p in GOOD_SIGNS), F.lit(0))
-    long = F.when(bad == 0, F.when(F.length(t) > 500, 0.1).otherwise(0.0) + F.when(F.length(t) > 1500, 0.1).otherwise(0.0)).otherwise(0.0)
-    score = 0.5 - F.least(F.lit(0.4), bad * 0.15) + F.least(F.lit(0.5), good * 0.1) + long
+    yes = lambda test: F.when(test, 0.1).otherwise(0.0)
+    hits = F.coalesce(F.regexp_extract(t, HITS, 1).try_cast("double"), F.lit(0.0))
+    more = F.when(bad == 0, yes(F.length(t) > 500) + yes(F.length(t) > 1500)).otherwise(0.0) + yes(hits >= 3) + yes(hits >= 5)
+    score = 0.5 - F.least(F.lit(0.4), bad * 0.15) + F.least(F.lit(0.5), good * 0.1) + more
     return F.when(t == "", 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))

@@ -216,20 +216,19 @@ def contract_value_growth(tenders: DataFrame, *, least_ratio: float = 1.2) -> Da
     return as_flags(rows, "contract_value_growth", score, banded(S, (75, "critical"), (60, "high"), (45, "medium"), other="low"), ["estimated_value_mkd", "actual_value_mkd", "overrun", "amendment_count", "winner"], F.format_string("%.1f%% above the estimate", "overrun"))
 
 
-def _repeats(period: int) -> Column:
-    """Does the ordered array ``winners`` follow its own first ``period`` entries in more than 60 % of its places?"""
-    hits = F.size(F.filter(F.transform("winners", lambda x, i: x == F.get("winners", F.pmod(i, F.lit(period)))), lambda x: x))
-    return (F.size("winners") >= 3 * period) & (hits / F.size("winners") > 0.6)
-
-
 def bid_rotation(tenders: DataFrame, *, least_awards: int = 10, winners: tuple[int, int] = (2, 5), high_value: float = 10_000_000) -> DataFrame:
-    """A buyer whose awards go round a few companies; flagged on its latest award."""
-    own = won(tenders).filter("publication_date is not null")
-    # Buyers are counted before any list is made, so only those of few winners are listed.
-    few = own.groupBy("procuring_entity").agg(F.count(F.lit(1)).alias("awards"), F.count_distinct("winner").alias("n_winners"), F.sum("estimated_value_mkd").alias("total_value")).filter((F.col("awards") >= least_awards) & F.col("n_winners").between(*winners))
-    lists = own.join(few.select("procuring_entity"), "procuring_entity", "left_semi").groupBy("procuring_entity").agg(F.sort_array(F.collect_list(F.struct("publication_date", "tender_id", "winner"))).alias("awarded"))
-    rows = few.join(lists, "procuring_entity").withColumns({"winners": F.col("awarded.winner"), "tender_id": F.element_at("awarded", -1)["tender_id"]})
-    rows = rows.withColumn("alternates", (F.size("winners") >= 6) & (_repeats(2) | _repeats(3)))
+    """A buyer whose awards go round a few companies; flagged on its latest award.  Awards alternate if over six in ten go to the
+    company that their place in a round of two or of three names, as the first round has it."""
+    own = won(tenders).filter("publication_date is not null").select("procuring_entity", "tender_id", "winner", "publication_date", "estimated_value_mkd")
+    seq = own.withColumn("seq", F.row_number().over(Window.partitionBy("procuring_entity").orderBy("publication_date", "tender_id")))
+    first = lambda k: F.max(F.when(F.col("seq") == k, F.col("winner"))).alias(f"first{k}")
+    few = own.groupBy("procuring_entity").agg(F.count(F.lit(1)).alias("awards"), F.count_distinct("winner").alias("n_winners"), F.sum("estimated_value_mkd").alias("total_value"), F.max_by("tender_id", F.struct("publication_date", "tender_id")).alias("tender_id"))
+    few = few.filter((F.col("awards") >= least_awards) & F.col("n_winners").between(*winners))
+    heads = seq.filter("seq <= 3").groupBy("procuring_entity").agg(first(1), first(2), first(3)).join(few.select("procuring_entity"), "procuring_entity", "left_semi")
+    turn = lambda n: F.element_at(F.array(*[F.col(f"first{k}") for k in range(1, n + 1)]), ((F.col("seq") - 1) % n + 1).cast("int"))
+    hits = seq.join(heads, "procuring_entity").groupBy("procuring_entity").agg(*[F.count_if(F.col("winner") == turn(n)).alias(f"hits{n}") for n in (2, 3)])
+    repeats = lambda n: (F.col("awards") >= 3 * n) & (F.col(f"hits{n}") / F.col("awards") > 0.6)
+    rows = few.join(hits, "procuring_entity").withColumn("alternates", (F.col("awards") >= 6) & (repeats(2) | repeats(3)))
     score = points((F.col("alternates"), 20), (F.col("total_value") > high_value, 15), base=55)
     return as_flags(rows, "bid_rotation", score, banded(S, (75, "critical"), (65, "high"), other="medium"), ["procuring_entity", "n_winners", "awards", "total_value", "alternates"], F.format_string("%d companies share %d awards", "n_winners", "awards"))
 

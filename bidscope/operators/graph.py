@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import won
-from bidscope.workspace import materialize
+from bidscope.workspace import discard, materialize
 
 
 def row_count() -> Column:
@@ -82,11 +82,12 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def graph_statistics(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, degrees, mean clustering coefficient."""
+    """One row: nodes, edges, density, components, degrees, mean clustering coefficient."""
     d = degrees(edges).join(triangles(edges), "node", "left").fillna(0, ["triangles"])
     local = F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
     s = d.agg(row_count().alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"), F.round(F.stddev_pop("degree"), 6).alias("sd_degree"), F.round(F.avg(local), 6).alias("clustering"))
-    return s.withColumn("density", F.round(F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))), 6))
+    parts = connected_components(edges.filter("src <> dst")).agg(F.count_distinct("component").alias("components"))
+    return s.crossJoin(parts).withColumn("density", F.round(F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))), 6))  # one row each
 
 
 def connected_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
@@ -136,43 +137,57 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, *, rounds: int | None =
     raise RuntimeError(f"distances still fall after {rounds} rounds")
 
 
-def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-9, checkpoint_every: int = 5) -> DataFrame:
-    """(node, rank), ranks summing to 1; parallel edges summed, what dangling nodes hold spread evenly."""
+def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """(node, rank), ranks summing to 1; parallel edges summed, what dangling nodes hold spread evenly.
+
+    Each round's ranks are written, and the next one's dangling mass is a sum over them.  Goes on until no rank moves by
+    ``tolerance``; an error if ``rounds`` end before that.
+    """
     e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    out = e.groupBy("src").agg(F.sum("weight").alias("total"))
+    out = materialize(e.groupBy("src").agg(F.sum("weight").alias("total")), "pr-totals")
     flow = materialize(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "pr-edges")
-    nodes = materialize(flow.select(F.col("src").alias("node")).union(flow.select("dst")).distinct(), "pr-nodes")
+    names = flow.select(F.col("src").alias("node")).union(flow.select("dst")).distinct()
+    nodes = materialize(names.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").fillna(True, ["dangling"]), "pr-nodes")
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for i in range(1, rounds + 1):
-        got = flow.join(ranks, flow["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = nodes.join(got, nodes["node"] == got["dst"], "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-        lost = new.agg((1 - F.sum("got")).alias("lost"))  # one row: what dangling nodes held
-        new = new.crossJoin(lost).select("node", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank"))
-        if i % checkpoint_every == 0:
-            new = materialize(new, "pr-ranks")
-            gap = new.join(ranks.withColumnRenamed("rank", "was"), "node").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
-            ranks = new
-            if (gap or 0) < tolerance:
-                break
-        else:
-            ranks = new
-    return ranks
-
-
-def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(node, community) by label propagation: each node takes the label of most weight around it, of equals the smallest."""
-    e = materialize(both_ways(edges).filter("src <> dst"), "lp-edges")
-    labels = e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks = materialize(nodes.withColumn("rank", F.lit(1.0 / n)), "pr-ranks")
+    lost, gap = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0], 1.0
     for _ in range(rounds):
+        got = flow.join(ranks, flow["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
+        new = materialize(nodes.join(got, "node", "left").select("node", "dangling", rank.alias("rank")), "pr-ranks")
+        told = new.join(ranks.select("node", F.col("rank").alias("was")), "node").agg(F.max(F.abs(F.col("rank") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        discard(ranks)
+        ranks, (gap, lost) = new, told
+        if gap < tolerance:
+            return ranks.select("node", "rank")
+    raise RuntimeError(f"ranks still move by {gap} after {rounds} rounds")
+
+
+def communities(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
+    """(node, community) by label propagation until it settles: a node wants the label of most weight around it, of equals its own,
+    else the smallest.
+
+    In each round half of the nodes that want another label, by the hash of node and round, take it, so that two sides of a
+    graph don't swap labels for ever; every step adds to the weight within communities.  An error if ``rounds`` end before
+    no node wants another.
+    """
+    e = materialize(both_ways(edges).filter("src <> dst"), "lp-edges")
+    labels = materialize(e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("label")), "lp-labels")
+    for i in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "label").agg(F.sum("weight").alias("votes"))
-        first = votes.groupBy("src").agg(F.min(F.struct(-F.col("votes"), "label"))["label"].alias("label"))
-        new = materialize(first.withColumnRenamed("src", "node"), "lp-labels")
-        moved = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").limit(1).count()
+        own = labels.select(F.col("node").alias("src"), F.col("label").alias("own"))
+        first = votes.join(own, "src").groupBy("src", "own").agg(F.min(F.struct(-F.col("votes"), (F.col("label") != F.col("own")).alias("other"), "label"))["label"].alias("want"))
+        wants = materialize(first, "lp-wants")
+        if wants.filter("want <> own").isEmpty():
+            return labels.withColumnRenamed("label", "community")
+        turn = F.pmod(F.xxhash64("src", F.lit(i)), F.lit(2)) == 0
+        new = materialize(wants.select(F.col("src").alias("node"), F.when(turn, F.col("want")).otherwise(F.col("own")).alias("label")), "lp-labels")
+        discard(wants)
+        discard(labels)
         labels = new
-        if not moved:
-            break
-    return labels.withColumnRenamed("label", "community")
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -251,15 +266,18 @@ def revolving_doors(edges: DataFrame) -> DataFrame:
     return side("src", "buyer").join(side("dst", "supplier"), "name")
 
 
-def rotation_clusters(tenders: DataFrame, bidders: DataFrame, *, least_tenders: int = 4, least_ratio: float = 0.3) -> DataFrame:
-    """Equal sets of bidders that share awards among several winners, with how often the winner changes."""
+def rotation_clusters(tenders: DataFrame, bidders: DataFrame, *, least_tenders: int = 4, least_ratio: float = 0.3, least_score: float = 40.0) -> DataFrame:
+    """Equal sets of bidders that share awards among several winners: how often the winner changes, the winners' share of the set
+    as a score, and a confidence that grows with the tenders."""
     sets = bidders.groupBy("tender_id").agg(F.array_join(F.sort_array(F.collect_set("company_name")), "|").alias("companies"), F.count_distinct("company_name").alias("n")).filter("n >= 2")
     awards = won(tenders).select("tender_id", "winner", "publication_date").join(sets, "tender_id")
     w = Window.partitionBy("companies").orderBy("publication_date", "tender_id")
     seq = awards.withColumn("changed", (F.col("winner") != F.lag("winner").over(w)).cast("int"))
     per = seq.groupBy("companies").agg(row_count().alias("tenders"), F.count_distinct("winner").alias("winners"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
     ratio = F.round(F.col("changes") / F.greatest(F.col("tenders") - 1, F.lit(1)), 6)
-    return per.filter((F.col("tenders") >= least_tenders) & (F.col("winners") >= 2)).withColumn("ratio", ratio).filter(F.col("ratio") > least_ratio)
+    score = F.round(F.col("winners") * 100.0 / F.size(F.split("companies", r"\|")), 6)
+    rows = per.filter((F.col("tenders") >= least_tenders) & (F.col("winners") >= 2)).withColumns({"ratio": ratio, "score": score}).filter((F.col("ratio") > least_ratio) & (F.col("score") >= least_score))
+    return rows.withColumn("confidence", F.least(F.lit(100.0), F.col("score") + F.col("tenders") * 2))
 
 
 def cover_clusters(bidders: DataFrame, *, least_ratio: float = 1.1, least: int = 3, least_mean: float = 1.15, most_sd: float = 0.3) -> DataFrame:
@@ -271,12 +289,14 @@ def cover_clusters(bidders: DataFrame, *, least_ratio: float = 1.1, least: int =
 
 
 def market_allocation(tenders: DataFrame, *, least_wins: int = 2) -> DataFrame:
-    """Pairs of companies that both win repeatedly in a category, yet never at the same buyer."""
+    """(category, winner, buyers, rivals, met, never_met): companies that win repeatedly in a category, how many others do, and with
+    how many of them a company never shares a buyer.  Those that it does are found through buyers; the rest is only counted."""
     wins = won(tenders).filter("category is not null").groupBy("category", "procuring_entity", "winner").agg(row_count().alias("n"))
-    buyers = wins.groupBy("category", "winner").agg(F.sum("n").alias("n"), F.count_distinct("procuring_entity").alias("buyers")).filter(F.col("n") >= least_wins)
-    a, b = buyers.select("category", F.col("winner").alias("a"), F.col("buyers").alias("a_buyers")), buyers.select("category", F.col("winner").alias("b"), F.col("buyers").alias("b_buyers"))
-    x, y = wins.select("category", "procuring_entity", F.col("winner").alias("a")), wins.select("category", "procuring_entity", F.col("winner").alias("b"))
-    shared = x.join(y, ["category", "procuring_entity"]).filter("a < b").select("category", "a", "b").distinct()
-    return a.join(b, "category").filter("a < b").join(shared, ["category", "a", "b"], "left_anti")
-
-
+    per = wins.groupBy("category", "winner").agg(F.sum("n").alias("n"), F.count_distinct("procuring_entity").alias("buyers")).filter(F.col("n") >= least_wins).drop("n")
+    per = materialize(per, "repeated-winners")
+    sides = wins.join(per.select("category", "winner"), ["category", "winner"], "left_semi").select("category", "procuring_entity", "winner")
+    shared = sides.join(sides.withColumnRenamed("winner", "other"), ["category", "procuring_entity"]).filter("winner <> other").select("category", "winner", "other").distinct()
+    met = shared.groupBy("category", "winner").agg(row_count().alias("met"))
+    size = per.groupBy("category").agg((row_count() - 1).alias("rivals"))
+    out = per.join(size, "category").join(met, ["category", "winner"], "left").fillna(0, ["met"]).filter("rivals > 0")
+    return out.select("category", "winner", "buyers", "rivals", "met", (F.col("rivals") - F.col("met")).alias("never_met"))

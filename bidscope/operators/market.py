@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import AWARDED
+from bidscope.operators.ranks import with_place, with_rank
+from bidscope.workspace import materialize
 
 
 def row_count() -> Column:
@@ -95,8 +98,7 @@ def supplier_strength(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     points = F.least(F.lit(30.0), rate * 1.5) + F.least(F.lit(25.0), F.col("wins") * 2.0) + F.least(F.lit(20.0), F.col("value") / 1e6) + F.least(F.lit(15.0), F.col("categories") * 3.0) + F.least(F.lit(10.0), F.col("buyers") * 2.0)
     scored = per.withColumn("strength", F.round(points, 4))
     tier = F.when(F.col("strength") >= 70, "strong").when(F.col("strength") >= 40, "medium").otherwise("weak")
-    # One row per company reaches the ranking.
-    return scored.withColumns({"tier": tier, "place": F.rank().over(Window.orderBy(F.desc("strength")))})
+    return with_rank(scored.withColumn("tier", tier), "strength")
 
 
 def price_history(tenders: DataFrame, cpv_prefix: str, unit: str = "month") -> DataFrame:
@@ -234,11 +236,21 @@ def upcoming_status(tenders: DataFrame, as_of: date) -> DataFrame:
 
 
 def similar_tenders(tenders: DataFrame, k: int = 3) -> DataFrame:
-    """For every award the k nearest in value of the same category and buyer."""
-    own = won(tenders).filter("actual_value_mkd is not null and cpv_code is not null").select("tender_id", "cpv_code", "procuring_entity", "actual_value_mkd")
-    other = own.select(F.col("tender_id").alias("similar_id"), "cpv_code", "procuring_entity", F.col("actual_value_mkd").alias("similar_value"))
-    pairs = own.join(other, ["cpv_code", "procuring_entity"]).filter("tender_id <> similar_id").withColumn("gap", F.abs(F.col("actual_value_mkd") - F.col("similar_value")))
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("tender_id").orderBy("gap", "similar_id"))).filter(F.col("place") <= k).select("tender_id", "similar_id", "place", "gap")
+    """For every award the k nearest in value of the same category and buyer, ties to the smaller id.
+
+    Of each value the first k + 1 ids are kept; a value's neighbours are the k values before and after it, so a tender is
+    compared with (2k + 1) x (k + 1) others at most.
+    """
+    own = won(tenders).filter("actual_value_mkd is not null and cpv_code is not null").select("tender_id", "cpv_code", "procuring_entity", F.col("actual_value_mkd").alias("value"))
+    keys = ["cpv_code", "procuring_entity"]
+    place = F.row_number().over(Window.partitionBy(*keys, "value").orderBy("tender_id"))
+    heads = own.withColumn("__place", place).filter(F.col("__place") <= k + 1).groupBy(*keys, "value").agg(F.collect_list("tender_id").alias("ids"))
+    around = F.collect_list(F.struct("value", "ids")).over(Window.partitionBy(*keys).orderBy("value").rowsBetween(-k, k))
+    heads = materialize(heads.select(*keys, "value", around.alias("around")), "value-neighbours")
+    gaps = F.flatten(F.transform("around", lambda a: F.transform(a["ids"], lambda i: F.struct(F.abs(F.col("value") - a["value"]).alias("gap"), i.alias("similar_id")))))
+    nearest = F.slice(F.array_sort(F.filter(gaps, lambda g: g["similar_id"] != F.col("tender_id"))), 1, k)
+    each = own.join(heads, [*keys, "value"]).select("tender_id", F.posexplode(nearest).alias("place", "near"))
+    return each.select("tender_id", "near.similar_id", (F.col("place") + 1).alias("place"), "near.gap")
 
 
 def category_deviation(tenders: DataFrame) -> DataFrame:
@@ -250,11 +262,15 @@ def category_deviation(tenders: DataFrame) -> DataFrame:
 
 
 def missed_opportunities(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
-    """Per company: awarded tenders of its own categories that it didn't bid on."""
-    own = bidders.join(tenders.select("tender_id", "cpv_code"), "tender_id").filter("is_winner").select("company_name", "cpv_code").distinct()
-    open_to = own.join(won(tenders).select("tender_id", "cpv_code", "estimated_value_mkd"), "cpv_code")
-    missed = open_to.join(bidders.select("tender_id", "company_name"), ["tender_id", "company_name"], "left_anti")
-    return missed.groupBy("company_name").agg(row_count().alias("missed"), F.sum("estimated_value_mkd").alias("missed_value"))
+    """Per company: awarded tenders of its own categories that it didn't bid on: all of them, less those that it bid on."""
+    t = tenders.select("tender_id", "cpv_code")
+    own = bidders.filter("is_winner").select("tender_id", "company_name").join(t, "tender_id").select("company_name", "cpv_code").distinct()
+    awarded = won(tenders).filter("cpv_code is not null").select("tender_id", "cpv_code", "estimated_value_mkd")
+    whole = awarded.groupBy("cpv_code").agg(row_count().alias("n"), F.coalesce(F.sum("estimated_value_mkd"), F.lit(0.0)).alias("v"))
+    bid_on = bidders.select("tender_id", "company_name").distinct().join(awarded, "tender_id").groupBy("company_name", "cpv_code").agg(row_count().alias("own_n"), F.coalesce(F.sum("estimated_value_mkd"), F.lit(0.0)).alias("own_v"))
+    each = own.join(whole, "cpv_code").join(bid_on, ["company_name", "cpv_code"], "left").fillna(0, ["own_n"]).fillna(0.0, ["own_v"])
+    per = each.groupBy("company_name").agg(F.sum(F.col("n") - F.col("own_n")).alias("missed"), F.sum(F.col("v") - F.col("own_v")).alias("missed_value"))
+    return per.filter("missed > 0")
 
 
 def supplier_ranking(tenders: DataFrame, bidders: DataFrame, k: int = 3) -> DataFrame:
@@ -268,8 +284,8 @@ def supplier_ranking(tenders: DataFrame, bidders: DataFrame, k: int = 3) -> Data
         names = F.transform(F.sort_array(F.collect_list(F.struct("p", key))), lambda x: x[key])
         return top.groupBy("company_name").agg(F.array_join(names, ",").alias(f"top_{key}"))
 
-    total = Window.partitionBy(F.lit(1))  # one row per winning company
-    ranked = per.withColumns({"place": F.row_number().over(Window.orderBy(F.desc("value"), "company_name")), "share": share(F.col("value"), F.sum("value").over(total))})
+    ranked = with_place(per, [F.desc("value"), F.asc("company_name")])
+    ranked = ranked.crossJoin(ranked.agg(F.sum("value").alias("__all"))).withColumn("share", share(F.col("value"), F.col("__all"))).drop("__all")  # one row
     return ranked.join(best("category"), "company_name", "left").join(best("procuring_entity"), "company_name", "left")
 
 
@@ -287,17 +303,32 @@ def new_relationships(tenders: DataFrame) -> DataFrame:
 
 
 def keyword_search(tenders: DataFrame, terms: list[str], low: float | None = None, high: float | None = None) -> DataFrame:
-    """Faceted filter: any term in title or category, and a value range."""
-    text = F.lower(F.concat_ws(" ", "title", "category"))
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | text.contains(term.lower())
-    rows = tenders.filter(hit)
-    if low is not None:
-        rows = rows.filter(F.col("estimated_value_mkd") >= low)
-    if high is not None:
-        rows = rows.filter(F.col("estimated_value_mkd") <= high)
-    return rows.select("tender_id", "title", "category", "estimated_value_mkd")
+    """Any term in title or category, and a value range."""
+    return faceted(tenders, terms, columns=("title", "category"), low=low, high=high).select("tender_id", "title", "category", "estimated_value_mkd")
+
+
+SEARCHED = ("title", "procuring_entity", "category", "winner", "cpv_code")
+
+
+def faceted(
+    tenders: DataFrame, terms: list[str] | None = None, *, columns: tuple[str, ...] = SEARCHED, category: str | None = None, statuses: list[str] | None = None, procedures: list[str] | None = None, buyer: str | None = None,
+    cpv_prefix: str | None = None, low: float | None = None, high: float | None = None, published: tuple[date | None, date | None] = (None, None), closing: tuple[date | None, date | None] = (None, None),
+) -> DataFrame:
+    """Tenders that fit all facets given: any term in any of ``columns`` (upper and lower case alike), equal category, status or
+    procedure of a list, part of the buyer's name, beginning of the code, and ranges of value and dates, ends included."""
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    tests = []
+    if terms:
+        tests.append(reduce(lambda a, b: a | b, [F.contains(text(c), F.lit(t.lower())) for t in terms for c in columns]))
+    tests += [F.col(c) == v for c, v in (("category", category),) if v is not None]
+    tests += [F.col(c).isin(*v) for c, v in (("status", statuses), ("procedure_type", procedures)) if v is not None]
+    tests += [F.contains(text("procuring_entity"), F.lit(buyer.lower()))] if buyer else []
+    tests += [F.col("cpv_code").startswith(cpv_prefix)] if cpv_prefix else []
+    for c, (first, last) in (("estimated_value_mkd", (low, high)), ("publication_date", published), ("closing_date", closing)):
+        tests += [F.col(c) >= F.lit(first)] if first is not None else []
+        tests += [F.col(c) <= F.lit(last)] if last is not None else []
+    return reduce(lambda df, t: df.filter(t), tests, tenders)
+
 
 
 def page(tenders: DataFrame, after: tuple[date, str], size: int = 20) -> DataFrame:

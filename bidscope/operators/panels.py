@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.operators.cases import keyword_places
 from bidscope.operators.detectors import AWARDED, won
 
 
@@ -126,11 +127,16 @@ def engagement(events: DataFrame, k: int = 20) -> DataFrame:
     return top(events.groupBy("user_id").agg(F.sum(points).alias("points"), row_count().alias("events")), [F.desc("points"), "user_id"], k)
 
 
-def saved_search_counts(tenders: DataFrame, searches: DataFrame) -> DataFrame:
-    """Matches per saved search (search_id, cpv_prefix, low, high), searches without any included."""
-    hit = F.col("cpv_code").startswith(F.col("cpv_prefix")) & F.col("estimated_value_mkd").between(F.col("low"), F.col("high"))
-    counts = tenders.join(searches, hit).groupBy("search_id").agg(row_count().alias("matches"))
-    return searches.select("search_id").join(counts, "search_id", "left").fillna(0, ["matches"])
+def saved_search_counts(tenders: DataFrame, searches: DataFrame, *, longest: int = 8) -> DataFrame:
+    """Matches per saved search (search_id, cpv_prefix, low, high), searches without any included.
+
+    A tender stands for each beginning of its code, of ``longest`` digits at most, and meets the searches of that prefix.
+    """
+    code = F.substring("cpv_code", 1, longest)
+    starts = F.transform(F.sequence(F.lit(0), F.length(code)), lambda n: F.substring(code, F.lit(1), n))
+    each = tenders.filter("cpv_code is not null").select("estimated_value_mkd", F.explode(starts).alias("cpv_prefix"))
+    hits = each.join(searches, "cpv_prefix").filter("estimated_value_mkd between low and high").groupBy("search_id").agg(row_count().alias("matches"))
+    return searches.select("search_id").join(hits, "search_id", "left").fillna(0, ["matches"])
 
 
 def unmatched_winners(tenders: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -170,12 +176,21 @@ def bipartite_edges(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
 
 
 def open_pool(tenders: DataFrame, prefs: DataFrame, k: int = 5) -> DataFrame:
-    """Per user (user_id, sector, buyer, budget) the k best open tenders: .3, and .25 for the sector, .2 for the buyer, .1 within budget."""
-    base = tenders.filter(~F.col("status").isin(*AWARDED))
-    score = F.lit(0.3) + F.when(F.col("category") == F.col("sector"), 0.25).otherwise(0.0) + F.when(F.col("procuring_entity").contains(F.col("buyer")), 0.2).otherwise(0.0) + F.when(F.col("estimated_value_mkd") <= F.col("budget"), 0.1).otherwise(0.0)
-    # Users are joined on sector or buyer, not with every tender; those with neither get none.
-    by_sector = base.join(prefs, base["category"] == prefs["sector"])
-    scored = by_sector.select("user_id", "tender_id", F.round(score, 4).alias("score"))
+    """Per user (user_id, sector, cpv4, buyer, budget) the k best open tenders: .3, and .25 for the sector, .2 for the first four
+    digits of the code, .2 for a buyer whose name holds the user's, .1 within budget, 1 at most.
+
+    Users meet tenders by sector, by code or by buyer, not all tenders; those with none of these get none.
+    """
+    base = tenders.filter(~F.col("status").isin(*AWARDED)).select("tender_id", "category", F.substring("cpv_code", 1, 4).alias("code"), "procuring_entity", "estimated_value_mkd")
+    names = keyword_places(base.select(F.col("procuring_entity").alias("value")), prefs.select(F.col("buyer").alias("keyword")))
+    by_sector = base.join(prefs.select("user_id", F.col("sector").alias("category")), "category").select("user_id", "tender_id")
+    by_code = base.join(prefs.select("user_id", F.col("cpv4").alias("code")), "code").select("user_id", "tender_id")
+    by_buyer = base.join(names, F.col("procuring_entity") == F.col("value")).join(prefs.select("user_id", F.col("buyer").alias("keyword")), "keyword").select("user_id", "tender_id")
+    pairs = by_sector.unionByName(by_code).unionByName(by_buyer).distinct()
+    yes = lambda hit, points: F.when(hit, points).otherwise(0.0)
+    has_buyer = F.contains(F.lower("procuring_entity"), F.lower("buyer"))
+    score = F.lit(0.3) + yes(F.col("category") == F.col("sector"), 0.25) + yes(F.col("code") == F.col("cpv4"), 0.2) + yes(has_buyer, 0.2) + yes(F.col("estimated_value_mkd") <= F.col("budget"), 0.1)
+    scored = pairs.join(base, "tender_id").join(prefs, "user_id").select("user_id", "tender_id", F.round(F.least(F.lit(1.0), score), 4).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "tender_id"))).filter(F.col("place") <= k)
 
 

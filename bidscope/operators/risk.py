@@ -101,15 +101,29 @@ def alerts(flags: DataFrame, tenders: DataFrame, watched: tuple[str, ...] = ())
 
 
 def match_alerts(tenders: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Tenders against subscriptions (alert_id, keyword, cpv4, buyer, low, high): points per matching criterion, 25 at least."""
-    text = F.lower(F.concat_ws(" ", "title", "category"))
+    """Tenders against subscriptions (alert_id, keyword, cpv4, buyer, low, high): 25 points for the keyword in title or category, 30
+    for the code, 25 for the buyer, 20 for the value, 25 at least.  Keywords of up to three characters match whole words only.
+
+    Fewer than 25 points are left without keyword, code and buyer, so tenders and subscriptions meet by one of these.
+    """
+    from bidscope.operators.cases import keyword_places
+
     s = subscriptions
+    t = tenders.select("tender_id", F.concat_ws(" ", "title", "category").alias("text"), "cpv_code", "procuring_entity", "estimated_value_mkd")
+    in_text = keyword_places(t.select(F.col("text").alias("value")), s.select("keyword"))
+    in_buyer = keyword_places(t.select(F.col("procuring_entity").alias("value")), s.select(F.col("buyer").alias("keyword")))
+    by_text = t.select("tender_id", F.col("text").alias("value")).join(in_text, "value").join(s.select("alert_id", "keyword"), "keyword").select("tender_id", "alert_id")
+    by_buyer = t.select("tender_id", F.col("procuring_entity").alias("value")).join(in_buyer, "value").join(s.select("alert_id", F.col("buyer").alias("keyword")), "keyword").select("tender_id", "alert_id")
+    by_code = t.select("tender_id", F.substring("cpv_code", 1, 4).alias("cpv4")).join(s.select("alert_id", "cpv4"), "cpv4").select("tender_id", "alert_id")
+    pairs = by_text.unionByName(by_buyer).unionByName(by_code).distinct()
+    text = F.lower("text")
+    hit = F.when(F.length("keyword") > 3, F.contains(text, F.lower("keyword"))).otherwise(F.array_contains(F.split(text, r"[^\p{L}\p{N}_]+"), F.lower("keyword")))
     points = (
-        F.when(text.contains(F.lower("keyword")), 25).otherwise(0) + F.when(F.col("cpv_code").startswith(F.col("cpv4")), 30).otherwise(0)
-        + F.when(F.col("procuring_entity").contains(F.col("buyer")), 25).otherwise(0) + F.when(F.col("estimated_value_mkd").between(F.col("low"), F.col("high")), 20).otherwise(0)
+        F.when(hit, 25).otherwise(0) + F.when(F.substring("cpv_code", 1, 4) == F.col("cpv4"), 30).otherwise(0)
+        + F.when(F.contains(F.lower("procuring_entity"), F.lower("buyer")), 25).otherwise(0) + F.when(F.col("estimated_value_mkd").between(F.col("low"), F.col("high")), 20).otherwise(0)
     )
-    # Subscriptions are people's saved searches: broadcast while they fit Spark's own broadcast limit, else joined in blocks.
-    return tenders.join(s, points >= 25).select("tender_id", "alert_id", points.alias("match_score"))
+    scored = pairs.join(t, "tender_id").join(s, "alert_id").select("tender_id", "alert_id", points.alias("match_score"))
+    return scored.filter("match_score >= 25")
 
 
 def tender_features(tenders: DataFrame, bidders: DataFrame) -> DataFrame:

@@ -110,8 +110,6 @@ _ALL = {
       g AS (SELECT doc_id, unnest(list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, GREATEST(len(w) - 4, 1) + 1)])) AS g FROM w),
       c AS (SELECT g, COUNT(*) AS n FROM g GROUP BY 1)
       SELECT doc_id, copied FROM (SELECT doc_id, ROUND(COUNT(*) FILTER (WHERE n > 1) / COUNT(*), 6) AS copied FROM g JOIN c USING (g) GROUP BY 1) z WHERE copied >= 0.6"""),
-    "x19_restrictiveness": (lambda t: x.restrictiveness(t.raw("documents")).filter("restrictiveness > 0"), "SELECT * FROM (SELECT doc_id, CAST(LEAST(100, GREATEST(0, " + " + ".join(
-      f"len(regexp_extract_all(lower(COALESCE(text, '')), '\\b{p}\\b')) * {n}" for p, n in x.RESTRICTIVE) + ")) AS INTEGER) AS restrictiveness FROM documents) z WHERE restrictiveness > 0"),
     "x27_interest_vectors": (_interests, f"""SELECT user_id, place, ROUND(SUM(v * w) / SUM(w), 6) AS value FROM (SELECT user_id, w, unnest(embedding::DOUBLE[]) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS place FROM (SELECT user_id, event_id % (SELECT COUNT(*) FROM embeddings) AS item, CASE event_type WHEN 'view' THEN 1.0{D} WHEN 'click' THEN 1.5{D} WHEN 'signup' THEN 2.0{D} WHEN 'purchase' THEN 2.5{D} END AS w,
       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase')) q JOIN embeddings ON vec_id = item WHERE n <= 100) u GROUP BY 1, 2"""),
 }

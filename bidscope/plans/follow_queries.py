@@ -245,9 +245,9 @@ _ALL = {
     SELECT doc_id, arg_max(code, (score, code)) AS code, CAST(MAX(score) AS INTEGER) AS score FROM p GROUP BY 1 HAVING MAX(score) > 0"""),
     "x29_result_quality": (lambda t: t.raw("documents").select("doc_id", v.result_quality(F.col("text")).alias("quality")), ", q AS (SELECT doc_id, COALESCE(text, '') AS t, "
         + " + ".join(f"CASE WHEN contains(COALESCE(text, ''), '{p}') THEN 1 ELSE 0 END" for p in v.BAD_SIGNS) + " AS bad, "
-        + " + ".join(f"CASE WHEN regexp_matches(COALESCE(text, ''), '{p}') THEN 1 ELSE 0 END" for p in v.GOOD_SIGNS) + f""" AS good FROM documents)
-    SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE ROUND(LEAST(1, GREATEST(0, 0.5{D} - LEAST(0.4{D}, bad * 0.15{D}) + LEAST(0.5{D}, good * 0.1{D}) + CASE WHEN bad = 0 THEN CASE WHEN length(t) > 500 THEN 0.1{D} ELSE 0 END + CASE WHEN length(t) > 1500 THEN 0.1{D} ELSE 0 END ELSE 0 END)), 6) END AS quality
-    FROM q"""),
+        + " + ".join(f"CASE WHEN regexp_matches(COALESCE(text, ''), '{p}') THEN 1 ELSE 0 END" for p in v.GOOD_SIGNS) + f""" AS good, COALESCE(TRY_CAST(regexp_extract(COALESCE(text, ''), '{v.HITS}', 1) AS DOUBLE), 0) AS hits FROM documents)
+    SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE ROUND(LEAST(1, GREATEST(0, 0.5{D} - LEAST(0.4{D}, bad * 0.15{D}) + LEAST(0.5{D}, good * 0.1{D}) + CASE WHEN bad = 0 THEN CASE WHEN length(t) > 500 THEN 0.1{D} ELSE 0 END + CASE WHEN length(t) > 1500 THEN 0.1{D} ELSE 0 END ELSE 0 END
+      + CASE WHEN hits >= 3 THEN 0.1{D} ELSE 0 END + CASE WHEN hits >= 5 THEN 0.1{D} ELSE 0 END)), 6) END AS quality FROM q"""),
     "t3_change_stream": (lambda t: s.change_stream(s.read_events(t.spark, t.sf_dir).select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "change"), """
     SELECT event_id, user_id, CASE WHEN p IS NULL THEN 'new' WHEN p <> event_type THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) z"""),
     "t6_daily_digest": (lambda t: s.drain(s.daily_digest(s.read_events(t.spark, t.sf_dir)), mode="complete"), """

@@ -66,6 +66,11 @@ _ALL = {
       LEFT JOIN (SELECT company_name, string_agg(procuring_entity, ',' ORDER BY p) AS top_procuring_entity FROM (SELECT company_name, procuring_entity, row_number() OVER (PARTITION BY company_name ORDER BY COUNT(*) DESC, procuring_entity) AS p FROM bidders b JOIN tenders t ON b.tender_id = t.tender_id WHERE is_winner GROUP BY 1, 2) c WHERE p <= 3 GROUP BY 1) e USING (company_name)"""),
     "p72_yearly_wins": (lambda t: m.yearly_wins(t.tenders), f"SELECT winner, year, wins, value, wins - lag(wins) OVER w AS change, SUM(wins) OVER (PARTITION BY winner ORDER BY year) AS running FROM (SELECT winner, year(publication_date) AS year, COUNT(*) AS wins, SUM(actual_value_mkd) AS value FROM tenders WHERE {WON} GROUP BY 1, 2) x WINDOW w AS (PARTITION BY winner ORDER BY year)"),
     "p72_buyer_relationships": (lambda t: m.new_relationships(t.tenders), f"SELECT procuring_entity, winner, COUNT(*) AS awards, MIN(publication_date) AS first, MAX(publication_date) AS last, SUM(actual_value_mkd) AS value, MAX(publication_date) - MIN(publication_date) AS days FROM tenders WHERE {WON} GROUP BY 1, 2 HAVING COUNT(*) >= 2"),
+    "o8_all_facets": (
+        lambda t: m.faceted(t.tenders, ["co-1", "NATION_1", "steel"], statuses=["awarded", "closed"], procedures=["Open", "QualificationSystem", "SimplifiedOpenProcedure"], cpv_prefix="1", low=5e5, high=9e6, published=(date(1994, 1, 1), date(1998, 12, 31)), closing=(date(1994, 2, 1), None)).select("tender_id", "title", "winner", "closing_date"),
+        """SELECT tender_id, title, winner, closing_date FROM tenders WHERE regexp_matches(lower(concat_ws(chr(1), title, procuring_entity, category, winner, cpv_code)), 'co-1|nation_1|steel') AND status IN ('awarded', 'closed')
+      AND procedure_type IN ('Open', 'QualificationSystem', 'SimplifiedOpenProcedure') AND starts_with(cpv_code, '1') AND estimated_value_mkd BETWEEN 5e5 AND 9e6 AND publication_date BETWEEN DATE '1994-01-01' AND DATE '1998-12-31' AND closing_date >= DATE '1994-02-01'""",
+    ),
     "o8_faceted_search": (lambda t: m.keyword_search(t.tenders, ["plate", "gear"], 1e6, 9e6), "SELECT tender_id, title, category, estimated_value_mkd FROM tenders WHERE (lower(concat_ws(' ', title, category)) LIKE '%plate%' OR lower(concat_ws(' ', title, category)) LIKE '%gear%') AND estimated_value_mkd BETWEEN 1e6 AND 9e6"),
     "o3_keyset_page": (lambda t: m.page(t.tenders, (date(1998, 6, 1), "T5")), "SELECT tender_id, publication_date, estimated_value_mkd FROM tenders WHERE publication_date < DATE '1998-06-01' OR publication_date = DATE '1998-06-01' AND tender_id > 'T5' ORDER BY publication_date DESC, tender_id LIMIT 20"),
 }

@@ -20,8 +20,10 @@ def _searches(t):
 
 
 def _prefs(t):
-    kinds = t.tenders.filter("category is not null").select("category").distinct()
-    return t.raw("nation").crossJoin(F.broadcast(kinds)).select(F.concat("n_name", F.lit("/"), "category").alias("user_id"), F.col("category").alias("sector"), F.concat("n_name", F.lit("|")).alias("buyer"), F.lit(3e6).alias("budget"))  # 25 nations x categories
+    """A user per nation."""
+    k = F.col("n_nationkey")
+    n = t.raw("nation").join(t.raw("part"), F.col("p_partkey") == k + 1)
+    return n.select(k.alias("user_id"), F.col("p_type").alias("sector"), F.concat(F.lpad((k + 1).cast("string"), 2, "0"), F.lit("00")).alias("cpv4"), F.concat("n_name", F.lit("|")).alias("buyer"), F.lit(3e6).alias("budget"))
 
 
 def _trend(unit):
@@ -52,7 +54,9 @@ _ALL = {
     "r23_snapshot_differences": (lambda t: p.snapshot_differences(t.tenders.withColumn("winner", F.when(F.substring("tender_id", -1, 1) != "4", F.col("winner"))), t.tenders.withColumn("title", F.when(F.substring("tender_id", -1, 1) == "2", F.lit("another thing")).otherwise(F.col("title"))), "tender_id", ["title", "winner"]).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n")), "SELECT 'title' AS field, 'changed' AS kind, COUNT(*) AS n FROM tenders WHERE tender_id LIKE '%2' AND 1 - levenshtein(lower(title), 'another thing') / GREATEST(length(title), 13) < 0.8 UNION ALL SELECT 'winner', 'filled', COUNT(*) FROM tenders WHERE tender_id LIKE '%4' AND winner IS NOT NULL UNION ALL SELECT 'title', 'filled', COUNT(*) FROM tenders WHERE tender_id LIKE '%2' AND title IS NULL HAVING COUNT(*) > 0"),
     "p70_compare_companies": (lambda t: p.compare_companies(t.tenders, ["CO-1", "CO-2", "CO-5"]), f"SELECT winner, year(publication_date) AS year, COUNT(*) AS wins, SUM(actual_value_mkd) AS value, COUNT(DISTINCT category) AS categories, COUNT(DISTINCT procuring_entity) AS buyers FROM tenders WHERE {WON} AND winner IN ('CO-1', 'CO-2', 'CO-5') GROUP BY 1, 2"),
     "g7_bipartite_edges": (lambda t: p.bipartite_edges(t.tenders, t.bidders), "SELECT company_name AS src, tender_id AS dst, CASE WHEN is_winner THEN 'won' ELSE 'bid_on' END AS kind FROM bidders UNION ALL SELECT tender_id, procuring_entity, 'procured_by' FROM tenders"),
-    "p47_personal_ranking": (lambda t: p.open_pool(t.tenders, _prefs(t)), f"SELECT user_id, tender_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, tender_id) AS place FROM (SELECT n_name || '/' || category AS user_id, tender_id, ROUND(0.3{D} + 0.25{D} + CASE WHEN contains(procuring_entity, n_name || '|') THEN 0.2{D} ELSE 0 END + CASE WHEN estimated_value_mkd <= 3e6 THEN 0.1{D} ELSE 0 END, 4) AS score FROM tenders, nation WHERE status NOT IN ('awarded', 'completed') AND category IS NOT NULL) x) y WHERE place <= 5"),
+    "p47_personal_ranking": (lambda t: p.open_pool(t.tenders, _prefs(t)), f"""SELECT user_id, tender_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, tender_id) AS place FROM (
+      SELECT n_nationkey AS user_id, tender_id, ROUND(LEAST(1.0{D}, 0.3{D} + CASE WHEN category = p_type THEN 0.25{D} ELSE 0 END + CASE WHEN substr(cpv_code, 1, 4) = c4 THEN 0.2{D} ELSE 0 END + CASE WHEN contains(procuring_entity, n_name || '|') THEN 0.2{D} ELSE 0 END + CASE WHEN estimated_value_mkd <= 3e6 THEN 0.1{D} ELSE 0 END), 4) AS score
+      FROM tenders JOIN (SELECT *, lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || '00' AS c4 FROM nation JOIN part ON p_partkey = n_nationkey + 1) u ON category = p_type OR substr(cpv_code, 1, 4) = c4 OR contains(procuring_entity, n_name || '|') WHERE status NOT IN ('awarded', 'completed')) x) y WHERE place <= 5"""),
     "w3_winner_changes": (lambda t: t.tenders.filter("winner is not null").select("tender_id", (F.col("winner") != F.lag("winner").over(Window.partitionBy("procuring_entity").orderBy("publication_date", "tender_id"))).alias("changed")), "SELECT tender_id, winner <> lag(winner) OVER (PARTITION BY procuring_entity ORDER BY publication_date, tender_id) AS changed FROM tenders WHERE winner IS NOT NULL"),
     "w7_latest_per_buyer": (lambda t: t.tenders.groupBy("procuring_entity").agg(F.max_by("tender_id", F.struct("publication_date", "tender_id")).alias("tender_id")), "SELECT procuring_entity, arg_max(tender_id, (publication_date, tender_id)) AS tender_id FROM tenders GROUP BY 1"),
     "a4_percentiles": (lambda t: t.tenders.filter("category is not null").groupBy("category").agg(*[F.round(F.percentile("estimated_value_mkd", q), 4).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)]), "SELECT category, ROUND(quantile_cont(estimated_value_mkd, 0.25), 4) AS p25, ROUND(quantile_cont(estimated_value_mkd, 0.5), 4) AS p50, ROUND(quantile_cont(estimated_value_mkd, 0.75), 4) AS p75, ROUND(quantile_cont(estimated_value_mkd, 0.9), 4) AS p90 FROM tenders WHERE category IS NOT NULL GROUP BY 1"),
