@@ -78,7 +78,7 @@ def _reports(t) -> DataFrame:
     each = F.format_string('{"S":[{"N":"G0"},{"N":"G1"},{"N":"A0"}],"C":["%s",%d,%d,%d]}', "p", "y", "n", "v")
     text = F.concat(F.lit('{"results":[{"result":{"data":'), names, F.sum("n").cast("string"), F.lit('}]},{"DM1":['), F.array_join(F.sort_array(F.collect_list(each)), ","), F.lit("]}]}]}}}}]}"))
     path = fresh_path(t.spark, "reports")
-    rows.groupBy("y").agg(text.alias("value")).select("value").repartition("value").write.text(path)
+    rows.groupBy("y").agg(text.alias("value")).write.partitionBy("y").text(path)
     return dim.read_responses(t.spark, path)
 
 
