@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidscope.functions.text import table_rows_to_items
 from bidscope.operators import cases as c
 from bidscope.operators import documents as dc
 from bidscope.operators import feature_sets as fs
@@ -88,6 +89,14 @@ x AS (SELECT 'procedure_type' AS dimension, p AS label, 'year' AS measure, y{D}
 SELECT dimension, label, measure, COUNT(*) AS rows, SUM(v) AS total, ROUND(AVG(v), 6) AS mean, MIN(v) AS low, MAX(v) AS high FROM x GROUP BY 1, 2, 3"""
 
 
+def x30_table_items(t) -> DataFrame:
+    """Order lines as extracted tables, a heading first, every fourth order's in Macedonian, and back to items."""
+    text = F.col("l_quantity").cast("long").cast("string")
+    lines = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.array(F.concat(F.lit(" item "), F.col("l_partkey").cast("string")), text, F.when(F.col("l_linenumber") % 5 == 0, "n/a").otherwise(F.col("l_linenumber").cast("string"))))).alias("rows"))
+    head = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("Назив"), F.lit("Количина"), F.lit("Цена"))).otherwise(F.array(F.lit("Item name"), F.lit("Quantity"), F.lit("Unit price")))
+    return table_rows_to_items(lines.select("doc_id", F.concat(F.array(head), "rows").alias("cells"))).drop("row")
+
+
 def p54_cluster_statistics(t) -> DataFrame:
     return c.cluster_statistics(u.merged_clusters(_clusters(t)), t.tenders, t.bidders)
 
@@ -161,6 +170,7 @@ _ALL = {
     "x24_file_anomalies": (x24_file_anomalies, f"WITH {_FILES_SQL} SELECT tender_id, kind, severity, doc_id, detail FROM odd"),
     "x25_document_risk": (x25_document_risk, _X25_SQL),
     "x25_institution_documents": (lambda t: dc.institution_document_statistics(t.tenders, _files(t)), _X25_INSTITUTIONS),
+    "x30_table_items": (x30_table_items, f"SELECT l_orderkey AS doc_id, 'item ' || l_partkey AS name, FLOOR(l_quantity){D} AS quantity, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber{D} END AS unit_price FROM lineitem"),
     "s7_report_statistics": (lambda t: dim.dimension_statistics(dim.response_rows(_reports(t))), _S7_SQL),
     "p54_cluster_statistics": (p54_cluster_statistics, _RECURSIVE + _CLUSTERS + f"""
       , sizes AS (SELECT cluster, COUNT(*) AS members FROM merged GROUP BY 1),

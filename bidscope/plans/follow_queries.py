@@ -250,6 +250,8 @@ _ALL = {
       + CASE WHEN hits >= 3 THEN 0.1{D} ELSE 0 END + CASE WHEN hits >= 5 THEN 0.1{D} ELSE 0 END)), 6) END AS quality FROM q"""),
     "t3_change_stream": (lambda t: s.change_stream(s.read_events(t.spark, t.sf_dir).select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "change"), """
     SELECT event_id, user_id, CASE WHEN p IS NULL THEN 'new' WHEN p <> event_type THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) z"""),
+    "t6_weekly_digest": (lambda t: s.drain(s.weekly_digest(s.read_events(t.spark, t.sf_dir)), mode="complete"), """
+    SELECT CAST(date_trunc('week', ts) AS DATE) AS day, user_id, COUNT(*) AS events, ROUND(SUM(value), 4) AS value, COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1, 2"""),
     "t6_daily_digest": (lambda t: s.drain(s.daily_digest(s.read_events(t.spark, t.sf_dir)), mode="complete"), """
     SELECT CAST(ts AS DATE) AS day, user_id, COUNT(*) AS events, ROUND(SUM(value), 4) AS value, COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1, 2"""),
 }

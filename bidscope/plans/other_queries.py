@@ -136,7 +136,7 @@ _ALL = {
     "m22_buyer_timeline": (lambda t: r.buyer_timeline(t.tenders), DOMAIN_SQL + f"SELECT procuring_entity, month, tenders, single_share, estimated, ROUND(mb, 6) AS mean_before, COALESCE(tenders > 2 * mb, FALSE) AS spike FROM (SELECT *, AVG(tenders) OVER (PARTITION BY procuring_entity ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mb FROM (SELECT procuring_entity, CAST(date_trunc('month', publication_date) AS DATE) AS month, COUNT(*) AS tenders, ROUND(SUM(CASE WHEN num_bidders = 1 THEN 1 ELSE 0 END) * 100.0{D} / COUNT(*), 6) AS single_share, SUM(estimated_value_mkd) AS estimated FROM tenders GROUP BY 1, 2) x) y"),
     "m24_change_points": (lambda t: r.change_points(r.buyer_timeline(t.tenders), "procuring_entity", "month", "tenders", threshold=3.0), None),
     "m12_forest": (_model, None),
-    "m19_value_drift": (_psi, DOMAIN_SQL + f""", q AS (SELECT unnest(quantile_cont(estimated_value_mkd, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cut FROM tenders WHERE publication_date < DATE '1998-01-01'),
+    "m19_value_drift": (_psi, DOMAIN_SQL + f""", q AS (SELECT unnest(quantile_disc(estimated_value_mkd, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cut FROM tenders WHERE publication_date < DATE '1998-01-01'),
       b AS (SELECT publication_date < DATE '1998-01-01' AS ref, (SELECT COUNT(*) FROM q WHERE t.estimated_value_mkd > cut) AS bin FROM tenders t WHERE estimated_value_mkd IS NOT NULL),
       f AS (SELECT bin, GREATEST(SUM(CASE WHEN ref THEN 1 ELSE 0 END) / SUM(SUM(CASE WHEN ref THEN 1 ELSE 0 END)) OVER (), 1e-6) AS ex, GREATEST(SUM(CASE WHEN ref THEN 0 ELSE 1 END) / SUM(SUM(CASE WHEN ref THEN 0 ELSE 1 END)) OVER (), 1e-6) AS ac FROM b GROUP BY bin) SELECT CAST(bin AS INTEGER) AS bin, ROUND(ex, 6) AS expected, ROUND(ac, 6) AS actual, ROUND((ac - ex) * ln(ac / ex), 6) AS psi FROM f"""),
     "c3_content_hash": (lambda t: _hashed(t, True), DOMAIN_SQL + "SELECT tender_id, sha256(concat_ws('|', 'title:' || title, 'value:' || CAST(CAST(estimated_value_mkd + CASE WHEN tender_id LIKE '%7' THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR), 'status:' || status, 'winner:' || winner)) AS content_hash FROM tenders WHERE tender_id NOT LIKE '%3'"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidscope.workspace import fresh_path
@@ -34,7 +34,16 @@ def unique_alerts(events: DataFrame, keys: list[str], *, watermark: str = "1 day
 
 def daily_digest(events: DataFrame, *, watermark: str = "2 days") -> DataFrame:
     """Per user and day: events, value, purchases."""
-    counted = events.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), "user_id")
+    return _digest(events, F.window("ts", "1 day"), watermark)
+
+
+def weekly_digest(events: DataFrame, *, watermark: str = "8 days") -> DataFrame:
+    """Per user and week, named by its Monday: events, value, purchases."""
+    return _digest(events, F.window("ts", "7 days", "7 days", "4 days"), watermark)  # windows begin on a Thursday, the first day of all
+
+
+def _digest(events: DataFrame, window: Column, watermark: str) -> DataFrame:
+    counted = events.withWatermark("ts", watermark).groupBy(window.alias("w"), "user_id")
     sums = counted.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
     return sums.select(F.col("w.start").cast("date").alias("day"), "user_id", "events", "value", "purchases")
 
