@@ -15,6 +15,56 @@ LATIN, CYRILLIC = "abvgdezijklmnoprstufhc", "абвгдезијклмнопрс
 DATE_FORMATS = ("dd.MM.yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy HH:mm", "yyyy-MM-dd HH:mm:ss")
 
 
+#: Names of the divisions of category codes.
+CPV_DIVISIONS = {
+    "03": "Agricultural products",
+    "09": "Petroleum products, fuel",
+    "14": "Mining products",
+    "15": "Food, beverages, tobacco",
+    "16": "Agricultural machinery",
+    "18": "Clothing, footwear",
+    "19": "Leather products",
+    "22": "Printed matter",
+    "24": "Chemical products",
+    "30": "Office machinery, computers",
+    "31": "Electrical machinery",
+    "32": "Radio, television, communication",
+    "33": "Medical equipment",
+    "34": "Transport equipment",
+    "35": "Security, fire-fighting",
+    "37": "Musical instruments, sports",
+    "38": "Laboratory equipment",
+    "39": "Furniture",
+    "41": "Collected water",
+    "42": "Industrial machinery",
+    "43": "Machinery for mining",
+    "44": "Construction structures",
+    "45": "Construction work",
+    "48": "Software packages",
+    "50": "Repair and maintenance",
+    "51": "Installation services",
+    "55": "Hotel and restaurant services",
+    "60": "Transport services",
+    "63": "Supporting transport services",
+    "64": "Postal and telecommunications",
+    "65": "Public utilities",
+    "66": "Financial services",
+    "70": "Real estate services",
+    "71": "Architectural services",
+    "72": "IT services",
+    "73": "Research services",
+    "75": "Administration services",
+    "76": "Oil and gas services",
+    "77": "Agricultural services",
+    "79": "Business services",
+    "80": "Education services",
+    "85": "Health and social services",
+    "90": "Sewage, refuse services",
+    "92": "Recreational services",
+    "98": "Other community services",
+}
+
+
 def parse_date(text: Column, as_of: date, low: int = 2000, high: int = 2050) -> Column:
     """A date in one of several formats, with a Macedonian month name, or as today/yesterday; null outside the years ``low`` to ``high`` or if none fits."""
     t = F.lower(F.trim(text))
@@ -74,6 +124,12 @@ def cpv_parent(code: Column) -> Column:
     return F.concat(F.substring(code, 1, 2), F.lit("000000"))
 
 
+def cpv_name(code: Column) -> Column:
+    """The name of a code's division; null if there is none."""
+    names = F.create_map(*[F.lit(part) for pair in CPV_DIVISIONS.items() for part in pair])
+    return F.try_element_at(names, F.substring(code, 1, 2))
+
+
 def content_hash(fields: dict[str, Column]) -> Column:
     """SHA-256 of field:value pairs joined by a bar; null fields are left out."""
     return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in fields.items()]), 256)

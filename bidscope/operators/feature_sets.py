@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidscope.workspace import materialize
+
 
 def _flag(test: Column) -> Column:
     return F.coalesce(test, F.lit(False)).cast("double")
@@ -60,3 +62,52 @@ def batch_feature_set(tenders: DataFrame, documents: DataFrame, flags: DataFrame
         "num_documents": F.coalesce("docs", F.lit(0)), "amendment_count": amended, "has_amendments": (amended > 0).cast("int"), "flag_count": flagged, "max_flag_score": worst, "avg_flag_score": F.when(flagged > 0, worst).otherwise(0.0),
     }
     return t.select("tender_id", *[c.alias(name) for name, c in made.items()])
+
+
+def _habit_of_pairs(bids: DataFrame) -> DataFrame:
+    """(tender_id, habit): the mean over a tender's pairs of bidders of the share of the rarer bidder's tenders at which both bid.
+
+    The pairs are those within one tender, as many as the measure has terms; each pair of companies is counted once.
+    """
+    totals = materialize(bids.groupBy("company_name").agg(F.count(F.lit(1)).alias("total")), "bid-totals")
+    a, b = bids.select("tender_id", F.col("company_name").alias("a")), bids.select("tender_id", F.col("company_name").alias("b"))
+    pairs = materialize(a.join(b, "tender_id").filter("a < b"), "bid-pairs")
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    total = lambda c: totals.select(F.col("company_name").alias(c), F.col("total").alias(f"{c}_total"))
+    shares = materialize(met.join(total("a"), "a").join(total("b"), "b").select("a", "b", (F.col("met") / F.least("a_total", "b_total")).alias("share")), "pair-shares")
+    return pairs.join(shares, ["a", "b"]).groupBy("tender_id").agg(F.avg("share").alias("habit"))
+
+
+def _newcomers(bids: DataFrame, tenders: DataFrame) -> DataFrame:
+    """(tender_id, newcomers): bidders that had not bid at the buyer on any earlier day; tenders without buyer or date have none."""
+    dated = materialize(bids.join(tenders.select("tender_id", "procuring_entity", "publication_date").filter("procuring_entity is not null and publication_date is not null"), "tender_id"), "dated-bids")
+    first = materialize(dated.groupBy("procuring_entity", "company_name").agg(F.min("publication_date").alias("first")), "first-bids")
+    new = dated.join(first, ["procuring_entity", "company_name"]).filter(F.col("publication_date") == F.col("first"))
+    return new.groupBy("tender_id").agg(F.count(F.lit(1)).alias("newcomers"))
+
+
+def competition_feature_set(tenders: DataFrame, bidders: DataFrame, *, digits: int = 6) -> DataFrame:
+    """(tender_id, 14 numbers): how many bid, against the means of the buyer and the category, who was disqualified, where the winner
+    stood, how concentrated the bids are (0 to 10000), who is new to the buyer, and how often these bidders meet.
+
+    Tenders without bids have 0 throughout.  Means are those of awarded and closed tenders that had bidders.
+    """
+    bids = bidders.filter(F.col("company_name").isNotNull()).select("tender_id", "company_name").distinct()
+    v, won = F.coalesce("bid_amount_mkd", F.lit(0.0)), F.coalesce("is_winner", F.lit(False))
+    per = bidders.groupBy("tender_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("disqualified", F.lit(False))).alias("out"), F.sum(v).alias("v"), F.sum(v * v).alias("vv"), F.min(F.when(won, F.col("rank"))).alias("winner_at")
+    )
+    had = tenders.filter((F.col("num_bidders") > 0) & F.col("status").isin("awarded", "closed"))
+    mean = lambda key, name: materialize(had.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg("num_bidders").alias(name)), name)
+    t = tenders.select("tender_id", "procuring_entity", "category", "winner").join(mean("procuring_entity", "buyer_mean"), "procuring_entity", "left").join(mean("category", "category_mean"), "category", "left")
+    t = t.join(per, "tender_id", "left").join(_newcomers(bids, tenders), "tender_id", "left").join(_habit_of_pairs(bids), "tender_id", "left")
+    n, at = F.coalesce("n", F.lit(0)), F.when(F.col("winner").isNotNull(), F.col("winner_at"))
+    zero = lambda value: F.coalesce(value, F.lit(0)).cast("double")
+    made = {
+        "num_bidders": n, "single_bidder": _flag(n == 1), "no_bidders": _flag(n == 0), "two_bidders": _flag(n == 2),
+        "bidders_vs_institution_avg": F.try_divide(n, F.col("buyer_mean")), "bidders_vs_category_avg": F.try_divide(n, F.col("category_mean")),
+        "num_disqualified": F.col("out"), "disqualification_rate": F.try_divide("out", "n"), "winner_rank": at, "winner_not_lowest": _flag(at > 1),
+        "market_concentration_hhi": F.try_divide(F.col("vv") * 10000, F.col("v") * F.col("v")), "new_bidders_count": F.col("newcomers"), "new_bidders_ratio": F.try_divide("newcomers", "n"),
+        "bidder_clustering_score": F.col("habit"),
+    }
+    return t.select("tender_id", *[F.round(zero(c), digits).alias(name) for name, c in made.items()])

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.functions.cleaning import search_variants
 from bidscope.operators.cases import keyword_places
 from bidscope.operators.detectors import AWARDED, won
 
@@ -205,8 +206,19 @@ def top_tenders(tenders: DataFrame, k: int = 20) -> DataFrame:
     return top(tenders.select("tender_id", "procuring_entity", "estimated_value_mkd", "winner"), [F.col("estimated_value_mkd").desc_nulls_last(), "tender_id"], k)
 
 
-def flag_search(flags: DataFrame, tenders: DataFrame, *, severities: tuple[str, ...], flag_type: str, least_score: int) -> DataFrame:
-    """Flagged tenders of some severity and score that have a flag of one type, with all their types."""
+def _within(column: str):
+    return lambda part: F.contains(F.lower(column), F.lower(part))
+
+
+def flag_search(flags: DataFrame, tenders: DataFrame, *, severities: tuple[str, ...], flag_type: str, least_score: int, buyer: str | None = None, winner: str | None = None) -> DataFrame:
+    """Flagged tenders of some severity and score that have a flag of one type, with all their types.
+
+    ``buyer`` and ``winner`` are parts of names, upper and lower case alike; one in Latin letters finds Cyrillic names too.
+    """
     per = flags.groupBy("tender_id").agg(F.collect_set("flag_type").alias("kinds"), F.max(F.when(F.col("severity").isin(*severities), F.col("score"))).alias("score"))
     hit = per.filter(F.array_contains("kinds", flag_type) & (F.col("score") >= least_score))
-    return hit.join(tenders.select("tender_id", "procuring_entity", "winner"), "tender_id").select("tender_id", "score", F.array_join(F.sort_array("kinds"), ",").alias("types"), "procuring_entity", "winner")
+    named = tenders.select("tender_id", "procuring_entity", "winner")
+    for column, part in (("procuring_entity", buyer), ("winner", winner)):
+        if part:
+            named = named.filter(F.exists(search_variants(F.lit(part)), _within(column)))
+    return hit.join(named, "tender_id").select("tender_id", "score", F.array_join(F.sort_array("kinds"), ",").alias("types"), "procuring_entity", "winner")

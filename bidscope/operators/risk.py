@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.functions.cleaning import search_variants
 from bidscope.operators.detectors import AWARDED, WEIGHTS, banded, risk_index
 
 
@@ -101,28 +102,42 @@ def alerts(flags: DataFrame, tenders: DataFrame, watched: tuple[str, ...] = ())
 
 
 def match_alerts(tenders: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Tenders against subscriptions (alert_id, keyword, cpv4, buyer, low, high): 25 points for the keyword in title or category, 30
-    for the code, 25 for the buyer, 20 for the value, 25 at least.  Keywords of up to three characters match whole words only.
+    """Tenders against subscriptions (alert_id, keyword, cpv4, buyer, low, high, and competitor if tracked): 25 points for the
+    keyword in title or category, 30 for the code, 25 for the buyer, 20 for the value, 25 for the competitor as winner; 25 at
+    least, 100 at most.
 
-    Fewer than 25 points are left without keyword, code and buyer, so tenders and subscriptions meet by one of these.
+    A keyword in Latin letters is sought in Cyrillic too; one of up to three characters matches whole words only.  A null bound
+    of the value is open, and a tender without a value has 0.  Fewer than 25 points are left without keyword, code, buyer
+    and competitor, so tenders and subscriptions meet by one of these.
     """
     from bidscope.operators.cases import keyword_places
 
-    s = subscriptions
-    t = tenders.select("tender_id", F.concat_ws(" ", "title", "category").alias("text"), "cpv_code", "procuring_entity", "estimated_value_mkd")
-    in_text = keyword_places(t.select(F.col("text").alias("value")), s.select("keyword"))
-    in_buyer = keyword_places(t.select(F.col("procuring_entity").alias("value")), s.select(F.col("buyer").alias("keyword")))
-    by_text = t.select("tender_id", F.col("text").alias("value")).join(in_text, "value").join(s.select("alert_id", "keyword"), "keyword").select("tender_id", "alert_id")
-    by_buyer = t.select("tender_id", F.col("procuring_entity").alias("value")).join(in_buyer, "value").join(s.select("alert_id", F.col("buyer").alias("keyword")), "keyword").select("tender_id", "alert_id")
+    s = subscriptions if "competitor" in subscriptions.columns else subscriptions.withColumn("competitor", F.lit(None).cast("string"))
+    s = s.withColumn("forms", search_variants(F.col("keyword")))
+    t = tenders.select("tender_id", F.concat_ws(" ", "title", "category").alias("text"), "cpv_code", "procuring_entity", "winner", "estimated_value_mkd")
+
+    def met(value: str, part: Column) -> DataFrame:
+        """(tender_id, alert_id) where a subscription's part of a name or text is in the tender's."""
+        texts, parts = t.select("tender_id", F.col(value).alias("value")), s.select("alert_id", part.alias("keyword"))
+        return texts.join(keyword_places(texts.select("value"), parts.select("keyword")), "value").join(parts, "keyword").select("tender_id", "alert_id")
+
+    by_text, by_buyer = met("text", F.explode("forms")), met("procuring_entity", F.col("buyer"))
     by_code = t.select("tender_id", F.substring("cpv_code", 1, 4).alias("cpv4")).join(s.select("alert_id", "cpv4"), "cpv4").select("tender_id", "alert_id")
-    pairs = by_text.unionByName(by_buyer).unionByName(by_code).distinct()
+    pairs = by_text.unionByName(by_buyer).unionByName(by_code)
+    if "competitor" in subscriptions.columns:
+        pairs = pairs.unionByName(met("winner", F.col("competitor")))
     text = F.lower("text")
-    hit = F.when(F.length("keyword") > 3, F.contains(text, F.lower("keyword"))).otherwise(F.array_contains(F.split(text, r"[^\p{L}\p{N}_]+"), F.lower("keyword")))
+    words = F.split(text, r"[^\p{L}\p{N}_]+")
+    hit = F.exists("forms", lambda form: F.when(F.length("keyword") > 3, F.contains(text, F.lower(form))).otherwise(F.array_contains(words, F.lower(form))))
+    bounded = F.col("low").isNotNull() | F.col("high").isNotNull()
+    value = F.coalesce("estimated_value_mkd", F.lit(0.0))
     points = (
         F.when(hit, 25).otherwise(0) + F.when(F.substring("cpv_code", 1, 4) == F.col("cpv4"), 30).otherwise(0)
-        + F.when(F.contains(F.lower("procuring_entity"), F.lower("buyer")), 25).otherwise(0) + F.when(F.col("estimated_value_mkd").between(F.col("low"), F.col("high")), 20).otherwise(0)
+        + F.when(F.contains(F.lower("procuring_entity"), F.lower("buyer")), 25).otherwise(0)
+        + F.when(bounded & value.between(F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(float("inf")))), 20).otherwise(0)
+        + F.when(F.contains(F.lower("winner"), F.lower("competitor")), 25).otherwise(0)
     )
-    scored = pairs.join(t, "tender_id").join(s, "alert_id").select("tender_id", "alert_id", points.alias("match_score"))
+    scored = pairs.distinct().join(t, "tender_id").join(s, "alert_id").select("tender_id", "alert_id", F.least(points, F.lit(100)).alias("match_score"))
     return scored.filter("match_score >= 25")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bidscope.sources.domain import Tables
 
-_MODULES = ("detector_queries", "indicator_queries", "market_queries", "graph_queries", "other_queries", "assessment_queries", "panel_queries", "ingest_queries", "profile_queries", "follow_queries", "specification_queries", "matching_queries", "model_queries", "search_queries", "feature_queries")
+_MODULES = ("detector_queries", "indicator_queries", "market_queries", "graph_queries", "other_queries", "assessment_queries", "panel_queries", "ingest_queries", "profile_queries", "follow_queries", "specification_queries", "matching_queries", "model_queries", "search_queries", "feature_queries", "report_queries", "extraction_queries", "name_queries")
 
 
 def _modules():
