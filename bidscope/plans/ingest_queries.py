@@ -63,9 +63,10 @@ def _validated(t):
 
 
 def _registry(t):
-    """Suppliers with numbers of several lengths."""
+    """Suppliers with numbers of several lengths; ``lpad`` cuts what is longer, so the length is that of the key at least."""
     key = F.col("s_suppkey")
-    return t.raw("supplier").select("s_suppkey", F.lpad(key.cast("string"), 4, "1").alias("registration"), F.lpad(key.cast("string"), (key % 8 + 9).cast("int"), "2").alias("tax"))
+    padded = lambda n, fill: F.lpad(key.cast("string"), F.greatest(F.length(key.cast("string")), n), fill)
+    return t.raw("supplier").select("s_suppkey", padded(F.lit(4), "1").alias("registration"), F.lpad(key.cast("string"), (key % 8 + 9).cast("int"), "2").alias("tax"))
 
 
 def _identities(t):
