@@ -234,16 +234,31 @@ def price_deviation(tenders: DataFrame) -> DataFrame:
     return indicator(rows, "price_deviation", "price", 60, ladder((d > 30, 90), (d > 20, 75), (d > 10, 60), (d > 5, 45), other=d * 5) + bonus((F.col("dev") > 0) & (F.col("num_bidders") == 1), 15), {"deviation": d})
 
 
+def _variance(values: Column) -> Column:
+    """Sample variance of an array, from sums of what lies above its first value.  These are whole numbers for whole amounts, so
+    the sums are exact; ``stddev_samp`` changes its last digit with what arrives first, and with it the thresholds and
+    roundings that a value meets exactly."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"))
+    n = F.size(values)
+
+    def add(s: Column, x: Column) -> Column:
+        above = x - F.get(values, F.lit(0))
+        return F.struct((s["sum"] + above).alias("sum"), (s["squares"] + above * above).alias("squares"))
+
+    return F.aggregate(values, start, add, lambda s: F.when(n > 1, (n * s["squares"] - s["sum"] * s["sum"]) / (n * (n - 1))))
+
+
 def _bid_stats(bidders: DataFrame, least: int) -> DataFrame:
     amount = F.col("bid_amount_mkd")
-    return bidders.filter(amount > 0).groupBy("tender_id").agg(
+    bids = bidders.filter(amount > 0).groupBy("tender_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(amount).alias("mean"), F.stddev_samp(amount).alias("sd"), F.sort_array(F.collect_list(amount)).alias("bids"), F.max(F.when(F.col("is_winner"), amount)).alias("winner_bid")
     ).filter(F.col("n") >= least)
+    return bids.withColumn("exact_sd", F.sqrt(_variance(F.col("bids"))))
 
 
 def bid_clustering(bidders: DataFrame) -> DataFrame:
     rows = _bid_stats(bidders, 3)
-    c = F.col("sd") / F.col("mean")
+    c = F.col("exact_sd") / F.col("mean")
     return indicator(rows, "bid_clustering", "price", 65, ladder((c < 0.01, 95), (c < 0.02, 85), (c < 0.05, 70), (c < 0.10, 50), other=at_least_zero((0.20 - c) * 200)), {"cov": c})
 
 
@@ -283,7 +298,7 @@ def below_market(tenders: DataFrame, as_of: date, *, least_sample: int = 5) -> D
 
 
 def price_variance(bidders: DataFrame) -> DataFrame:
-    c = F.col("sd") / F.col("mean")
+    c = F.col("exact_sd") / F.col("mean")
     return indicator(_bid_stats(bidders, 3), "price_variance", "price", 60, ladder((c < 0.02, 85), (c < 0.05, 65), (c > 0.30, 70), (c > 0.20, 50), other=0), {"cov": c})
 
 
@@ -305,9 +320,7 @@ def price_sequence(bidders: DataFrame) -> DataFrame:
     rows = rows.withColumn("gaps", gaps).withColumn("g", F.size("gaps"))
     total = F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x)
     mean = total / F.col("g")
-    squares = F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x * x)
-    var = (squares - total * total / F.col("g")) / (F.col("g") - 1)
-    rel = F.when(mean > 0, var / (mean * mean)).otherwise(0.0)
+    rel = F.when(mean > 0, _variance(F.col("gaps")) / (mean * mean)).otherwise(0.0)
     return indicator(rows, "price_sequence", "price", 70, ladder((rel < 0.01, 85), (rel < 0.05, 70), other=0), {"evenness": rel})
 
 
