@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import WEIGHTS, risk_index, weight_of
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """``F.xxhash64`` of longs, for arrays."""
+    h = np.uint64(seed) + _P5 + np.uint64(8)
+    return _mixed(_turned(h ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4)
+
+
+def _hashed_int(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """``F.xxhash64`` of positive ints that follow what gave ``seed``."""
+    h = seed + _P5 + np.uint64(4)
+    return _mixed(_turned(h ^ (x * _P1), 23) * _P2 + _P3)
+
+
 def bootstrap_interval(flags: DataFrame, *, draws: int = 1000, noise: float = 0.10, level: float = 0.90, bonus: int = 8) -> DataFrame:
     """(tender_id, cri, ci_lower, ci_upper): the index under uniform noise on each type's score.
 
     The noise of a draw is a hash of (tender, type, draw), so reruns agree.  A tender has a flag of each type at most, so
-    its draws are made within its row and only its flags are shuffled.
+    its draws are made within its row and only its flags are shuffled; draws of many rows are made at once, as arrays.
     """
     per = flags.groupBy("tender_id", "flag_type").agg(F.max("score").alias("score")).withColumn("w", weight_of(F.col("flag_type")))
     rows = per.groupBy("tender_id").agg(F.collect_list(F.struct(F.col("score").cast("double").alias("s"), F.col("w").cast("double").alias("w"), F.xxhash64("tender_id", "flag_type").alias("h"))).alias("f"), F.sum("w").cast("double").alias("all"))
 
-    def index(draw: Column) -> Column:
-        def moved(x: Column) -> Column:
-            u = F.shiftrightunsigned(F.xxhash64(x["h"], draw), 11) / F.lit(float(1 << 53))
-            return F.least(F.lit(100.0), F.greatest(F.lit(0.0), x["s"] * (1 + (u * 2 - 1) * noise))) * x["w"]
-
-        total = F.aggregate("f", F.lit(0.0), lambda a, x: a + moved(x))
-        return F.least(F.lit(100.0), F.bround(total / F.col("all") + bonus * (F.size("f") - 1)))
-
-    samples = rows.select("tender_id", F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), index)).alias("x"))
-
-    def bound(share: float) -> Column:
+    def bound(x: np.ndarray, share: float) -> np.ndarray:
         at = share * (draws - 1)
         low = int(at)
-        return F.get("x", F.lit(low)) + (at - low) * (F.get("x", F.lit(min(low + 1, draws - 1))) - F.get("x", F.lit(low)))
-
-    a = (1 - level) / 2
-    bounds = samples.select("tender_id", F.round(bound(a), 6).alias("ci_lower"), F.round(bound(1 - a), 6).alias("ci_upper"))
+        return x[:, low] + (at - low) * (x[:, min(low + 1, draws - 1)] - x[:, low])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(1, draws + 1, dtype=np.uint64)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):  # so many rows' draws at once
+                part = batch.slice(begin, 512)
+                lists = part.column(1)
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                score, weight, key = (np.asarray(v) for v in lists.flatten().flatten())
+                first = np.concatenate([[0], np.cumsum(size)[:-1]])
+                total = np.zeros((len(size), draws))
+                for k in range(int(size.max(initial=0))):  # a row's k-th flag
+                    rows = np.flatnonzero(size > k)
+                    at = first[rows] + k
+                    u = (_hashed_int(number[None, :], _hashed_long(key[at].astype(np.int64).view(np.uint64))[:, None]) >> np.uint64(11)) / float(1 << 53)
+                    total[rows] += np.clip(score[at][:, None] * (1 + (u * 2 - 1) * noise), 0.0, 100.0) * weight[at][:, None]
+                x = np.minimum(100.0, np.rint(total / part.column(2).to_numpy(zero_copy_only=False)[:, None] + (bonus * (size - 1))[:, None]))
+                x.sort(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bound(x, s)) for s in ((1 - level) / 2, 1 - (1 - level) / 2)]], names=["tender_id", "ci_lower", "ci_upper"])
+
+    found = rows.select("tender_id", F.array_sort("f").alias("f"), "all").mapInArrow(drawn, "tender_id string, ci_lower double, ci_upper double")
+    bounds = found.select("tender_id", F.round("ci_lower", 6).alias("ci_lower"), F.round("ci_upper", 6).alias("ci_upper"))
     return risk_index(flags, rounding="round").select("tender_id", "cri").join(bounds, "tender_id")
 
 
