@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.functions.cleaning import normalized_company, transliterate
+from bidscope.workspace import materialize
 
 
 #: What is left out of a buyer's name at its start and at its end.
@@ -31,6 +32,8 @@ def link_tenders(left: DataFrame, right: DataFrame, *, least: int = 80) -> DataF
     within 5 % 20, within 20 % 10; equal codes 15, equal first five digits 8.  Without an equal title or a date within 90
     days a score reaches 80 only by a contained title with value and code alike.  So three narrow joins find all pairs:
     by title, by neighbouring quarters, and by code and neighbouring value steps; no two records meet for their buyer alone.
+    Records that are equal but for their id are scored as one: of right ones the largest id counts, as among equal scores,
+    and what a left one finds holds for all its copies.
     """
     if least < 76:
         raise ValueError("below 76 pairs count that the three joins don't find")
@@ -38,8 +41,11 @@ def link_tenders(left: DataFrame, right: DataFrame, *, least: int = 80) -> DataF
     ready = lambda df: df.select("id", normalized_buyer(F.col("procuring_entity")).alias("buyer"), normalized_title(F.col("title")).alias("title"), *columns[1:])
     quarter = F.floor(F.datediff("publication_date", F.lit("1970-01-01").cast("date")) / 91)
     step = F.when(F.col("estimated_value_mkd") > 0, F.floor(F.log(F.col("estimated_value_mkd")) / 0.0513))  # a little over 5 %
-    keyed = ready(left).withColumns({"quarter": quarter, "step": step})
-    r = ready(right).withColumns({"quarter": quarter, "step": step})
+    facts = ["buyer", *columns]
+    copies = ready(left).withColumn("of", F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256))
+    copies = materialize(copies, "link-left")
+    keyed = materialize(copies.select(F.col("of").alias("id"), *facts).distinct().withColumns({"quarter": quarter, "step": step}), "link-distinct")
+    r = materialize(ready(right).groupBy(*facts).agg(F.max("id").alias("id")).withColumns({"quarter": quarter, "step": step}), "link-right")
     r = r.select(F.col("id").alias("right_id"), "buyer", *[F.col(c).alias(f"r_{c}") for c in (*columns, "quarter", "step")])
     near = lambda name: F.explode(F.array(*[F.col(name) + n for n in (-1, 0, 1)]))
     by_title = keyed.join(r, (keyed["buyer"] == r["buyer"]) & (F.col("title") == F.col("r_title")))
@@ -56,7 +62,8 @@ def link_tenders(left: DataFrame, right: DataFrame, *, least: int = 80) -> DataF
         + F.when(F.col("cpv_code") == F.col("r_cpv_code"), 15).when(F.substring("cpv_code", 1, 5) == F.substring("r_cpv_code", 1, 5), 8).otherwise(0)
     ).cast("int")
     scored = [df.select("id", "right_id", score.alias("score")).filter(F.col("score") >= least) for df in (by_title, by_date, by_value)]
-    return scored[0].unionByName(scored[1]).unionByName(scored[2]).groupBy("id").agg(F.max(F.struct("score", "right_id")).alias("m")).select("id", "m.right_id", "m.score")
+    found = scored[0].unionByName(scored[1]).unionByName(scored[2]).groupBy(F.col("id").alias("of")).agg(F.max(F.struct("score", "right_id")).alias("m"))
+    return copies.select("id", "of").join(found, "of").select("id", "m.right_id", "m.score")
 
 
 def match_companies(names: DataFrame, registry: DataFrame) -> DataFrame:
