@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import AWARDED, banded
 from bidscope.operators.risk import buyer_trends, severity_rank
+from bidscope.workspace import materialize
 
 #: Points of a tip's category.
 TIP_CATEGORIES = {"bid_rigging": 8.0, "bribery": 7.0, "conflict_of_interest": 6.0, "fraud": 7.0}
@@ -142,17 +144,35 @@ def history_features(tenders: DataFrame, as_of: date) -> DataFrame:
 
 
 def batch_features(tenders: DataFrame) -> DataFrame:
-    """The short set that batch scoring reads: value, competition, timing, and rates of the buyer and the winner before the tender."""
+    """The short set that batch scoring reads: value, competition, timing, and rates of the buyer and the winner before the tender.
+
+    History is summed per buyer, winner and day before anything is windowed, so no window holds more than the days of a buyer, or
+    of a winner at each buyer; tenders meet it on those three, so those without a winner are no one group either.
+    """
     day = F.datediff("publication_date", F.lit(date(1970, 1, 1)))
-    before = lambda *keys: Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    single = F.when(F.col("num_bidders") == 1, 1.0).otherwise(0.0)
     r = lambda c: F.round(c, 6)
-    return tenders.select(
+    tenders = materialize(tenders.select("tender_id", "estimated_value_mkd", "num_bidders", "closing_date", "publication_date", "amendment_count", "procuring_entity", "winner", "status"), "feature-rows")
+    rows = tenders.select(
         "tender_id", r(F.log1p("estimated_value_mkd")).alias("log_value"), F.coalesce("num_bidders", F.lit(0)).alias("bidders"), F.datediff("closing_date", "publication_date").alias("open_days"), "amendment_count",
-        row_count().over(before("procuring_entity")).alias("buyer_tenders"), r(F.avg(single).over(before("procuring_entity"))).alias("buyer_single_rate"),
-        F.when(F.col("winner").isNotNull(), F.count(F.when(F.col("status").isin(*AWARDED), 1)).over(before("winner"))).alias("winner_awards"),
-        F.when(F.col("winner").isNotNull(), F.count(F.when(F.col("status").isin(*AWARDED), 1)).over(before("procuring_entity", "winner"))).alias("pair_awards"),
+        F.col("procuring_entity").alias("buyer"), "winner", day.alias("day"),
     )
+    single, award = F.when(F.col("num_bidders") == 1, 1.0).otherwise(0.0), F.when(F.col("status").isin(*AWARDED), 1).otherwise(0)
+    days = tenders.groupBy(F.col("procuring_entity").alias("buyer"), "winner", day.alias("day")).agg(row_count().alias("n"), F.sum(single).alias("single"), F.sum(award).alias("awards"))
+    before = lambda c, *keys: F.sum(c).over(Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, -1))
+    earlier = lambda *keys: F.when(F.col("winner").isNotNull(), F.coalesce(before("awards", *keys), F.lit(0)))
+    buyers = days.groupBy("buyer", "day").agg(F.sum("n").alias("n"), F.sum("single").alias("single"))
+    buyers = buyers.select("buyer", "day", F.coalesce(before("n", "buyer"), F.lit(0)).alias("buyer_tenders"), r(before("single", "buyer") / before("n", "buyer")).alias("buyer_single_rate"))
+    past = days.select("buyer", "winner", "day", earlier("winner").alias("winner_awards"), earlier("buyer", "winner").alias("pair_awards"))
+    return on_equal(on_equal(rows, past, "buyer", "winner", "day"), buyers, "buyer", "day").select(
+        "tender_id", "log_value", "bidders", "open_days", "amendment_count", "buyer_tenders", "buyer_single_rate", "winner_awards", "pair_awards"
+    )
+
+
+def on_equal(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with what ``table`` holds for their keys, a null being equal to a null."""
+    named = table.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(named[f"__{k}"]) for k in keys])
+    return rows.join(named, same).drop(*[f"__{k}" for k in keys])
 
 
 def latest_predictions(predictions: DataFrame, since: date, least: float) -> DataFrame:

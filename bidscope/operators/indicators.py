@@ -137,9 +137,10 @@ def bidder_diversity(tenders: DataFrame, bidders: DataFrame, as_of: date) -> Dat
     return indicator(_buyer_scores(tenders, total), "bidder_diversity", "competition", 60, (1 - share) * 100, {"evenness": share})
 
 
-def _presence(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
-    """(buyer, company, day, next day, first day) of a company's bids at a buyer, one row per day."""
-    days = bidders.join(tenders.select("tender_id", "procuring_entity", "publication_date"), "tender_id").select("procuring_entity", "company_name", "publication_date").distinct()
+def _presence(tenders: DataFrame, bidders: DataFrame, parts: int | None) -> DataFrame:
+    """(buyer, company, day, next day, first day) of a company's bids at a buyer, one row per day; dealt by the two in ``parts``."""
+    days = bidders.join(tenders.select("tender_id", "procuring_entity", "publication_date"), "tender_id").select("procuring_entity", "company_name", "publication_date")
+    days = (days.repartition(parts, "procuring_entity", "company_name") if parts else days).distinct()
     w = Window.partitionBy("procuring_entity", "company_name").orderBy("publication_date")
     return days.select("procuring_entity", "company_name", F.col("publication_date").alias("day"), F.lead("publication_date").over(w).alias("next_day"), F.min("publication_date").over(w).alias("first_day"))
 
@@ -160,9 +161,9 @@ def _interval_steps(df: DataFrame, start: Column, end: Column, name: str) -> Dat
     return kept.select("procuring_entity", edge.alias("e")).select("procuring_entity", "e.date", F.col("e.step").alias(name))
 
 
-def new_bidder_rate(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
+def new_bidder_rate(tenders: DataFrame, bidders: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Of the companies that bid at the buyer in the year before, the share that had not bid there earlier."""
-    p = _presence(tenders, bidders)
+    p = _presence(tenders, bidders, parts)
     until = F.least(F.date_add("day", YEAR), F.coalesce("next_day", F.date_add("day", YEAR)))
     recent = _interval_steps(p, F.col("day"), until, "recent").withColumn("new", F.lit(0))
     new = _interval_steps(p, F.col("day"), F.least(until, F.date_add("first_day", YEAR)), "new").withColumn("recent", F.lit(0))
@@ -171,9 +172,9 @@ def new_bidder_rate(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
     return indicator(rows, "new_bidder_rate", "competition", 65, ladder((rate < 10, 85), (rate < 20, 70), (rate < 30, 50), other=at_least_zero(40 - rate)), {"rate": rate})
 
 
-def bidder_turnover(tenders: DataFrame, bidders: DataFrame) -> DataFrame:
+def bidder_turnover(tenders: DataFrame, bidders: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Of the companies that bid at the buyer half a year to a year before, the share that bid again since."""
-    p = _presence(tenders, bidders)
+    p = _presence(tenders, bidders, parts)
     later = _edges(p, F.col("day"), F.least(F.date_add("day", HALF_YEAR), F.coalesce("next_day", F.date_add("day", HALF_YEAR))), "late")
     earlier = _edges(p, F.date_add("day", HALF_YEAR), F.least(F.date_add("day", YEAR), F.coalesce(F.date_add("next_day", HALF_YEAR), F.date_add("day", YEAR))), "early")
     steps = later.withColumn("early", F.lit(0)).unionByName(earlier.withColumn("late", F.lit(0))).groupBy("procuring_entity", "company_name", "date").agg(F.sum("early").alias("early"), F.sum("late").alias("late"))
@@ -417,10 +418,10 @@ def repeat_winner(tenders: DataFrame, as_of: date, *, least_tenders: int = 5) ->
     return indicator(rows, "repeat_winner", "relationship", 65, ladder((pct > 80, 95), (pct > 70, 85), (pct > 60, 75), (pct > 50, 60), other=at_least_zero(pct - 20)) + bonus(F.col("wins") > 10, 10), {"wins": F.col("wins"), "percent": pct})
 
 
-def all_indicators(tenders: DataFrame, bidders: DataFrame, amendments: DataFrame, as_of: date) -> DataFrame:
+def all_indicators(tenders: DataFrame, bidders: DataFrame, amendments: DataFrame, as_of: date, *, parts: int | None = None) -> DataFrame:
     parts = [
-        single_bidder(tenders), low_participation(tenders, as_of), same_bidder_set(tenders, bidders, as_of), bidder_diversity(tenders, bidders, as_of), new_bidder_rate(tenders, bidders), market_concentration(tenders, as_of),
-        bidder_turnover(tenders, bidders), geographic_concentration(bidders), bidder_experience(tenders, bidders), competition_trend(tenders, as_of), price_deviation(tenders), bid_clustering(bidders), cover_bidding(bidders),
+        single_bidder(tenders), low_participation(tenders, as_of), same_bidder_set(tenders, bidders, as_of), bidder_diversity(tenders, bidders, as_of), new_bidder_rate(tenders, bidders, parts=parts), market_concentration(tenders, as_of),
+        bidder_turnover(tenders, bidders, parts=parts), geographic_concentration(bidders), bidder_experience(tenders, bidders), competition_trend(tenders, as_of), price_deviation(tenders), bid_clustering(bidders), cover_bidding(bidders),
         round_number(bidders), price_fixing(bidders), below_market(tenders, as_of), price_variance(bidders), winner_z_score(bidders), estimate_match(tenders, bidders), price_sequence(bidders), short_deadline(tenders),
         weekend_publication(tenders), election_cycle(tenders), seasonal_pattern(tenders), amendment_timing(amendments), last_minute_submission(bidders), process_duration(tenders, as_of), publication_pattern(tenders),
         deadline_extension(amendments), submission_clustering(bidders), repeat_winner(tenders, as_of),
