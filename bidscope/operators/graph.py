@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidscope.operators.detectors import won
+from bidscope.operators.path_counts import dependencies
 from bidscope.workspace import discard, materialize
 
 
@@ -232,36 +233,14 @@ def betweenness(edges: DataFrame, pivots: DataFrame, *, depth: int | None = None
     """(node, score) of every node: betweenness over shortest paths from the rows of ``pivots`` (node), by Brandes'
     accumulation, times nodes by pivots.
 
-    All pivots advance together, one join per hop, until none reaches a new node (or for ``depth`` hops, if given);
-    dependencies flow back level by level.
+    All pivots advance together, hop by hop, until none reaches a new node (or for ``depth`` hops, if given); dependencies
+    flow back level by level.  Counts are kept as matrices of blocks of nodes (``path_counts``).
     """
     e = materialize(both_ways(edges).filter("src <> dst").select("src", "dst"), "bt-edges")
     nodes = materialize(e.select(F.col("src").alias("node")).distinct(), "bt-nodes")
     pivots = materialize(pivots.select("node").distinct().join(nodes, "node", "left_semi"), "bt-pivots")
     scale = nodes.count() / max(1, pivots.count())
-    level = pivots.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
-    seen = level.select("source", "node")
-    levels, links = [level], []
-    for _ in count() if depth is None else range(depth):
-        step = level.join(e, level["node"] == e["src"]).select("source", F.col("src").alias("via"), F.col("dst").alias("node"), "paths").join(seen, ["source", "node"], "left_anti")
-        step = materialize(step, "bt-links")
-        if step.isEmpty():
-            break
-        level = step.groupBy("source", "node").agg(F.sum("paths").alias("paths"))
-        links.append(step)
-        levels.append(level)
-        seen = materialize(seen.unionByName(level.select("source", "node")), "bt-seen")
-    total = None
-    gain = levels[-1].select("source", "node", F.lit(0.0).alias("gain"))
-    for link, here in zip(reversed(links), reversed(levels[1:]), strict=True):
-        each = link.join(here.withColumnRenamed("paths", "all_paths"), ["source", "node"]).join(gain, ["source", "node"], "left").fillna(0.0, ["gain"])
-        gain = materialize(each.groupBy("source", F.col("via").alias("node")).agg(F.sum(F.col("paths") / F.col("all_paths") * (1 + F.col("gain"))).alias("gain")), "bt-gain")
-        part = gain.filter("source <> node").select("node", "gain")
-        total = part if total is None else total.unionByName(part)
-    if total is None:
-        return nodes.select("node", F.lit(0.0).alias("score"))
-    scores = total.groupBy("node").agg((F.sum("gain") / 2 * scale).alias("score"))
-    return nodes.join(scores, "node", "left").fillna(0.0, ["score"])
+    return dependencies(e, pivots, depth=depth).select("node", (F.col("score") / 2 * scale).alias("score"))
 
 
 def revolving_doors(edges: DataFrame) -> DataFrame:
