@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.functions.rounding import scaled_round
 from bidscope.operators.detectors import AWARDED
 
 YEAR, TWO_YEARS, HALF_YEAR = 365, 730, 182
@@ -73,13 +74,13 @@ def bonus(condition: Column, n: float) -> Column:
 
 def evidence_text(measures: dict[str, Column]) -> Column:
     """What a score rests on as a JSON object; numbers have four decimals."""
-    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(value.try_cast("decimal(20,4)").cast("string"), F.lit("null"))) for name, value in measures.items()]
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(scaled_round(value, 4).try_cast("decimal(20,4)").cast("string"), F.lit("null"))) for name, value in measures.items()]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def indicator(df: DataFrame, name: str, category: str, threshold: float, score: Column, evidence: dict[str, Column]) -> DataFrame:
     """Scores are rounded to six places, so that the order of summing in statistics doesn't show."""
-    raw = F.round(score, 6)
+    raw = scaled_round(score, 6)
     clamped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw))
     return df.select(
         "tender_id", F.lit(name).alias("indicator"), F.lit(category).alias("category"), clamped.alias("score"), F.lit(WEIGHTS[name]).alias("weight"), F.lit(float(threshold)).alias("threshold"),
@@ -249,6 +250,19 @@ def _variance(values: Column) -> Column:
     return F.aggregate(values, start, add, lambda s: F.when(n > 1, (n * s["squares"] - s["sum"] * s["sum"]) / (n * (n - 1))))
 
 
+def _variance_in_order(values: Column) -> Column:
+    """Sample variance of an array by the running update that DuckDB has, so that what meets a threshold or a half exactly falls
+    to the same side."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, add, lambda s: F.when(s["n"] > 1, s["squares"] / (s["n"] - 1)))
+
+
 def _bid_stats(bidders: DataFrame, least: int) -> DataFrame:
     amount = F.col("bid_amount_mkd")
     bids = bidders.filter(amount > 0).groupBy("tender_id").agg(
@@ -321,7 +335,7 @@ def price_sequence(bidders: DataFrame) -> DataFrame:
     rows = rows.withColumn("gaps", gaps).withColumn("g", F.size("gaps"))
     total = F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x)
     mean = total / F.col("g")
-    rel = F.when(mean > 0, _variance(F.col("gaps")) / (mean * mean)).otherwise(0.0)
+    rel = F.when(mean > 0, _variance_in_order(F.col("gaps")) / (mean * mean)).otherwise(0.0)
     return indicator(rows, "price_sequence", "price", 70, ladder((rel < 0.01, 85), (rel < 0.05, 70), other=0), {"evenness": rel})
 
 
