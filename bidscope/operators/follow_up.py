@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidscope.functions.rounding import scaled_round
 from bidscope.operators.detectors import AWARDED, banded
 from bidscope.operators.risk import buyer_trends, severity_rank
 from bidscope.workspace import materialize
@@ -150,10 +151,10 @@ def batch_features(tenders: DataFrame) -> DataFrame:
     of a winner at each buyer; tenders meet it on those three, so those without a winner are no one group either.
     """
     day = F.datediff("publication_date", F.lit(date(1970, 1, 1)))
-    r = lambda c: F.round(c, 6)
+    r = lambda c: scaled_round(c, 6)
     tenders = materialize(tenders.select("tender_id", "estimated_value_mkd", "num_bidders", "closing_date", "publication_date", "amendment_count", "procuring_entity", "winner", "status"), "feature-rows")
     rows = tenders.select(
-        "tender_id", r(F.log1p("estimated_value_mkd")).alias("log_value"), F.coalesce("num_bidders", F.lit(0)).alias("bidders"), F.datediff("closing_date", "publication_date").alias("open_days"), "amendment_count",
+        "tender_id", r(F.log(1 + F.col("estimated_value_mkd"))).alias("log_value"), F.coalesce("num_bidders", F.lit(0)).alias("bidders"), F.datediff("closing_date", "publication_date").alias("open_days"), "amendment_count",
         F.col("procuring_entity").alias("buyer"), "winner", day.alias("day"),
     )
     single, award = F.when(F.col("num_bidders") == 1, 1.0).otherwise(0.0), F.when(F.col("status").isin(*AWARDED), 1).otherwise(0)
