@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bidscope.functions.cleaning import normalized_company, transliterate
 from bidscope.workspace import materialize
 
+#: A score times this and a place are one number.
+_PLACES = 1 << 40
 
 #: What is left out of a buyer's name at its start and at its end.
 BUYER_PREFIXES = "општина|јкп|јп|ад|дооел|доо"
@@ -34,6 +36,8 @@ def link_tenders(left: DataFrame, right: DataFrame, *, least: int = 80) -> DataF
     by title, by neighbouring quarters, and by code and neighbouring value steps; no two records meet for their buyer alone.
     Records that are equal but for their id are scored as one: of right ones the largest id counts, as among equal scores,
     and what a left one finds holds for all its copies.
+    Equal titles meet first: 115 is the most that others reach, so a left record that found more meets no others.  A score
+    and the right record's place among its buyer's ids are one number, so that the best is kept without sorting pairs.
     """
     if least < 76:
         raise ValueError("below 76 pairs count that the three joins don't find")
@@ -41,29 +45,35 @@ def link_tenders(left: DataFrame, right: DataFrame, *, least: int = 80) -> DataF
     ready = lambda df: df.select("id", normalized_buyer(F.col("procuring_entity")).alias("buyer"), normalized_title(F.col("title")).alias("title"), *columns[1:])
     quarter = F.floor(F.datediff("publication_date", F.lit("1970-01-01").cast("date")) / 91)
     step = F.when(F.col("estimated_value_mkd") > 0, F.floor(F.log(F.col("estimated_value_mkd")) / 0.0513))  # a little over 5 %
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     facts = ["buyer", *columns]
     copies = ready(left).withColumn("of", F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256))
     copies = materialize(copies, "link-left")
-    keyed = materialize(copies.select(F.col("of").alias("id"), *facts).distinct().withColumns({"quarter": quarter, "step": step}), "link-distinct")
-    r = materialize(ready(right).groupBy(*facts).agg(F.max("id").alias("id")).withColumns({"quarter": quarter, "step": step}), "link-right")
-    r = r.select(F.col("id").alias("right_id"), "buyer", *[F.col(c).alias(f"r_{c}") for c in (*columns, "quarter", "step")])
+    keyed = materialize(copies.select(F.col("of").alias("id"), *facts).distinct().withColumns({"quarter": quarter, "step": step, "words": words("title")}), "link-distinct")
+    place = F.row_number().over(Window.partitionBy("buyer").orderBy("id"))
+    r = materialize(ready(right).groupBy(*facts).agg(F.max("id").alias("id")).withColumns({"quarter": quarter, "step": step, "words": words("title"), "place": place}), "link-right")
+    placed = r.select(F.col("buyer").alias("at"), F.col("place").cast("long").alias("place"), F.col("id").alias("right_id"))
+    r = r.select("place", "buyer", *[F.col(c).alias(f"r_{c}") for c in (*columns, "quarter", "step", "words")])
     near = lambda name: F.explode(F.array(*[F.col(name) + n for n in (-1, 0, 1)]))
-    by_title = keyed.join(r, (keyed["buyer"] == r["buyer"]) & (F.col("title") == F.col("r_title")))
-    by_date = keyed.withColumn("at", near("quarter")).join(r, (keyed["buyer"] == r["buyer"]) & (F.col("at") == F.col("r_quarter"))).drop("at")
-    by_value = keyed.withColumn("at", near("step")).join(r, (keyed["buyer"] == r["buyer"]) & (F.col("at") == F.col("r_step")) & (F.col("cpv_code") == F.col("r_cpv_code"))).drop("at")
+    by_title = lambda left: left.join(r, (left["buyer"] == r["buyer"]) & (F.col("title") == F.col("r_title")))
+    by_date = lambda left: left.withColumn("at", near("quarter")).join(r, (left["buyer"] == r["buyer"]) & (F.col("at") == F.col("r_quarter"))).drop("at")
+    by_value = lambda left: left.withColumn("at", near("step")).join(r, (left["buyer"] == r["buyer"]) & (F.col("at") == F.col("r_step")) & (F.col("cpv_code") == F.col("r_cpv_code"))).drop("at")
     days = F.abs(F.datediff("publication_date", "r_publication_date"))
     a, b = F.col("estimated_value_mkd"), F.col("r_estimated_value_mkd")
     ratio = F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b))
-    words, r_words = (F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in ("title", "r_title"))
-    overlap = F.size(F.array_intersect(words, r_words)) / F.nullif(F.greatest(F.size(words), F.size(r_words)), F.lit(0))
-    score = (
-        F.when(F.col("title") == F.col("r_title"), 100).when(F.contains("title", F.col("r_title")) | F.contains("r_title", F.col("title")), 50).otherwise(F.coalesce(F.floor(F.round(overlap * 40, 9)), F.lit(0)))
-        + F.when(days <= 7, 30).when(days <= 30, 15).when(days <= 90, 5).otherwise(0) + F.when(ratio > 0.95, 20).when(ratio > 0.8, 10).otherwise(0)
+    rest = (
+        F.when(days <= 7, 30).when(days <= 30, 15).when(days <= 90, 5).otherwise(0) + F.when(ratio > 0.95, 20).when(ratio > 0.8, 10).otherwise(0)
         + F.when(F.col("cpv_code") == F.col("r_cpv_code"), 15).when(F.substring("cpv_code", 1, 5) == F.substring("r_cpv_code", 1, 5), 8).otherwise(0)
-    ).cast("int")
-    scored = [df.select("id", "right_id", score.alias("score")).filter(F.col("score") >= least) for df in (by_title, by_date, by_value)]
-    found = scored[0].unionByName(scored[1]).unionByName(scored[2]).groupBy(F.col("id").alias("of")).agg(F.max(F.struct("score", "right_id")).alias("m"))
-    return copies.select("id", "of").join(found, "of").select("id", "m.right_id", "m.score")
+    )
+    overlap = F.size(F.array_intersect("words", "r_words")) / F.nullif(F.greatest(F.size("words"), F.size("r_words")), F.lit(0))
+    like = F.when(F.contains("title", F.col("r_title")) | F.contains("r_title", F.col("title")), 50).otherwise(F.coalesce(F.floor(F.round(overlap * 40, 9)), F.lit(0)))
+    best = lambda pairs, score: pairs.select("id", keyed["buyer"].alias("buyer"), score.cast("int").alias("score"), "place").filter(F.col("score") >= least).groupBy("id", "buyer").agg(F.max(F.col("score") * _PLACES + F.col("place")).alias("best"))
+    other = lambda pairs: best(pairs.filter((F.col("title") != F.col("r_title")) & (rest >= least - 50)), like + rest)
+    titled = materialize(best(by_title(keyed), 100 + rest), "link-titled")
+    keyed = materialize(keyed.join(titled.filter(F.col("best") >= 116 * _PLACES), "id", "left_anti"), "link-open")
+    found = titled.unionByName(other(by_date(keyed))).unionByName(other(by_value(keyed))).groupBy("id", "buyer").agg(F.max("best").alias("best"))
+    found = found.select(F.col("id").alias("of"), F.col("buyer").alias("at"), F.shiftright("best", 40).cast("int").alias("score"), F.col("best").bitwiseAND(F.lit(_PLACES - 1)).alias("place")).join(placed, ["at", "place"])
+    return copies.select("id", "of").join(found, "of").select("id", "right_id", "score")
 
 
 def match_companies(names: DataFrame, registry: DataFrame) -> DataFrame:
